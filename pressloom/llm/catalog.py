@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressloom.llm import simhash
+from pressloom.llm import bpe, simhash
 from pressloom.session import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,3 +24,17 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component of every document under links of 4 differing fingerprint bits or fewer."""
     found = simhash.group_documents(load(spark, sf_dir, "documents"), words=4, radius=4)
     return found.select(F.col("id").alias("doc_id"), simhash.hex_fingerprint("fp").alias("fingerprint"), "component_id")
+
+
+@query
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole text and the bytes they decode to, as digests."""
+    codec = bpe.ByteBPE(spark)
+    docs = load(spark, sf_dir, "documents").select("doc_id", codec.encode("text").alias("ids"))
+    back = docs.select("doc_id", "ids", codec.decode("ids").alias("decoded"))
+    return back.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
