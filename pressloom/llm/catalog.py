@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressloom.llm import bpe, simhash
+from pressloom.llm import bpe, chat, lengths, mix, ogg, simhash
 from pressloom.session import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,3 +38,46 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op2_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text stored as Ogg media, read back with all checks, and described."""
+    media = load(spark, sf_dir, "documents").select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), ogg.store("text").alias("media"))
+    return media.select("doc_id", "n_bytes", ogg.read("media").alias("r")).select("doc_id", "n_bytes", "r.*")
+
+
+#: Weights of the tree's nodes; what is not listed weighs 1. Sources fall into four domains by number.
+MIX_WEIGHTS = {("d0",): 4, ("d1",): 3, ("d2",): 2, ("d3",): 2, ("other",): 1} | {
+    (d, lang): w for d in ("d0", "d1", "d2", "d3") for lang, w in (("en", 5), ("de", 3), ("fr", 2), ("es", 2))
+}
+
+
+def domain_of(source: str) -> Column:
+    """The stand-in domain of a source: d0 to d3 by its number, else other."""
+    number = F.try_to_number(F.regexp_extract(F.coalesce(F.col(source), F.lit("")), "([0-9]{1,9})$", 1), F.lit("999999999")).cast("long")
+    return F.when(number.isNull(), "other").otherwise(F.concat(F.lit("d"), (number % 4).cast("string")))
+
+
+@query
+def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six tenths of all words by weight, at most two epochs of a source: how often each selected document is taken."""
+    docs = load(spark, sf_dir, "documents")
+    found = mix.select(docs, domain_of("source"), MIX_WEIGHTS, fraction=0.6, epochs=2)
+    return found.select("doc_id", F.col("_domain").alias("domain"), F.col("_lang").alias("lang"), F.col("_source").alias("source"), F.col("_n_tokens").alias("n_tokens"), F.col("_copies").alias("copies"))
+
+
+@query
+def op8_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact histogram of the encoded lengths of all documents, with its suffix sums for every context limit."""
+    docs = load(spark, sf_dir, "documents").select(bpe.ByteBPE(spark).count("text").alias("n"))
+    return lengths.context_limits(lengths.histogram(docs, F.col("n")))
+
+
+@query
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one of control strings, formatted in windows and read back."""
+    turns = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    odd = spark.createDataFrame([(-7, k, role, "</s>[INST] ok [/INST]") for k, role in enumerate(("user", "assistant"))], turns.schema)
+    made = chat.windows(turns.unionByName(odd), bpe.ByteBPE(spark).count("text"), budget=2048, history=512, system=256)
+    return chat.digests(made)
