@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressloom.llm import bpe, chat, lengths, mix, ogg, simhash
+from pressloom.llm import bpe, chat, lengths, mix, ogg, quality_rules, simhash
 from pressloom.session import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,87 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     odd = spark.createDataFrame([(-7, k, role, "</s>[INST] ok [/INST]") for k, role in enumerate(("user", "assistant"))], turns.schema)
     made = chat.windows(turns.unionByName(odd), bpe.ByteBPE(spark).count("text"), budget=2048, history=512, system=256)
     return chat.digests(made)
+
+
+@query
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, base rules and the threshold table's verdict of every document."""
+    found = quality_rules.metrics(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [F.col("_counts")[k].alias(k) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+    judged = found.select("doc_id", *counts, quality_rules.base_failed().alias("base_failed"), quality_rules.verdict().alias("verdict"))
+    return judged.select("doc_id", *QUALITY_COLUMNS, "base_failed", (~F.col("base_failed") & F.col("verdict")).alias("kept"))
+
+
+QUALITY_COLUMNS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+
+
+def quality_sql() -> str:
+    stops = ", ".join(f"'{w}'" for w in sorted(set(" ".join(quality_rules.STOP_WORDS.values()).split())))
+    ratio = "CASE WHEN {1} > 0 THEN {0} / {1} ELSE 0 END BETWEEN {2} AND {3}"
+    rules = " AND ".join(ratio.format(r.top, r.bottom, r.low, r.high) for r in quality_rules.RULES)
+    return f"""
+WITH w AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l
+  FROM documents),
+c AS (
+  SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+         len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols,
+         len(list_filter(w, lambda x: x IN ({stops}))) AS n_stop_words,
+         len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines
+  FROM w),
+g AS (
+  SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS k
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS n FROM g) WHERE n > 1),
+p AS (SELECT doc_id, count(DISTINCT i + o) AS n FROM r, (VALUES (0), (1), (2)) AS x(o) GROUP BY doc_id),
+f AS (SELECT c.*, coalesce(p.n, 0) AS n_repeat_words FROM c LEFT JOIN p USING (doc_id)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
+       n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
+       NOT base_failed AND {rules} AS kept
+FROM b"""
+
+
+ORACLE["op5_quality_rules"] = quality_sql()
+
+
+def mix_sql() -> str:
+    weights = ", ".join(f"('{chr(31).join(k)}', {w})" for k, w in MIX_WEIGHTS.items())
+
+    def level(name: str, above: str, path: str, own: str) -> str:
+        """One level's water-filling; ``path`` is what identifies the parent, ``own`` the child."""
+        key = f"{path}, {own}" if path else own
+        part = f"PARTITION BY {path}" if path else "PARTITION BY 1"
+        text = " || chr(31) || ".join(key.split(", "))
+        join = f"JOIN {above} USING ({path})" if path else f", {above}"
+        return f"""
+{name}0 AS (SELECT {key}, sum(tokens) * 2 AS cap, sum(tokens) AS tokens FROM leaf GROUP BY {key}),
+{name}1 AS (SELECT {name}0.*, budget, coalesce(weight, 1) AS weight FROM {name}0 {join} LEFT JOIN spec ON spec.path = {text}),
+{name}2 AS (SELECT *, cap * sum(weight) OVER ({part} ORDER BY cap / weight, {own} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+    <= weight * (budget - coalesce(sum(cap) OVER ({part} ORDER BY cap / weight, {own} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS is_full FROM {name}1),
+{name}3 AS (SELECT *, sum(CASE WHEN is_full THEN 0 ELSE weight END) OVER ({part}) AS open_total,
+    budget - sum(CASE WHEN is_full THEN cap ELSE 0 END) OVER ({part}) AS rest,
+    sum(CASE WHEN is_full THEN 0 ELSE weight END) OVER ({part} ORDER BY {own} ROWS UNBOUNDED PRECEDING) AS upto FROM {name}2),
+{name} AS (SELECT {key}, tokens, CASE WHEN is_full THEN cap ELSE (upto * rest) // open_total - ((upto - weight) * rest) // open_total END AS budget FROM {name}3)"""
+
+    return f"""
+WITH spec AS (SELECT * FROM (VALUES {weights}) AS v(path, weight)),
+doc AS (
+  SELECT doc_id, coalesce('d' || (try_cast(nullif(regexp_extract(coalesce(source, ''), '([0-9]{{1,9}})$', 1), '') AS BIGINT) % 4), 'other') AS domain,
+         coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS n_tokens
+  FROM documents),
+leaf AS (SELECT domain, lang, source, sum(n_tokens)::BIGINT AS tokens FROM doc WHERE n_tokens > 0 GROUP BY ALL),
+root AS (SELECT least(floor(sum(tokens) * 0.6::DOUBLE)::BIGINT, sum(tokens) * 2) AS budget FROM leaf),
+{level("l1", "root", "", "domain")},
+{level("l2", "l1x", "domain", "lang").replace("l20 AS", "l1x AS (SELECT domain, budget FROM l1)," + chr(10) + "l20 AS", 1)},
+{level("l3", "l2x", "domain, lang", "source").replace("l30 AS", "l2x AS (SELECT domain, lang, budget FROM l2)," + chr(10) + "l30 AS", 1)},
+cut AS (SELECT domain, lang, source, (budget // tokens)::BIGINT AS epoch, (budget % tokens)::BIGINT AS rest FROM l3),
+placed AS (SELECT doc.*, epoch, rest, md5('42|' || epoch || '|' || coalesce(doc_id::VARCHAR, '')) AS place
+           FROM doc JOIN cut USING (domain, lang, source) WHERE n_tokens > 0),
+taken AS (SELECT *, epoch + CASE WHEN rest > 0 AND sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY place RANGE UNBOUNDED PRECEDING) <= rest THEN 1 ELSE 0 END AS copies FROM placed)
+SELECT doc_id, domain, lang, source, n_tokens::BIGINT AS n_tokens, copies::BIGINT AS copies FROM taken WHERE copies > 0"""
+
+
+ORACLE["op6_mix"] = mix_sql()
