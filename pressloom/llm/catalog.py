@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressloom.llm import bpe, chat, lengths, mix, ogg, quality_rules, simhash
+from pressloom.llm import bpe, chat, lengths, licenses, mix, ogg, quality_rules, simhash, toxicity, weak_quality
 from pressloom.session import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -165,3 +165,23 @@ SELECT doc_id, domain, lang, source, n_tokens::BIGINT AS n_tokens, copies::BIGIN
 
 
 ORACLE["op6_mix"] = mix_sql()
+
+
+@query
+def op4_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posterior, score and decision of every document, from weak labels alone."""
+    return weak_quality.classify(load(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected severity, grade and decision of every document, from the labelled ones."""
+    docs = load(spark, sf_dir, "documents")
+    grader = toxicity.train(docs, load(spark, sf_dir, "labels"))
+    return grader.grade(docs.select("doc_id", "text")).select("doc_id", "_toxicity.*")
+
+
+@query
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every licence template that a document holds."""
+    return licenses.scan(load(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
