@@ -118,9 +118,9 @@ def select(
     name = lambda c: F.coalesce(c.cast("string"), F.lit(""))
     leaf = dict(zip((f"_{x}" for x in LEVELS), (name(domain), name(F.col(lang_col)), name(F.col(source_col))), strict=True))
     own_id = name(F.col(id_col))
-    narrow = checkpointed(
-        docs.select(*(c.alias(k[1:]) for k, c in leaf.items()), own_id.alias("id"), (tokens if tokens is not None else words(text_col)).cast("long").alias("n")).where("n > 0")
-    )
+    counted = (tokens if tokens is not None else words(text_col)).cast("long")
+    some = docs.where(F.col(text_col).rlike(r"[^\x20\x09-\x0D]") if tokens is None else tokens > 0)
+    narrow = checkpointed(some.select(*(c.alias(k[1:]) for k, c in leaf.items()), own_id.alias("id"), counted.alias("n")))
     leaves = narrow.groupBy(*LEVELS).agg(F.sum("n").alias("tokens"))
     goal = F.lit(int(budget)) if fraction is None else F.floor(F.col("total") * F.lit(float(fraction)))
     cut = plan(leaves, weights, goal, epochs).selectExpr(*LEVELS, "share div tokens as epoch", "share % tokens as rest")
@@ -146,9 +146,8 @@ def select(
     final = checkpointed(cut.join(ends, list(LEVELS), "left").select(*(F.col(x).alias(f"_{x}") for x in LEVELS), F.col("epoch").alias("_epoch"), F.col("last").alias("_last")))
     here = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("_epoch").cast("string"), own_id))
     copies = F.col("_epoch") + F.when(here <= F.col("_last"), 1).otherwise(0)
-    taken = docs.withColumns(leaf).join(_small(final), list(leaf)).withColumn("_copies", copies.cast("long")).where("_copies > 0")
-    counted = (tokens if tokens is not None else words(text_col)).cast("long")
-    return taken.withColumn("_n_tokens", counted).where("_n_tokens > 0").drop("_epoch", "_last")
+    taken = some.withColumns(leaf).join(_small(final), list(leaf)).withColumn("_copies", copies.cast("long")).where("_copies > 0")
+    return taken.withColumn("_n_tokens", counted).drop("_epoch", "_last")
 
 
 def repeated(selected: DataFrame, columns: list[str]) -> DataFrame:

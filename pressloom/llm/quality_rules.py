@@ -104,7 +104,9 @@ def metrics(docs: DataFrame, text_col: str = "text", stop_words: Sequence[str] |
         "n_dup_lines": F.size("_w_lines") - F.size(F.array_distinct("_w_lines")),
         "n_repeat_words": _repeat_words("_w_words", "_w_keys"),
     }
-    return out.withColumn("_counts", F.struct(*(counts[k].cast("long").alias(k) for k in COUNTS))).drop("_w_words", "_w_lines", "_w_keys")
+    # a generator, not a projection: later filters on the counts must not repeat the counting
+    one = F.explode_outer(F.array(F.struct(*(counts[k].cast("long").alias(k) for k in COUNTS))))
+    return out.withColumn("_counts", one).drop("_w_words", "_w_lines", "_w_keys")
 
 
 def base_failed(counts: str = "_counts") -> Column:

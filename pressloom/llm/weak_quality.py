@@ -141,7 +141,7 @@ def score(text: Column | str, weights, bias: float) -> Column:
 
 
 def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", votes: Mapping[str, Column] | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(id, posterior, quality, keep): the labellers' posterior, the scorer's P(good), and whether that is 1/2 or more.
+    """(id, posterior, score, keep): the labellers' posterior, the scorer's P(good), and whether that is 1/2 or more.
 
     votes: {name: column of -1, 0 or 1 over docs with ``_counts``}, at most MOST_LABELLERS.
     Null texts count as empty. Rows are kept as they are, repeated ones too. An empty
@@ -162,5 +162,5 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vo
     sample = posterior.join(F.broadcast(ids), F.xxhash64("id", "text") == F.col("_place")).select("text", "posterior").limit(2 * sample_rows).toArrow().to_pylist()
     sample.sort(key=lambda r: (r["text"], r["posterior"]))
     weights, bias = fit([r["text"] for r in sample], np.array([r["posterior"] for r in sample]))
-    scored = posterior.select("id", "posterior", F.round(score("text", spark.sparkContext.broadcast(weights.astype(np.float32)), bias), 9).alias("quality"))
-    return scored.select("id", "posterior", "quality", (F.col("quality") >= 0.5).alias("keep"))
+    scored = posterior.select("id", "posterior", F.round(score("text", spark.sparkContext.broadcast(weights.astype(np.float32)), bias), 9).alias("score"))
+    return scored.select("id", "posterior", "score", (F.col("score") >= 0.5).alias("keep"))
