@@ -1,4 +1,4 @@
-"""Registered queries over the driver's tables, each with its DuckDB oracle."""
+"""Registered queries over the driver's tables, each with its DuckDB oracle where SQL can express it."""
 
 from __future__ import annotations
 
@@ -7,11 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pressloom.functions import dates, text
+from pressloom.operators import dedup, links, pages, review, search, stats, stories
 from pressloom.session import load
+from pressloom.sources.adapter import ARTICLES_SQL, ATTEMPTS_SQL, NOW, articles, attempts, sources
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
+STAMP = "yyyy-MM-dd HH:mm:ss"
+SQL_STAMP = "%Y-%m-%d %H:%M:%S"
+KEY_SQL = r"regexp_replace(lower(coalesce(title, '')), '[^\p{L}\p{N}_\x{200C}\x{200D}]', '', 'g')"
+
 
 def query(name: str, sql: str | None = None):
     """Register a query and, where SQL can express it, its oracle."""
@@ -25,10 +32,381 @@ def query(name: str, sql: str | None = None):
     return put
 
 
+def stamp(column: str):
+    return F.date_format(column, STAMP).alias(column)
+
+
+# statistics
+
+
+@query("article_stats", f"WITH {ARTICLES_SQL} SELECT slug, COUNT(*) AS article_count, strftime(MAX(published_at), '{SQL_STAMP}') AS last_published, COUNT(*) FILTER (WHERE qa_status IS NULL) AS unreviewed FROM articles GROUP BY slug")
+def article_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = articles(spark, sf_dir).groupBy("slug").agg(F.count("*").alias("article_count"), F.max("published_at").alias("last_published"), F.count(F.when(F.col("qa_status").isNull(), 1)).alias("unreviewed"))
+    return found.select("slug", "article_count", stamp("last_published"), "unreviewed")
+
+
 @query(
-    "article_stats",
-    """SELECT source AS slug, COUNT(*) AS article_count, MAX(doc_id) AS last_id FROM documents GROUP BY source""",
+    "dashboard_stats",
+    f"""WITH {ARTICLES_SQL}, {ATTEMPTS_SQL},
+failing AS (SELECT DISTINCT 'src' || (CAST(substr(url, 2) AS BIGINT) % 20) AS slug, url FROM attempts WHERE failed),
+dead AS (SELECT slug, count(*) AS n FROM failing GROUP BY slug)
+SELECT a.slug, COUNT(*) AS total, COUNT(*) FILTER (WHERE qa_status IS NULL) AS unreviewed, COUNT(*) FILTER (WHERE qa_status = 'pass') AS pass,
+  COUNT(*) FILTER (WHERE qa_status = 'warn') AS warn, COUNT(*) FILTER (WHERE qa_status = 'fail') AS fail, coalesce(any_value(dead.n), 0) AS dead_links,
+  strftime(MAX(published_at), '{SQL_STAMP}') AS last_published
+FROM articles a LEFT JOIN dead USING (slug) GROUP BY a.slug""",
 )
-def article_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = load(spark, sf_dir, "documents")
-    return docs.groupBy(F.col("source").alias("slug")).agg(F.count("*").alias("article_count"), F.max("doc_id").alias("last_id"))
+def dashboard_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    failing = attempts(spark, sf_dir).where("failed").select(F.concat(F.lit("src"), (F.substring("url", 2, 20).cast("long") % 20).cast("string")).alias("slug"), "url").distinct()
+    found = stats.per_source(sources(spark, sf_dir), articles(spark, sf_dir), failing)
+    return found.select(*found.columns[:-1], stamp("last_published"))
+
+
+@query("dashboard_totals", f"WITH {ARTICLES_SQL} SELECT count(*) AS total, count(qa_status) AS reviewed, count(DISTINCT slug) AS source_count, avg(qa_score) AS mean_score FROM articles")
+def dashboard_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return articles(spark, sf_dir).agg(F.count("*").alias("total"), F.count("qa_status").alias("reviewed"), F.count_distinct("slug").alias("source_count"), F.avg("qa_score").alias("mean_score"))
+
+
+@query("ingestion_activity", f"SELECT strftime(CAST(ts AS DATE), '%Y-%m-%d') AS day, COUNT(*) AS n FROM events WHERE ts >= TIMESTAMP '{NOW}' - INTERVAL 7 DAY AND ts < TIMESTAMP '{NOW}' GROUP BY 1")
+def ingestion_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    week = load(spark, sf_dir, "events").where(f"ts >= timestamp_ntz'{NOW}' - interval 7 days and ts < timestamp_ntz'{NOW}'")
+    return week.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"))
+
+
+@query("monthly_counts", "SELECT strftime(o_orderdate, '%Y-%m') AS month, o_orderpriority AS slug, COUNT(*) AS n FROM orders WHERE o_orderdate >= TIMESTAMP '2001-02-01' AND o_orderdate < TIMESTAMP '2001-08-01' GROUP BY 1, 2")
+def monthly_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    recent = load(spark, sf_dir, "orders").where("o_orderdate >= timestamp_ntz'2001-02-01' and o_orderdate < timestamp_ntz'2001-08-01'")
+    return recent.groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month"), F.col("o_orderpriority").alias("slug")).agg(F.count("*").alias("n"))
+
+
+@query(
+    "monthly_pivot",
+    "SELECT strftime(o_orderdate, '%Y-%m') AS month, COUNT(*) FILTER (WHERE o_orderstatus = 'F') AS f, COUNT(*) FILTER (WHERE o_orderstatus = 'O') AS o, COUNT(*) FILTER (WHERE o_orderstatus = 'P') AS p, COUNT(*) AS total FROM orders GROUP BY 1",
+)
+def monthly_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    by = load(spark, sf_dir, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month"))
+    count = lambda s: F.count(F.when(F.col("o_orderstatus") == s, 1)).alias(s.lower())
+    return by.agg(*map(count, "FOP"), F.count("*").alias("total"))
+
+
+@query("review_model_stats", "SELECT role AS model, COUNT(*) AS n FROM conversations GROUP BY role")
+def review_model_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "conversations").groupBy(F.col("role").alias("model")).agg(F.count("*").alias("n"))
+
+
+@query(
+    "dead_link_stats",
+    f"WITH {ATTEMPTS_SQL} SELECT url, COUNT(*) AS total, COUNT(*) FILTER (WHERE error_type = '404') AS err_404, COUNT(*) FILTER (WHERE error_type = 'timeout') AS err_timeout, COUNT(*) FILTER (WHERE error_type = 'empty') AS err_empty, COUNT(*) FILTER (WHERE error_type NOT IN ('404', 'timeout', 'empty')) AS err_other FROM attempts WHERE failed GROUP BY url HAVING COUNT(*) > 0",
+)
+def dead_link_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.by_error(attempts(spark, sf_dir))
+
+
+GRID_SQL = f"""WITH {ARTICLES_SQL},
+days AS (SELECT CAST(unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-30', INTERVAL 1 DAY)) AS DATE) AS day),
+grid AS (SELECT s.slug, d.day, COUNT(a.id) AS n FROM (SELECT DISTINCT slug FROM articles WHERE slug IS NOT NULL) s CROSS JOIN days d
+  LEFT JOIN articles a ON a.slug = s.slug AND CAST(a.published_at AS DATE) = d.day GROUP BY s.slug, d.day)"""
+
+
+@query("coverage_grid", f"{GRID_SQL} SELECT slug, strftime(day, '%Y-%m-%d') AS day, n FROM grid")
+def coverage_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grid = stats.coverage(sources(spark, sf_dir), articles(spark, sf_dir), "2024-01-01", "2024-01-30")
+    return grid.select("slug", F.col("day").cast("string").alias("day"), "n")
+
+
+@query("coverage_gaps", f"{GRID_SQL} SELECT slug, CAST(SUM(n) AS BIGINT) AS total, SUM(n) / COUNT(*) AS mean, COUNT(*) FILTER (WHERE n = 0) AS gap_days, 100 * COUNT(*) FILTER (WHERE n = 0) / COUNT(*) AS gap_percent FROM grid GROUP BY slug")
+def coverage_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.gaps(stats.coverage(sources(spark, sf_dir), articles(spark, sf_dir), "2024-01-01", "2024-01-30"))
+
+
+# pages of articles
+
+
+@query("articles_page", f"WITH {ARTICLES_SQL} SELECT id, slug, title, strftime(published_at, '{SQL_STAMP}') AS published_at FROM articles ORDER BY articles.published_at DESC NULLS LAST, id LIMIT 20 OFFSET 40")
+def articles_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    page = articles(spark, sf_dir).select("id", "slug", "title", "published_at").orderBy(F.desc_nulls_last("published_at"), "id").offset(40).limit(20)
+    return page.select("id", "slug", "title", stamp("published_at"))
+
+
+@query("unreviewed_latest", f"WITH {ARTICLES_SQL} SELECT id, slug, title FROM articles WHERE qa_status IS NULL ORDER BY published_at DESC NULLS FIRST, id LIMIT 50")
+def unreviewed_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return articles(spark, sf_dir).where("qa_status is null").select("id", "slug", "title", "published_at").orderBy(F.desc_nulls_first("published_at"), "id").limit(50).drop("published_at")
+
+
+@query("review_tally", f"WITH {ARTICLES_SQL} SELECT coalesce(qa_status, 'unreviewed') AS status, COUNT(*) AS n FROM articles GROUP BY 1")
+def review_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return articles(spark, sf_dir).groupBy(F.coalesce("qa_status", F.lit("unreviewed")).alias("status")).agg(F.count("*").alias("n"))
+
+
+# deduplication and mutations
+
+
+@query("title_dedup", f"WITH {ARTICLES_SQL}, k AS (SELECT id, slug, {KEY_SQL} AS key FROM articles) SELECT id, slug FROM (SELECT *, row_number() OVER (PARTITION BY slug, key ORDER BY id) AS r FROM k) WHERE r = 1 OR length(key) <= 10")
+def title_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.first_titles(articles(spark, sf_dir).select("id", "slug", "title")).select("id", "slug")
+
+
+@query("seen_first", "SELECT user_id AS url, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS at, arg_min(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id")
+def seen_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = load(spark, sf_dir, "events").select(F.col("user_id").alias("url"), F.col("ts").alias("at"), "event_id")
+    return dedup.first_seen(items, ["url"], ["at", "event_id"]).select("url", stamp("at"), "event_id")
+
+
+@query(
+    "ingest_candidates",
+    f"""WITH {ARTICLES_SQL},
+recent AS (SELECT DISTINCT slug, {KEY_SQL} AS key FROM articles WHERE id % 3 = 0),
+cand AS (SELECT id, slug, url, {KEY_SQL} AS key FROM articles WHERE id % 3 > 0 AND url NOT IN (SELECT url FROM articles WHERE qa_status = 'fail'))
+SELECT id, slug, url FROM cand WHERE NOT EXISTS (SELECT 1 FROM recent r WHERE r.slug = cand.slug AND r.key = cand.key AND length(r.key) > 10)""",
+)
+def ingest_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two thirds of the articles as new items against the rest as the store; failed reviews stand in for dead urls."""
+    every = articles(spark, sf_dir).select("id", "slug", "title", "url", "qa_status")
+    store, new = every.where("id % 3 = 0"), every.where("id % 3 > 0")
+    fresh = dedup.unknown(new, store, every.where("qa_status = 'fail'"))
+    return dedup.without_known_titles(fresh, store).select("id", "slug", "url")
+
+
+@query("upsert_reviews", f"WITH {ARTICLES_SQL} SELECT id, coalesce(qa_status, 'warn') AS qa_status FROM articles")
+def upsert_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = articles(spark, sf_dir).select("id", "qa_status")
+    return dedup.upserted(table, table.where("qa_status is null").withColumn("qa_status", F.lit("warn")), "id")
+
+
+@query("insert_ignore", "SELECT n_nationkey AS k, n_name AS name FROM nation UNION ALL SELECT DISTINCT CAST(s_suppkey AS INTEGER) AS k, s_name AS name FROM supplier WHERE s_suppkey NOT IN (SELECT n_nationkey FROM nation)")
+def insert_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = load(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("name"))
+    return dedup.inserted(table, load(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("int").alias("k"), F.col("s_name").alias("name")), "k")
+
+
+# failing links and sweeps
+
+STATE_SQL = f"""WITH {ATTEMPTS_SQL},
+ok AS (SELECT url, max((tried, seq)) AS ok FROM attempts WHERE NOT failed GROUP BY url),
+f AS (SELECT a.* FROM attempts a LEFT JOIN ok USING (url) WHERE a.failed AND (ok.ok IS NULL OR (a.tried, a.seq) > ok.ok)),
+state AS (SELECT url, count(*) - 1 AS retry_count, min(tried) AS first_failed_at, max(tried) AS last_checked_at, arg_max(error_type, (tried, seq)) AS error_type FROM f GROUP BY url)"""
+
+
+@query("dead_links", f"{STATE_SQL} SELECT url, retry_count, strftime(first_failed_at, '{SQL_STAMP}') AS first_failed_at, strftime(last_checked_at, '{SQL_STAMP}') AS last_checked_at, error_type FROM state")
+def dead_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return links.dead_links(attempts(spark, sf_dir)).select("url", "retry_count", stamp("first_failed_at"), stamp("last_checked_at"), "error_type")
+
+
+@query("dead_due", f"{STATE_SQL} SELECT url, retry_count FROM state WHERE retry_count < 3 AND first_failed_at + to_days(CASE retry_count WHEN 0 THEN 7 WHEN 1 THEN 14 ELSE 30 END) <= TIMESTAMP '{NOW}'")
+def dead_due(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return links.due(links.dead_links(attempts(spark, sf_dir)), NOW).select("url", "retry_count")
+
+
+@query(
+    "sweep_cutoff",
+    f"""WITH {ATTEMPTS_SQL}, i AS (SELECT *, sum((NOT failed)::INT) OVER (PARTITION BY url ORDER BY seq) AS island FROM attempts),
+m AS (SELECT url, seq, row_number() OVER (PARTITION BY url, island ORDER BY seq) AS miss FROM i WHERE failed),
+s AS (SELECT url, min(seq) AS stop FROM m WHERE miss = 3 GROUP BY url)
+SELECT url, stop FROM (SELECT DISTINCT url FROM attempts) LEFT JOIN s USING (url)""",
+)
+def sweep_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return links.sweep_end(attempts(spark, sf_dir).select("url", "seq", "failed"), 3, "url", "seq", ~F.col("failed"))
+
+
+@query("error_rate", f"WITH {ATTEMPTS_SQL}, t AS (SELECT strftime(tried, '%Y-%m-%d') AS day, count(*) AS n, count(*) FILTER (WHERE failed) AS bad FROM attempts GROUP BY 1) SELECT day, bad / n AS rate, bad / n - lag(bad / n) OVER (ORDER BY day) AS change FROM t")
+def error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    days = attempts(spark, sf_dir).groupBy(F.date_format("tried", "yyyy-MM-dd").alias("day")).agg((F.count(F.when(F.col("failed"), 1)) / F.count("*")).alias("rate"))
+    return days.select("day", "rate", (F.col("rate") - F.lag("rate").over(Window.orderBy("day"))).alias("change"))  # one row a day
+
+
+# text and dates
+
+
+@query("detect_language", f"WITH {ARTICLES_SQL} SELECT id, CASE WHEN length(substr(coalesce(content, ''), 1, 500)) = 0 THEN 'en' WHEN length(regexp_replace(substr(content, 1, 500), '[^\\x{{0D80}}-\\x{{0DFF}}]', '', 'g')) / length(substr(content, 1, 500)) > 0.1 THEN 'si' ELSE 'en' END AS language FROM articles")
+def detect_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), text.detect_language(F.col("text")).alias("language"))
+
+
+@query("excerpts", f"WITH {ARTICLES_SQL} SELECT id, substr(coalesce(list_filter(list_transform(string_split(content, chr(10)), lambda x: trim(x)), lambda x: length(x) >= 40 AND NOT regexp_matches(x, '^(#|!\\[|---)'))[1], content), 1, 300) AS excerpt FROM articles")
+def excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), text.excerpt(F.col("text")).alias("excerpt"))
+
+
+@query("display_forms", "SELECT o_orderkey AS id, CASE WHEN n >= 1000000 THEN format('{:.1f}', floor(n / 1000000 * 10 + 0.5) / 10) || 'M' WHEN n >= 1000 THEN format('{:.1f}', floor(n / 1000 * 10 + 0.5) / 10) || 'K' ELSE CAST(n AS VARCHAR) END AS shown FROM (SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) * (o_orderkey % 13) AS n FROM orders)")
+def display_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), text.format_number(F.floor("o_totalprice") * (F.col("o_orderkey") % 13)).alias("shown"))
+
+
+@query("url_parts", "SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path, regexp_matches(url, '[?&]page=') AS paged FROM pages")
+def url_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "pages").select("page_id", text.url_host(F.col("url")).alias("host"), text.url_path(F.col("url")).alias("path"), F.col("url").rlike("[?&]page=").alias("paged"))
+
+
+#: Order dates twelve years on, written in five shapes by turns; the oracle is the date itself.
+SHAPES = ["MMMM d, yyyy", "yyyy-MM-dd", "d MMM yyyy", "dd/MM/yyyy", "d M yyyy"]
+
+
+@query("dates_parsed", "SELECT o_orderkey AS id, strftime(o_orderdate + INTERVAL 12 YEAR, '%Y-%m-%d') AS day FROM orders")
+def dates_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shifted = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.expr("o_orderdate + interval 12 years").alias("d"))
+    said = F.element_at(F.array(*(F.date_format("d", s) for s in SHAPES)), (F.col("id") % len(SHAPES) + 1).cast("int"))
+    found = dates.waterfall(F.lit(None).cast("string"), F.lit(None).cast("string"), F.concat(F.lit("Published on "), said, F.lit(", by staff")), NOW)
+    return shifted.select("id", found.cast("string").alias("day"))
+
+
+@query("citations", "SELECT doc_id AS id, list_filter(list_transform(regexp_extract_all('see [1] and [' || (doc_id % 7) || '] or [9]', '\\[(\\d+)\\]', 1), lambda x: CAST(x AS INTEGER)), lambda x: x >= 1 AND x <= 5)::VARCHAR AS cited FROM documents")
+def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.concat(F.lit("see [1] and ["), (F.col("doc_id") % 7).cast("string"), F.lit("] or [9]"))
+    return load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), text.citations(said, F.lit(5)).cast("string").alias("cited"))
+
+
+@query("event_props", "SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS k, COUNT(*) AS n FROM events GROUP BY 1")
+def event_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "events").groupBy(F.get_json_object("props", "$.k").cast("long").alias("k")).agg(F.count("*").alias("n"))
+
+
+# stories: the embeddings' labels stand for story numbers
+
+STORY_SQL = f"""WITH {ARTICLES_SQL}, a AS (SELECT e.label AS story, r.* FROM articles r JOIN embeddings e ON e.vec_id = r.id)"""
+
+
+def storied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("story"))
+    return articles(spark, sf_dir).join(labels, "id")
+
+
+@query(
+    "story_rollup",
+    f"""{STORY_SQL}, w AS (SELECT *, row_number() OVER (PARTITION BY story ORDER BY coalesce(qa_score, 0) DESC, length(coalesce(content, '')) DESC, published_at, id) AS r FROM a)
+SELECT story, COUNT(*) AS article_count, COUNT(DISTINCT slug) AS source_count, strftime(MIN(published_at), '{SQL_STAMP}') AS first_published, strftime(MAX(published_at), '{SQL_STAMP}') AS last_published,
+  MAX(id) FILTER (WHERE r = 1) AS best_id, MAX(title) FILTER (WHERE r = 1) AS title FROM w GROUP BY story""",
+)
+def story_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stories.rollup(storied(spark, sf_dir)).select("story", "article_count", "source_count", stamp("first_published"), stamp("last_published"), "best_id", "title")
+
+
+@query("story_sources", f"{STORY_SQL} SELECT DISTINCT story, slug FROM a")
+def story_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return storied(spark, sf_dir).select("story", "slug").distinct()
+
+
+@query("stories_page", f"{STORY_SQL} SELECT story, COUNT(*) AS article_count FROM a GROUP BY story ORDER BY MAX(published_at) DESC NULLS LAST, story LIMIT 10 OFFSET 5")
+def stories_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = storied(spark, sf_dir).groupBy("story").agg(F.count("*").alias("article_count"), F.max("published_at").alias("last"))
+    return found.orderBy(F.desc_nulls_last("last"), "story").offset(5).limit(10).drop("last")
+
+
+@query("nearest_vectors", "SELECT q AS query_id, id, cosine FROM (SELECT a.vec_id AS q, b.vec_id AS id, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) DESC, b.vec_id) AS r FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0) WHERE r = 1")
+def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = load(spark, sf_dir, "embeddings")
+    return stories.nearest(vectors.where("vec_id % 100 = 0"), vectors, "vec_id", "embedding")
+
+
+@query("greedy_clusters")
+def greedy_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stories.clusters(load(spark, sf_dir, "embeddings").withColumn("block", F.col("vec_id") % 8), 0.3, "block", "vec_id", "embedding")
+
+
+# search and answers
+
+WORDS_SQL = r"list_transform(regexp_extract_all(lower(coalesce(content, '')), '[\p{L}\p{N}]+'), lambda x: x)"
+BM25 = "nation the eine clown"
+
+
+@query("index_stats", f"WITH {ARTICLES_SQL}, p AS (SELECT id, unnest({WORDS_SQL}) AS term FROM articles) SELECT COUNT(*) AS tokens, COUNT(DISTINCT term) AS terms, COUNT(DISTINCT id) AS documents FROM p")
+def index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = search.postings(articles(spark, sf_dir))
+    return found.agg(F.sum("tf").alias("tokens"), F.count_distinct("term").alias("terms"), F.count_distinct("id").alias("documents"))
+
+
+@query(
+    "search_bm25",
+    f"""WITH {ARTICLES_SQL}, s AS (SELECT id, published_at, title, {WORDS_SQL} AS w FROM articles), t AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM s),
+h AS (SELECT id, len(w) AS len, term, len(list_filter(w, lambda x: x = term)) AS tf FROM s, (SELECT unnest(string_split('{BM25}', ' ')) AS term)),
+d AS (SELECT term, count(*) FILTER (WHERE tf > 0) AS df FROM h GROUP BY term),
+b AS (SELECT id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 6) AS score FROM h JOIN d USING (term), t WHERE tf > 0 GROUP BY id)
+SELECT id, score, strftime(published_at, '{SQL_STAMP}') AS published_at, title FROM b JOIN s USING (id) ORDER BY score DESC, s.published_at DESC NULLS LAST, id LIMIT 20""",
+)
+def search_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(articles(spark, sf_dir), BM25, 20).select("id", "score", stamp("published_at"), "title")
+
+
+@query("highlights", f"WITH {ARTICLES_SQL} SELECT id, regexp_replace(title, '(?i)\\b(of|the)\\b', '<em>\\1</em>', 'g') AS shown FROM articles")
+def highlights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return articles(spark, sf_dir).select("id", search.highlighted("title", "the of").alias("shown"))
+
+
+@query(
+    "rag_context",
+    f"""{STORY_SQL}, w AS (SELECT story, id, sum(length(substr(content, 1, 900)) + 1) OVER (PARTITION BY story ORDER BY id) - 1 AS upto FROM a)
+SELECT story, count(*) AS parts, max(upto) AS chars FROM w WHERE upto <= 6000 GROUP BY story""",
+)
+def rag_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = storied(spark, sf_dir).select("story", "id", F.substring("content", 1, 900).alias("part"))
+    kept = search.context(parts, "id", "part", ["story"])
+    return kept.groupBy("story").agg(F.count("*").alias("parts"), (F.sum(F.length("part") + 1) - 1).alias("chars"))
+
+
+@query("rag_history", "SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r <= 6")
+def rag_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.last_turns(load(spark, sf_dir, "conversations"), 6).select("conv_id", "turn", "role")
+
+
+@query("lru_sessions", "SELECT user_id, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_used FROM events GROUP BY user_id ORDER BY max(ts) DESC, user_id LIMIT 200")
+def lru_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    used = load(spark, sf_dir, "events").groupBy("user_id").agg(F.max("ts").alias("last_used")).orderBy(F.desc("last_used"), "user_id").limit(200)
+    return used.select("user_id", stamp("last_used"))
+
+
+# review, categories, graph
+
+TOPICS = {"insults": ["idiot", "moron", "clown", "loser"], "english": ["the", "of", "and"], "german": ["der", "die", "und"]}
+
+
+@query(
+    "qa_rules",
+    f"""WITH {ARTICLES_SQL}, q AS (SELECT id, list_filter([
+  CASE WHEN length(trim(coalesce(title, ''))) = 0 THEN 'missing_title' END, CASE WHEN length(coalesce(content, '')) < 50 THEN 'missing_content' END,
+  CASE WHEN regexp_matches(content, '</?[a-zA-Z][^>]*>|&[a-z]+;') THEN 'html_artifact' END, CASE WHEN contains(content, chr(65533)) THEN 'encoding_error' END,
+  CASE WHEN regexp_matches(content, '(\\.\\.\\.|…)\\s*$') THEN 'truncated' END, CASE WHEN contains(lower(content), 'all rights reserved') THEN 'boilerplate' END], lambda x: x IS NOT NULL) AS t FROM articles)
+SELECT id, array_to_string(t, ',') AS issues, CASE WHEN list_has_any(t, ['missing_title', 'missing_content']) THEN 'fail' WHEN list_has_any(t, ['html_artifact', 'encoding_error', 'truncated']) THEN 'warn' ELSE 'pass' END AS status FROM q""",
+)
+def qa_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = articles(spark, sf_dir).select("id", review.issues(F.col("title"), F.col("content")).alias("found"))
+    return found.select("id", F.array_join(F.col("found.type"), ",").alias("issues"), review.verdict(F.col("found")).alias("status"))
+
+
+@query(
+    "categories",
+    f"""WITH {ARTICLES_SQL}, w AS (SELECT id, {WORDS_SQL} AS w FROM articles), c AS (SELECT id, len(list_filter(w, lambda x: x IN ('idiot', 'moron', 'clown', 'loser'))) AS a, len(list_filter(w, lambda x: x IN ('the', 'of', 'and'))) AS b, len(list_filter(w, lambda x: x IN ('der', 'die', 'und'))) AS c FROM w)
+SELECT id, CASE WHEN greatest(a, b, c) = 0 THEN 'general' WHEN a >= b AND a >= c THEN 'insults' WHEN b >= c THEN 'english' ELSE 'german' END AS category FROM c""",
+)
+def categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return articles(spark, sf_dir).select("id", review.category(F.col("content"), TOPICS).alias("category"))
+
+
+@query(
+    "graph_edges",
+    f"""WITH {ARTICLES_SQL}, e AS (SELECT DISTINCT id, x FROM (SELECT id, unnest([slug, language, coalesce(qa_status, 'unreviewed')]) AS x FROM articles))
+SELECT p.x AS a, q.x AS b, COUNT(*) AS weight FROM e p JOIN e q ON p.id = q.id AND p.x < q.x GROUP BY 1, 2""",
+)
+def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = articles(spark, sf_dir).select("id", F.array("slug", "language", F.coalesce("qa_status", F.lit("unreviewed"))).alias("entities"))
+    return review.edges(named, "entities")
+
+
+@query("ready_queue", "SELECT user_id AS source, row_number() OVER (ORDER BY n, user_id) AS place FROM (SELECT user_id, count(*) AS n FROM events GROUP BY user_id) ORDER BY n, user_id LIMIT 100")
+def ready_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    counted = load(spark, sf_dir, "events").groupBy(F.col("user_id").alias("source")).agg(F.count("*").alias("n")).orderBy("n", "source").limit(100)
+    return counted.select("source", F.row_number().over(Window.orderBy("n", "source")).cast("long").alias("place"))  # at most 100 rows
+
+
+# pages
+
+
+@query("html_articles")
+def html_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extracted(load(spark, sf_dir, "pages")).select("page_id", "url", "title", "content", F.size("links").alias("n_links"))
+
+
+@query("html_links")
+def html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.links(pages.extracted(load(spark, sf_dir, "pages")))
