@@ -57,11 +57,13 @@ def estimate(patterns: list[tuple[int, ...]], counts: list[int], rounds: int = 2
     Starts from the votes' majority, so that "good" keeps its meaning. A labeller's
     accuracy is the chance that a vote of its is right. All counts are smoothed by one.
     """
-    votes = np.array(patterns, dtype=np.int64).reshape(len(patterns), -1)
+    if not patterns:
+        return np.zeros(0), np.zeros(0), 0.5
+    votes = np.array(patterns, dtype=np.int64)
     n = np.array(counts, dtype=float)
     good = 1 / (1 + np.exp(-2.0 * votes.sum(1)))
     accuracy, prior = np.zeros(votes.shape[1]), 0.5
-    for _ in range(rounds if len(n) else 0):
+    for _ in range(rounds):
         weights = np.stack([n * (1 - good), n * good])
         prior = float((weights[1].sum() + 1) / (n.sum() + 2))
         # table[class, labeller, vote + 1]
