@@ -10,6 +10,7 @@ Arrow batches.
 
 from __future__ import annotations
 
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Labelled rows that a fit takes, those of the smallest seeded hash, whole texts; and the features it weighs.
-SAMPLE_ROWS = 6_000
+SAMPLE_ROWS = 4_000
 MAX_FEATURES = 5_000
 #: Lengths of the word beginnings that are features.
 STEMS = (4, 5, 6)
@@ -181,7 +182,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     picked = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(sample), "_id")  # at most sample_rows rows
     rows = picked.select("_id", "_label", F.arrow_udf(distinct, "array<string>")("_text").alias("words")).limit(2 * sample_rows).toArrow().to_pylist()
     rows.sort(key=lambda r: (r["_id"], r["words"]))
-    texts, toxic = [set(r["words"]) for r in rows], np.array([bool(r["_label"]) for r in rows], dtype=bool)
+    texts, toxic = [set(map(sys.intern, r["words"])) for r in rows], np.array([bool(r["_label"]) for r in rows], dtype=bool)
     kept = telling(texts, toxic)
     model = fit(texts, severities(texts, toxic, kept), 3, kept) if kept else Model({}, [40.0, 41.0])
     return Grader(spark, model)
