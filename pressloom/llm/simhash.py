@@ -7,6 +7,10 @@ bits with <m(i), v> = 1. The differing bits of a pair span at most ``radius``
 dimensions, so some v is orthogonal to all of them, and in that table the pair has
 equal keys. A table keeps about half the bits, so unrelated fingerprints rarely meet.
 
+Texts that share four fifths of their shingles differ in about ten of 64 bits, which
+no affordable covering reaches. ``similar=True`` therefore adds a second pass: bands of
+shingle minima bring such texts together, and SimHashes of WIDE bits judge them.
+
 Work is done on distinct fingerprints, so exact copies cost one row each in a
 combining aggregate. Buckets are read from a sorted shuffle as a stream; one that
 exceeds ``BLOCK`` fingerprints is not compared in its task but handed on in blocks,
@@ -30,14 +34,21 @@ from pressloom.session import checkpointed
 SEED = 42
 #: Fingerprints of one bucket that one task compares; larger buckets go by pairs of blocks.
 BLOCK = 2048
-_CHUNK = 1 << 16
+#: The second pass: a pair with a shingle similarity of 0.8 meets in a band with probability 1 - (1 - 0.8**ROWS)**BANDS = 0.998.
+BANDS, ROWS = 12, 4
+#: Bits of the second pass's SimHash, and how many may differ: 78 are expected at a similarity of 0.8, 98 at 0.7, each +-8.
+WIDE, WIDE_RADIUS = 512, 90
+_CHUNK = 1 << 12
 
+_draw = np.random.default_rng(SEED).integers(0, 1 << 63, (3, BANDS * ROWS), dtype=np.uint64)
+_FLIP, _ODD, _MIX = _draw[0] * np.uint64(2), _draw[1] * np.uint64(2) + np.uint64(1), _draw[2] * np.uint64(2) + np.uint64(1)
 
-def simhash(text: str | None, words: int, seed: int = SEED) -> int:
-    """The unsigned 64-bit SimHash of one whole text; 0 for a text without words."""
+
+def shingle_hashes(text: str | None, words: int, seed: int = SEED) -> np.ndarray:
+    """XXH64 of the shingles of one whole text, in order, repeats included; none for a text without words."""
     found = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not found:
-        return 0
+        return np.zeros(0, "<u8")
     joined, n = b" ".join(found), len(found)
     ends = np.cumsum(np.fromiter(map(len, found), np.int64, n) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
@@ -45,12 +56,25 @@ def simhash(text: str | None, words: int, seed: int = SEED) -> int:
         starts, ends = starts[: n - words + 1], ends[words - 1 :]
     else:
         starts, ends = starts[:1], ends[-1:]
-    digest, counts = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
+    digest, hashes = xxhash.xxh64_intdigest, np.zeros(len(starts), "<u8")
     for at in range(0, len(starts), _CHUNK):
         pairs = zip(starts[at : at + _CHUNK].tolist(), ends[at : at + _CHUNK].tolist(), strict=True)
-        hashes = np.array([digest(joined[s:e], seed) for s, e in pairs], dtype="<u8")
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > len(starts), bitorder="little").view("<u8")[0])
+        hashes[at : at + _CHUNK] = [digest(joined[s:e], seed) for s, e in pairs]
+    return hashes
+
+
+def majority(hashes: np.ndarray) -> np.ndarray:
+    """For rows of k unsigned longs, k unsigned longs: a bit is 1 if set in over half the rows."""
+    counts = np.zeros(64 * hashes.shape[1], np.int64)
+    for at in range(0, len(hashes), _CHUNK):
+        part = np.ascontiguousarray(hashes[at : at + _CHUNK])
+        counts += np.unpackbits(part.view(np.uint8).reshape(len(part), -1), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")
+
+
+def simhash(text: str | None, words: int, seed: int = SEED) -> int:
+    """The unsigned 64-bit SimHash of one whole text; 0 for a text without words."""
+    return int(majority(shingle_hashes(text, words, seed).reshape(-1, 1))[0])
 
 
 def fingerprint(text: Column | str, words: int = 4, seed: int = SEED) -> Column:
@@ -67,6 +91,32 @@ def fingerprint(text: Column | str, words: int = 4, seed: int = SEED) -> Column:
     return F.arrow_udf(run, "long")(text)
 
 
+def _outline(hashes: np.ndarray) -> tuple[np.ndarray, bytes]:
+    """(band keys, WIDE-bit SimHash) of a text's distinct shingles, of which there is one at least."""
+    distinct = np.unique(hashes)
+    lows = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(distinct), _CHUNK):
+        lows = np.minimum(lows, ((distinct[at : at + _CHUNK, None] ^ _FLIP) * _ODD).min(0))
+    keys = [xxhash.xxh64_intdigest(band.tobytes(), SEED) for band in lows.reshape(BANDS, ROWS)]
+    k = WIDE // 64
+    mixed = (distinct[:, None] ^ _FLIP[:k]) * _MIX[:k]
+    mixed = (mixed ^ (mixed >> np.uint64(32))) * _ODD[:k]
+    return np.array(keys, np.uint64).view(np.int64), majority(mixed ^ (mixed >> np.uint64(29))).tobytes()
+
+
+def outlines(text: Column | str, words: int, seed: int = SEED) -> Column:
+    """struct(fp, bands, wide) of a text column: ``fingerprint``, and what the second pass reads, null for a text without words."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        hashes = [shingle_hashes(t.as_py(), words, seed) for t in texts]
+        fps = np.array([majority(h.reshape(-1, 1))[0] for h in hashes], np.uint64).view(np.int64)
+        drawn = [_outline(h) if len(h) else (None, None) for h in hashes]
+        columns = [pa.array(fps, pa.int64()), pa.array([b for b, _ in drawn], pa.list_(pa.int64())), pa.array([w for _, w in drawn], pa.binary())]
+        return pa.StructArray.from_arrays(columns, names=["fp", "bands", "wide"])
+
+    return F.arrow_udf(run, "struct<fp:bigint,bands:array<bigint>,wide:binary>")(text)
+
+
 def masks(radius: int, bits: int = 64) -> list[int]:
     """The covering family's bit masks, as signed longs."""
     size = (1 << (radius + 1)) - 1
@@ -75,15 +125,22 @@ def masks(radius: int, bits: int = 64) -> list[int]:
     return [x - (1 << 64) if x >> 63 else x for x in unsigned]
 
 
-def _spanning(fps: np.ndarray, radius: int) -> tuple[list[int], list[int]]:
-    """A spanning forest, (from, to), of the distinct fingerprints under links of ``radius`` bits or fewer."""
-    bits, ends = fps.view(np.uint64), ([], [])
+def _bits(fps: np.ndarray, wide: list[bytes | None]) -> np.ndarray:
+    """What is compared, a row of unsigned longs each: the wide fingerprints where there are any, else the fingerprints."""
+    if len(wide) and wide[0] is not None:
+        return np.frombuffer(b"".join(wide), "<u8").reshape(len(fps), -1)
+    return fps.view(np.uint64).reshape(-1, 1)
+
+
+def _spanning(fps: np.ndarray, bits: np.ndarray, radius: int) -> tuple[list[int], list[int]]:
+    """A spanning forest, (from, to), of the fingerprints under links of ``radius`` differing ``bits`` or fewer."""
+    ends = ([], [])
     todo, fresh = np.arange(len(fps)), []
     while len(todo):
         if not fresh:
             fresh, todo = [todo[0]], todo[1:]
         at = fresh.pop()
-        near = np.bitwise_count(bits[todo] ^ bits[at]) <= radius
+        near = np.bitwise_count(bits[todo] ^ bits[at]).sum(1, dtype=np.int64) <= radius
         hits, todo = todo[near], todo[~near]
         ends[0].extend([int(fps[at])] * len(hits))
         ends[1].extend(fps[hits].tolist())
@@ -91,36 +148,41 @@ def _spanning(fps: np.ndarray, radius: int) -> tuple[list[int], list[int]]:
     return ends
 
 
-_FOUND = "a long, b long, t int, key long, block long"
+_FOUND = "a long, b long, t int, key long, block long, wide binary"
 
 
-def _found(a=(), b=None, bucket=(0, 0), block=None) -> pa.RecordBatch:
+def _found(a=(), b=None, bucket=(0, 0), block=None, bits=None) -> pa.RecordBatch:
     """Links (a, b), or with no b the fingerprints of one block of a large bucket."""
     n = len(a)
-    columns = [(a, pa.int64()), ([None] * n if b is None else b, pa.int64()), ([int(bucket[0])] * n, pa.int32()), ([int(bucket[1])] * n, pa.int64()), ([block] * n, pa.int64())]
-    return pa.record_batch([pa.array(x, kind) for x, kind in columns], names=["a", "b", "t", "key", "block"])
+    wide = [None] * n if bits is None or bits.shape[1] == 1 else [x.tobytes() for x in bits]
+    columns = [(a, pa.int64()), ([None] * n if b is None else b, pa.int64()), ([int(bucket[0])] * n, pa.int32()), ([int(bucket[1])] * n, pa.int64()), ([block] * n, pa.int64()), (wide, pa.binary())]
+    return pa.record_batch([pa.array(x, kind) for x, kind in columns], names=["a", "b", "t", "key", "block", "wide"])
 
 
 def _scan(radius: int):
-    """Streams rows (t, key, fp) sorted by bucket (t, key): each bucket's links, or the blocks of one over BLOCK."""
+    """Streams rows (t, key, fp, wide) sorted by bucket (t, key): each bucket's links, or the blocks of one over BLOCK."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, held, size, block = None, [], 0, 0
 
+        def joined() -> tuple[np.ndarray, np.ndarray]:
+            return np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
+
         def close() -> Iterator[pa.RecordBatch]:
             if size and (block or size > 1):
-                fps = np.concatenate(held)
-                yield _found(fps, bucket=bucket, block=block) if block else _found(*_spanning(fps, radius))
+                fps, bits = joined()
+                yield _found(fps, bucket=bucket, block=block, bits=bits) if block else _found(*_spanning(fps, bits, radius))
 
         for batch in batches:
             t, key, fp = (batch.column(i).to_numpy() for i in range(3))
             if not len(fp):
                 continue
+            bits = _bits(fp, batch.column(3).to_pylist())
             cuts = np.flatnonzero((np.diff(t) != 0) | (np.diff(key) != 0)) + 1
             starts, stops = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(fp)]))
             # buckets of two that lie inside the batch are compared all at once; those of one have no link
             two = starts[1:-1][(stops - starts)[1:-1] == 2]
-            two = two[np.bitwise_count((fp[two] ^ fp[two + 1]).view(np.uint64)) <= radius]
+            two = two[np.bitwise_count(bits[two] ^ bits[two + 1]).sum(1, dtype=np.int64) <= radius]
             if len(two):
                 yield _found(fp[two], fp[two + 1])
             runs = np.flatnonzero(stops - starts > 2)
@@ -131,45 +193,46 @@ def _scan(radius: int):
                     bucket, held, size, block = now, [], 0, 0
                 while at < stop:
                     if size == BLOCK:
-                        yield _found(np.concatenate(held), bucket=bucket, block=block)
+                        fps, own = joined()
+                        yield _found(fps, bucket=bucket, block=block, bits=own)
                         held, size, block = [], 0, block + 1
-                    held.append(fp[at : min(stop, at + BLOCK - size)].copy())
-                    size, at = size + len(held[-1]), at + len(held[-1])
+                    end = min(stop, at + BLOCK - size)
+                    held.append((fp[at:end].copy(), bits[at:end].copy()))
+                    size, at = size + end - at, end
         yield from close()
 
     return run
 
 
 def _blocks(radius: int):
-    """Streams rows (t, key, i, j, fp) sorted by all but fp: spanning links of each pair of blocks."""
+    """Streams rows (t, key, i, j, fp, wide) sorted by the first four: spanning links of each pair of blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair, held = None, []
+        pair, held, wide = None, [], []
+
+        def links_of() -> pa.RecordBatch:
+            fps = np.array(held, np.int64)
+            return pa.record_batch([pa.array(x, pa.int64()) for x in _spanning(fps, _bits(fps, wide), radius)], names=["a", "b"])
+
         for batch in batches:
-            *keys, fps = (c.to_pylist() for c in batch.columns)
-            for *now, fp in zip(*keys, fps, strict=True):
+            *keys, fps, wides = (c.to_pylist() for c in batch.columns)
+            for *now, fp, w in zip(*keys, fps, wides, strict=True):
                 if now != pair:
                     if held:
-                        yield pa.record_batch([pa.array(x, pa.int64()) for x in _spanning(np.array(held), radius)], names=["a", "b"])
-                    pair, held = now, []
+                        yield links_of()
+                    pair, held, wide = now, [], []
                 held.append(fp)
+                wide.append(w)
         if held:
-            yield pa.record_batch([pa.array(x, pa.int64()) for x in _spanning(np.array(held), radius)], names=["a", "b"])
+            yield links_of()
 
     return run
 
 
-def links(fingerprints: DataFrame, radius: int = 4) -> DataFrame:
-    """(a, b): links that connect exactly the distinct ``fp`` values within ``radius`` bits, directly or by steps."""
-    table = masks(radius)
-    one = F.element_at(F.array(*[F.lit(m) for m in table]), F.col("t") + 1)
-    probes = (
-        fingerprints.select("fp", F.explode(F.sequence(F.lit(0), F.lit(len(table) - 1))).alias("t"))
-        .select(F.col("t").cast("int").alias("t"), F.col("fp").bitwiseAND(one).alias("key"), "fp")
-        .repartition("t", "key")
-        .sortWithinPartitions("t", "key")
-    )
-    found = checkpointed(probes.mapInArrow(_scan(radius), _FOUND))
+def _linked(probes: DataFrame, radius: int) -> DataFrame:
+    """(a, b): links within ``radius`` bits that connect what meets in the buckets of ``probes(t, key, fp, wide)``."""
+    dealt = probes.repartition("t", "key").sortWithinPartitions("t", "key")
+    found = checkpointed(dealt.mapInArrow(_scan(radius), _FOUND))
     direct = found.where("b is not null").select("a", "b")
     late = found.where("b is null")
     if late.isEmpty():
@@ -177,30 +240,48 @@ def links(fingerprints: DataFrame, radius: int = 4) -> DataFrame:
     last = late.groupBy("t", "key").agg(F.max("block").alias("last"))
     pairs = (
         late.join(last, ["t", "key"])
-        .select("t", "key", F.col("a").alias("fp"), "block", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("other"))
-        .select("t", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "fp")
+        .select("t", "key", F.col("a").alias("fp"), "wide", "block", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("other"))
+        .select("t", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "fp", "wide")
         .repartition("t", "key", "i", "j")
         .sortWithinPartitions("t", "key", "i", "j")
     )
     return direct.unionByName(pairs.mapInArrow(_blocks(radius), "a long, b long"))
 
 
-def group_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4) -> DataFrame:
+def links(fingerprints: DataFrame, radius: int = 4) -> DataFrame:
+    """(a, b): links that connect exactly the distinct ``fp`` values within ``radius`` bits, directly or by steps."""
+    table = masks(radius)
+    one = F.element_at(F.array(*[F.lit(m) for m in table]), F.col("t") + 1)
+    probes = fingerprints.select("fp", F.explode(F.sequence(F.lit(0), F.lit(len(table) - 1))).alias("t"))
+    return _linked(probes.select(F.col("t").cast("int").alias("t"), F.col("fp").bitwiseAND(one).alias("key"), "fp", F.lit(None).cast("binary").alias("wide")), radius)
+
+
+def similar_links(outlined: DataFrame, radius: int = WIDE_RADIUS) -> DataFrame:
+    """(a, b): links that connect the ``fp`` of those rows of (fp, bands, wide) that share a band and differ in ``radius`` bits of WIDE or fewer."""
+    some = outlined.where("wide is not null").select("fp", "bands", "wide").distinct()
+    return _linked(some.select(F.posexplode("bands").alias("t", "key"), "fp", "wide"), radius)
+
+
+def group_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4, similar: bool = False) -> DataFrame:
     """One row per input row: id, text_hash, fp (long), component_id, representative.
 
     component_id is the smallest id in the component of the row's fingerprint, the
     row's own included; null only where every id of the component is null.
     ``representative`` is the component's first (id, text_hash), null ids last.
+    ``similar`` also links texts whose shingle similarity is estimated at 0.8 or more.
     Null, empty and blank texts share fingerprint 0 and are linked like any other;
     repeated rows and repeated ids are grouped by their texts; an empty table gives
     no rows. Other columns are not read, so their names cannot clash.
     """
-    own = checkpointed(
-        docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"), fingerprint(F.col(text_col), words).alias("fp"))
-    )
+    text = F.col(text_col)
+    read = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"), (F.struct(fingerprint(text, words).alias("fp")) if not similar else outlines(text, words)).alias("o"))
+    own = checkpointed(read.select("id", "text_hash", "o.*"))
     first = F.struct(F.col("id").isNull().alias("no_id"), F.col("id").alias("id"), F.col("text_hash").alias("text_hash"))
     per = checkpointed(own.groupBy("fp").agg(F.min("id").alias("low"), F.min(first).alias("first")))
-    member = connected_components(links(per.select("fp"), radius)).withColumnRenamed("node", "fp")
+    pairs = links(per.select("fp"), radius)
+    if similar:
+        pairs = pairs.unionByName(similar_links(own))
+    member = connected_components(pairs).withColumnRenamed("node", "fp")
     linked = per.join(member, "fp")
     best = linked.groupBy("root").agg(F.min("low").alias("best_low"), F.min("first").alias("best_first"))
     moved = linked.join(best, "root").select("fp", "best_low", "best_first")
@@ -218,14 +299,14 @@ def hex_fingerprint(fp: Column | str) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 4) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 4, similar: bool = True) -> DataFrame:
     """``docs`` with one row of each near-duplicate component: its smallest id (nulls last).
 
     Columns are unchanged. Rows that repeat both id and text count as one document.
     The texts are shuffled once, by (id, text hash), to meet the decisions.
     """
     keep = (
-        group_documents(docs, id_col, text_col, words, radius)
+        group_documents(docs, id_col, text_col, words, radius, similar)
         .select(F.col("representative.id").cast("string").alias("i"), F.col("representative.text_hash").alias("_near_hash"))
         .distinct()
         .select(F.coalesce("i", F.lit("null")).alias("_near_id"), "_near_hash")

@@ -21,7 +21,7 @@ def test_stages_in_order(spark, tmp_path):
     alone = [
         lambda d: toxicity.train(d, labels).grade(d).where("not _toxicity.toxic"),
         lambda d: quality_rules.metrics(d).where(~quality_rules.base_failed() & quality_rules.verdict()),
-        lambda d: d.join(simhash.group_documents(d, words=5).where(F.col("id") == F.col("component_id")).select(F.col("id").alias("doc_id")), "doc_id", "left_semi"),
+        lambda d: d.join(simhash.group_documents(d, words=5, similar=True).where(F.col("id") == F.col("component_id")).select(F.col("id").alias("doc_id")), "doc_id", "left_semi"),
         lambda d: mix.select(d, domain_of("source"), MIX_WEIGHTS, fraction=0.9, epochs=1),
     ]
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):

@@ -90,9 +90,72 @@ def test_components_of_chains_stars_and_nothing(spark):
 def test_one_document_of_each_group_stays(spark):
     rows = [*ODD, *ODD[3:5]]
     docs = docs_of(spark, rows, ids=[*range(len(ODD)), None, 3])
-    kept = simhash.drop_near_duplicates(docs)
+    kept = simhash.drop_near_duplicates(docs, similar=False)
     assert kept.columns == docs.columns
     texts = {k: t for k, t in enumerate(ODD)}
     wanted = expected(texts, words=5)
     # the last row gives the component of document 4 a smaller id
     assert sorted(r.doc_id for r in kept.collect()) == sorted(3 if c == 4 else c for c in {c for _, c in wanted.values()})
+
+
+def shingles(text, words=5):
+    found = text.split()
+    return {" ".join(found[i : i + words]) for i in range(max(1, len(found) - words + 1))}
+
+
+def edited(words, edits, rng):
+    out = list(words)
+    for at in rng.sample(range(len(out)), edits):
+        out[at] = f"edit{rng.randint(0, 10**6)}"
+    return out
+
+
+def test_similar_texts_are_grouped_and_others_are_not(spark):
+    """Copies with a shingle similarity of 0.83 or more meet; those below 0.6 and texts that share a passage do not."""
+    rng, texts, wanted = random.Random(11), [], []
+    passage = [f"w{rng.randint(0, 400)}" for _ in range(80)]
+    for k in range(60):
+        base = [f"w{rng.randint(0, 400)}" for _ in range(rng.randint(60, 600))]
+        texts += [" ".join(base), " ".join(edited(base, max(1, len(base) // 90) if k % 2 else len(base) // 12, rng))]
+    texts += [" ".join([f"w{rng.randint(0, 400)}" for _ in range(300)] + passage) for _ in range(40)]
+    grams = [shingles(t) for t in texts]
+    for a, b in combinations(range(len(texts)), 2):
+        share = len(grams[a] & grams[b]) / len(grams[a] | grams[b])
+        if share >= 0.83:
+            wanted.append((a, b))
+        else:
+            assert share < 0.6 or share > 0.75
+    docs = docs_of(spark, [*texts, *ODD, texts[1]])
+    got = {r.id: r.component_id for r in simhash.group_documents(docs, words=5, similar=True).collect()}
+    assert len(wanted) > 25 and all(got[a] == got[b] for a, b in wanted)
+    far = [(a, b) for a, b in combinations(range(len(texts)), 2) if got[a] == got[b] and len(grams[a] & grams[b]) / len(grams[a] | grams[b]) < 0.65]
+    assert not far
+    assert got[len(texts) + len(ODD)] == got[1]
+    kept = simhash.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted({*got.values()})
+
+
+def test_similar_texts_in_a_large_bucket(spark, monkeypatch):
+    """Hundreds of edited copies of one text, more than a block holds, form one group."""
+    monkeypatch.setattr(simhash, "BLOCK", 16)
+    rng = random.Random(4)
+    base = [f"w{rng.randint(0, 400)}" for _ in range(400)]
+    texts = [" ".join(edited(base, 1 + k % 3, rng)) for k in range(200)]
+    assert {r.component_id for r in simhash.group_documents(docs_of(spark, texts), words=5, similar=True).collect()} == {0}
+
+
+def test_similar_texts_of_the_tables(spark):
+    """Of the pairs of different texts at 0.8 or more, nine in ten share a group."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    texts = {}
+    for r in docs.select("doc_id", "text").collect():
+        texts.setdefault(r.text or "", r.doc_id)
+    grams, met = {i: shingles(t.lower()) for t, i in texts.items() if t.split()}, {}
+    for i, own in grams.items():
+        for g in sorted(own, key=xxhash.xxh64_intdigest)[:12]:
+            met.setdefault(g, []).append(i)
+    near = {(a, b) for found in met.values() for a, b in combinations(sorted(found), 2) if len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b])}
+    got = {r.id: r.component_id for r in simhash.group_documents(docs, words=5, similar=True).collect()}
+    found = [p for p in near if got[p[0]] == got[p[1]]]
+    print(len(found), "of", len(near))
+    assert len(near) >= 40 and len(found) >= 0.9 * len(near)
