@@ -9,7 +9,8 @@ equal keys. A table keeps about half the bits, so unrelated fingerprints rarely
 
 Texts that share four fifths of their shingles differ in about ten of 64 bits, which
 no affordable covering reaches. ``similar=True`` therefore adds a second pass: bands of
-shingle minima bring such texts together, and SimHashes of WIDE bits judge them.
+shingle minima bring such texts together, SimHashes of WIDE bits leave out what is far
+from it, and the distinct shingles of the rest are compared exactly.
 
 Work is done on distinct fingerprints, so exact copies cost one row each in a
 combining aggregate. Buckets are read from a sorted shuffle as a stream; one that
@@ -36,8 +37,12 @@ SEED = 42
 BLOCK = 2048
 #: The second pass: a pair with a shingle similarity of 0.8 meets in a band with probability 1 - (1 - 0.8**ROWS)**BANDS = 0.998.
 BANDS, ROWS = 12, 4
-#: Bits of the second pass's SimHash, and how many may differ: 78 are expected at a similarity of 0.8, 98 at 0.7, each +-8.
-WIDE, WIDE_RADIUS = 512, 90
+#: Bits of the second pass's SimHash, and how many may differ in a candidate: 78 are expected at a similarity of 0.8, +-8.
+WIDE, WIDE_RADIUS = 512, 110
+#: A candidate is linked if its shared shingles are this fraction of all its shingles, or more.
+SIMILAR = (4, 5)
+#: Shingles of about one block of candidates, besides BLOCK texts.
+HELD = 1 << 22
 _CHUNK = 1 << 12
 
 _draw = np.random.default_rng(SEED).integers(0, 1 << 63, (3, BANDS * ROWS), dtype=np.uint64)
@@ -105,16 +110,37 @@ def _outline(hashes: np.ndarray) -> tuple[np.ndarray, bytes]:
 
 
 def outlines(text: Column | str, words: int, seed: int = SEED) -> Column:
-    """struct(fp, bands, wide) of a text column: ``fingerprint``, and what the second pass reads, null for a text without words."""
+    """struct(fp, bands, wide, shingles) of a text column: ``fingerprint``, and what the second pass reads, null for a text without words.
+
+    ``shingles`` is their number with repeats.
+    """
 
     def run(texts: pa.Array) -> pa.Array:
         hashes = [shingle_hashes(t.as_py(), words, seed) for t in texts]
         fps = np.array([majority(h.reshape(-1, 1))[0] for h in hashes], np.uint64).view(np.int64)
         drawn = [_outline(h) if len(h) else (None, None) for h in hashes]
-        columns = [pa.array(fps, pa.int64()), pa.array([b for b, _ in drawn], pa.list_(pa.int64())), pa.array([w for _, w in drawn], pa.binary())]
-        return pa.StructArray.from_arrays(columns, names=["fp", "bands", "wide"])
+        columns = [pa.array(fps, pa.int64()), pa.array([b for b, _ in drawn], pa.list_(pa.int64())), pa.array([w for _, w in drawn], pa.binary()), pa.array([len(h) for h in hashes], pa.int64())]
+        return pa.StructArray.from_arrays(columns, names=["fp", "bands", "wide", "shingles"])
+
+    return F.arrow_udf(run, "struct<fp:bigint,bands:array<bigint>,wide:binary,shingles:bigint>")(text)
+
+
+def shingle_set(text: Column | str, words: int, seed: int = SEED) -> Column:
+    """The distinct shingle hashes of whole texts, ascending, as the bytes of unsigned longs."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([np.unique(shingle_hashes(t.as_py(), words, seed)).tobytes() for t in texts], pa.binary())
+
+    return F.arrow_udf(run, "binary")(text)
+
 
-    return F.arrow_udf(run, "struct<fp:bigint,bands:array<bigint>,wide:binary>")(text)
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two ascending sets of hashes have a Jaccard similarity of SIMILAR or more, exactly."""
+    part, whole = SIMILAR
+    if whole * min(len(a), len(b)) < part * max(len(a), len(b)):
+        return False
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return whole * shared >= part * (len(a) + len(b) - shared)
 
 
 def masks(radius: int, bits: int = 64) -> list[int]:
@@ -256,10 +282,115 @@ def links(fingerprints: DataFrame, radius: int = 4) -> DataFrame:
     return _linked(probes.select(F.col("t").cast("int").alias("t"), F.col("fp").bitwiseAND(one).alias("key"), "fp", F.lit(None).cast("binary").alias("wide")), radius)
 
 
-def similar_links(outlined: DataFrame, radius: int = WIDE_RADIUS) -> DataFrame:
-    """(a, b): links that connect the ``fp`` of those rows of (fp, bands, wide) that share a band and differ in ``radius`` bits of WIDE or fewer."""
-    some = outlined.where("wide is not null").select("fp", "bands", "wide").distinct()
-    return _linked(some.select(F.posexplode("bands").alias("t", "key"), "fp", "wide"), radius)
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Streams rows (root, slice, rest, fp, text_hash, hashes) sorted by the first three, the pivot first: whether each text is similar to it."""
+    now, pivot, own = None, None, None
+    for batch in batches:
+        out = []
+        for root, part, rest, fp, text_hash, hashes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            held = np.frombuffer(hashes, "<u8")
+            if now != (root, part):
+                assert not rest
+                now, pivot, own = (root, part), fp, held
+            elif rest:
+                out.append((root, text_hash, pivot, fp, similar(own, held)))
+        columns = zip(*out, strict=True) if out else [[]] * 5
+        yield pa.record_batch([pa.array(x, kind) for x, kind in zip(columns, [pa.int64()] * 4 + [pa.bool_()], strict=True)], names=["root", "text_hash", "a", "b", "near"])
+
+
+def _judged(fps: list[int], bits: np.ndarray, sets: list[np.ndarray], far: np.ndarray, radius: int) -> tuple[list[int], list[int]]:
+    """(from, to): links of similar texts that connect the ``far`` ones among themselves and with the others, which are connected already."""
+    ends = ([], [])
+    todo, near = np.flatnonzero(far), np.flatnonzero(~far)
+    fresh, joined = [], False
+
+    def put(a: int, b: int) -> None:
+        ends[0].append(fps[a])
+        ends[1].append(fps[b])
+
+    while len(todo) or fresh:
+        if not fresh:
+            fresh, todo, joined = [todo[0]], todo[1:], False
+        at = fresh.pop()
+        apart = np.bitwise_count(bits[todo] ^ bits[at]).sum(1, dtype=np.int64)
+        hit = np.array([d <= radius and similar(sets[at], sets[k]) for k, d in zip(todo, apart, strict=True)], bool)
+        for k in todo[hit]:
+            put(at, k)
+        fresh, todo = fresh + todo[hit].tolist(), todo[~hit]
+        if not joined and len(near):
+            apart = np.bitwise_count(bits[near] ^ bits[at]).sum(1, dtype=np.int64)
+            for k in np.argsort(apart, kind="stable"):
+                if apart[k] > radius:
+                    break
+                if similar(sets[at], sets[near[k]]):
+                    put(at, near[k])
+                    joined = True
+                    break
+    return ends
+
+
+def _judge(radius: int):
+    """Streams rows (root, i, j, far, fp, wide, hashes) sorted by the first three: the links of each pair of blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair, held = None, []
+
+        def links_of() -> pa.RecordBatch:
+            far, fps, wide, hashes = zip(*held, strict=True)
+            found = _judged(fps, _bits(np.array(fps, np.int64), list(wide)), [np.frombuffer(h, "<u8") for h in hashes], np.array(far, bool), radius)
+            return pa.record_batch([pa.array(x, pa.int64()) for x in found], names=["a", "b"])
+
+        for batch in batches:
+            for root, i, j, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (root, i, j) != pair:
+                    if held:
+                        yield links_of()
+                    pair, held = (root, i, j), []
+                held.append(row)
+        if held:
+            yield links_of()
+
+    return run
+
+
+def similar_links(outlined: DataFrame, texts: DataFrame, words: int, radius: int = WIDE_RADIUS) -> DataFrame:
+    """(a, b): links of similar texts that connect the ``fp`` of outlined(text_hash, fp, bands, wide, shingles), whose texts(text_hash, text) are.
+
+    Candidates share a band and differ in ``radius`` bits of WIDE or fewer. Within each
+    of their components every text is compared with one pivot, in slices of about BLOCK
+    texts or HELD shingles; where texts are left, these are compared with each other and
+    with the pivot's, by pairs of blocks. Only ``similar`` makes a link.
+    """
+    some = outlined.where("wide is not null").select("text_hash", "fp", "bands", "wide", "shingles").distinct()
+    candidates = connected_components(_linked(some.select(F.posexplode("bands").alias("t", "key"), "fp", "wide"), radius)).withColumnRenamed("node", "fp")
+    met = checkpointed(some.join(candidates, "fp").select("root", "fp", "text_hash", "wide", "shingles"))
+    parts = lambda rows, size: F.ceil(F.greatest(rows / F.lit(BLOCK), size / F.lit(HELD)))
+    sizes = met.groupBy("root").agg(parts(F.count("*"), F.sum("shingles")).alias("slices"), F.min(F.struct("fp", "text_hash")).alias("pivot"))
+    laid = met.join(sizes, "root").withColumn("rest", F.struct("fp", "text_hash") != F.col("pivot")).drop("pivot")
+    wanted = texts.groupBy("text_hash").agg(F.first("text").alias("text"))
+    hashed = checkpointed(laid.join(wanted, "text_hash").withColumn("hashes", shingle_set("text", words)).drop("text"))
+    own = F.when(F.col("rest"), F.array(F.pmod("text_hash", "slices"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1))
+    dealt = hashed.select("root", F.explode(own).alias("slice"), "rest", "fp", "text_hash", "hashes").repartition("root", "slice").sortWithinPartitions("root", "slice", "rest")
+    judged = checkpointed(dealt.mapInArrow(_stars, "root long, text_hash long, a long, b long, near boolean"))
+    direct = judged.where("near").select("a", "b")
+    left = judged.where("not near").select("root", "text_hash", F.lit(True).alias("far"))
+    if left.isEmpty():
+        return direct
+    open_ = met.join(left.select("root").distinct(), "root", "left_semi").join(left, ["root", "text_hash"], "left").withColumn("far", F.coalesce("far", F.lit(False)))
+    of = lambda kind: parts(F.count(F.when(kind, 1)), F.coalesce(F.sum(F.when(kind, F.col("shingles"))), F.lit(0)))
+    blocks = open_.groupBy("root").agg(of(F.col("far")).alias("fars"), of(~F.col("far")).alias("nears"))
+    block = F.when(F.col("far"), F.pmod("text_hash", "fars")).otherwise(F.col("fars") + F.pmod("text_hash", "nears"))
+    last = F.when(F.col("far"), F.col("fars") + F.col("nears") - 1).otherwise(F.col("fars") - 1)
+    placed = open_.join(blocks, "root").select("root", "text_hash", "far", block.alias("block"), last.alias("last"))
+    pairs = (
+        hashed.select("root", "text_hash", "fp", "wide", "hashes")
+        .join(placed, ["root", "text_hash"])
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))))
+        .select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "far", "fp", "wide", "hashes")
+        .repartition("root", "i", "j")
+        .sortWithinPartitions("root", "i", "j")
+    )
+    return direct.unionByName(pairs.mapInArrow(_judge(radius), "a long, b long"))
 
 
 def group_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4, similar: bool = False) -> DataFrame:
@@ -268,7 +399,7 @@ def group_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component_id is the smallest id in the component of the row's fingerprint, the
     row's own included; null only where every id of the component is null.
     ``representative`` is the component's first (id, text_hash), null ids last.
-    ``similar`` also links texts whose shingle similarity is estimated at 0.8 or more.
+    ``similar`` also links texts whose distinct shingles have a Jaccard similarity of 0.8 or more.
     Null, empty and blank texts share fingerprint 0 and are linked like any other;
     repeated rows and repeated ids are grouped by their texts; an empty table gives
     no rows. Other columns are not read, so their names cannot clash.
@@ -280,7 +411,7 @@ def group_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     per = checkpointed(own.groupBy("fp").agg(F.min("id").alias("low"), F.min(first).alias("first")))
     pairs = links(per.select("fp"), radius)
     if similar:
-        pairs = pairs.unionByName(similar_links(own))
+        pairs = pairs.unionByName(similar_links(own, docs.select(F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"), text.alias("text")), words))
     member = connected_components(pairs).withColumnRenamed("node", "fp")
     linked = per.join(member, "fp")
     best = linked.groupBy("root").agg(F.min("low").alias("best_low"), F.min("first").alias("best_first"))

@@ -159,3 +159,43 @@ def test_similar_texts_of_the_tables(spark):
     found = [p for p in near if got[p[0]] == got[p[1]]]
     print(len(found), "of", len(near))
     assert len(near) >= 40 and len(found) >= 0.9 * len(near)
+
+
+def shared(a, b):
+    return len(a & b) / len(a | b)
+
+
+def test_texts_below_the_similarity_are_not_linked(spark, monkeypatch):
+    """Between 0.7 and 0.9 a pair shares a group exactly if its shingles' similarity is 0.8 or more, in one block or in several."""
+    rng, texts = random.Random(23), []
+    for k in range(90):
+        base = [f"p{k}w{rng.randint(0, 400)}" for _ in range(200)]
+        copy = list(base)
+        for at in range(6, 6 + 11 * (2 + k % 6), 11):
+            copy[at] = f"edit{k}x{at}"
+        texts += [" ".join(base), " ".join(copy)]
+    grams = [shingles(t) for t in texts]
+    near = {k: shared(grams[k], grams[k + 1]) for k in range(0, len(texts), 2)}
+    wanted = {k: s >= 0.8 for k, s in near.items()}
+    assert sum(0.7 < s < 0.8 for s in near.values()) >= 20 and sum(0.8 <= s < 0.9 for s in near.values()) >= 20
+    # a chain: each text is similar to the next, its ends are not; and two groups that only candidates connect
+    words, chain = [f"c{k}" for k in range(300)], []
+    for k in range(8):
+        words[10 + 30 * k] = f"new{k}"
+        words[20 + 30 * k] = f"other{k}"
+        chain.append(" ".join(words))
+    sides, base = [], [f"s{k}" for k in range(200)]
+    for k in range(40):
+        side = list(base)
+        for at in range(6, 6 + 11 * 5 * (k % 2), 11):
+            side[at] = f"side{at}"
+        side[-1] = f"own{k}"
+        sides.append(" ".join(side))
+    assert shared(shingles(chain[0]), shingles(chain[-1])) < 0.8 and 0.7 < shared(shingles(sides[0]), shingles(sides[1])) < 0.8
+    every = texts + chain + sides
+    for block in (simhash.BLOCK, 4):
+        monkeypatch.setattr(simhash, "BLOCK", block)
+        got = {r.id: r.component_id for r in simhash.group_documents(docs_of(spark, every), words=5, similar=True, radius=0).collect()}
+        assert {k: got[k] == got[k + 1] for k in near} == wanted
+        assert len({got[k] for k in range(len(texts), len(texts) + 8)}) == 1
+        assert [got[len(texts) + 8 + k] - got[len(texts) + 8] for k in range(40)] == [k % 2 for k in range(40)]
