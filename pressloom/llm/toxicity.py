@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Labelled rows that a fit takes, those of the smallest seeded hash, whole texts; and the features it weighs.
+#: Labelled texts that a fit takes, those (id, text) pairs of the smallest seeded hash, whole texts; and the features it weighs.
 SAMPLE_ROWS = 4_000
 MAX_FEATURES = 5_000
 #: Lengths of the word beginnings that are features.
@@ -166,7 +166,7 @@ class Grader:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> Grader:
-    """A grader fitted on at most ``sample_rows`` labelled rows of ``docs``.
+    """A grader fitted on at most ``sample_rows`` distinct labelled (id, text) pairs of ``docs``, those of the smallest seeded hash.
 
     labels(id_col, label_col): rows with a null id or label, and ids without a text, are
     not used; an id labelled twice counts as toxic if one label says so. Without labels
@@ -174,13 +174,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """
     spark = docs.sparkSession
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(label_col).cast("int")).alias("_label"))
-    sample = known.orderBy(F.xxhash64("_id"), "_id").limit(sample_rows)
+    read = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("_hash"), F.col(text_col).alias("_text"))
+    sample = read.select("_id", "_hash").join(known, "_id").groupBy("_id", "_hash").agg(F.max("_label").alias("_label")).orderBy(F.xxhash64("_id", "_hash"), "_id", "_hash").limit(sample_rows)
 
     def distinct(texts: pa.Array) -> pa.Array:
         return pa.array([sorted(words(t.as_py())) for t in texts], pa.list_(pa.string()))
 
-    picked = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(sample), "_id")  # at most sample_rows rows
-    rows = picked.select("_id", "_label", F.arrow_udf(distinct, "array<string>")("_text").alias("words")).limit(2 * sample_rows).toArrow().to_pylist()
+    picked = read.join(F.broadcast(sample), ["_id", "_hash"]).groupBy("_id", "_hash").agg(F.first("_label").alias("_label"), F.first("_text").alias("_text"))  # at most sample_rows rows
+    rows = picked.select("_id", "_label", F.arrow_udf(distinct, "array<string>")("_text").alias("words")).toArrow().to_pylist()
     rows.sort(key=lambda r: (r["_id"], r["words"]))
     texts, toxic = [set(map(sys.intern, r["words"])) for r in rows], np.array([bool(r["_label"]) for r in rows], dtype=bool)
     kept = telling(texts, toxic)

@@ -160,8 +160,9 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vo
     good, _, _ = estimate([p for p, _ in counted], [n for _, n in counted])
     table = spark.createDataFrame([(list(p), float(round(g, 9))) for (p, _), g in zip(counted, good, strict=True)], "votes array<int>, posterior double")
     posterior = voted.join(F.broadcast(table), "votes")  # at most 3^MOST_LABELLERS rows
-    ids = own.select("id", F.xxhash64("id", "text").alias("place")).orderBy("place", "id").limit(sample_rows).select(F.col("place").alias("_place")).distinct()
-    sample = posterior.join(F.broadcast(ids), F.xxhash64("id", "text") == F.col("_place")).select("text", "posterior").limit(2 * sample_rows).toArrow().to_pylist()
+    ids = own.select(F.xxhash64("id", "text").alias("_place")).distinct().orderBy("_place").limit(sample_rows)
+    met = posterior.join(F.broadcast(ids), F.xxhash64("id", "text") == F.col("_place")).groupBy("_place").agg(F.first("text").alias("text"), F.first("posterior").alias("posterior"))  # at most sample_rows rows
+    sample = met.select("text", "posterior").toArrow().to_pylist()
     sample.sort(key=lambda r: (r["text"], r["posterior"]))
     weights, bias = fit([r["text"] for r in sample], np.array([r["posterior"] for r in sample]))
     scored = posterior.select("id", "posterior", F.round(score("text", spark.sparkContext.broadcast(weights.astype(np.float32)), bias), 9).alias("score"))

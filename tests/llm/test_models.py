@@ -60,3 +60,21 @@ def test_quality_of_odd_and_no_rows(spark):
     rows = weak_quality.classify(docs_of(spark, ODD).withColumnRenamed("n_chars", "score")).collect()
     assert len(rows) == len(ODD) and all(0 <= r.score <= 1 and 0 <= r.posterior <= 1 for r in rows)
     assert weak_quality.classify(docs_of(spark, [])).count() == 0
+
+
+def test_a_hot_id_and_labels_without_documents_leave_the_sample_whole(spark):
+    """The sample is of distinct labelled texts: copies of one row and labels of missing ids take no place in it."""
+    hot = [(0, "calm words here", "en", "s", 15)] * 400
+    rest = [(i, ("idiot moron " if i % 2 else "kind people ") + chr(97 + i % 26) * (1 + i // 26), "en", "s", 20) for i in range(1, 41)]
+    docs = spark.createDataFrame(hot + rest, "doc_id long, text string, lang string, source string, n_chars long").repartition(1)
+    labels = spark.createDataFrame([(i, int(0 < i <= 40 and i % 2)) for i in range(2000)], "doc_id long, toxic int")
+    grader = toxicity.train(docs, labels, sample_rows=50)
+    assert {r.doc_id for r in grader.grade(docs).where("_toxicity.toxic").collect()} == {i for i in range(1, 41) if i % 2}
+
+
+def test_the_scorers_sample_is_of_distinct_rows(spark, monkeypatch):
+    taken, fit = [], weak_quality.fit
+    monkeypatch.setattr(weak_quality, "fit", lambda texts, target: taken.append(sorted(texts)) or fit(texts, target))
+    texts = ["one row many times over"] * 300 + [f"text number {k}" for k in range(20)]
+    weak_quality.classify(docs_of(spark, texts, ids=[0] * 300 + list(range(1, 21))), sample_rows=21)
+    assert taken == [sorted(set(texts))]
