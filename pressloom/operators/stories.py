@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -28,38 +28,72 @@ def rollup(articles: DataFrame) -> DataFrame:
     )
 
 
+class Fold:
+    """The greedy fold: each vector joins the nearest centroid at ``threshold`` or more, the first of equals, else opens one."""
+
+    def __init__(self, threshold: float):
+        self.threshold, self.sizes, self.centroids = threshold, [], np.zeros((0, 0))
+
+    def add(self, v: np.ndarray) -> int:
+        k = len(self.sizes)
+        if k:
+            sims = self.centroids[:k] @ v
+            best = int(np.argmax(sims))
+            if sims[best] >= self.threshold and sims[best] > 0:
+                self.sizes[best] += 1
+                c = (self.centroids[best] * (self.sizes[best] - 1) + v) / self.sizes[best]
+                self.centroids[best] = c / (np.linalg.norm(c) or 1.0)
+                return best
+        if k == len(self.centroids):
+            held, self.centroids = self.centroids, np.zeros((max(64, 2 * k), len(v)))
+            self.centroids[:k] = held if k else 0
+        self.centroids[k] = v
+        self.sizes.append(1)
+        return k
+
+
 def greedy(vectors: np.ndarray, threshold: float) -> list[int]:
-    """Cluster numbers in the given order: each vector joins the nearest centroid at ``threshold`` or more, else opens one."""
-    out: list[int] = []
-    centroids, sizes = np.zeros(vectors.shape), []
-    for v in vectors:
-        best = int(np.argmax(centroids[: len(sizes)] @ v)) if sizes else -1
-        if best >= 0 and centroids[best] @ v >= threshold and centroids[best] @ v > 0:
-            sizes[best] += 1
-            c = (centroids[best] * (sizes[best] - 1) + v) / sizes[best]
-            centroids[best] = c / (np.linalg.norm(c) or 1.0)
-            out.append(best)
-        else:
-            centroids[len(sizes)] = v
-            sizes.append(1)
-            out.append(len(sizes) - 1)
-    return out
+    """Cluster numbers of vectors in the given order by one ``Fold``."""
+    fold = Fold(threshold)
+    return [fold.add(v) for v in vectors]
 
 
 def clusters(vectors: DataFrame, threshold: float, block: str, order: str, vector: str) -> DataFrame:
-    """(order, block, cluster): greedy clusters within each block of ``vectors``.
+    """(order, block, cluster): greedy clusters within each block of ``vectors``, an approximation of ``exact_clusters``.
 
-    The fold depends on the order, so a block is one task's: choose blocks, such as
-    days and categories, that bound it.
+    Vectors of different blocks never share a cluster. The fold depends on the order, so
+    a block is one task's, which streams it and holds its centroids only.
     """
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        found = greedy(np.stack(pdf[vector].to_list()).astype(float), threshold)
-        return pd.DataFrame({order: pdf[order].to_numpy(), block: pdf[block].to_numpy(), "cluster": np.array(found, dtype=np.int64)})
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, fold = None, None
+        for pdf in batches:
+            found = []
+            for b, v in zip(pdf[block], pdf[vector], strict=True):
+                if fold is None or b != now:
+                    now, fold = b, Fold(threshold)
+                found.append(fold.add(np.asarray(v, float)))
+            yield pd.DataFrame({order: pdf[order], block: pdf[block], "cluster": np.array(found, dtype=np.int64)})
 
     kinds = dict(vectors.dtypes)
-    return vectors.select(order, block, vector).groupBy(block).applyInPandas(fold, f"{order} {kinds[order]}, {block} {kinds[block]}, cluster long")
+    dealt = vectors.select(order, block, vector).repartition(block).sortWithinPartitions(block, order)
+    return dealt.mapInPandas(run, f"{order} {kinds[order]}, {block} {kinds[block]}, cluster long")
+
+
+def exact_clusters(vectors: DataFrame, threshold: float, order: list[Column], id_col: str, vector: str) -> DataFrame:
+    """(id_col, cluster): greedy clusters of all ``vectors`` in one total ``order``.
+
+    Every decision depends on the centroids that all earlier ones moved, so one task
+    streams all rows in order; it holds the centroids and a batch, and takes O(n k).
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fold = Fold(threshold)
+        for pdf in batches:
+            yield pd.DataFrame({id_col: pdf[id_col], "cluster": np.array([fold.add(np.asarray(v, float)) for v in pdf[vector]], dtype=np.int64)})
+
+    # the fold is sequential
+    return vectors.repartition(1).sortWithinPartitions(*order).select(id_col, vector).mapInPandas(run, f"{id_col} {dict(vectors.dtypes)[id_col]}, cluster long")
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, id_col: str, vector: str, block: int = 4096) -> DataFrame:

@@ -300,9 +300,18 @@ def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("greedy_clusters")
 def greedy_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The blocked approximation: eight blocks by id, whose vectors never meet; ``greedy_clusters_exact`` has all in one order."""
     return stories.clusters(load(spark, sf_dir, "embeddings").withColumn("block", F.col("vec_id") % 8), 0.3, "block", "vec_id", "embedding")
 
 
+@query("greedy_clusters_exact")
+def greedy_clusters_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors in one order, the latest article first, undated ones last, then by id."""
+    dated = articles(spark, sf_dir).groupBy(F.col("id").alias("vec_id")).agg(F.max("published_at").alias("published_at"))
+    vectors = load(spark, sf_dir, "embeddings").join(dated, "vec_id", "left")
+    return stories.exact_clusters(vectors, 0.3, [F.desc_nulls_last("published_at"), F.col("vec_id")], "vec_id", "embedding")
+
+
 # search and answers
 
 WORDS_SQL = r"list_transform(regexp_extract_all(lower(coalesce(content, '')), '[\p{L}\p{N}]+'), lambda x: x)"

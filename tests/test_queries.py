@@ -78,3 +78,26 @@ def test_pages_are_read_without_chrome(spark):
     found = catalog.QUERIES["html_articles"](spark, SF)
     assert found.count() == spark.read.parquet(f"{SF}/pages.parquet").count() and found.where("content is null").count() == 0
     assert catalog.QUERIES["html_links"](spark, SF).columns == ["page_id", "position", "href", "text"]
+
+
+def test_exact_clusters_fold_all_vectors_in_the_order_of_publication(spark, duck):
+    order = duck.execute(f"WITH {catalog.ARTICLES_SQL} SELECT vec_id, embedding FROM embeddings LEFT JOIN articles ON id = vec_id ORDER BY published_at DESC NULLS LAST, vec_id").fetchall()
+    wanted, centroids = {}, []
+    for i, v in order:
+        v = np.array(v, float)
+        best, best_sim = None, 0.0
+        for k, (c, _) in enumerate(centroids):
+            if c @ v > best_sim:
+                best, best_sim = k, c @ v
+        if best is not None and best_sim >= 0.3:
+            c, n = centroids[best]
+            c = (c * n + v) / (n + 1)
+            centroids[best] = (c / np.linalg.norm(c), n + 1)
+        else:
+            best = len(centroids)
+            centroids.append((v, 1))
+        wanted[i] = best
+    assert {r.vec_id: r.cluster for r in catalog.QUERIES["greedy_clusters_exact"](spark, SF).collect()} == wanted
+    blocked = {r.vec_id: (r.block, r.cluster) for r in catalog.QUERIES["greedy_clusters"](spark, SF).collect()}
+    print("clusters: blocked", len(set(blocked.values())), "exact", len(centroids))
+    assert len(centroids) < len(set(blocked.values()))
