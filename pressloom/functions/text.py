@@ -1,7 +1,10 @@
-"""Text columns: titles, languages, excerpts, links and display forms. Built-in expressions only."""
+"""Text columns: titles, languages, excerpts, links and display forms. Built-in expressions, but for Unicode composition."""
 
 from __future__ import annotations
 
+import unicodedata
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,9 +17,18 @@ def collapse_spaces(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, F.lit(SPACES), F.lit(" ")))
 
 
+def composed(text: Column) -> Column:
+    """A text in Unicode's composed form (NFC)."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else unicodedata.normalize("NFC", t) for t in texts.to_pylist()], pa.string())
+
+    return F.arrow_udf(run, "string")(text)
+
+
 def title_key(title: Column) -> Column:
-    """Letters, digits, underscores and joiners of a title, in lower case."""
-    return F.regexp_replace(F.lower(title), F.lit(r"[^\p{L}\p{N}_\x{200C}\x{200D}]"), F.lit(""))
+    """Letters, digits, underscores and joiners of a composed (NFC) title, in lower case."""
+    return F.regexp_replace(F.lower(composed(title)), F.lit(r"[^\p{L}\p{N}_\x{200C}\x{200D}]"), F.lit(""))
 
 
 def detect_language(text: Column) -> Column:

@@ -8,7 +8,8 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from pressloom.operators import pages, stories
+from pressloom.functions import text
+from pressloom.operators import dedup, pages, stories
 from pressloom.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -101,3 +102,12 @@ def test_exact_clusters_fold_all_vectors_in_the_order_of_publication(spark, duck
     blocked = {r.vec_id: (r.block, r.cluster) for r in catalog.QUERIES["greedy_clusters"](spark, SF).collect()}
     print("clusters: blocked", len(set(blocked.values())), "exact", len(centroids))
     assert len(centroids) < len(set(blocked.values()))
+
+
+def test_titles_are_composed_before_their_key(spark):
+    """A decomposed title has its composed copy's key, and not that of the title without accents."""
+    rows = [(1, "s", "Caf\u00e9 r\u00e9sum\u00e9 daily"), (2, "s", "Cafe\u0301 re\u0301sume\u0301 daily"), (3, "s", "Cafe resume daily"), (4, "s", None)]
+    items = spark.createDataFrame(rows, "id long, slug string, title string")
+    assert sorted(r.id for r in dedup.first_titles(items).collect()) == [1, 3, 4]
+    assert sorted(r.id for r in dedup.without_known_titles(items, items.where("id = 2")).collect()) == [3, 4]
+    assert [r.k for r in items.orderBy("id").select(text.title_key(items.title).alias("k")).collect()] == ["caf\u00e9r\u00e9sum\u00e9daily"] * 2 + ["caferesumedaily", None]
