@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 SPACES = r"[\s\x{1c}-\x{1f}\x{85}\p{Z}]+"
 SAMPLE = 500
+# Frequent Sinhala words, and how many first words of a text are looked at.
+SINHALA = ["සහ", "හා", "ඇති", "කළ", "බව", "මෙම", "ඒ", "අද", "එම", "නව"]
+FIRST_WORDS = 50
 
 
 def collapse_spaces(text: Column) -> Column:
@@ -32,10 +35,11 @@ def title_key(title: Column) -> Column:
 
 
 def detect_language(text: Column) -> Column:
-    """si where over a tenth of the first 500 characters are Sinhala, else en; null and empty give en."""
+    """si where over a tenth of the first 500 characters are Sinhala, or one of the first 50 words of the whole text is in SINHALA, else en; null and empty give en."""
     sample = F.substring(F.coalesce(text, F.lit("")), 1, SAMPLE)
     share = F.length(F.regexp_replace(sample, F.lit(r"[^\x{0D80}-\x{0DFF}]"), F.lit(""))) / F.length(sample)
-    return F.when(F.length(sample) == 0, "en").when(share > 0.1, "si").otherwise("en")
+    first = F.slice(F.split(F.regexp_replace(text, F.lit("^" + SPACES), F.lit("")), SPACES, FIRST_WORDS + 1), 1, FIRST_WORDS)
+    return F.when(F.length(sample) == 0, "en").when((share > 0.1) | F.arrays_overlap(first, F.array(*map(F.lit, SINHALA))), "si").otherwise("en")
 
 
 def excerpt(content: Column) -> Column:

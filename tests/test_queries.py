@@ -111,3 +111,12 @@ def test_titles_are_composed_before_their_key(spark):
     assert sorted(r.id for r in dedup.first_titles(items).collect()) == [1, 3, 4]
     assert sorted(r.id for r in dedup.without_known_titles(items, items.where("id = 2")).collect()) == [3, 4]
     assert [r.k for r in items.orderBy("id").select(text.title_key(items.title).alias("k")).collect()] == ["caf\u00e9r\u00e9sum\u00e9daily"] * 2 + ["caferesumedaily", None]
+
+
+def test_language_by_frequent_words(spark):
+    """Mostly Latin texts are Sinhala if one of their first 50 words is a frequent Sinhala word."""
+    fill = ["latin"] * 200
+    at = lambda k, word="\u0dc3\u0dc4": " ".join(fill[:k] + [word] + fill[k:])
+    said = {at(0): "si", at(49): "si", at(50): "en", at(3, "x\u0dc3\u0dc4"): "en", " \n" + at(49).replace(" ", "\u2003"): "si", "word " * 40 + "\u0d85\u0daf": "si", "latin only": "en", "": "en", None: "en"}
+    rows = spark.createDataFrame([(t,) for t in said], "t string")
+    assert {r.t: r.found for r in rows.select("t", text.detect_language(rows.t).alias("found")).collect()} == said
