@@ -12,20 +12,29 @@ that is broadcast.
 from __future__ import annotations
 
 import base64
+import re
 import struct
+from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
-from itertools import chain
+from itertools import accumulate, chain, islice
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import sentencepiece
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-#: Encoded pre-tokens that a worker remembers besides those of the text at hand; cleared beyond.
-REMEMBERED = 300_000
+#: Bytes of encoded pre-tokens in each of the two generations that a worker remembers besides those of the texts at hand.
+REMEMBERED = 20_000_000
+#: Bytes that an entry takes beside its pre-token and ids.
+ENTRY = 150
+#: Pre-tokens of more characters are not remembered.
+LONGEST = 256
+#: Characters of texts that are encoded together.
+CHUNK = 1 << 20
 #: The vocabulary must fit a broadcast.
 LARGEST_VOCABULARY = 1_000_000
 
@@ -54,7 +63,7 @@ def _field(number: int, value: int | float | bytes) -> bytes:
     return _varint(number << 3 | 2) + _varint(len(value)) + value
 
 
-def model_bytes(vocabulary: list[bytes]) -> bytes:
+def model_bytes(vocabulary: Sequence[bytes]) -> bytes:
     """A serialised sentencepiece BPE model; piece 0 is unknown, piece rank+1 is the vocabulary's."""
     letters = byte_characters()
     pieces = [_field(1, b"<unk>") + _field(2, 0.0) + _field(3, 2)]
@@ -73,50 +82,125 @@ def read_ranks(path: str) -> list[bytes]:
     return [ranks[i] for i in range(len(ranks))]
 
 
+def plain_pattern(pattern: str) -> str | None:
+    """``pattern`` for the standard library's ``re``, over characters up to U+FFFF: \\p{L}, \\p{N}, \\s and \\S as ranges.
+
+    None where the pattern holds anything that the two engines might read differently.
+    """
+    low = "".join(chr(i) for i in range(1 << 16) if not 0xD800 <= i < 0xE000)
+
+    def ranges(of: str) -> str:
+        return "".join(f"\\u{ord(m[0][0]):04x}-\\u{ord(m[0][-1]):04x}" for m in regex.finditer(of + "+", low))
+
+    out, inside = [], False
+    for m in regex.finditer(r"(?s)\\[pP]\{[^}]*\}|\\.|\(\?[:=!]|\(\?|\[\^?|.", pattern):
+        part = m[0]
+        if part in (r"\p{L}", r"\p{N}", r"\s"):
+            out.append(ranges(part) if inside else f"[{ranges(part)}]")
+        elif part == r"\S" and not inside:
+            out.append(f"[^{ranges(chr(92) + 's')}]")
+        elif (part[0] == "\\" and (part[1].isalnum() or len(part) > 2)) or part == "(?":
+            return None
+        else:
+            inside = part.startswith("[") or (inside and part != "]")
+            out.append(part)
+    return "".join(out)
+
+
+class Splitter:
+    """The pre-tokens of a text: its matches of ``pattern``, found by ``re`` where that gives the same, else by ``regex``."""
+
+    def __init__(self, pattern: str):
+        self.full = regex.compile(pattern)
+        plain = plain_pattern(pattern)
+        self.plain = None if plain is None else re.compile(plain)
+
+    def _of(self, text: str):
+        fits = self.plain is not None and (text.isascii() or len(text.encode("utf-16-le")) == 2 * len(text))
+        return self.plain if fits else self.full
+
+    def __call__(self, text: str) -> list[str]:
+        return self._of(text).findall(text)
+
+    def parts(self, text: str, size: int) -> Iterator[list[str]]:
+        """The same, ``size`` pre-tokens at a time."""
+        found = (m[0] for m in self._of(text).finditer(text))
+        while part := list(islice(found, size)):
+            yield part
+
+
 class Codec:
-    """Encodes and decodes in one Python worker."""
+    """Encodes and decodes in one Python worker.
 
-    def __init__(self, vocabulary: list[bytes], pattern: str):
+    Encoded pre-tokens are remembered in two generations of REMEMBERED bytes: a full one
+    replaces the older, and what of the older is met again moves on, so frequent ones stay.
+    """
+
+    def __init__(self, vocabulary: tuple[bytes, ...], pattern: str):
         self.pieces = sentencepiece.SentencePieceProcessor(model_proto=model_bytes(vocabulary))
-        self.whole = {token: rank for rank, token in enumerate(vocabulary)}
-        self.split = regex.compile(pattern)
+        self.vocabulary = vocabulary
+        # entries that are no UTF-8 are no pre-tokens
+        texts = ((token.decode(errors="replace"), token, rank) for rank, token in enumerate(vocabulary))
+        self.whole = {text: rank.to_bytes(4, "little") for text, token, rank in texts if text.encode() == token}
+        self.split = Splitter(pattern)
         self.letters = dict(enumerate(byte_characters()))
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.bytes = np.frombuffer(b"".join(vocabulary), np.uint8)
-        self.lengths = np.fromiter(map(len, vocabulary), np.int64, len(vocabulary))
-        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.recent: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.held = self.extra = 0
 
     def _learn(self, tokens: set[str]) -> None:
-        """A pre-token that is itself in the vocabulary is its own id; the rest are merged."""
-        merged = []
-        for token in tokens:
-            if (rank := self.whole.get(token.encode())) is not None:
-                self.known[token] = (rank,)
+        """A pre-token that is itself in the vocabulary is its own id; the rest are merged, all in one call."""
+        recent, new = self.recent, tokens.difference(self.recent)
+        for held in (self.older, self.whole):
+            met = {t: held[t] for t in new if t in held}
+            recent.update(met)
+            new.difference_update(met)
+        if new:
+            # no UTF-8 text has a byte 255
+            raw = b"\xff".join([t.encode() for t in new]).decode("latin-1").translate(self.letters).split(self.letters[255])
+            found = self.pieces.encode(raw, num_threads=1)
+            data = (np.fromiter(chain.from_iterable(found), "<i4") - 1).tobytes()
+            ends = [4 * n for n in accumulate(map(len, found))]
+            recent.update(zip(new, [data[i:j] for i, j in zip([0, *ends[:-1]], ends, strict=True)], strict=True))
+            self.extra += sum(map(len, new)) + len(data)
+        self.held = len(recent) * ENTRY + self.extra
+
+    def _ids(self, lists: list[list[str]]) -> list[bytes]:
+        """The ids of lists of pre-tokens, each as the bytes of 32-bit integers."""
+        tokens = set().union(*lists)
+        self._learn(tokens)
+        get = self.recent.__getitem__
+        out = [b"".join(map(get, own)) for own in lists]
+        if self.held > REMEMBERED:
+            self.older, self.recent, self.held, self.extra = self.recent, {}, 0, 0
+            for token in [t for t in self.older if len(t) > LONGEST]:
+                del self.older[token]
+        return out
+
+    def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        """The ids of each text, as the bytes of 32-bit integers; texts are taken in groups of about CHUNK characters, longer ones in parts."""
+        group, size = [], 0
+        for text in texts:
+            text = text or ""
+            if size + len(text) > CHUNK and group:
+                yield from self._ids(group)
+                group, size = [], 0
+            if len(text) > CHUNK:
+                yield b"".join(chain.from_iterable(self._ids([part]) for part in self.split.parts(text, CHUNK // 4)))
             else:
-                merged.append(token)
-        mapped = [t.encode().decode("latin-1").translate(self.letters) for t in merged]
-        for token, ids in zip(merged, self.pieces.encode(mapped, num_threads=1) if mapped else [], strict=True):
-            self.known[token] = tuple(i - 1 for i in ids)
-
-    def encode(self, text: str | None) -> np.ndarray:
-        tokens = self.split.findall(text or "")
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        if new := {t for t in tokens if t not in known}:
-            self._learn(new)
-        return np.fromiter(chain.from_iterable(map(known.__getitem__, tokens)), np.int32)
+                group.append(self.split(text))
+                size += len(text)
+        if group:
+            yield from self._ids(group)
 
     def decode(self, ids: np.ndarray) -> bytes:
-        lengths = self.lengths[ids]
-        ends = np.cumsum(lengths)
-        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[ids] - (ends - lengths), lengths)
-        return self.bytes[at].tobytes()
+        get = self.vocabulary.__getitem__
+        return b"".join(b"".join(map(get, ids[at : at + CHUNK].tolist())) for at in range(0, len(ids), CHUNK))
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _codec(vocabulary: tuple[bytes, ...], pattern: str) -> Codec:
-    return Codec(list(vocabulary), pattern)
+    return Codec(vocabulary, pattern)
 
 
 class ByteBPE:
@@ -136,10 +220,10 @@ class ByteBPE:
         vocabulary, pattern = self.vocabulary, self.pattern
 
         def run(texts: pa.Array) -> pa.Array:
-            codec = _codec(vocabulary.value, pattern)
-            ids = [codec.encode(t.as_py()) for t in texts]
-            offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids], dtype=np.int64)))
-            return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(ids) if ids else [], pa.int32()))
+            ids = list(_codec(vocabulary.value, pattern).encode(t.as_py() for t in texts))
+            offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in ids], dtype=np.int64)))
+            flat = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(ids))])
+            return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)
 
         return F.arrow_udf(run, "array<int>")(text)
 
@@ -149,7 +233,11 @@ class ByteBPE:
 
         def run(ids: pa.Array) -> pa.Array:
             codec = _codec(vocabulary.value, pattern)
-            return pa.array([b"" if not x.is_valid else codec.decode(x.values.to_numpy(zero_copy_only=False)) for x in ids], pa.binary())
+            flat = ids.flatten().to_numpy(zero_copy_only=False)
+            if len(flat) and not 0 <= flat.min() <= flat.max() < len(codec.vocabulary):
+                raise ValueError("an id outside the vocabulary")
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+            return pa.array([codec.decode(flat[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)], pa.binary())
 
         return F.arrow_udf(run, "binary")(ids)
 
@@ -159,6 +247,6 @@ class ByteBPE:
 
         def run(texts: pa.Array) -> pa.Array:
             codec = _codec(vocabulary.value, pattern)
-            return pa.array([len(codec.encode(t.as_py())) for t in texts], pa.int64())
+            return pa.array([len(ids) // 4 for ids in codec.encode(t.as_py() for t in texts)], pa.int64())
 
         return F.arrow_udf(run, "long")(text)
