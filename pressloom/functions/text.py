@@ -56,7 +56,9 @@ def format_number(n: Column) -> Column:
 
 
 def truncated(text: Column, length: int) -> Column:
-    return F.when(F.length(text) > length, F.concat(F.substring(text, 1, length), F.lit("..."))).otherwise(text)
+    """A text over ``length`` characters cut to it, without white space at the cut, and three dots."""
+    cut = F.regexp_replace(F.substring(text, 1, length), F.lit(SPACES + "$"), F.lit(""))
+    return F.when(F.length(text) > length, F.concat(cut, F.lit("..."))).otherwise(text)
 
 
 def citations(answer: Column, n_sources: Column) -> Column:

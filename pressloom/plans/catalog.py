@@ -2,38 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressloom.functions import dates, text
+from pressloom.functions import text
 from pressloom.operators import dedup, links, pages, review, search, stats, stories
+from pressloom.plans import date_plans  # noqa: F401
+from pressloom.plans.registry import ORACLE, QUERIES, SQL_STAMP, query, stamp  # noqa: F401
 from pressloom.session import load
 from pressloom.sources.adapter import ARTICLES_SQL, ATTEMPTS_SQL, NOW, articles, attempts, sources
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-STAMP = "yyyy-MM-dd HH:mm:ss"
-SQL_STAMP = "%Y-%m-%d %H:%M:%S"
-KEY_SQL = r"regexp_replace(lower(coalesce(title, '')), '[^\p{L}\p{N}_\x{200C}\x{200D}]', '', 'g')"
-
-
-def query(name: str, sql: str | None = None):
-    """Register a query and, where SQL can express it, its oracle."""
-
-    def put(f):
-        QUERIES[name] = f
-        if sql is not None:
-            ORACLE[name] = sql
-        return f
-
-    return put
-
-
-def stamp(column: str):
-    return F.date_format(column, STAMP).alias(column)
+KEY_SQL = r"regexp_replace(lower(nfc_normalize(coalesce(title, ''))), '[^\p{L}\p{N}_\x{200C}\x{200D}]', '', 'g')"
 
 
 # statistics
@@ -238,18 +217,6 @@ def url_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "pages").select("page_id", text.url_host(F.col("url")).alias("host"), text.url_path(F.col("url")).alias("path"), F.col("url").rlike("[?&]page=").alias("paged"))
 
 
-#: Order dates twelve years on, written in five shapes by turns; the oracle is the date itself.
-SHAPES = ["MMMM d, yyyy", "yyyy-MM-dd", "d MMM yyyy", "dd/MM/yyyy", "d M yyyy"]
-
-
-@query("dates_parsed", "SELECT o_orderkey AS id, strftime(o_orderdate + INTERVAL 12 YEAR, '%Y-%m-%d') AS day FROM orders")
-def dates_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shifted = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.expr("o_orderdate + interval 12 years").alias("d"))
-    said = F.element_at(F.array(*(F.date_format("d", s) for s in SHAPES)), (F.col("id") % len(SHAPES) + 1).cast("int"))
-    found = dates.waterfall(F.lit(None).cast("string"), F.lit(None).cast("string"), F.concat(F.lit("Published on "), said, F.lit(", by staff")), NOW)
-    return shifted.select("id", found.cast("string").alias("day"))
-
-
 @query("citations", "SELECT doc_id AS id, list_filter(list_transform(regexp_extract_all('see [1] and [' || (doc_id % 7) || '] or [9]', '\\[(\\d+)\\]', 1), lambda x: CAST(x AS INTEGER)), lambda x: x >= 1 AND x <= 5)::VARCHAR AS cited FROM documents")
 def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.concat(F.lit("see [1] and ["), (F.col("doc_id") % 7).cast("string"), F.lit("] or [9]"))
