@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pressloom.session import checkpointed
+
 #: Lengths in one block: suffix sums run within blocks and over the blocks' sums.
 BLOCK = 256
 
@@ -28,12 +30,17 @@ def context_limits(lengths: DataFrame) -> DataFrame:
     cut to the limit; share_within is the quantile of the limit. A limit between two
     occurring lengths L1 < x < L2 has the suffix sums of L2, and total_truncated =
     total - tokens_at_least(L2) + x * docs_at_least(L2).
+
+    lengths(length, n_docs) is written once, so documents are encoded once. Rows that
+    repeat a length count together; a null length or count is 0; a length of 0 is a
+    limit like any other; no rows give none. Other columns are not read.
     """
-    rows = lengths.withColumns({"block": F.expr(f"length div {BLOCK}"), "n_tokens": F.col("length") * F.col("n_docs")})
+    zero = F.lit(0).cast("long")
+    once = checkpointed(lengths.groupBy(F.coalesce("length", zero).alias("length")).agg(F.coalesce(F.sum("n_docs"), zero).alias("n_docs")))
+    rows = once.withColumns({"block": F.expr(f"length div {BLOCK}"), "n_tokens": F.col("length") * F.col("n_docs")})
     blocks = rows.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum("n_tokens").alias("t"))
     after = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
     every = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    zero = F.lit(0).cast("long")
     blocks = blocks.select(
         "block",
         *(F.coalesce(F.sum(c).over(after), zero).alias(f"{c}_after") for c in ("d", "t")),
