@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 import unicodedata
 
 import pyarrow as pa
@@ -15,6 +16,10 @@ SINHALA = ["සහ", "හා", "ඇති", "කළ", "බව", "මෙම", "
 FIRST_WORDS = 50
 
 
+# Double-encoded punctuation and what it stands for.
+MOJIBAKE = {"Ã¢â\u201aÂ¬â\u201e¢": "\u2019", "Ã¢â\u201aÂ¬â\u20ac\u201d": "\u2014", "Ã¢â\u201aÂ¬Â¦": "\u2026"}
+
+
 def collapse_spaces(text: Column) -> Column:
     """Runs of any Unicode white space as one space, none at the ends."""
     return F.trim(F.regexp_replace(text, F.lit(SPACES), F.lit(" ")))
@@ -29,6 +34,18 @@ def composed(text: Column) -> Column:
     return F.arrow_udf(run, "string")(text)
 
 
+def normalized(text: Column) -> Column:
+    """A text composed (NFC), its HTML entities resolved once, double-encoded punctuation mended, white space collapsed."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else html.unescape(unicodedata.normalize("NFC", t)) for t in texts.to_pylist()], pa.string())
+
+    out = F.arrow_udf(run, "string")(text)
+    for bad, good in MOJIBAKE.items():
+        out = F.replace(out, F.lit(bad), F.lit(good))
+    return collapse_spaces(out)
+
+
 def title_key(title: Column) -> Column:
     """Letters, digits, underscores and joiners of a composed (NFC) title, in lower case."""
     return F.regexp_replace(F.lower(composed(title)), F.lit(r"[^\p{L}\p{N}_\x{200C}\x{200D}]"), F.lit(""))

@@ -24,12 +24,16 @@ def first_seen(items: DataFrame, key: list[str], order: list[str]) -> DataFrame:
 
 
 def first_titles(items: DataFrame) -> DataFrame:
-    """items(slug, title, id, ...) without later rows of a source whose title has the same key; short titles all pass."""
+    """items(slug, title, id, ...) without later rows of a source whose title has the same key; short titles all pass.
+
+    Later is by id, null ids last. A null source is a source like any other. One scan
+    and one combining aggregate for the long titles; the short ones are not shuffled.
+    """
     keyed = items.withColumn("_key", title_key(F.coalesce("title", F.lit(""))))
     long = F.length("_key") > SHORT_TITLE
-    firsts = keyed.where(long).groupBy("slug", "_key").agg(F.min("id").alias("_first"))
-    found = keyed.where(long).join(firsts, ["slug", "_key"]).where(F.col("id") == F.col("_first")).drop("_first")
-    return found.select(*items.columns).unionByName(keyed.where(~long).select(*items.columns))
+    firsts = keyed.where(long).groupBy("slug", "_key").agg(F.min(F.struct(F.col("id").isNull().alias("_none"), "id", *(c for c in items.columns if c not in ("slug", "id")))).alias("_first"))
+    found = firsts.select(*(F.col("slug") if c == "slug" else F.col("_first")[c].alias(c) for c in items.columns))
+    return found.unionByName(keyed.where(~long).select(*items.columns))
 
 
 def without_known_titles(items: DataFrame, recent: DataFrame) -> DataFrame:
@@ -39,11 +43,61 @@ def without_known_titles(items: DataFrame, recent: DataFrame) -> DataFrame:
     return items.withColumn("_key", key).join(seen, ["slug", "_key"], "left_anti").select(*items.columns)
 
 
+def without_known_titles_since(items: DataFrame, store: DataFrame, since: str, at: str = "created_at") -> DataFrame:
+    """The same against the store's titles of a window: those with ``at`` at or after ``since``."""
+    return without_known_titles(items, store.where(F.col(at) >= F.lit(since).cast("timestamp_ntz")))
+
+
 def upserted(table: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     """``table`` with the rows of ``changes`` in place of those with the same key; one row a key in ``changes``."""
     return table.join(changes.select(key), key, "left_anti").unionByName(changes.select(*table.columns))
 
 
-def inserted(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
-    """``table`` and the rows whose key it lacks; what is there stays."""
-    return table.unionByName(rows.join(table.select(key), key, "left_anti").select(*table.columns))
+def updated(table: DataFrame, changes: DataFrame, key: str) -> DataFrame:
+    """``table`` with the columns of ``changes`` where its key is among theirs, nulls too; unknown keys change nothing, one row a key in ``changes``."""
+    columns = [c for c in changes.columns if c != key]
+    met = changes.select(key, F.struct(*columns).alias("_new"))
+    value = lambda c: F.when(F.col("_new").isNotNull(), F.col("_new")[c]).otherwise(F.col(c)).alias(c)
+    return table.join(met, key, "left").select(*(value(c) if c in columns else F.col(c) for c in table.columns))
+
+
+def inserted(table: DataFrame, rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """``table`` and the first of the rows of each key that it lacks, by ``order``; what is there stays, rows without a key go."""
+    fresh = first_seen(rows.where(F.col(key).isNotNull()), [key], order)
+    return table.unionByName(fresh.join(table.select(key), key, "left_anti").select(*table.columns))
+
+
+def remapped(rows: DataFrame, own: DataFrame, other: DataFrame, key: str, through: str) -> DataFrame:
+    """``rows`` with the ``key`` that the other store gives to the same ``through``; rows of names it lacks go.
+
+    own(key, through) and other(key, through) are dimensions. Count what goes by an anti join with this map.
+    """
+    names = own.select(F.col(key).alias("_own"), through).join(other.select(F.col(key).alias("_other"), through), through).select("_own", "_other")
+    return rows.join(names, F.col(key) == F.col("_own")).withColumn(key, F.col("_other")).select(*rows.columns)
+
+
+def synced(own: DataFrame, other: DataFrame, key: str) -> DataFrame:
+    """What either store has, by ``key``, after the other's missing rows came in: its own row stays."""
+    return own.unionByName(other.join(own.select(key), key, "left_anti").select(*own.columns))
+
+
+def outcomes(attempts: DataFrame, known: DataFrame, least: int = 100) -> DataFrame:
+    """``attempts`` with an ``outcome`` each: dead_link, failed, skipped_no_date, skipped_duplicate or inserted.
+
+    attempts(slug, url, title, content, error, published_at, seq): one row a fetched
+    item, in the order ``seq``. known(slug, url, title) is the store within its window.
+    An error makes a dead link; a text under ``least`` characters fails; no date, then a
+    known url or title, then a title or url that an earlier inserted item of the run has, skip it.
+    """
+    read = attempts.withColumn("_key", title_key(F.coalesce("title", F.lit(""))))
+    stage = F.when(F.col("error").isNotNull(), "dead_link").when(F.length(F.coalesce("content", F.lit(""))) < least, "failed").when(F.col("published_at").isNull(), "skipped_no_date")
+    urls = known.where("url is not null").select("url").distinct().withColumn("_url", F.lit(True))
+    titles = known.select(F.col("slug"), title_key(F.coalesce("title", F.lit(""))).alias("_key")).where(F.length("_key") > SHORT_TITLE).distinct().withColumn("_title", F.lit(True))
+    met = read.withColumn("_stage", stage).join(urls, "url", "left").join(titles, ["slug", "_key"], "left")
+    met = met.withColumn("_stage", F.coalesce("_stage", F.when(F.col("_url").isNotNull() | F.col("_title").isNotNull(), "skipped_duplicate")))
+    # an item whose url is taken was not inserted, so its title blocks nobody: urls are settled first
+    by_url = met.where("_stage is null").groupBy("url").agg(F.min("seq").alias("_first_url"))
+    by_title = met.where("_stage is null").join(by_url, "url").where("seq = _first_url").where(F.length("_key") > SHORT_TITLE).groupBy("slug", "_key").agg(F.min("seq").alias("_first_title"))
+    late = (F.col("seq") > F.col("_first_url")) | (F.col("seq") > F.coalesce("_first_title", F.col("seq")))
+    settled = met.join(by_url, "url", "left").join(by_title, ["slug", "_key"], "left")
+    return settled.withColumn("outcome", F.coalesce("_stage", F.when(late, "skipped_duplicate"), F.lit("inserted"))).select(*attempts.columns, "outcome")

@@ -26,10 +26,33 @@ def dead_links(attempts: DataFrame) -> DataFrame:
     )
 
 
-def due(state: DataFrame, now: str) -> DataFrame:
-    """The links to retry: fewer than three retries, and the next one's day has come."""
+def is_due(now: str) -> Column:
+    """Whether a link's next retry has come: fewer than three retries so far, and its days since the first failure are over."""
     days = F.element_at(F.array(*map(F.lit, RETRY_DAYS)), (F.least("retry_count", F.lit(len(RETRY_DAYS) - 1)) + 1).cast("int"))
-    return state.where((F.col("retry_count") < len(RETRY_DAYS)) & (F.col("first_failed_at") + F.make_dt_interval(days) <= F.lit(now).cast("timestamp_ntz")))
+    return (F.col("retry_count") < len(RETRY_DAYS)) & (F.col("first_failed_at") + F.make_dt_interval(days) <= F.lit(now).cast("timestamp_ntz"))
+
+
+def due(state: DataFrame, now: str) -> DataFrame:
+    """The links to retry."""
+    return state.where(is_due(now))
+
+
+def recorded(state: DataFrame, failures: DataFrame, successes: DataFrame) -> DataFrame:
+    """The state after a run: failures(url, tried, error_type) count one retry each, successes(url) leave it.
+
+    A new link begins with no retries; ``first_failed_at`` of a known one stays. Several
+    failures of one url in a run count each, the last one's kind is kept; a url that
+    also succeeds in the run leaves. One combining aggregate and one join.
+    """
+    met = failures.groupBy("url").agg(F.count("*").alias("n"), F.min("tried").alias("first"), F.max(F.struct("tried", "error_type")).alias("last"))
+    both = state.join(met, "url", "full").join(successes.select("url"), "url", "left_anti")
+    return both.select(
+        "url",
+        F.coalesce(F.col("retry_count") + F.coalesce("n", F.lit(0)), F.col("n") - 1).alias("retry_count"),
+        F.coalesce("first_failed_at", "first").alias("first_failed_at"),
+        F.coalesce(F.col("last.tried"), F.col("last_checked_at")).alias("last_checked_at"),
+        F.when(F.col("n").isNotNull(), F.col("last.error_type")).otherwise(F.col("error_type")).alias("error_type"),
+    )
 
 
 def sweep_end(pages: DataFrame, most_misses: int, group: str, order: str, hit: Column) -> DataFrame:

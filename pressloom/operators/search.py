@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,8 +44,10 @@ def search(articles: DataFrame, query: str, limit: int, language: str | None = N
 
 
 def highlighted(text: str, query: str):
-    words = "|".join(sorted(set(query.lower().split())))
-    return F.regexp_replace(F.col(text), F.lit(rf"(?i)\b({words})\b"), F.lit("<em>$1</em>"))
+    """A text with <em> around the words of a query, whatever characters they have; a query without words changes nothing."""
+    edge = lambda c: r"\b" if c.isalnum() or c == "_" else ""
+    words = [edge(w[0]) + re.sub(r"([^\w])", r"\\\1", w) + edge(w[-1]) for w in sorted(set(query.lower().split()), key=lambda w: (-len(w), w))]
+    return F.regexp_replace(F.col(text), F.lit(f"(?i)({'|'.join(words)})"), F.lit("<em>$1</em>")) if words else F.col(text)
 
 
 def context(hits: DataFrame, rank: str, part: str, key: list[str], most: int = CONTEXT_CHARS) -> DataFrame:

@@ -20,7 +20,7 @@ KEY_SQL = r"regexp_replace(lower(nfc_normalize(coalesce(title, ''))), '[^\p{L}\p
 
 @query("article_stats", f"WITH {ARTICLES_SQL} SELECT slug, COUNT(*) AS article_count, strftime(MAX(published_at), '{SQL_STAMP}') AS last_published, COUNT(*) FILTER (WHERE qa_status IS NULL) AS unreviewed FROM articles GROUP BY slug")
 def article_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = articles(spark, sf_dir).groupBy("slug").agg(F.count("*").alias("article_count"), F.max("published_at").alias("last_published"), F.count(F.when(F.col("qa_status").isNull(), 1)).alias("unreviewed"))
+    found = articles(spark, sf_dir, reviewed=True).groupBy("slug").agg(F.count("*").alias("article_count"), F.max("published_at").alias("last_published"), F.count(F.when(F.col("qa_status").isNull(), 1)).alias("unreviewed"))
     return found.select("slug", "article_count", stamp("last_published"), "unreviewed")
 
 
@@ -36,13 +36,13 @@ FROM articles a LEFT JOIN dead USING (slug) GROUP BY a.slug""",
 )
 def dashboard_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     failing = attempts(spark, sf_dir).where("failed").select(F.concat(F.lit("src"), (F.substring("url", 2, 20).cast("long") % 20).cast("string")).alias("slug"), "url").distinct()
-    found = stats.per_source(sources(spark, sf_dir), articles(spark, sf_dir), failing)
+    found = stats.per_source(sources(spark, sf_dir), articles(spark, sf_dir, reviewed=True), failing)
     return found.select(*found.columns[:-1], stamp("last_published"))
 
 
 @query("dashboard_totals", f"WITH {ARTICLES_SQL} SELECT count(*) AS total, count(qa_status) AS reviewed, count(DISTINCT slug) AS source_count, avg(qa_score) AS mean_score FROM articles")
 def dashboard_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return articles(spark, sf_dir).agg(F.count("*").alias("total"), F.count("qa_status").alias("reviewed"), F.count_distinct("slug").alias("source_count"), F.avg("qa_score").alias("mean_score"))
+    return articles(spark, sf_dir, reviewed=True).agg(F.count("*").alias("total"), F.count("qa_status").alias("reviewed"), F.count_distinct("slug").alias("source_count"), F.avg("qa_score").alias("mean_score"))
 
 
 @query("ingestion_activity", f"SELECT strftime(CAST(ts AS DATE), '%Y-%m-%d') AS day, COUNT(*) AS n FROM events WHERE ts >= TIMESTAMP '{NOW}' - INTERVAL 7 DAY AND ts < TIMESTAMP '{NOW}' GROUP BY 1")
@@ -108,12 +108,12 @@ def articles_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("unreviewed_latest", f"WITH {ARTICLES_SQL} SELECT id, slug, title FROM articles WHERE qa_status IS NULL ORDER BY published_at DESC NULLS FIRST, id LIMIT 50")
 def unreviewed_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return articles(spark, sf_dir).where("qa_status is null").select("id", "slug", "title", "published_at").orderBy(F.desc_nulls_first("published_at"), "id").limit(50).drop("published_at")
+    return articles(spark, sf_dir, reviewed=True).where("qa_status is null").select("id", "slug", "title", "published_at").orderBy(F.desc_nulls_first("published_at"), "id").limit(50).drop("published_at")
 
 
 @query("review_tally", f"WITH {ARTICLES_SQL} SELECT coalesce(qa_status, 'unreviewed') AS status, COUNT(*) AS n FROM articles GROUP BY 1")
 def review_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return articles(spark, sf_dir).groupBy(F.coalesce("qa_status", F.lit("unreviewed")).alias("status")).agg(F.count("*").alias("n"))
+    return articles(spark, sf_dir, reviewed=True).groupBy(F.coalesce("qa_status", F.lit("unreviewed")).alias("status")).agg(F.count("*").alias("n"))
 
 
 # deduplication and mutations
@@ -139,7 +139,7 @@ SELECT id, slug, url FROM cand WHERE NOT EXISTS (SELECT 1 FROM recent r WHERE r.
 )
 def ingest_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two thirds of the articles as new items against the rest as the store; failed reviews stand in for dead urls."""
-    every = articles(spark, sf_dir).select("id", "slug", "title", "url", "qa_status")
+    every = articles(spark, sf_dir, reviewed=True).select("id", "slug", "title", "url", "qa_status")
     store, new = every.where("id % 3 = 0"), every.where("id % 3 > 0")
     fresh = dedup.unknown(new, store, every.where("qa_status = 'fail'"))
     return dedup.without_known_titles(fresh, store).select("id", "slug", "url")
@@ -147,14 +147,19 @@ def ingest_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("upsert_reviews", f"WITH {ARTICLES_SQL} SELECT id, coalesce(qa_status, 'warn') AS qa_status FROM articles")
 def upsert_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = articles(spark, sf_dir).select("id", "qa_status")
+    table = articles(spark, sf_dir, reviewed=True).select("id", "qa_status")
     return dedup.upserted(table, table.where("qa_status is null").withColumn("qa_status", F.lit("warn")), "id")
 
 
-@query("insert_ignore", "SELECT n_nationkey AS k, n_name AS name FROM nation UNION ALL SELECT DISTINCT CAST(s_suppkey AS INTEGER) AS k, s_name AS name FROM supplier WHERE s_suppkey NOT IN (SELECT n_nationkey FROM nation)")
+@query(
+    "insert_ignore",
+    """WITH new AS (SELECT CAST(s_suppkey % 60 AS INTEGER) AS k, s_name AS name FROM supplier)
+SELECT n_nationkey AS k, n_name AS name FROM nation UNION ALL SELECT k, min(name) AS name FROM new WHERE k NOT IN (SELECT n_nationkey FROM nation) GROUP BY k""",
+)
 def insert_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New rows repeat keys, also among themselves: what is there stays, else the first row comes in."""
     table = load(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("name"))
-    return dedup.inserted(table, load(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("int").alias("k"), F.col("s_name").alias("name")), "k")
+    return dedup.inserted(table, load(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 60).cast("int").alias("k"), F.col("s_name").alias("name")), "k", ["name"])
 
 
 # failing links and sweeps
@@ -170,9 +175,25 @@ def dead_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.dead_links(attempts(spark, sf_dir)).select("url", "retry_count", stamp("first_failed_at"), stamp("last_checked_at"), "error_type")
 
 
-@query("dead_due", f"{STATE_SQL} SELECT url, retry_count FROM state WHERE retry_count < 3 AND first_failed_at + to_days(CASE retry_count WHEN 0 THEN 7 WHEN 1 THEN 14 ELSE 30 END) <= TIMESTAMP '{NOW}'")
+FINE_SQL = """attempts AS (
+  SELECT 'u' || user_id || '/' || (event_id % 31) AS url, ts AS tried, event_id AS seq, event_type = 'error' AS failed,
+         CASE event_id % 4 WHEN 0 THEN '404' WHEN 1 THEN 'timeout' WHEN 2 THEN 'empty' ELSE '503' END AS error_type
+  FROM events)"""
+
+
+def fine_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attempts on finer urls, so that links with no, one, two and more retries occur, due and not due."""
+    return attempts(spark, sf_dir).withColumn("url", F.concat("url", F.lit("/"), (F.col("seq") % 31).cast("string")))
+
+
+@query(
+    "dead_due",
+    f"""{STATE_SQL.replace(ATTEMPTS_SQL, FINE_SQL)}
+SELECT url, retry_count, retry_count < 3 AND first_failed_at + to_days(CASE retry_count WHEN 0 THEN 7 WHEN 1 THEN 14 ELSE 30 END) <= TIMESTAMP '{NOW}' AS due FROM state""",
+)
 def dead_due(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return links.due(links.dead_links(attempts(spark, sf_dir)), NOW).select("url", "retry_count")
+    state = links.dead_links(fine_attempts(spark, sf_dir))
+    return state.select("url", "retry_count", links.is_due(NOW).alias("due"))
 
 
 @query(
@@ -197,7 +218,7 @@ def error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 # text and dates
 
 
-@query("detect_language", f"WITH {ARTICLES_SQL} SELECT id, CASE WHEN length(substr(coalesce(content, ''), 1, 500)) = 0 THEN 'en' WHEN length(regexp_replace(substr(content, 1, 500), '[^\\x{{0D80}}-\\x{{0DFF}}]', '', 'g')) / length(substr(content, 1, 500)) > 0.1 THEN 'si' ELSE 'en' END AS language FROM articles")
+@query("detect_language", f"WITH {ARTICLES_SQL} SELECT id, CASE WHEN length(substr(coalesce(content, ''), 1, 500)) = 0 THEN 'en' WHEN length(regexp_replace(substr(content, 1, 500), '[^\\x{{0D80}}-\\x{{0DFF}}]', '', 'g')) / length(substr(content, 1, 500)) > 0.1 THEN 'si' WHEN list_has_any(string_split_regex(trim(content, ' ' || chr(9) || chr(10) || chr(13)), '\\s+')[1:50], [{', '.join(f"'{w}'" for w in text.SINHALA)}]) THEN 'si' ELSE 'en' END AS language FROM articles")
 def detect_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), text.detect_language(F.col("text")).alias("language"))
 
@@ -217,9 +238,9 @@ def url_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "pages").select("page_id", text.url_host(F.col("url")).alias("host"), text.url_path(F.col("url")).alias("path"), F.col("url").rlike("[?&]page=").alias("paged"))
 
 
-@query("citations", "SELECT doc_id AS id, list_filter(list_transform(regexp_extract_all('see [1] and [' || (doc_id % 7) || '] or [9]', '\\[(\\d+)\\]', 1), lambda x: CAST(x AS INTEGER)), lambda x: x >= 1 AND x <= 5)::VARCHAR AS cited FROM documents")
+@query("citations", "SELECT doc_id AS id, list_filter(list_transform(regexp_extract_all(coalesce(text, '') || ' see [1] and [' || (doc_id % 7) || '] or [9]', '\\[(\\d{1,9})\\]', 1), lambda x: CAST(x AS INTEGER)), lambda x: x >= 1 AND x <= 5)::VARCHAR AS cited FROM documents")
 def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = F.concat(F.lit("see [1] and ["), (F.col("doc_id") % 7).cast("string"), F.lit("] or [9]"))
+    said = F.concat(F.coalesce("text", F.lit("")), F.lit(" see [1] and ["), (F.col("doc_id") % 7).cast("string"), F.lit("] or [9]"))
     return load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), text.citations(said, F.lit(5)).cast("string").alias("cited"))
 
 
@@ -233,9 +254,9 @@ def event_props(spark: SparkSession, sf_dir: str) -> DataFrame:
 STORY_SQL = f"""WITH {ARTICLES_SQL}, a AS (SELECT e.label AS story, r.* FROM articles r JOIN embeddings e ON e.vec_id = r.id)"""
 
 
-def storied(spark: SparkSession, sf_dir: str) -> DataFrame:
+def storied(spark: SparkSession, sf_dir: str, reviewed: bool = False) -> DataFrame:
     labels = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("story"))
-    return articles(spark, sf_dir).join(labels, "id")
+    return articles(spark, sf_dir, reviewed).join(labels, "id")
 
 
 @query(
@@ -245,7 +266,7 @@ SELECT story, COUNT(*) AS article_count, COUNT(DISTINCT slug) AS source_count, s
   MAX(id) FILTER (WHERE r = 1) AS best_id, MAX(title) FILTER (WHERE r = 1) AS title FROM w GROUP BY story""",
 )
 def story_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stories.rollup(storied(spark, sf_dir)).select("story", "article_count", "source_count", stamp("first_published"), stamp("last_published"), "best_id", "title")
+    return stories.rollup(storied(spark, sf_dir, reviewed=True)).select("story", "article_count", "source_count", stamp("first_published"), stamp("last_published"), "best_id", "title")
 
 
 @query("story_sources", f"{STORY_SQL} SELECT DISTINCT story, slug FROM a")
@@ -363,7 +384,7 @@ def categories(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT p.x AS a, q.x AS b, COUNT(*) AS weight FROM e p JOIN e q ON p.id = q.id AND p.x < q.x GROUP BY 1, 2""",
 )
 def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    named = articles(spark, sf_dir).select("id", F.array("slug", "language", F.coalesce("qa_status", F.lit("unreviewed"))).alias("entities"))
+    named = articles(spark, sf_dir, reviewed=True).select("id", F.array("slug", "language", F.coalesce("qa_status", F.lit("unreviewed"))).alias("entities"))
     return review.edges(named, "entities")
 
 

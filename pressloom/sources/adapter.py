@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pressloom.session import load
@@ -21,15 +21,23 @@ ARTICLES_SQL = """articles AS (
   FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)"""
 
 
-def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per document: id, slug, language, content, title, url, published_at, qa_status, qa_score.
+def articles(spark: SparkSession, sf_dir: str, reviewed: bool = False) -> DataFrame:
+    """One row per document: id, slug, language, content, n_chars, title, url, published_at, and if ``reviewed`` qa_status, qa_score.
 
-    A document without a label is unreviewed: both QA columns are null.
+    A document without a label is unreviewed: both QA columns are null. Without
+    ``reviewed`` the labels are neither read nor joined.
     """
+    if not reviewed:
+        return _columns(load(spark, sf_dir, "documents"))
     docs, labels = load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels").withColumnRenamed("doc_id", "label_id")
     labelled = F.col("label_id").isNotNull()
     ladder = lambda fail, good, other: F.when(labelled & (F.col("toxic") == 1), fail).when(labelled & (F.col("quality") == 1), good).when(labelled, other)
-    return docs.join(labels, docs.doc_id == labels.label_id, "left").select(
+    found = docs.join(labels, docs.doc_id == labels.label_id, "left")
+    return _columns(found, ladder("fail", "pass", "warn").alias("qa_status"), ladder(2, 9, 6).cast("int").alias("qa_score"))
+
+
+def _columns(docs: DataFrame, *more: Column) -> DataFrame:
+    return docs.select(
         F.col("doc_id").alias("id"),
         F.col("source").alias("slug"),
         F.col("lang").alias("language"),
@@ -38,8 +46,7 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.substring(F.substring_index("text", "\n", 1), 1, 120).alias("title"),
         F.concat(F.lit("https://"), "source", F.lit(".example/"), F.col("doc_id").cast("string")).alias("url"),
         F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, cast(doc_id * 7919 % 43200 as int))").alias("published_at"),
-        ladder("fail", "pass", "warn").alias("qa_status"),
-        ladder(2, 9, 6).cast("int").alias("qa_score"),
+        *more,
     )
 
 
