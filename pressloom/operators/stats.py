@@ -45,3 +45,16 @@ def gaps(grid: DataFrame, least_days: int = 0) -> DataFrame:
     """Per source: articles, mean a day, days without any and their share; sources with fewer such days go."""
     found = grid.groupBy("slug").agg(F.sum("n").alias("total"), F.count("*").alias("days"), F.count(F.when(F.col("n") == 0, 1)).alias("gap_days"))
     return found.where(F.col("gap_days") >= least_days).select("slug", "total", (F.col("total") / F.col("days")).alias("mean"), "gap_days", (100 * F.col("gap_days") / F.col("days")).alias("gap_percent"))
+
+
+def by_kind(state: DataFrame, key: str) -> DataFrame:
+    """Failing links of state(key, retries, kind) by key: all, those given up, those to retry, and by kind; 5xx codes count as other."""
+    count = lambda c: F.count(F.when(c, 1))
+    named = ("404", "timeout", "empty")
+    return state.groupBy(key).agg(
+        F.count("*").alias("total"),
+        count(F.col("retries") >= 3).alias("permanent"),
+        count(F.col("retries") < 3).alias("retryable"),
+        *(count(F.col("kind") == k).alias(f"err_{k}") for k in named),
+        count(~F.col("kind").isin(*named)).alias("err_other"),
+    )

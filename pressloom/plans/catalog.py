@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pressloom.functions import text
 from pressloom.operators import dedup, links, pages, review, search, stats, stories
-from pressloom.plans import date_plans  # noqa: F401
+from pressloom.plans import date_plans, store_plans  # noqa: F401
 from pressloom.plans.registry import ORACLE, QUERIES, SQL_STAMP, query, stamp  # noqa: F401
 from pressloom.session import load
 from pressloom.sources.adapter import ARTICLES_SQL, ATTEMPTS_SQL, NOW, articles, attempts, sources

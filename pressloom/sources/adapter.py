@@ -69,3 +69,43 @@ ATTEMPTS_SQL = """attempts AS (
   SELECT 'u' || user_id AS url, ts AS tried, event_id AS seq, event_type = 'error' AS failed,
          CASE event_id % 4 WHEN 0 THEN '404' WHEN 1 THEN 'timeout' WHEN 2 THEN 'empty' ELSE '503' END AS error_type
   FROM events)"""
+
+
+#: ``store`` and ``source_table`` in DuckDB SQL, after ARTICLES_SQL.
+STORE_SQL = (
+    ARTICLES_SQL
+    + """, store AS (
+  SELECT *, published_at + to_minutes(CAST(id % 180 AS BIGINT)) AS created_at, CASE WHEN qa_status IS NOT NULL THEN published_at + to_hours(CAST(24 + id % 30 AS BIGINT)) END AS reviewed_at,
+    CASE WHEN qa_status IS NOT NULL THEN 'model-' || (id % 3) END AS reviewed_by, CASE WHEN qa_status = 'pass' THEN ['politics', 'sports', 'health'][id % 3 + 1] END AS category,
+    CASE WHEN qa_status IS NOT NULL THEN id % 2 = 0 END AS graph_saved, CASE WHEN id % 5 = 0 THEN 'Colombo' WHEN id % 5 = 1 THEN '' END AS location,
+    'src' || (id % 23) AS story FROM articles),
+source_table AS (
+  SELECT slug, upper(substr(slug, 1, 1)) || substr(slug, 2) AS name, language, slug NOT LIKE '%3' AS is_active FROM (
+    SELECT source AS slug, lang AS language, row_number() OVER (PARTITION BY source ORDER BY count(*) DESC, lang) AS r FROM documents WHERE source IS NOT NULL GROUP BY source, lang) WHERE r = 1
+  UNION ALL SELECT 'quiet', 'Quiet', 'en', true)"""
+)
+
+
+def store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reviewed articles with created_at, reviewed_at, reviewed_by, category, graph_saved, location and a story, derived from their numbers."""
+    minutes = lambda m: F.make_dt_interval(F.lit(0), F.lit(0), m.cast("int"))
+    hours = lambda h: F.make_dt_interval(F.lit(0), h.cast("int"))
+    known, number = F.col("qa_status").isNotNull(), F.col("id")
+    pick = F.element_at(F.array(*map(F.lit, ("politics", "sports", "health"))), (number % 3 + 1).cast("int"))
+    return articles(spark, sf_dir, reviewed=True).withColumns(
+        {
+            "created_at": F.col("published_at") + minutes(number % 180),
+            "reviewed_at": F.when(known, F.col("published_at") + hours(24 + number % 30)),
+            "reviewed_by": F.when(known, F.concat(F.lit("model-"), (number % 3).cast("string"))),
+            "category": F.when(F.col("qa_status") == "pass", pick),
+            "graph_saved": F.when(known, number % 2 == 0),
+            "location": F.when(number % 5 == 0, "Colombo").when(number % 5 == 1, ""),
+            "story": F.concat(F.lit("src"), (number % 23).cast("string")),
+        }
+    )
+
+
+def source_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(slug, name, language, is_active): the sources and one that has no articles."""
+    every = sources(spark, sf_dir).select("slug", "name", "language", (~F.endswith("slug", F.lit("3"))).alias("is_active"))
+    return every.unionByName(spark.createDataFrame([("quiet", "Quiet", "en", True)], every.schema))
