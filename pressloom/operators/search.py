@@ -7,7 +7,11 @@ import re
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pressloom.session import checkpointed
+
 K1, B = 1.2, 0.75
+#: Characters of a content that are indexed, and of an excerpt.
+INDEXED, EXCERPT = 5000, 300
 CONTEXT_CHARS = 6000
 
 
@@ -16,30 +20,80 @@ def terms(text):
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), 0)
 
 
+def _let(value, then):
+    """``then(value)`` with the value computed once."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def _is(word: str):
+    return lambda x: x == word
+
+
+def index_documents(articles: DataFrame, sources: DataFrame) -> DataFrame:
+    """What the index holds of articles(id, title, content, ...) and sources(slug, name): INDEXED characters of content, the excerpt, the source's name."""
+    named = sources.select("slug", F.col("name").alias("source_name"))
+    content = F.coalesce("content", F.lit(""))
+    return articles.join(F.broadcast(named), "slug", "left").withColumns(  # one row a source
+        {"excerpt": F.substring(content, 1, EXCERPT), "content": F.substring(content, 1, INDEXED)}
+    )
+
+
+def field_postings(documents: DataFrame, fields: list[str]) -> DataFrame:
+    """(term, field, id, tf) of the searchable fields: the inverted index, one row per word, field and document."""
+    each = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), terms(F.col(f)).alias("w")) for f in fields)))
+    words = documents.select("id", each.alias("f")).select("id", "f.field", F.explode("f.w").alias("term"))
+    return words.groupBy("term", "field", "id").agg(F.count("*").alias("tf"))
+
+
+def reindexed(index: DataFrame, changed: DataFrame) -> DataFrame:
+    """``index`` with the postings of ``changed`` in place of those of the same documents."""
+    return index.join(changed.select("id").distinct(), "id", "left_anti").select(*index.columns).unionByName(changed.select(*index.columns))
+
+
+def index_size(articles: DataFrame) -> DataFrame:
+    """One row of tokens, terms and documents; whole contents are read once, only each text's distinct words are shuffled."""
+    one = articles.select(_let(terms("content"), lambda w: F.struct(F.size(w).alias("n"), F.array_distinct(w).alias("w"))).alias("t")).select("t.*")
+    total = one.agg(F.sum("n").cast("long").alias("tokens"), F.count(F.when(F.col("n") > 0, 1)).alias("documents"))
+    distinct = one.select(F.explode("w").alias("term")).distinct().agg(F.count("*").alias("terms"))
+    return total.crossJoin(distinct).select("tokens", "terms", "documents")  # one row each
+
+
 def postings(articles: DataFrame) -> DataFrame:
-    """(term, id, tf): one row per word and article over title-bearing whole contents."""
+    """(term, id, tf): one row per word and article over whole contents."""
     return articles.select("id", F.explode(terms("content")).alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"))
 
 
-def search(articles: DataFrame, query: str, limit: int, language: str | None = None) -> DataFrame:
+def matches(articles: DataFrame, query: str) -> DataFrame:
+    """``articles`` without content, with ``score``: BM25 of every article that holds a word of the query.
+
+    Texts are read once, to their length and their counts of the query's words, which
+    are written; statistics and scores come from these narrow rows. Statistics cover all articles.
+    """
+    wanted = sorted(set(query.lower().split())) or [""]
+    counts = lambda w: F.struct(F.size(w).alias("len"), F.array(*(F.size(F.filter(w, _is(t))) for t in wanted)).alias("tf"))
+    narrow = checkpointed(articles.withColumn("_t", _let(terms("content"), counts)).drop("content"))
+    df = F.array(*(F.count(F.when(F.col("_t.tf")[k] > 0, 1)) for k in range(len(wanted))))
+    whole = narrow.agg(F.count("*").alias("_n"), F.avg("_t.len").alias("_mean"), df.alias("_df"))
+    found = narrow.where(F.exists("_t.tf", lambda x: x > 0)).crossJoin(F.broadcast(whole))  # one row of statistics
+
+    def part(k: int):
+        tf, d = F.col("_t.tf")[k], F.col("_df")[k]
+        idf = F.log(1 + (F.col("_n") - d + 0.5) / (d + 0.5))
+        return F.when(tf > 0, idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("_t.len") / F.col("_mean")))).otherwise(0.0)
+
+    return found.withColumn("score", F.round(sum((part(k) for k in range(len(wanted))), F.lit(0.0)), 6)).drop("_t", "_n", "_mean", "_df")
+
+
+def search(articles: DataFrame, query: str, limit: int, **equal: str | None) -> DataFrame:
     """(id, score, published_at, title), the best ``limit``: BM25, then the newest, then the id.
 
-    Only the query's terms are exploded; lengths and document counts come from the
-    same scan. ``language`` filters hits, not the statistics.
+    ``equal`` are filters on columns, all of which must hold; they leave hits out, not
+    articles of the statistics. Null asks nothing.
     """
-    wanted = sorted(set(query.lower().split()))
-    scan = articles.select("id", "language", "published_at", "title", terms("content").alias("w")).select("id", "language", "published_at", "title", F.size("w").alias("len"), F.filter("w", lambda x: x.isin(wanted)).alias("w"))
-    whole = scan.agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
-    hits = scan.select("id", "len", F.explode("w").alias("term")).groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
-    # one row of corpus statistics and one row a query term
-    stats = df.join(F.broadcast(whole.withColumn("one", F.lit(1))), F.lit(1) == F.col("one")).drop("one")
-    scored = hits.join(F.broadcast(stats), "term").groupBy("id").agg(F.round(F.sum(part), 6).alias("score"))
-    found = scored.join(scan.select("id", "language", "published_at", "title"), "id")
-    if language is not None:
-        found = found.where(F.col("language") == language)
+    found = matches(articles, query)
+    for column, value in equal.items():
+        if value is not None:
+            found = found.where(F.col(column) == value)
     return found.select("id", "score", "published_at", "title").orderBy(F.desc("score"), F.desc_nulls_last("published_at"), "id").limit(limit)
 
 
@@ -50,12 +104,24 @@ def highlighted(text: str, query: str):
     return F.regexp_replace(F.col(text), F.lit(f"(?i)({'|'.join(words)})"), F.lit("<em>$1</em>")) if words else F.col(text)
 
 
+def context_part(rank, title, source, published, excerpt):
+    """A hit as a part of an answer's context: [1] title (source, day)\\nexcerpt\\n."""
+    or_else = lambda c, default: F.coalesce(F.nullif(c, F.lit("")), F.lit(default))
+    day = F.coalesce(F.date_format(published, "yyyy-MM-dd"), F.lit("n/d"))
+    return F.concat(F.lit("["), rank.cast("string"), F.lit("] "), or_else(title, "Untitled"), F.lit(" ("), or_else(source, "unknown"), F.lit(", "), day, F.lit(")\n"), F.coalesce(excerpt, F.lit("")), F.lit("\n"))
+
+
 def context(hits: DataFrame, rank: str, part: str, key: list[str], most: int = CONTEXT_CHARS) -> DataFrame:
-    """The leading hits of each key whose parts, one more character each, stay within ``most``; stops at the first that does not."""
+    """The leading hits of each key whose parts, each followed by a line end, stay within ``most``; stops at the first that does not.
+
+    A part takes a character at least, so the first most + 1 hits of a key decide; the
+    others go before the shuffle, by a limit on the rank.
+    """
     order = Window.partitionBy(*key).orderBy(rank)
-    sized = hits.withColumn("_sum", F.sum(F.length(part) + 1).over(order))
+    some = hits.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= most + 1)
+    sized = some.withColumn("_sum", F.sum(F.length(part) + 1).over(order))
     fits = F.col("_sum") - 1 <= most
-    return sized.withColumn("_bad", F.max((~fits).cast("int")).over(order)).where("_bad = 0").drop("_sum", "_bad")
+    return sized.withColumn("_bad", F.max((~fits).cast("int")).over(order)).where("_bad = 0").drop("_sum", "_bad", "_rank")
 
 
 def last_turns(turns: DataFrame, k: int, key: str = "conv_id", order: str = "turn") -> DataFrame:

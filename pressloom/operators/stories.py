@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pressloom.session import checkpointed
+
 
 def rollup(articles: DataFrame) -> DataFrame:
     """articles(story, id, slug, title, content, qa_score, published_at) per story: counts, range and the representative.
@@ -58,11 +61,12 @@ def greedy(vectors: np.ndarray, threshold: float) -> list[int]:
     return [fold.add(v) for v in vectors]
 
 
-def clusters(vectors: DataFrame, threshold: float, block: str, order: str, vector: str) -> DataFrame:
-    """(order, block, cluster): greedy clusters within each block of ``vectors``, an approximation of ``exact_clusters``.
+def clusters(vectors: DataFrame, threshold: float, block: str, order: list[str], id_col: str, vector: str) -> DataFrame:
+    """(id_col, block, cluster): greedy clusters within each block of ``vectors``, folded in the ``order`` of columns.
 
     Vectors of different blocks never share a cluster. The fold depends on the order, so
-    a block is one task's, which streams it and holds its centroids only.
+    a block is one task's, which streams it and holds its centroids only; choose blocks
+    of bounded size, such as ``windows``. One block of all rows is the plain fold.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -73,11 +77,11 @@ def clusters(vectors: DataFrame, threshold: float, block: str, order: str, vecto
                 if fold is None or b != now:
                     now, fold = b, Fold(threshold)
                 found.append(fold.add(np.asarray(v, float)))
-            yield pd.DataFrame({order: pdf[order], block: pdf[block], "cluster": np.array(found, dtype=np.int64)})
+            yield pd.DataFrame({id_col: pdf[id_col], block: pdf[block], "cluster": np.array(found, dtype=np.int64)})
 
     kinds = dict(vectors.dtypes)
-    dealt = vectors.select(order, block, vector).repartition(block).sortWithinPartitions(block, order)
-    return dealt.mapInPandas(run, f"{order} {kinds[order]}, {block} {kinds[block]}, cluster long")
+    dealt = vectors.select(*dict.fromkeys([*order, id_col, block, vector])).repartition(block).sortWithinPartitions(block, *order)
+    return dealt.mapInPandas(run, f"{id_col} {kinds[id_col]}, {block} {kinds[block]}, cluster long")
 
 
 def exact_clusters(vectors: DataFrame, threshold: float, order: list[Column], id_col: str, vector: str) -> DataFrame:
@@ -96,33 +100,106 @@ def exact_clusters(vectors: DataFrame, threshold: float, order: list[Column], id
     return vectors.repartition(1).sortWithinPartitions(*order).select(id_col, vector).mapInPandas(run, f"{id_col} {dict(vectors.dtypes)[id_col]}, cluster long")
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, id_col: str, vector: str, block: int = 4096) -> DataFrame:
-    """(query_id, id, cosine): for each query the nearest other vector of unit length, ties to the smallest id.
+def windows(vectors: DataFrame, at: str, hours: int = 48) -> DataFrame:
+    """``vectors`` with ``block``, the number of the ``hours`` window that ``at`` is in; -1 without a time.
+
+    A block of greedy clusters so holds what arrives in one window, however long the history is.
+    """
+    seconds = F.unix_micros(F.col(at).cast("timestamp")) / 1_000_000
+    return vectors.withColumn("block", F.coalesce(F.floor(seconds / (hours * 3600)), F.lit(-1)).cast("long"))
 
-    The stated query set is gathered in blocks of rows that are sent to the vectors'
-    partitions; every partition returns its best row a query, which a combining aggregate merges.
+
+def best_of(queries: DataFrame, vectors: DataFrame, id_col: str, vector: str, rank: str | None = None, block: int = 4096, itself: bool = False) -> DataFrame:
+    """(query_id, id, cosine): for each query the vector of unit length with the largest dot product, ties to the smallest ``rank`` (default: id).
+
+    The stated query set is dealt into blocks of about ``block`` rows by hash. One block
+    at a time is sent to the vectors' partitions, each returns its best row a query, and a
+    combining aggregate merges these; a block's result is written before the next one starts, so the driver holds one block.
     """
-    spark, kind = vectors.sparkSession, dict(vectors.dtypes)[id_col]
-    best = None
-    numbered = queries.select(F.col(id_col).alias("q"), F.col(vector).alias("v")).orderBy("q").toPandas()  # the stated query set
-    for at in range(0, max(1, len(numbered)), block):
-        part = numbered.iloc[at : at + block]
-        held = spark.sparkContext.broadcast((part["q"].to_numpy(), np.stack(part["v"].to_list()).astype(float) if len(part) else np.zeros((0, 0))))
-
-        def scan(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
-            ids, matrix = held.value
+    spark, kinds = vectors.sparkSession, dict(vectors.dtypes)
+    rank = rank or id_col
+    held = checkpointed(queries.select(F.col(id_col).alias("q"), F.col(vector).alias("v")))
+    n_blocks = max(1, -(-held.count() // block))
+    dealt = held.withColumn("b", F.pmod(F.xxhash64("q"), F.lit(n_blocks)))
+    kind = kinds[id_col]
+    found = []
+    for k in range(n_blocks):
+        part = dealt.where(F.col("b") == k).toPandas()  # about ``block`` rows
+        sent = spark.sparkContext.broadcast((part["q"].to_numpy(), np.stack(part["v"].to_list()).astype(float) if len(part) else np.zeros((0, 0))))
+
+        def scan(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+            ids, matrix = sent.value
             for pdf in batches:
                 if not len(ids) or not len(pdf):
                     continue
-                own = pdf[id_col].to_numpy()
-                dots = np.round(matrix @ np.stack(pdf[vector].to_list()).astype(float).T, 6)
-                dots[ids[:, None] == own[None, :]] = -np.inf
-                order = np.lexsort((own,))
-                pick = order[np.argmax(dots[:, order], axis=1)]
+                pdf = pdf.sort_values("r", kind="stable")
+                own = pdf["i"].to_numpy()
+                dots = np.round(matrix @ np.stack(pdf["v"].to_list()).astype(float).T, 6)
+                if not itself:
+                    dots[ids[:, None] == own[None, :]] = -np.inf
+                pick = np.argmax(dots, axis=1)
                 value = dots[np.arange(len(ids)), pick]
                 good = np.isfinite(value)
-                yield pd.DataFrame({"query_id": ids[good], "id": own[pick][good], "cosine": value[good]})
+                yield pd.DataFrame({"query_id": ids[good], "id": own[pick][good], "r": pdf["r"].to_numpy()[pick][good], "cosine": value[good]})
+
+        rows = vectors.select(F.col(id_col).alias("i"), F.col(rank).alias("r"), F.col(vector).alias("v"))
+        near = rows.mapInPandas(scan, f"query_id {dict(held.dtypes)['q']}, id {kind}, r {kinds[rank]}, cosine double")
+        best = near.groupBy("query_id").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "r", "id")).alias("m"))
+        found.append(checkpointed(best.select("query_id", F.col("m.id").alias("id"), (-F.col("m.c")).alias("cosine"))))
+        sent.unpersist()
+    return reduce(DataFrame.unionByName, found)
+
 
-        found = vectors.select(id_col, vector).mapInPandas(scan, f"query_id {kind}, id {kind}, cosine double")
-        best = found if best is None else best.unionByName(found)
-    return best.groupBy("query_id").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "id")).alias("m")).select("query_id", F.col("m.id").alias("id"), (-F.col("m.c")).alias("cosine"))
+def nearest(queries: DataFrame, vectors: DataFrame, id_col: str, vector: str, block: int = 4096) -> DataFrame:
+    """(query_id, id, cosine): for each query the nearest other vector of unit length, ties to the smallest id."""
+    return best_of(queries, vectors, id_col, vector, block=block)
+
+
+def matched(clusters: DataFrame, stories: DataFrame, threshold: float) -> DataFrame:
+    """(block, cluster, story, is_new): the story that each of a run's clusters joins or opens.
+
+    clusters(block, cluster, vector) are the runs' clusters in the order of their
+    numbers, stories(story, rank, vector) what exists, in the order of ``rank``; vectors have unit
+    length. A cluster takes the most similar story at ``threshold`` or more, the first of
+    equals; what earlier clusters of its run opened comes after what exists. The stories are
+    searched on Spark; what depends on the order, the new stories of one run, is folded run by run.
+    """
+    key = F.concat_ws("/", "block", "cluster")
+    near = best_of(clusters.select(key.alias("id"), "vector"), stories.select(F.col("story").alias("id"), "rank", "vector"), "id", "vector", rank="rank", itself=True)
+    known = clusters.withColumn("query_id", key).join(near, "query_id", "left").select("block", "cluster", "vector", F.col("id").alias("story"), "cosine")
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, new = None, []
+        for pdf in batches:
+            rows = []
+            for b, c, v, story, sim in pdf.itertuples(index=False):
+                if b != now:
+                    now, new = b, []
+                v = np.asarray(v, float)
+                best, best_sim = (story, sim) if story is not None and sim > 0 else (None, 0.0)
+                for name, w in new:
+                    if (s := round(float(w @ v), 6)) > best_sim:
+                        best, best_sim = name, s
+                if best is None or best_sim < threshold:
+                    best = f"new-{b}-{c}"
+                    new.append((best, v))
+                rows.append((b, c, best, best.startswith("new-")))
+            yield pd.DataFrame(rows, columns=["block", "cluster", "story", "is_new"])
+
+    dealt = known.repartition("block").sortWithinPartitions("block", "cluster")
+    return dealt.mapInPandas(fold, "block long, cluster long, story string, is_new boolean")
+
+
+def refreshed(stories: DataFrame, articles: DataFrame) -> DataFrame:
+    """``stories`` with article_count, source_count, first_published and last_published recomputed from articles(story, slug, published_at); a story without articles counts none and keeps its times."""
+    now = articles.groupBy("story").agg(F.count("*").alias("_n"), F.count_distinct("slug").alias("_s"), F.min("published_at").alias("_f"), F.max("published_at").alias("_l"))
+    fresh = {"article_count": F.coalesce("_n", F.lit(0)), "source_count": F.coalesce("_s", F.lit(0)), "first_published": F.coalesce("_f", "first_published"), "last_published": F.coalesce("_l", "last_published")}
+    return stories.join(now, "story", "left").withColumns(fresh).select(*stories.columns)
+
+
+def with_sources(stories: DataFrame, articles: DataFrame, sources: DataFrame) -> DataFrame:
+    """``stories`` with ``sources``, the array of (name, slug) of their articles, by name; empty without any."""
+    named = articles.select("story", "slug").distinct().join(F.broadcast(sources.select("slug", "name")), "slug")  # one row a source
+    lists = named.groupBy("story").agg(F.array_sort(F.collect_set(F.struct("name", "slug"))).alias("sources"))
+    empty = F.array().cast("array<struct<name:string,slug:string>>")
+    return stories.join(lists, "story", "left").withColumn("sources", F.coalesce("sources", empty))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pressloom.functions import text
 from pressloom.operators import dedup, links, pages, review, search, stats, stories
-from pressloom.plans import date_plans, store_plans  # noqa: F401
+from pressloom.plans import date_plans, store_plans, story_plans  # noqa: F401
 from pressloom.plans.registry import ORACLE, QUERIES, SQL_STAMP, query, stamp  # noqa: F401
 from pressloom.session import load
 from pressloom.sources.adapter import ARTICLES_SQL, ATTEMPTS_SQL, NOW, articles, attempts, sources
@@ -209,8 +209,6 @@ def sweep_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("error_rate", f"WITH {ATTEMPTS_SQL}, t AS (SELECT strftime(tried, '%Y-%m-%d') AS day, count(*) AS n, count(*) FILTER (WHERE failed) AS bad FROM attempts GROUP BY 1) SELECT day, bad / n AS rate, bad / n - lag(bad / n) OVER (ORDER BY day) AS change FROM t")
 def error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
     days = attempts(spark, sf_dir).groupBy(F.date_format("tried", "yyyy-MM-dd").alias("day")).agg((F.count(F.when(F.col("failed"), 1)) / F.count("*")).alias("rate"))
     return days.select("day", "rate", (F.col("rate") - F.lag("rate").over(Window.orderBy("day"))).alias("change"))  # one row a day
 
@@ -286,10 +284,17 @@ def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stories.nearest(vectors.where("vec_id % 100 = 0"), vectors, "vec_id", "embedding")
 
 
+def dated_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors with their articles' dates, and the 48-hour window that these are in."""
+    dated = articles(spark, sf_dir).groupBy(F.col("id").alias("vec_id")).agg(F.max("published_at").alias("published_at"))
+    return stories.windows(load(spark, sf_dir, "embeddings").join(dated, "vec_id", "left"), "published_at")
+
+
 @query("greedy_clusters")
 def greedy_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The blocked approximation: eight blocks by id, whose vectors never meet; ``greedy_clusters_exact`` has all in one order."""
-    return stories.clusters(load(spark, sf_dir, "embeddings").withColumn("block", F.col("vec_id") % 8), 0.3, "block", "vec_id", "embedding")
+    """What a run over each 48-hour window finds: its vectors in one order, none of other windows; ``greedy_clusters_exact`` has all in one order."""
+    vectors = dated_vectors(spark, sf_dir).withColumn("latest", F.coalesce(-F.unix_micros(F.col("published_at").cast("timestamp")), F.lit(1 << 62)))
+    return stories.clusters(vectors, 0.3, "block", ["latest", "vec_id"], "vec_id", "embedding")
 
 
 @query("greedy_clusters_exact")
@@ -308,8 +313,7 @@ BM25 = "nation the eine clown"
 
 @query("index_stats", f"WITH {ARTICLES_SQL}, p AS (SELECT id, unnest({WORDS_SQL}) AS term FROM articles) SELECT COUNT(*) AS tokens, COUNT(DISTINCT term) AS terms, COUNT(DISTINCT id) AS documents FROM p")
 def index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = search.postings(articles(spark, sf_dir))
-    return found.agg(F.sum("tf").alias("tokens"), F.count_distinct("term").alias("terms"), F.count_distinct("id").alias("documents"))
+    return search.index_size(articles(spark, sf_dir))
 
 
 @query(
@@ -329,15 +333,26 @@ def highlights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return articles(spark, sf_dir).select("id", search.highlighted("title", "the of").alias("shown"))
 
 
+CONTEXT_SQL = f"""{STORY_SQL}, h AS (SELECT *, row_number() OVER (PARTITION BY story ORDER BY published_at DESC NULLS LAST, id) AS r FROM a QUALIFY r <= 10),
+p AS (SELECT *, '[' || r || '] ' || coalesce(nullif(title, ''), 'Untitled') || ' (' || coalesce(nullif(slug, ''), 'unknown') || ', ' || coalesce(strftime(published_at, '%Y-%m-%d'), 'n/d') || ')' || chr(10) || coalesce(substr(content, 1, 300), '') || chr(10) AS part FROM h),
+w AS (SELECT *, sum(length(part) + 1) OVER (PARTITION BY story ORDER BY r) - 1 AS upto FROM p)"""
+
+
 @query(
     "rag_context",
-    f"""{STORY_SQL}, w AS (SELECT story, id, sum(length(substr(content, 1, 900)) + 1) OVER (PARTITION BY story ORDER BY id) - 1 AS upto FROM a)
-SELECT story, count(*) AS parts, max(upto) AS chars FROM w WHERE upto <= 6000 GROUP BY story""",
+    f"""{CONTEXT_SQL} SELECT story, count(*) FILTER (WHERE upto <= 2500) AS parts, coalesce(string_agg(part || chr(10), '' ORDER BY r) FILTER (WHERE upto <= 2500), '') AS context, string_agg(url, ' ' ORDER BY r) AS sources FROM w GROUP BY story""",
 )
 def rag_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = storied(spark, sf_dir).select("story", "id", F.substring("content", 1, 900).alias("part"))
-    kept = search.context(parts, "id", "part", ["story"])
-    return kept.groupBy("story").agg(F.count("*").alias("parts"), (F.sum(F.length("part") + 1) - 1).alias("chars"))
+    """Each story's ten latest hits as an answer's context within 2500 characters; the source list names those cut, too."""
+    order = Window.partitionBy("story").orderBy(F.desc_nulls_last("published_at"), "id")
+    hits = storied(spark, sf_dir).select("story", "id", "title", "slug", "published_at", "url", F.substring("content", 1, 300).alias("excerpt"))
+    hits = hits.withColumn("r", F.row_number().over(order)).where("r <= 10")
+    parts = hits.withColumn("part", search.context_part(F.col("r"), F.col("title"), F.col("slug"), F.col("published_at"), F.col("excerpt")))
+    kept = search.context(parts.select("story", "r", "part"), "r", "part", ["story"], most=2500)
+    joined = lambda c, by: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", c))), lambda x: x[c]), by)
+    texts = kept.withColumn("part", F.concat("part", F.lit("\n"))).groupBy("story").agg(F.count("*").alias("parts"), joined("part", "").alias("context"))
+    lists = hits.groupBy("story").agg(joined("url", " ").alias("sources"))
+    return lists.join(texts, "story", "left").select("story", F.coalesce("parts", F.lit(0)).alias("parts"), F.coalesce("context", F.lit("")).alias("context"), "sources")
 
 
 @query("rag_history", "SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r <= 6")
@@ -390,8 +405,6 @@ def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("ready_queue", "SELECT user_id AS source, row_number() OVER (ORDER BY n, user_id) AS place FROM (SELECT user_id, count(*) AS n FROM events GROUP BY user_id) ORDER BY n, user_id LIMIT 100")
 def ready_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
     counted = load(spark, sf_dir, "events").groupBy(F.col("user_id").alias("source")).agg(F.count("*").alias("n")).orderBy("n", "source").limit(100)
     return counted.select("source", F.row_number().over(Window.orderBy("n", "source")).cast("long").alias("place"))  # at most 100 rows
 
