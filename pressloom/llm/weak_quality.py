@@ -16,17 +16,23 @@ from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pressloom.llm import quality_rules
+from pressloom.llm.texts import pieces
+from pressloom.session import checkpointed
 
 #: Documents that the scorer is fitted on, those of the smallest seeded hash, whole texts.
 SAMPLE_ROWS = 4_000
 MOST_LABELLERS = 8
 BITS = 18
-REMEMBERED = 500_000
+#: Tokens whose features a worker remembers; cleared beyond.
+REMEMBERED = 100_000
+#: Repeated rows that are given back at once.
+REPEATS = 1 << 16
 
 
 def _vote(good: Column, bad: Column) -> Column:
@@ -37,8 +43,8 @@ def labellers(text: Column, counts: str = "_counts") -> dict[str, Column]:
     """The heuristics, over a text and its counts from ``quality_rules.metrics``."""
     c = F.col(counts)
     share = lambda a, b: F.when(c[b] > 0, c[a] / c[b]).otherwise(F.lit(0.0))
-    upper = F.regexp_count(text, F.lit(r"\p{Lu}"))
-    letters = F.regexp_count(text, F.lit(r"\p{L}"))
+    upper = F.length(F.regexp_replace(text, F.lit(r"[^\p{Lu}]+"), F.lit("")))
+    letters = F.length(text) - F.length(F.regexp_replace(text, F.lit(r"\p{L}+"), F.lit("")))
     capitals = F.when(letters > 0, upper / letters).otherwise(F.lit(1.0))
     return {
         "length": _vote(c["n_words"] >= 40, c["n_words"] < 5),
@@ -76,7 +82,7 @@ def estimate(patterns: list[tuple[int, ...]], counts: list[int], rounds: int = 2
     return good, accuracy, prior
 
 
-_SHAPES = [(regex.compile(p), r) for p, r in ((r"\p{Lu}+", "A"), (r"\p{L}+", "a"), (r"\p{N}+", "0"))]
+_SHAPES = [(regex.compile(p), r) for p, r in ((r"\p{L}+", "a"), (r"\p{N}+", "0"))]
 
 
 def shape(token: str) -> str:
@@ -91,24 +97,42 @@ def buckets(token: str) -> tuple[int, int]:
     return zlib.crc32(token.encode()) >> 32 - BITS, zlib.crc32(b"\0" + shape(token).encode()) >> 32 - BITS
 
 
-def fit(texts: list[str], target: np.ndarray, steps: int = 150, ridge: float = 1e-5) -> tuple[np.ndarray, float]:
-    """(weights by bucket, bias) of the logistic scorer over mean token features, for soft targets."""
-    found, parts = {}, []
-    for text in texts:
-        tokens = Counter(text.split())
-        own = [found.get(t) or found.setdefault(t, buckets(t)) for t in sorted(tokens)]
-        share = np.array([tokens[t] for t in sorted(tokens)], float) / max(1, sum(tokens.values()))
-        parts.append((np.array(own, np.int64).reshape(-1), np.repeat(share, 2)))
-    rows = np.repeat(np.arange(len(parts)), [len(c) for c, _ in parts])
-    cols = np.concatenate([np.zeros(0, np.int64), *(c for c, _ in parts)])
-    values = np.concatenate([np.zeros(0), *(v for _, v in parts)])
-    found.clear()
-    n, w, bias = max(1, len(texts)), np.zeros(1 << BITS), 0.0
+def shares(text: str | None, known: dict[str, tuple[int, int]]) -> dict[int, float]:
+    """A text's feature buckets with their share of its tokens, summed in token order; none for a text without tokens."""
+    counts, found = Counter(), {}
+    for piece in pieces(text or ""):
+        counts.update(piece.split())
+    total = max(1, sum(counts.values()))
+    for token in sorted(counts):
+        if len(known) > REMEMBERED:
+            known.clear()
+        for bucket in known.get(token) or known.setdefault(token, buckets(token)):
+            found[bucket] = found.get(bucket, 0.0) + counts[token] / total
+    return found
+
+
+def features(text: Column | str) -> Column:
+    """``shares`` of whole texts, array of (bucket, share): at most 2^BITS of a text."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known: dict[str, tuple[int, int]] = {}
+        for texts in batches:
+            yield pa.array([[{"bucket": b, "share": v} for b, v in shares(t.as_py(), known).items()] for t in texts], pa.list_(pa.struct({"bucket": pa.int32(), "share": pa.float64()})))
+
+    return F.arrow_udf(run, "array<struct<bucket:int,share:double>>")(text)
+
+
+def fit(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, target: np.ndarray, steps: int = 150, ridge: float = 1e-5) -> tuple[np.ndarray, float]:
+    """(weights by bucket, bias) of the logistic scorer for soft targets, by Adam steps of falling size.
+
+    rows, cols, values: the features of the fitted texts, by text number and bucket.
+    """
+    n, w, bias = max(1, len(target)), np.zeros(1 << BITS), 0.0
     seen, cols = np.unique(cols, return_inverse=True) if len(cols) else (np.zeros(0, np.int64), cols)
     own = np.zeros(len(seen) + 1)
     mean, square = np.zeros_like(own), np.zeros_like(own)
     for i in range(1, steps + 1):
-        score = np.bincount(rows, own[cols] * values, minlength=len(texts)) + own[-1]
+        score = np.bincount(rows, own[cols] * values, minlength=len(target)) + own[-1]
         error = (1 / (1 + np.exp(-np.clip(score, -50, 50))) - target) / n
         g = np.append(np.bincount(cols, error[rows] * values, minlength=len(seen)), error.sum()) + ridge * own
         mean, square = 0.9 * mean + 0.1 * g, 0.99 * square + 0.01 * g * g
@@ -122,21 +146,24 @@ def score(text: Column | str, weights, bias: float) -> Column:
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         table, known = weights.value, {}
-        for texts in batches:
-            if len(known) > REMEMBERED:
-                known.clear()
-            out = np.full(len(texts), bias)
-            for i, t in enumerate(texts):
-                tokens = (t.as_py() or "").split()
-                total = 0.0
+
+        def of(text: str | None) -> float:
+            total, n = 0.0, 0
+            for piece in pieces(text or ""):
+                if len(known) > REMEMBERED:
+                    known.clear()
+                tokens = piece.split()
+                n += len(tokens)
                 for token in tokens:
                     value = known.get(token)
                     if value is None:
                         a, b = buckets(token)
                         value = known[token] = float(table[a] + table[b])
                     total += value
-                if tokens:
-                    out[i] += total / len(tokens)
+            return total / n if n else 0.0
+
+        for texts in batches:
+            out = bias + np.array([of(t.as_py()) for t in texts], float)
             yield pa.array(1 / (1 + np.exp(-np.clip(out, -50, 50))), pa.float64())
 
     return F.arrow_udf(run, "double")(text)
@@ -145,25 +172,39 @@ def score(text: Column | str, weights, bias: float) -> Column:
 def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", votes: Mapping[str, Column] | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """(id, posterior, score, keep): the labellers' posterior, the scorer's P(good), and whether that is 1/2 or more.
 
-    votes: {name: column of -1, 0 or 1 over docs with ``_counts``}, at most MOST_LABELLERS.
-    Null texts count as empty. Rows are kept as they are, repeated ones too. An empty
-    table gives no rows.
+    votes: {name: column of -1, 0 or 1 over ``text`` and ``_counts``}, at most MOST_LABELLERS.
+    The texts are read three times: once for the votes, which are written as one row of
+    (id, text hash, pattern) a document, once for the few sampled ones, once for the scores.
+    Null texts count as empty, null ids are an id. Rows are kept as they are, repeated
+    ones too. An empty table gives no rows. Other columns are not read, so their names cannot clash.
     """
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    columns = dict(votes if votes is not None else labellers(F.col("text")))
+    columns = list((votes if votes is not None else labellers(F.col("text"))).values())
     if not 1 <= len(columns) <= MOST_LABELLERS:
         raise ValueError(f"1 to {MOST_LABELLERS} labellers")
-    voted = quality_rules.metrics(own).select("id", "text", F.array(*(c.cast("int") for c in columns.values())).alias("votes"))
-    counted = voted.groupBy("votes").agg(F.count("*").alias("n")).collect()  # at most 3^MOST_LABELLERS rows
-    counted = sorted((tuple(r.votes), r.n) for r in counted)
-    good, _, _ = estimate([p for p, _ in counted], [n for _, n in counted])
-    table = spark.createDataFrame([(list(p), float(round(g, 9))) for (p, _), g in zip(counted, good, strict=True)], "votes array<int>, posterior double")
-    posterior = voted.join(F.broadcast(table), "votes")  # at most 3^MOST_LABELLERS rows
-    ids = own.select(F.xxhash64("id", "text").alias("_place")).distinct().orderBy("_place").limit(sample_rows)
-    met = posterior.join(F.broadcast(ids), F.xxhash64("id", "text") == F.col("_place")).groupBy("_place").agg(F.first("text").alias("text"), F.first("posterior").alias("posterior"))  # at most sample_rows rows
-    sample = met.select("text", "posterior").toArrow().to_pylist()
-    sample.sort(key=lambda r: (r["text"], r["posterior"]))
-    weights, bias = fit([r["text"] for r in sample], np.array([r["posterior"] for r in sample]))
-    scored = posterior.select("id", "posterior", F.round(score("text", spark.sparkContext.broadcast(weights.astype(np.float32)), bias), 9).alias("score"))
-    return scored.select("id", "posterior", "score", (F.col("score") >= 0.5).alias("keep"))
+    pattern = sum(((c.cast("int") + 1) * 3**j for j, c in enumerate(columns)), F.lit(0)).alias("pattern")
+    digest = F.xxhash64("text").alias("text_hash")
+    voted = checkpointed(quality_rules.metrics(own).select("id", digest, pattern))
+    counted = sorted((r.pattern, r.n) for r in voted.groupBy("pattern").agg(F.count("*").alias("n")).collect())  # at most 3^MOST_LABELLERS rows
+    good, _, _ = estimate([tuple(p // 3**j % 3 - 1 for j in range(len(columns))) for p, _ in counted], [n for _, n in counted])
+    posterior = {p: float(round(g, 9)) for (p, _), g in zip(counted, good, strict=True)}
+    place = F.xxhash64("id", "text_hash")
+    sample = voted.groupBy("id", "text_hash").agg(F.first("pattern").alias("pattern")).orderBy(place, "id", "text_hash").limit(sample_rows)
+    met = own.withColumn("text_hash", digest).join(F.broadcast(sample.withColumnRenamed("id", "_id").withColumnRenamed("text_hash", "_hash")), F.col("id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")))  # at most sample_rows rows
+    picked = met.groupBy("id", "text_hash").agg(F.first("pattern").alias("pattern"), F.first("text").alias("text"))
+    fitted = picked.select("id", "text_hash", "pattern", features("text").alias("f")).orderBy("id", "text_hash").select("pattern", "f.bucket", "f.share").toArrow()
+    flat = [fitted[c].combine_chunks() for c in ("bucket", "share")]
+    rows = np.repeat(np.arange(len(fitted)), pc.list_value_length(flat[0]).to_numpy(zero_copy_only=False))
+    weights, bias = fit(rows, flat[0].flatten().to_numpy().astype(np.int64), flat[1].flatten().to_numpy(), np.array([posterior[p] for p in fitted["pattern"].to_pylist()]))
+    scored = own.select("id", digest, F.round(score("text", spark.sparkContext.broadcast(weights.astype(np.float32)), bias), 9).alias("score"))
+    # equal (id, text) pairs have equal votes and scores, so both sides meet as one row a pair and are repeated afterwards
+    sides = voted.select("id", "text_hash", "pattern", F.lit(None).cast("double").alias("score"), F.lit(0).alias("n")).unionByName(
+        scored.select("id", "text_hash", F.lit(None).cast("int").alias("pattern"), "score", F.lit(1).alias("n"))
+    )
+    paired = sides.groupBy("id", "text_hash").agg(F.max("pattern").alias("pattern"), F.max("score").alias("score"), F.sum("n").alias("n"))
+    table = spark.createDataFrame(sorted(posterior.items()), "pattern int, posterior double")
+    every = paired.join(F.broadcast(table), "pattern")  # at most 3^MOST_LABELLERS rows
+    blocks = every.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {REPEATS}"))))
+    repeats = blocks.withColumn("one", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(REPEATS), F.col("n") - F.col("block") * REPEATS))))
+    return repeats.select("id", "posterior", "score", (F.col("score") >= 0.5).alias("keep"))

@@ -1,10 +1,18 @@
 """The fitted operators: held-out accuracy, recovered parameters and odd inputs."""
 
+import itertools
+import math
+import re
+import unicodedata
+import zlib
+from collections import Counter
+
 import numpy as np
+import regex
 from llm_support import ODD, docs_of
 from pyspark.sql import functions as F
 
-from pressloom.llm import catalog, toxicity, weak_quality
+from pressloom.llm import catalog, quality_rules, toxicity, weak_quality
 
 SF = "/root/testdata/sf0.1"
 
@@ -74,7 +82,99 @@ def test_a_hot_id_and_labels_without_documents_leave_the_sample_whole(spark):
 
 def test_the_scorers_sample_is_of_distinct_rows(spark, monkeypatch):
     taken, fit = [], weak_quality.fit
-    monkeypatch.setattr(weak_quality, "fit", lambda texts, target: taken.append(sorted(texts)) or fit(texts, target))
+    monkeypatch.setattr(weak_quality, "fit", lambda rows, cols, values, target: taken.append((len(target), len(set(rows)))) or fit(rows, cols, values, target))
     texts = ["one row many times over"] * 300 + [f"text number {k}" for k in range(20)]
-    weak_quality.classify(docs_of(spark, texts, ids=[0] * 300 + list(range(1, 21))), sample_rows=21)
-    assert taken == [sorted(set(texts))]
+    found = weak_quality.classify(docs_of(spark, texts, ids=[0] * 300 + list(range(1, 21))), sample_rows=21).collect()
+    assert taken == [(21, 21)] and sorted(r.id for r in found) == [0] * 300 + list(range(1, 21))
+
+
+def slow_counts(text, stops):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    often = {w for w, n in Counter(windows).items() if n > 1}
+    repeated = {i + k for i, w in enumerate(windows) if w in often for k in range(3)}
+    return {
+        "n_words": len(words), "word_chars": sum(map(len, words)), "n_symbols": len(re.findall(r"[#*$%&|<>]", text)), "n_stop_words": sum(w in stops for w in words),
+        "n_lines": len(lines), "n_dup_lines": len(lines) - len(set(lines)), "n_repeat_words": len(repeated),
+    }
+
+
+def slow_votes(text, stops):
+    c = slow_counts(text, stops)
+    share = lambda a, b: c[a] / c[b] if c[b] else 0.0
+    vote = lambda good, bad: -1 if bad else 1 if good else 0
+    letters = len(regex.findall(r"\p{L}", text))
+    capitals = len(regex.findall(r"\p{Lu}", text)) / letters if letters else 1.0
+    return (
+        vote(c["n_words"] >= 40, c["n_words"] < 5),
+        vote(share("n_symbols", "n_words") < 0.02, share("n_symbols", "n_words") > 0.1),
+        vote(share("n_stop_words", "n_words") > 0.1, share("n_stop_words", "n_words") < 0.05),
+        vote(share("n_repeat_words", "n_words") < 0.2, share("n_repeat_words", "n_words") > 0.5),
+        vote(False, share("n_dup_lines", "n_lines") > 0.4),
+        vote(3.5 <= share("word_chars", "n_words") <= 7.0, not 2.0 <= share("word_chars", "n_words") <= 15.0),
+        vote(capitals < 0.15, capitals > 0.5),
+    )
+
+
+def slow_em(votes, rounds=200):
+    """Document by document: the posterior of good."""
+    good = [1 / (1 + math.exp(-2 * sum(v))) for v in votes]
+    for _ in range(rounds):
+        prior = (sum(good) + 1) / (len(good) + 2)
+        chance = [[{x: 1.0 for x in (-1, 0, 1)} for _ in votes[0]] for _ in range(2)]
+        for g, v in zip(good, votes, strict=True):
+            for j, x in enumerate(v):
+                chance[1][j][x] += g
+                chance[0][j][x] += 1 - g
+        odds = [math.log(prior / (1 - prior))] * len(votes)
+        for i, v in enumerate(votes):
+            for j, x in enumerate(v):
+                odds[i] += math.log(chance[1][j][x] / sum(chance[1][j].values())) - math.log(chance[0][j][x] / sum(chance[0][j].values()))
+        good = [1 / (1 + math.exp(-max(-50, min(50, o)))) for o in odds]
+    return good
+
+
+def slow_scorer(texts, target, steps=150, ridge=1e-5):
+    """One text and one feature after the other: a function from a text to P(good)."""
+    def shares(text):
+        out, tokens = Counter(), text.split()
+        for t in sorted(tokens):
+            for key in (t, "\0" + slow_shape(t)):
+                out[zlib.crc32(key.encode()) >> 14] += 1 / len(tokens)
+        return out
+
+    rows = [shares(t) for t in texts]
+    names = sorted({b for r in rows for b in r}) + ["bias"]
+    w, mean, square = (dict.fromkeys(names, 0.0) for _ in range(3))
+    for i in range(1, steps + 1):
+        g = {b: ridge * w[b] for b in names}
+        for r, t in zip(rows, target, strict=True):
+            error = (1 / (1 + math.exp(-(sum(w[b] * v for b, v in r.items()) + w["bias"]))) - t) / len(rows)
+            for b, v in r.items():
+                g[b] += error * v
+            g["bias"] += error
+        for b in names:
+            mean[b], square[b] = 0.9 * mean[b] + 0.1 * g[b], 0.99 * square[b] + 0.01 * g[b] * g[b]
+            w[b] -= 0.3 * (1 - i / (steps + 1)) * (mean[b] / (1 - 0.9**i)) / (math.sqrt(square[b] / (1 - 0.99**i)) + 1e-5)
+    return lambda text: 1 / (1 + math.exp(-(sum(w.get(b, 0.0) * v for b, v in shares(text).items()) + w["bias"])))
+
+
+def slow_shape(token):
+    """Runs of letters as a, of numbers as 0, other characters as they are."""
+    kind = lambda ch: unicodedata.category(ch)[0] if unicodedata.category(ch)[0] in "LN" else ""
+    return "".join({"L": "a", "N": "0"}.get(k) or "".join(run) for k, run in itertools.groupby(token, key=kind))[:8]
+
+
+def test_weak_quality_equals_a_slow_reading(spark, real):
+    """Votes, posteriors and scores of whole real texts and odd ones, from plain Python."""
+    texts = [r.text for r in real.orderBy("doc_id").limit(60).collect()] + ODD[:8]
+    found = {r.id: r for r in weak_quality.classify(docs_of(spark, texts)).collect()}
+    plain = [t or "" for t in texts]
+    stops = set(" ".join(quality_rules.STOP_WORDS.values()).split())
+    good = slow_em([slow_votes(t, stops) for t in plain])
+    scorer = slow_scorer(plain, [round(g, 9) for g in good])
+    for i, t in enumerate(plain):
+        assert abs(found[i].posterior - good[i]) < 1e-6
+        assert abs(found[i].score - scorer(t)) < 1e-4, (i, found[i].score, scorer(t))
+        assert found[i].keep == (found[i].score >= 0.5)
