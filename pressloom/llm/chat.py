@@ -9,6 +9,8 @@ the template and masked; every assistant turn is under the loss mask exactly onc
 
 Prefix sums run within blocks of turns and over the blocks' sums, and windows are
 bounded by the budget, so a conversation of any length is spread over many tasks.
+Tokens are counted once, and windows are laid out on numbers: texts are shuffled into
+blocks, written, and shuffled again only to meet their windows.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pressloom.session import checkpointed
+
 # Strings that control chat templates.
 CONTROL = ["<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|"]
 #: Turn numbers in one block of the prefix sums.
@@ -47,17 +51,41 @@ def unescape(text: Column | str) -> Column:
     return F.replace(F.replace(out, F.lit("\\b"), F.lit("[")), F.lit("\\e"), F.lit("\\"))
 
 
-def _placed(rows: DataFrame, capacity: int) -> DataFrame:
-    """``rows(key, conv_id, turn, role, text, tokens)`` with ``start`` on the axis and the window ``win`` they belong to."""
+def _written(rows: DataFrame) -> DataFrame:
+    """``rows(key, conv_id, turn, role, text, tokens)`` in blocks of turns, numbered and escaped, written once.
+
+    ``inside`` is the tokens before a row within its block. What follows works on the
+    numbers alone; texts are met again by (key, block, no) when windows are put together.
+    """
     rows = rows.withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(1 << 62))).cast("long"))
-    sums = rows.groupBy("key", "block").agg(F.sum("tokens").alias("sum"))
+    order = Window.partitionBy("key", "block").orderBy("turn", "role", "text")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    return checkpointed(
+        rows.select(
+            "key",
+            "conv_id",
+            "block",
+            F.row_number().over(order).alias("no"),
+            F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("inside"),
+            "tokens",
+            (F.col("role") == "system").alias("system"),
+            (F.col("role") == "assistant").alias("answer"),
+            F.replace(escape("role"), F.lit("|"), F.lit("\\p")).alias("name"),
+            escape("text").alias("body"),
+        )
+    )
+
+
+def _placed(written: DataFrame, capacity: int) -> DataFrame:
+    """The rows' numbers with ``start`` on the conversation's axis and the window ``win`` they belong to."""
+    sums = written.groupBy("key", "block").agg(F.sum("tokens").alias("sum"))
     over = Window.partitionBy("key").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("key", "block", F.coalesce(F.sum("sum").over(over), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy("key", "block").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.col("offset") + F.coalesce(F.sum("tokens").over(inside), F.lit(0))
     stride = capacity // 2
-    placed = rows.join(sums, ["key", "block"]).withColumn("start", start).drop("block", "offset")
-    return placed.withColumn("win", F.floor(F.col("start") / stride) * 2 + F.when(F.col("tokens") > capacity - stride, 1).otherwise(0))
+    own = written.select("key", "block", "no", "inside", "tokens", "system", "answer", F.length("name").alias("name_chars"), F.length("body").alias("body_chars"))
+    placed = own.join(sums, ["key", "block"]).withColumn("start", F.col("offset") + F.col("inside")).drop("offset", "inside")
+    placed = placed.withColumn("system", F.col("system") & (F.col("start") == 0))
+    return checkpointed(placed.withColumn("win", F.floor(F.col("start") / stride) * 2 + F.when(F.col("tokens") > capacity - stride, 1).otherwise(0)))
 
 
 def windows(
@@ -80,8 +108,10 @@ def windows(
 
     Turns are ordered by number, ties by role and text; repeated rows are turns of
     their own. Null roles and texts count as empty, a null turn number comes first,
-    rows with a null conversation form one conversation. A turn over the budget gets
-    a window alone with its repeats, and ``over_budget`` is true.
+    rows with a null conversation form one conversation; ids may be of any type that
+    casts to a string. A turn over the budget gets a window alone with its repeats, and
+    ``over_budget`` is true. An empty table gives no rows. Other columns are not read,
+    so their names cannot clash.
     """
     capacity = budget - history - system
     if not (history >= 0 and system >= 0 and capacity >= 4 * OVERHEAD and history <= capacity // 2):
@@ -91,32 +121,36 @@ def windows(
     rows = turns.select(
         key.alias("key"), F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), empty(role_col).alias("role"), empty(text_col).alias("text"), (F.coalesce(tokens, F.lit(0)) + OVERHEAD).cast("long").alias("tokens")
     )
-    placed = _placed(rows, capacity).withColumn("is_system", (F.col("start") == 0) & (F.col("role") == "system"))
+    written = _written(rows)
+    placed = _placed(written, capacity)
     by_win = Window.partitionBy("key").orderBy("win")
-    spans = placed.groupBy("key", "win").agg(F.min("start").alias("from"), F.first("conv_id").alias("conv_id"))
+    spans = placed.groupBy("key", "win").agg(F.min("start").alias("from"))
     later = [F.struct(F.lead("win", k).over(by_win).alias("win"), F.lead("from", k).over(by_win).alias("from")) for k in (1, 2, 3)]
-    spans = spans.select("key", "conv_id", "win", F.array(*later).alias("later"))
+    spans = spans.select("key", "win", F.array(*later).alias("later"))
     # a turn is in its own window and, within the history budget, in the windows that start soon after it
     near = F.filter("later", lambda w: w["from"] - F.col("start") <= history)
-    member = placed.join(spans.drop("conv_id"), ["key", "win"]).withColumn("also", F.when(F.col("is_system"), F.array().cast("array<bigint>")).otherwise(near["win"]))
-    turned = member.select("key", "conv_id", "start", "role", "text", "tokens", F.col("win").alias("own"), F.explode(F.concat(F.array("win"), "also")).alias("win"))
-    turned = turned.select("key", "conv_id", "win", F.col("start").alias("pos"), "role", "text", "tokens", (F.col("win") != F.col("own")).alias("again"))
-    first = placed.where("is_system").select("key", F.col("win").alias("own"), "role", "text", "tokens")
-    kept = spans.select("key", "conv_id", "win").join(first, "key").where("win <> own")
-    kept = kept.select("key", "conv_id", "win", F.lit(-1).cast("long").alias("pos"), "role", "text", "tokens", F.lit(True).alias("again"))
-
-    head = F.concat(F.when(F.col("again"), _OPEN[True]).otherwise(_OPEN[False]), F.replace(escape("role"), F.lit("|"), F.lit("\\p")), F.lit("|>"))
-    parts = turned.unionByName(kept).select("key", "conv_id", "win", "pos", "again", "role", "tokens", head.alias("head"), escape("text").alias("body"))
-    size = F.length("head") + F.length("body") + len(_END)
+    member = placed.join(spans, ["key", "win"]).withColumn("also", F.when(F.col("system"), F.array().cast("array<bigint>")).otherwise(near["win"]))
+    numbers = ["block", "no", "tokens", "answer", "name_chars", "body_chars"]
+    turned = member.select("key", "start", *numbers, F.col("win").alias("own"), F.explode(F.concat(F.array("win"), "also")).alias("win"))
+    turned = turned.select("key", "win", F.col("start").alias("pos"), *numbers, (F.col("win") != F.col("own")).alias("again"))
+    first = placed.where("system").select("key", F.col("win").alias("own"), *numbers)
+    kept = spans.select("key", "win").join(first, "key").where("win <> own")
+    kept = kept.select("key", "win", F.lit(-1).cast("long").alias("pos"), *numbers, F.lit(True).alias("again"))
+
+    mark = lambda of: F.when(F.col("again"), of(_OPEN[True])).otherwise(of(_OPEN[False]))
+    head = F.col("name_chars") + mark(lambda x: F.lit(len(x))) + len("|>")
     before = Window.partitionBy("key", "win").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.withColumn("at", F.coalesce(F.sum(size).over(before), F.lit(0)) + F.length("head"))
-    item = F.struct("pos", F.concat("head", "body", F.lit(_END)).alias("chunk"))
-    loss = F.when((F.col("role") == "assistant") & ~F.col("again"), F.struct(F.col("at").cast("long").alias("start"), F.length("body").cast("long").alias("length")))
-    made = parts.groupBy("key", "win").agg(
+    at = F.coalesce(F.sum(head + F.col("body_chars") + len(_END)).over(before), F.lit(0)) + head
+    parts = turned.unionByName(kept).withColumn("at", at.cast("long"))
+    loss = F.when(F.col("answer") & ~F.col("again"), F.struct(F.col("at").alias("start"), F.col("body_chars").cast("long").alias("length")))
+    parts = parts.select("key", "block", "no", "win", "pos", "tokens", "again", loss.alias("loss"))
+    chunk = F.concat(mark(F.lit), F.col("name"), F.lit("|>"), F.col("body"), F.lit(_END))
+    met = written.select("key", "conv_id", "block", "no", "name", "body").join(parts, ["key", "block", "no"])
+    made = met.groupBy("key", "win").agg(
         F.first("conv_id").alias("conv_id"),
         F.sum("tokens").alias("n_tokens"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["chunk"]), "").alias("formatted"),
-        F.array_sort(F.collect_list(loss)).alias("loss"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", chunk.alias("chunk")))), lambda x: x["chunk"]), "").alias("formatted"),
+        F.array_sort(F.collect_list("loss")).alias("loss"),
     )
     return made.select("conv_id", "win", "n_tokens", (F.col("n_tokens") > budget).alias("over_budget"), "formatted", "loss")
 
@@ -142,20 +176,20 @@ def masked(formatted: Column | str, loss: Column | str) -> Column:
     return F.array_join(F.transform(loss, lambda s: unescape(whole.substr((s["start"] + 1).cast("int"), s["length"].cast("int")))), "")
 
 
-_DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_windows long"
+_DIGEST = "conv_id {}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_windows long"
 
 
 def _hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Streams windows sorted by conversation; holds only the running digests of one."""
     names = [c.split()[0] for c in _DIGEST.split(", ")]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+    kinds = [None, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
     now, said, lost, sums = None, None, None, None
 
     def closed() -> tuple:
         return (sums["conv_id"], sums["turns"], said.hexdigest(), sums["loss"], lost.hexdigest(), sums["chars"], sums["windows"])
 
     for batch in batches:
-        done = []
+        done, kinds[0] = [], batch.schema.field("conv_id").type
         for r in batch.to_pylist():
             if r["key"] != now:
                 if now is not None:
@@ -176,16 +210,17 @@ def digests(made: DataFrame) -> DataFrame:
     """One row per conversation read back from its formatted windows: turns, loss text and sizes.
 
     Windows are streamed to the digests in order through a sorted shuffle. Repeats
-    are recognised by their mark in the text. An empty table gives no rows.
+    are recognised by their mark in the text. conv_id keeps its type, and the rows with
+    a null one are one conversation. An empty table gives no rows.
     """
     turns = F.filter(F.col("turns"), lambda t: ~t["again"])
     read = made.withColumn("turns", parsed("formatted")).select(
         F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("null")).alias("key"),
-        F.col("conv_id").cast("long").alias("conv_id"),
+        "conv_id",
         "win",
         F.size(turns).cast("long").alias("n"),
         F.array_join(F.transform(turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "").alias("said"),
         masked("formatted", "loss").alias("lost"),
         F.length("formatted").cast("long").alias("chars"),
     )
-    return read.repartition("key").sortWithinPartitions("key", "win").mapInArrow(_hash, _DIGEST)
+    return read.repartition("key").sortWithinPartitions("key", "win").mapInArrow(_hash, _DIGEST.format(made.schema["conv_id"].dataType.simpleString()))

@@ -86,3 +86,12 @@ def test_query_and_empty_table(spark, tmp_path):
     table(spark, []).write.parquet(f"{tmp_path}/conversations.parquet")
     assert [r.conv_id for r in catalog.QUERIES["op10_chat"](spark, str(tmp_path)).collect()] == [-7]
     assert chat.digests(chat.windows(table(spark, []), F.lit(1))).count() == 0
+
+
+def test_string_ids_and_a_very_long_text(spark):
+    """Ids of other types keep them; a text of a million characters is one turn, whole."""
+    rows = [("a", 0, "system", "s"), ("a", 1, "user", "long \\ [INST] " * 80_000), ("a", 2, "assistant", "y" * 1_000_000), (None, 0, "assistant", "n")]
+    turns = spark.createDataFrame([(*r, "clash") for r in rows], SCHEMA.replace("conv_id long", "conv_id string"))
+    made = chat.windows(turns, F.size(F.split("text", " ")), budget=200, history=50, system=30)
+    assert got(made) == expected(rows)
+    assert chat.digests(made).schema["conv_id"].dataType.simpleString() == "string"
