@@ -59,9 +59,72 @@ def detect_language(text: Column) -> Column:
     return F.when(F.length(sample) == 0, "en").when((share > 0.1) | F.arrays_overlap(first, F.array(*map(F.lit, SINHALA))), "si").otherwise("en")
 
 
+# How lines begin that are no excerpt, bylines, credits and datelines.
+EXCERPT_SKIP = r"(?i)^(By\s+[A-Z]|Photo\s*:|Pic\s*:|Image\s*:|Courtesy\s*:|Colombo,?\s|COLOMBO\s*\(|(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\.?\s*\d)"
+BYLINE = r"^By\s+([A-Za-z][A-Za-z. ]+?)(?:\s*\n|(?=\s+Colombo|\s+[A-Z]{2,}))"
+DATELINES = [
+    r"(?i)^Colombo,?\s+.{0,60}?\((?:Daily\s?Mirror|DailyMirror|Mirror\s+Sports)\)\s*-?\s*",
+    r"(?i)^(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\.?\s*\d{1,2}(?:st|nd|rd|th)?(?:\s*\((?:Daily\s?Mirror|DailyMirror|Mirror\s+Sports)\))?\s*-\s*",
+    r"(?i)^COLOMBO\s*\(News\s?1st\)\s*[;:–-]\s*",
+    r"^ECONOMYNEXT\s*[–—-]\s*",
+]
+
+
+def clean_author(author: Column) -> Column:
+    """An author without a leading By and a trailing date; null where nothing is left."""
+    out = F.regexp_replace(F.regexp_replace(author, r"^[Bb]y\s+", ""), r"(?s)\s*\d{1,2}[-/]\d{1,2}[-/]\d{4}.*$", "")
+    return F.nullif(F.trim(out), F.lit(""))
+
+
+def byline(content: Column) -> Column:
+    """The author that a content begins with, or null."""
+    return F.nullif(F.trim(F.regexp_extract(content, BYLINE, 1)), F.lit(""))
+
+
+def without_byline(content: Column) -> Column:
+    """A content without the byline and, each once and in order, the datelines at its beginning."""
+    out = F.regexp_replace(content, BYLINE, "")
+    for pattern in DATELINES:
+        out = F.regexp_replace(out, pattern, "")
+    return out
+
+
+def fallback_hue(slug: Column) -> Column:
+    """0 to 359 from a name's characters, by a rolling hash in 32-bit arithmetic."""
+    chars = F.filter(F.split(slug, ""), lambda c: c != "")
+    shifted = lambda h: F.pmod(h * 32 + (1 << 31), F.lit(1 << 32)) - (1 << 31)
+    return F.abs(F.aggregate(chars, F.lit(0).cast("long"), lambda h, c: F.ascii(c).cast("long") + shifted(h) - h)) % 360
+
+
+def fenced_json(answer: Column) -> Column:
+    """What a model's answer holds between code fences, the JSON fence first; the whole answer without any."""
+    between = lambda fence: F.substring_index(F.substring(answer, F.instr(answer, fence) + len(fence), F.length(answer)), "```", 1)
+    return F.trim(F.when(F.contains(answer, F.lit("```json")), between("```json")).when(F.contains(answer, F.lit("```")), between("```")).otherwise(answer))
+
+
+def image_of(description: Column) -> Column:
+    """The first image address in an item's HTML description, or null."""
+    return F.nullif(F.regexp_extract(description, r"(?i)src=['\"](https?://[^'\"]+)['\"]", 1), F.lit(""))
+
+
+def url_query(url: Column) -> Column:
+    return F.regexp_extract(url, r"^[a-z]+://[^?#]*\?([^#]*)", 1)
+
+
+def badge(score: Column) -> Column:
+    """green from 7, yellow from 4, else red; null without a score."""
+    return F.when(score >= 7, "green").when(score >= 4, "yellow").when(score.isNotNull(), "red")
+
+
+def first_of(items: Column, k: int) -> Column:
+    """The first ``k`` names and how many more there are: a, b, c +2 more."""
+    more = F.size(items) - k
+    return F.concat(F.array_join(F.slice(items, 1, k), ", "), F.when(more > 0, F.concat(F.lit(" +"), more.cast("string"), F.lit(" more"))).otherwise(""))
+
+
 def excerpt(content: Column) -> Column:
-    """The first line of 40 or more characters that is no heading, image or rule, else the content: 300 characters of it."""
-    fits = lambda x: (F.length(x) >= 40) & ~x.rlike(r"^(#|!\[|---)")
+    """The first line of 40 or more characters that is no heading, image, rule, byline, credit or dateline, else the content: 300 characters of it."""
+    fits = lambda x: (F.length(x) >= 40) & ~x.rlike(r"^(#|!\[|---)") & ~x.rlike(EXCERPT_SKIP)
     lines = F.filter(F.transform(F.split(content, "\n"), F.trim), fits)
     return F.substring(F.coalesce(F.get(lines, 0), content), 1, 300)
 
@@ -92,6 +155,12 @@ def url_path(url: Column) -> Column:
     return F.regexp_extract(url, r"^[a-z]+://[^/?#]*([^?#]*)", 1)
 
 
-def error_class(status: Column, length: Column) -> Column:
-    """404 and 5xx as their code, texts under 100 characters as empty, else null."""
-    return F.when(status == 404, "404").when(status >= 500, status.cast("string")).when(F.coalesce(length, F.lit(0)) < 100, "empty")
+def error_class(status: Column, length: Column, challenged: Column | None = None, failure: Column | None = None) -> Column:
+    """404 and 5xx as their code, an unresolved challenge as cloudflare, texts under 100 characters as empty, else null.
+
+    failure: the name of what broke the fetch, if anything did: TimeoutError is timeout, any other unknown.
+    """
+    broke = F.lit(None).cast("string") if failure is None else failure
+    gate = F.lit(False) if challenged is None else F.coalesce(challenged, F.lit(False))
+    found = F.when(broke == "TimeoutError", "timeout").when(broke.isNotNull(), "unknown").when(status == 404, "404").when(status >= 500, status.cast("string"))
+    return found.when(gate, "cloudflare").when(F.coalesce(length, F.lit(0)) < 100, "empty")

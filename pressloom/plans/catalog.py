@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pressloom.functions import text
 from pressloom.operators import dedup, links, pages, review, search, stats, stories
-from pressloom.plans import date_plans, store_plans, story_plans  # noqa: F401
+from pressloom.plans import crawl_plans, date_plans, review_plans, store_plans, story_plans, text_plans  # noqa: F401
 from pressloom.plans.registry import ORACLE, QUERIES, SQL_STAMP, query, stamp  # noqa: F401
 from pressloom.session import load
 from pressloom.sources.adapter import ARTICLES_SQL, ATTEMPTS_SQL, NOW, articles, attempts, sources
@@ -221,7 +221,7 @@ def detect_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), text.detect_language(F.col("text")).alias("language"))
 
 
-@query("excerpts", f"WITH {ARTICLES_SQL} SELECT id, substr(coalesce(list_filter(list_transform(string_split(content, chr(10)), lambda x: trim(x)), lambda x: length(x) >= 40 AND NOT regexp_matches(x, '^(#|!\\[|---)'))[1], content), 1, 300) AS excerpt FROM articles")
+@query("excerpts", f"WITH {ARTICLES_SQL} SELECT id, substr(coalesce(list_filter(list_transform(string_split(content, chr(10)), lambda x: trim(x)), lambda x: length(x) >= 40 AND NOT regexp_matches(x, '^(#|!\\[|---)') AND NOT regexp_matches(x, '{text.EXCERPT_SKIP}'))[1], content), 1, 300) AS excerpt FROM articles")
 def excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), text.excerpt(F.col("text")).alias("excerpt"))
 
