@@ -61,7 +61,7 @@ def detect_language(text: Column) -> Column:
 
 # How lines begin that are no excerpt, bylines, credits and datelines.
 EXCERPT_SKIP = r"(?i)^(By\s+[A-Z]|Photo\s*:|Pic\s*:|Image\s*:|Courtesy\s*:|Colombo,?\s|COLOMBO\s*\(|(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\.?\s*\d)"
-BYLINE = r"^By\s+([A-Za-z][A-Za-z. ]+?)(?:\s*\n|(?=\s+Colombo|\s+[A-Z]{2,}))"
+BYLINE = r"^By\s+([A-Za-z][A-Za-z. ]+?)(?=\s+Colombo|\s+[A-Z]{2,})"
 DATELINES = [
     r"(?i)^Colombo,?\s+.{0,60}?\((?:Daily\s?Mirror|DailyMirror|Mirror\s+Sports)\)\s*-?\s*",
     r"(?i)^(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\.?\s*\d{1,2}(?:st|nd|rd|th)?(?:\s*\((?:Daily\s?Mirror|DailyMirror|Mirror\s+Sports)\))?\s*-\s*",

@@ -1,70 +1,115 @@
-"""Articles and links from raw HTML, parsed in Arrow batches with the standard library's parser."""
+"""Articles and links from raw HTML: a small reader per page finds the parts, columns decide what counts.
+
+The reader walks a page once and returns its candidates (metas, headings, times,
+regions of text, links, images) as a struct. Which of them is the title, the date or the
+content, and which links lead to articles, is said in column expressions over it.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Elements whose text is no content.
+from pressloom.functions import dates, text
+from pressloom.operators.select import path_and_query
+
+# Elements whose text is no content, and classes that mark chrome.
 SKIPPED = {"script", "style", "noscript", "iframe", "nav", "header", "footer", "aside", "figcaption"}
+CHROME = {"ad", "ads", "navbar", "navigation", "menu", "google-auto-placed", "adsbygoogle", "share", "share-buttons", "social", "sharethis", "st-total", "comments", "comments-section", "fotorama"}
 VOID = {"br", "img", "meta", "link", "input", "hr"}
 BLOCKS = {"p", "div", "h1", "h2", "h3", "li", "tr", "article", "section", "br", "blockquote"}
+# Metas and classes that name a page's parts, in the order in which they count.
+DATE_METAS = ["article:published_time", "og:article:published_time", "datePublished", "publishedTime", "dateModified", "modifiedTime"]
+AUTHOR_METAS = ["author", "article:author"]
+CONTENT_CLASSES = ["news-content", "story-body", "entry-content", "article-body", "article-content", "story-text", "inner-content", "post-content", "content-area"]
+AUTHOR_CLASSES = ["author-name", "byline", "article-author", "writer-name", "post-author"]
+DATE_CLASSES = ["publish-date", "article-date", "post-date", "entry-date", "date", "news-datestamp"]
+#: A region of more cleaned characters than this is the content.
+REGION = 200
+#: Lengths of a link's text, and the least number of path segments of a link that no allow list names.
+LINK_TEXT = (10, 300)
+SEGMENTS = 3
+# Links that lead to lists or media, and texts that say nothing.
+LIST_LINKS = r"(?i)/(category|tag|page|author|wp-content|feed|login)/"
+MEDIA_LINKS = r"(?i)\.(jpg|jpeg|png|gif|svg|webp|pdf)$"
+GENERIC_TEXT = r"(?i)^(වැඩි විස්තර|more|comments|\(\d+\)|read more)"
+
+_NAMED = {c: k for k, c in enumerate(CONTENT_CLASSES)}
+_ROLES = {**{c: ("author", k) for k, c in enumerate(AUTHOR_CLASSES)}, **{c: ("date", k) for k, c in enumerate(DATE_CLASSES)}}
 
 
 class _Reader(HTMLParser):
+    """Collects a page's parts; what an open element adds to is known when it opens, so text is put without looking at the stack."""
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool]] = []
+        self.open: list[tuple] = []  # (tag, skips, region begun or None, sink before)
         self.skipping = 0
-        self.heading, self.title, self.article, self.body, self.links = [], [], [], [], []
+        self.parts: list[str] = []  # the body's text; regions are ranges of it
+        self.regions: list[tuple[int, int, int]] = []  # (rank, first part, past the last part)
+        self.heading, self.title, self.links, self.metas = [], [], [], {}
+        self.named: dict[tuple[str, int], str] = {}
+        self.time = self.image = None
+        self.sink = self.parts
         self.link = None
 
     def handle_starttag(self, tag, attrs):
         given = dict(attrs)
+        classes = (given.get("class") or "").split()
         if tag == "a" and given.get("href"):
             self.link = (given["href"], [])
+        elif tag == "meta" and (name := given.get("property") or given.get("name")) and given.get("content"):
+            self.metas[name] = given["content"]
+        elif tag == "time" and given.get("datetime") and not self.time:
+            self.time = given["datetime"].strip()
+        elif tag == "img" and given.get("src") and not self.image and any(t == "article" for t, *_ in self.open):
+            self.image = given["src"]
         if tag in VOID:
             if tag in BLOCKS:
-                self._put("\n")
+                self.put("\n")
             return
-        skip = tag in SKIPPED or (given.get("class") or "") in ("ad", "ads", "share", "social", "comments")
-        self.open.append((tag, skip))
-        self.skipping += skip
+        skip = tag in SKIPPED or bool(CHROME.intersection(classes))
         if tag in BLOCKS:
-            self._put("\n")
+            self.put("\n")
+        rank = min((_NAMED[c] for c in classes if c in _NAMED), default=len(CONTENT_CLASSES) if tag == "article" else None)
+        role = min((_ROLES[c] for c in classes if c in _ROLES), default=None)
+        self.open.append((tag, skip, (rank, len(self.parts)) if rank is not None else None, self.sink, role))
+        self.skipping += skip
+        if tag == "title" and not self.title:
+            self.sink = self.title
+        elif tag == "h1" and not "".join(self.heading).strip() and not self.skipping:
+            self.sink = self.heading
+        elif role and role not in self.named:
+            self.named[role] = self.sink = []
 
     def handle_endtag(self, tag):
         if tag == "a" and self.link:
             self.links.append((self.link[0], " ".join("".join(self.link[1]).split())))
             self.link = None
-        if any(t == tag for t, _ in self.open):
+        if any(t == tag for t, *_ in self.open):
             while self.open:
-                t, skip = self.open.pop()
+                t, skip, region, self.sink, _ = self.open.pop()
                 self.skipping -= skip
+                if region:
+                    self.regions.append((region[0], region[1], len(self.parts)))
                 if t == tag:
                     break
         if tag in BLOCKS:
-            self._put("\n")
+            self.put("\n")
 
     def handle_data(self, data):
         if self.link:
             self.link[1].append(data)
-        self._put(data.replace("\n", " "))
+        self.put(data.replace("\n", " "))
 
-    def _put(self, data):
-        tags = [t for t, _ in self.open]
-        if "title" in tags:
-            self.title.append(data)
-        elif not self.skipping:
-            if "h1" in tags:
-                self.heading.append(data)
-            elif "article" in tags:
-                self.article.append(data)
-            self.body.append(data)
+    def put(self, data):
+        if self.sink is not self.parts:
+            self.sink.append(data)
+        if self.sink is not self.title and not self.skipping:
+            self.parts.append(data)
 
 
 def _clean(parts: list[str]) -> str:
@@ -72,33 +117,105 @@ def _clean(parts: list[str]) -> str:
     return "\n".join(x for x in lines if x)
 
 
-def extract(html: str | None) -> tuple[str | None, str | None, list[dict]]:
-    """(title, content, links) of one page; a page without an article gives its whole body."""
+PARTS = "heading string, title string, metas map<string,string>, author string, date string, time string, image string, regions array<string>, body string, links array<struct<href string, text string>>"
+
+
+def read(html: str | None) -> dict:
+    """A page's candidates; regions are the cleaned content areas in the order in which they count, chrome left out."""
     reader = _Reader()
     reader.feed(html or "")
     reader.close()
-    title = _clean(reader.heading) or _clean(reader.title) or None
-    article = _clean(reader.article)
-    content = (article if len(article) > 200 else _clean(reader.body)) or None
-    seen, links = set(), []
-    for href, text in reader.links:
-        if 10 <= len(text) <= 300 and href not in seen:
-            seen.add(href)
-            links.append({"href": href, "text": text})
-    return title, content, links
-
-
-def extracted(pages: DataFrame) -> DataFrame:
-    """(page_id, url, title, content, links) of pages(page_id, url, html)."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [extract(h) for h in pdf["html"]]
-            yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "title": [r[0] for r in rows], "content": [r[1] for r in rows], "links": [r[2] for r in rows]})
-
-    return pages.select("page_id", "url", "html").mapInPandas(run, "page_id long, url string, title string, content string, links array<struct<href string, text string>>")
-
-
-def links(found: DataFrame) -> DataFrame:
-    """(page_id, position, href, text): the links of extracted pages, one row each."""
-    return found.select("page_id", F.posexplode("links").alias("position", "l")).select("page_id", "position", "l.*")
+    while reader.open:
+        _, _, region, _, _ = reader.open.pop()
+        if region:
+            reader.regions.append((region[0], region[1], len(reader.parts)))
+    first = {}
+    for rank, begin, end in sorted(reader.regions):
+        first.setdefault(rank, _clean(reader.parts[begin:end]))
+    role = lambda kind: next((_clean(t) for (k, _), t in sorted(reader.named.items()) if k == kind and _clean(t)), None)
+    return {
+        "heading": _clean(reader.heading) or None,
+        "title": _clean(reader.title) or None,
+        "metas": list(reader.metas.items()),
+        "author": role("author"),
+        "date": role("date"),
+        "time": reader.time,
+        "image": reader.image,
+        "regions": list(first.values()),
+        "body": _clean(reader.parts) or None,
+        "links": [{"href": h, "text": t} for h, t in reader.links],
+    }
+
+
+def parts(html: Column | str) -> Column:
+    """The candidates of whole pages as a struct; null and empty pages have none."""
+    kind = pa.struct(
+        [("heading", pa.string()), ("title", pa.string()), ("metas", pa.map_(pa.string(), pa.string())), *((c, pa.string()) for c in ("author", "date", "time", "image")), ("regions", pa.list_(pa.string())), ("body", pa.string()), ("links", pa.list_(pa.struct([("href", pa.string()), ("text", pa.string())])))]
+    )
+
+    def run(pages: pa.Array) -> pa.Array:
+        return pa.array([read(p.as_py()) for p in pages], kind)
+
+    return F.arrow_udf(run, "struct<" + PARTS.replace(" map<", ":map<").replace(" array<", ":array<").replace(" string", ":string") + ">")(html)
+
+
+def extracted(pages: DataFrame, now: str = "9000-01-01 00:00:00", feed_date: Column | None = None) -> DataFrame:
+    """pages(page_id, url, html) as articles: title, author, published_at, content, image_url, excerpt, error, and the page's links.
+
+    The title is the first heading, else og:title, else the page's title. The content is
+    the first region of over REGION characters, else the body, without byline and
+    dateline. The date goes through the waterfall of meta, selected text, url, text and feed.
+    A page whose content has under 100 characters is an error of the kind empty.
+    """
+    p = F.col("_p")
+    meta = lambda *names: F.coalesce(*(F.try_element_at(p["metas"], F.lit(n)) for n in names))
+    region = F.get(F.filter(p["regions"], lambda x: F.length(x) > REGION), 0)
+    raw = F.coalesce(region, p["body"], F.lit(""))
+    found = pages.select("page_id", "url", parts("html").alias("_p"))
+    said = F.coalesce(meta(*DATE_METAS), p["time"], p["date"])
+    where = F.coalesce(F.get(p["regions"], 0), p["body"], F.lit(""))
+    at = dates.waterfall(said, said, F.col("url"), where, F.lit(None).cast("string") if feed_date is None else feed_date, now)
+    author = F.coalesce(text.clean_author(F.coalesce(meta(*AUTHOR_METAS), p["author"])), text.byline(raw))
+    content = text.without_byline(raw)
+    return found.select(
+        "page_id",
+        "url",
+        F.coalesce(p["heading"], meta("og:title"), p["title"]).alias("title"),
+        author.alias("author"),
+        at.alias("published_at"),
+        F.nullif(content, F.lit("")).alias("content"),
+        F.coalesce(meta("og:image"), p["image"]).alias("image_url"),
+        text.excerpt(content).alias("excerpt"),
+        text.error_class(F.lit(200), F.length(raw)).alias("error"),
+        p["links"].alias("links"),
+    )
+
+
+def all_links(found: DataFrame) -> DataFrame:
+    """(page_id, url, position, href, text): every link of extracted pages, absolute and without its fragment."""
+    each = found.select("page_id", "url", F.posexplode("links").alias("position", "l"))
+    host = F.regexp_extract("url", r"^([a-z]+://[^/?#]*)", 1)
+    href = F.col("l.href")
+    whole = F.when(F.startswith(href, F.lit("//")), F.concat(F.regexp_extract("url", "^([a-z]+:)", 1), href)).when(F.startswith(href, F.lit("/")), F.concat(host, href)).otherwise(href)
+    return each.select("page_id", "url", "position", F.substring_index(whole, "#", 1).alias("href"), F.col("l.text").alias("text"))
+
+
+def links(found: DataFrame, allow: list[str] | None = None, plain: bool = False) -> DataFrame:
+    """(page_id, position, href, text): the links of extracted pages that lead to articles, the first of equal ones.
+
+    They stay on the page's host, have a text of LINK_TEXT characters that says something,
+    lead to no list or media, and match one of ``allow`` by path and query or, without such a
+    list, have SEGMENTS path segments. ``plain`` normalises to https without query and final slash.
+    """
+    rows = all_links(found)
+    href, said = F.col("href"), F.col("text")
+    same = F.startswith(href, F.regexp_extract("url", r"^([a-z]+://[^/?#]*)", 1))
+    some = rows.where(same & F.length(said).between(*LINK_TEXT) & ~said.rlike(GENERIC_TEXT) & ~href.rlike(LIST_LINKS) & ~href.rlike(MEDIA_LINKS))
+    if allow:
+        some = some.where(path_and_query(href).rlike("|".join(allow)))
+    elif not plain:
+        some = some.where(F.size(F.filter(F.split(text.url_path(href), "/"), lambda x: x != "")) >= SEGMENTS)
+    if plain:
+        bare = F.substring_index(F.regexp_replace("href", "^http:", "https:"), "?", 1)
+        some = some.withColumn("href", F.regexp_replace(bare, "/$", ""))
+    return some.groupBy("page_id", "href").agg(F.min(F.struct("position", "text")).alias("m")).select("page_id", "m.position", "href", "m.text")

