@@ -1,12 +1,24 @@
-"""Structured Streaming: deduplicated items, daily activity, and the state of failing links."""
+"""Structured Streaming: deduplicated items, daily activity, failing links, seen urls, sessions and clustering runs.
+
+What needs state keeps it in Spark's state store under the query's checkpoint, or in a
+versioned Parquet table that each batch replaces; both survive a restart, and a batch
+that is run again writes the same version again.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import logging
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pressloom.operators.links import dead_links
 
+log = logging.getLogger(__name__)
+
 
 def stream(spark, path: str, like: DataFrame, files: int = 1) -> DataFrame:
     """The Parquet files of a folder (or one file's folder by glob) as a stream, so many files a batch."""
@@ -23,6 +35,134 @@ def activity(events: DataFrame, at: str = "ts", late: str = "2 days") -> DataFra
     return events.withWatermark(at, late).groupBy(F.window(at, "1 day")).agg(F.count("*").alias("n")).select(F.to_date("window.start").alias("day"), "n")
 
 
+def sessions(events: DataFrame, key: str, at: str = "ts", gap: str = "30 minutes", late: str = "2 days") -> DataFrame:
+    """(key, start, end, n): sessions of events with less than ``gap`` between them."""
+    grouped = events.withWatermark(at, late).groupBy(key, F.session_window(at, gap)).agg(F.count("*").alias("n"))
+    return grouped.select(key, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
+
+
+def accepted(items: DataFrame, at: str, now: str) -> DataFrame:
+    """Items whose date is neither missing, before 2006 nor more than two days after ``now``."""
+    day = F.col(at)
+    return items.where(day.isNotNull() & (day >= F.lit("2006-01-01").cast("timestamp")) & (day <= F.lit(now).cast("timestamp") + F.expr("interval 2 days")))
+
+
+_STATE = "retries int, first_failed long, last_checked long, error string"
+_LINK = "url string, failing boolean, retry_count int, first_failed_at timestamp, last_checked_at timestamp, error_type string"
+
+
+def _follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """One url's state over its new attempts: a failure adds a retry, a success ends the state."""
+    held = state.get if state.exists else None
+    rows = pd.concat(list(batches)).sort_values(["tried", "seq"], kind="stable")
+    for r in rows.itertuples(index=False):
+        if not r.failed:
+            held = None
+        else:
+            at = r.tried.value // 1000
+            held = (held[0] + 1 if held else 0, held[1] if held else at, at, r.error_type)
+    if held is None:
+        if state.exists:
+            state.remove()
+        yield pd.DataFrame([(key[0], False, None, pd.NaT, pd.NaT, None)], columns=[c.split()[0] for c in _LINK.split(", ")])
+    else:
+        state.update(held)
+        yield pd.DataFrame([(key[0], True, held[0], pd.Timestamp(held[1], unit="us"), pd.Timestamp(held[2], unit="us"), held[3])], columns=[c.split()[0] for c in _LINK.split(", ")])
+
+
+def link_states(attempts: DataFrame) -> DataFrame:
+    """The state of every url that a batch of attempts(url, tried, seq, failed, error_type) touches, after it.
+
+    A state machine in the state store: no retries at first, one more at each failure
+    since, no state after a success. Attempts of one url within a batch are taken in
+    order; one batch's attempts of a url are what a task holds.
+    """
+    return attempts.groupBy("url").applyInPandasWithState(_follow, _LINK, _STATE, "update", GroupStateTimeout.NoTimeout)
+
+
+class Table:
+    """A Parquet table of versions: each batch writes the next one whole, readers take the latest that is complete."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+        jvm = spark._jvm
+        self.path = jvm.org.apache.hadoop.fs.Path
+        self.fs = self.path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def version(self, below: int | None = None) -> int | None:
+        """The latest complete version, or the latest below ``below``."""
+        if not self.fs.exists(self.path(self.folder)):
+            return None
+        names = [s.getPath().getName() for s in self.fs.listStatus(self.path(self.folder))]
+        found = [int(n[2:]) for n in names if n.startswith("v=") and self.fs.exists(self.path(f"{self.folder}/{n}/_SUCCESS"))]
+        return max((v for v in found if below is None or v < below), default=None)
+
+    def read(self, below: int | None = None) -> DataFrame | None:
+        version = self.version(below)
+        return None if version is None else self.spark.read.parquet(f"{self.folder}/v={version}")
+
+    def put(self, rows: DataFrame, version: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.folder}/v={version}")
+
+
+def upserting(table: Table, key: str) -> Callable[[DataFrame, int], None]:
+    """A batch function that puts each batch's rows, one a key, in place of the table's."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        old = table.read(below=number)
+        fresh = batch.dropDuplicates([key])
+        table.put(fresh if old is None else old.join(fresh.select(key), key, "left_anti").unionByName(fresh), number)
+
+    return run
+
+
+def appending_unseen(table: Table, key: str, order: list[str]) -> Callable[[DataFrame, int], None]:
+    """A batch function that adds the first row of each key that the table has not seen."""
+    from pressloom.operators.dedup import inserted
+
+    def run(batch: DataFrame, number: int) -> None:
+        old = table.read(below=number)
+        table.put(inserted(batch.limit(0) if old is None else old, batch, key, order), number)
+
+    return run
+
+
+def isolated(run: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+    """A batch function whose errors are logged and do not end the query: the cycle is lost, the next one goes on."""
+
+    def safe(batch: DataFrame, number: int) -> None:
+        try:
+            run(batch, number)
+        except Exception:
+            log.exception("batch %s failed", number)
+
+    return safe
+
+
+def cycle(source: DataFrame, run: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None):
+    """Starts a query that gives every batch to ``run``: each ``every`` (300 seconds, say), or what there is and then ends."""
+    writer = source.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).outputMode("update")
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
+def clustering(table: Table, threshold: float, order: list[str], id_col: str, vector: str, at: str, hours: int = 48) -> Callable[[DataFrame, int], None]:
+    """A batch function that clusters a batch's vectors with those of the last ``hours`` before its latest and keeps the assignments by id."""
+    from pressloom.operators import stories
+
+    def run(batch: DataFrame, number: int) -> None:
+        old = table.read(below=number)
+        columns = list(dict.fromkeys([id_col, at, vector, *order]))
+        every = batch.select(columns) if old is None else batch.select(columns).unionByName(old.select(columns))
+        latest = batch.agg(F.max(at).alias("latest"))
+        recent = every.crossJoin(latest).where(F.col(at) > F.col("latest") - F.make_dt_interval(F.lit(0), F.lit(hours))).drop("latest")  # one row
+        found = stories.clusters(recent.withColumn("block", F.lit(number).cast("long")), threshold, "block", order, id_col, vector)
+        now = recent.join(found, id_col)
+        kept = now if old is None else old.join(now.select(id_col), id_col, "left_anti").unionByName(now)
+        table.put(kept, number)
+
+    return run
+
+
 def keep_attempts(attempts: DataFrame, folder: str, checkpoint: str):
     """A query that appends every attempt to a Parquet table, from which ``state`` is read; restartable from its checkpoint."""
     return attempts.writeStream.format("parquet").option("path", folder).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()

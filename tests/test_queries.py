@@ -7,6 +7,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from pressloom.functions import text
 from pressloom.operators import dedup, pages, stories
@@ -44,14 +45,14 @@ def test_query_equals_its_oracle(spark, duck, name):
 
 
 def test_greedy_clusters_follow_the_fold(spark):
-    vectors = spark.read.parquet(f"{SF}/embeddings.parquet").toPandas().sort_values("vec_id")
     wanted = {}
-    for b in range(8):
+    rows = catalog.dated_vectors(spark, SF).orderBy("block", F.desc_nulls_last("published_at"), "vec_id").collect()
+    for block in {r.block for r in rows}:
         centroids = []
-        for i, v in zip(vectors.vec_id, vectors.embedding, strict=True):
-            if i % 8 != b:
+        for r in rows:
+            if r.block != block:
                 continue
-            v = np.array(v, float)
+            v = np.array(r.embedding, float)
             sims = [c @ v for c, _ in centroids]
             k = int(np.argmax(sims)) if sims and max(sims) >= 0.3 else len(centroids)
             if k == len(centroids):
@@ -60,7 +61,7 @@ def test_greedy_clusters_follow_the_fold(spark):
                 c, n = centroids[k]
                 c = (c * n + v) / (n + 1)
                 centroids[k] = (c / np.linalg.norm(c), n + 1)
-            wanted[i] = (b, k)
+            wanted[r.vec_id] = (block, k)
     assert {r.vec_id: (r.block, r.cluster) for r in catalog.QUERIES["greedy_clusters"](spark, SF).collect()} == wanted
     assert stories.greedy(np.zeros((0, 3)), 0.5) == []
 
@@ -71,11 +72,11 @@ def test_pages_are_read_without_chrome(spark):
         "<article><h1>Head\n line</h1><p>" + "word " * 60 + "</p><p>two<br>three</p></article>"
         "<a href='/a'>a long enough link</a><a href='/a'>a long enough link</a><a href='/b'>short</a><footer>foot</footer></body></html>"
     )
-    title, content, links = pages.extract(html)
-    assert title == "Head line"
-    assert content == " ".join(["word"] * 60) + "\ntwo\nthree"
-    assert links == [{"href": "/a", "text": "a long enough link"}]
-    assert pages.extract(None) == (None, None, []) and pages.extract("<p>only body") == (None, "only body", [])
+    page = spark.createDataFrame([(1, "https://h.example/", html)], "page_id long, url string, html string")
+    r = pages.extracted(page).first()
+    assert r.title == "Head line"
+    assert r.content == "Head line\n" + " ".join(["word"] * 60) + "\ntwo\nthree"
+    assert [(x.href, x.text) for x in pages.links(pages.extracted(page), allow=["^/a"]).collect()] == [("https://h.example/a", "a long enough link")]
     found = catalog.QUERIES["html_articles"](spark, SF)
     assert found.count() == spark.read.parquet(f"{SF}/pages.parquet").count() and found.where("content is null").count() == 0
     assert catalog.QUERIES["html_links"](spark, SF).columns == ["page_id", "position", "href", "text"]

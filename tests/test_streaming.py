@@ -38,3 +38,64 @@ def test_titles_once_a_week_and_days_counted(spark, tmp_path):
     assert sorted(fresh) == sorted({r.user_id for r in events.select("user_id").distinct().collect()})
     wanted = {r.day: r.n for r in events.groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n")).collect()}
     assert {r.day: r.n for r in spark.table("days").collect()} == wanted
+
+
+def made_attempts(source):
+    kind = F.element_at(F.array(*map(F.lit, ("404", "timeout", "empty", "503"))), (F.col("event_id") % 4 + 1).cast("int"))
+    url = F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("/"), (F.col("event_id") % 31).cast("string"))
+    return source.select(url.alias("url"), F.col("ts").cast("timestamp").alias("tried"), F.col("event_id").alias("seq"), (F.col("event_type") == "error").alias("failed"), kind.alias("error_type"))
+
+
+def test_link_states_follow_the_batch_fold_through_a_restart(spark, tmp_path):
+    """The state machine in the state store, upserted into a table, equals the fold over all attempts in order."""
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    cuts = ["2024-01-10", "2024-01-20", "2024-02-10"]
+    table = ingest.Table(spark, f"{tmp_path}/links")
+    for k, until in enumerate(cuts):
+        since = cuts[k - 1] if k else "2023-01-01"
+        events.where((F.col("ts") >= since) & (F.col("ts") < until)).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/events.parquet")
+        source = made_attempts(ingest.stream(spark, f"{tmp_path}/in/events.parquet", events))
+        ingest.cycle(ingest.link_states(source), ingest.upserting(table, "url"), f"{tmp_path}/check").awaitTermination()
+    found = sorted(tuple(r) for r in table.read().where("failing").select("url", "retry_count", "first_failed_at", "last_checked_at", "error_type").collect())
+    wanted = sorted(tuple(r) for r in dead_links(made_attempts(events)).select("url", "retry_count", "first_failed_at", "last_checked_at", "error_type").collect())
+    assert found == wanted and len(found) > 20
+
+
+def test_unseen_urls_are_added_once_and_a_bad_batch_does_not_stop_the_query(spark, tmp_path):
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    split(events, f"{tmp_path}/events.parquet", 4)
+    table = ingest.Table(spark, f"{tmp_path}/seen")
+    put, failed = ingest.appending_unseen(table, "user_id", ["ts", "event_id"]), []
+
+    def run(batch, number):
+        if number == 1:
+            failed.append(number)
+            raise ValueError("a cycle that fails")
+        put(batch, number)
+
+    source = ingest.stream(spark, f"{tmp_path}/events.parquet", events)
+    ingest.cycle(source, ingest.isolated(run), f"{tmp_path}/check").awaitTermination()
+    seen = [r.user_id for r in table.read().collect()]
+    assert failed == [1] and len(seen) == len(set(seen)) and set(seen) <= {r.user_id for r in events.select("user_id").distinct().collect()} and len(seen) > 5
+    put(events, 99)
+    put(events, 99)
+    assert sorted(r.user_id for r in table.read().collect()) == sorted(r.user_id for r in events.select("user_id").distinct().collect())
+
+
+def test_sessions_and_dates(spark):
+    rows = spark.createDataFrame([(1, "2024-01-01 10:00:00"), (1, "2024-01-01 10:20:00"), (1, "2024-01-01 11:00:00"), (2, "2024-01-01 10:00:00"), (3, None), (4, "2001-01-01 00:00:00"), (5, "2030-01-01 00:00:00")], "k int, t string").select("k", F.col("t").cast("timestamp").alias("ts"))
+    good = ingest.accepted(rows, "ts", "2024-01-31 00:00:00")
+    assert sorted(r.k for r in good.collect()) == [1, 1, 1, 2]
+    assert sorted((r.k, r.n) for r in ingest.sessions(good, "k").collect()) == [(1, 1), (1, 2), (2, 1)]
+
+
+def test_clustering_runs_batch_by_batch(spark, tmp_path):
+    """Each batch is clustered with what the last 48 hours hold; older assignments stay."""
+    rows = [(i, f"2024-01-{1 + i // 4:02d} 0{i % 4}:00:00", [1.0, 0.0] if i % 2 else [0.0, 1.0]) for i in range(16)]
+    vectors = spark.createDataFrame(rows, "id long, at string, v array<double>").withColumn("at", F.col("at").cast("timestamp"))
+    table = ingest.Table(spark, f"{tmp_path}/clusters")
+    run = ingest.clustering(table, 0.9, ["at", "id"], "id", "v", "at")
+    for k in range(4):
+        run(vectors.where((F.col("id") >= 4 * k) & (F.col("id") < 4 * k + 4)), k)
+    found = {r.id: (r.block, r.cluster) for r in table.read().collect()}
+    assert len(found) == 16 and found[0] != found[1] and found[12] == found[14] and {b for b, _ in found.values()} == {1, 2, 3}
