@@ -58,10 +58,10 @@ def recorded(state: DataFrame, failures: DataFrame, successes: DataFrame) -> Dat
 def sweep_end(pages: DataFrame, most_misses: int, group: str, order: str, hit: Column) -> DataFrame:
     """(group, stop): the order at which a sweep has had ``most_misses`` misses in a row; null if it never does.
 
-    A hit resets the count. Runs are islands between hits, numbered by a running count.
+    A hit resets the count. That is the first row at which the last ``most_misses`` rows
+    are all misses: one window with a frame of that length. A group is sorted by one task, in spillable runs.
     """
-    by_order = Window.partitionBy(group).orderBy(order)
-    island = pages.withColumn("_island", F.sum(hit.cast("int")).over(by_order)).where(~hit)
-    counted = island.withColumn("_miss", F.row_number().over(Window.partitionBy(group, "_island").orderBy(order)))
-    stops = counted.where(F.col("_miss") == most_misses).groupBy(group).agg(F.min(order).alias("stop"))
-    return pages.select(group).distinct().join(stops, group, "left")
+    last = Window.partitionBy(group).orderBy(order).rowsBetween(1 - most_misses, 0)
+    missed = pages.withColumn("_missed", F.sum((~hit).cast("int")).over(last))
+    stop = F.min(F.when(F.col("_missed") == most_misses, F.col(order))).alias("stop")
+    return missed.groupBy(group).agg(stop)
