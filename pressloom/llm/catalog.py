@@ -64,7 +64,7 @@ def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Six tenths of all words by weight, at most two epochs of a source: how often each selected document is taken."""
     docs = load(spark, sf_dir, "documents")
     found = mix.select(docs, domain_of("source"), MIX_WEIGHTS, fraction=0.6, epochs=2)
-    return found.select("doc_id", F.col("_domain").alias("domain"), F.col("_lang").alias("lang"), F.col("_source").alias("source"), F.col("_n_tokens").alias("n_tokens"), F.col("_copies").alias("copies"))
+    return found.select("doc_id", "_mix.*")
 
 
 @query

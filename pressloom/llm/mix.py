@@ -20,6 +20,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pressloom.llm.texts import free_name, own
 from pressloom.session import checkpointed
 
 LEVELS = ("domain", "lang", "source")
@@ -81,7 +82,7 @@ def plan(leaves: DataFrame, weights: Mapping[tuple[str, ...], int], budget: Colu
         path = list(LEVELS[: depth + 1])
         level = nodes.groupBy(F.lit(0).alias("all"), *path).agg(F.sum("cap").alias("cap"), F.sum("tokens").alias("tokens"))
         above = ["all", *LEVELS[:depth]]
-        level = level.join(parents, above).withColumn("path", F.concat_ws("\x1f", *path)).join(F.broadcast(table), "path", "left")
+        level = level.join(parents, above).withColumn("path", F.concat_ws("\x1f", *path)).join(F.broadcast(table) if len(spec) <= BROADCAST_LEAVES else table, "path", "left")
         level = level.withColumns({"weight": F.coalesce("weight", F.lit(default_weight)).cast("long"), "name": F.col(name)})
         found = shares(level, above)
         parents = found.select("all", *path, F.col("share").alias("budget"))
@@ -105,22 +106,24 @@ def select(
     lang_col: str = "lang",
     source_col: str = "source",
     text_col: str = "text",
+    out: str = "_mix",
 ) -> DataFrame:
-    """``docs`` with ``_domain``, ``_lang``, ``_source`` and ``_copies``, the epochs that take the row, where that is positive.
+    """``docs`` with a struct ``out`` of domain, lang, source, n_tokens and copies, the epochs that take the row, where that is positive.
 
     The budget is ``budget`` tokens or ``fraction`` of all. ``tokens`` counts a row's
     tokens (default: words). Null names count as ''. Rows without tokens are not
     selected. Rows with equal ids in a leaf share one place in the order: all or none
-    of them are in the prefix. Null ids are one such id. An empty table gives no rows.
+    of them are in the prefix. Null ids are one such id. A column named ``out`` is
+    replaced, all others stay whatever their names. An empty table gives no rows.
     """
     if (fraction is None) == (budget is None):
         raise ValueError("give either fraction or budget")
     name = lambda c: F.coalesce(c.cast("string"), F.lit(""))
-    leaf = dict(zip((f"_{x}" for x in LEVELS), (name(domain), name(F.col(lang_col)), name(F.col(source_col))), strict=True))
+    leaf = dict(zip(LEVELS, (name(domain), name(F.col(lang_col)), name(F.col(source_col))), strict=True))
     own_id = name(F.col(id_col))
     counted = (tokens if tokens is not None else words(text_col)).cast("long")
     some = docs.where(F.col(text_col).rlike(r"[^\x20\x09-\x0D]") if tokens is None else tokens > 0)
-    narrow = checkpointed(some.select(*(c.alias(k[1:]) for k, c in leaf.items()), own_id.alias("id"), counted.alias("n")))
+    narrow = checkpointed(some.select(*(c.alias(k) for k, c in leaf.items()), own_id.alias("id"), counted.alias("n")))
     leaves = narrow.groupBy(*LEVELS).agg(F.sum("n").alias("tokens"))
     goal = F.lit(int(budget)) if fraction is None else F.floor(F.col("total") * F.lit(float(fraction)))
     cut = plan(leaves, weights, goal, epochs).selectExpr(*LEVELS, "share div tokens as epoch", "share % tokens as rest")
@@ -143,13 +146,22 @@ def select(
     peers = Window.partitionBy(*LEVELS).orderBy("place").rangeBetween(Window.unboundedPreceding, 0)
     fits = inside.withColumn("sum", F.col("taken") + F.sum("n").over(peers)).where("sum <= rest").groupBy(*LEVELS).agg(F.max("place").alias("last"))
     ends = bound.join(fits, list(LEVELS), "left").select(*LEVELS, F.coalesce("last", "prefix").alias("last"))
-    final = checkpointed(cut.join(ends, list(LEVELS), "left").select(*(F.col(x).alias(f"_{x}") for x in LEVELS), F.col("epoch").alias("_epoch"), F.col("last").alias("_last")))
-    here = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("_epoch").cast("string"), own_id))
-    copies = F.col("_epoch") + F.when(here <= F.col("_last"), 1).otherwise(0)
-    taken = some.withColumns(leaf).join(_small(final), list(leaf)).withColumn("_copies", copies.cast("long")).where("_copies > 0")
-    return taken.withColumn("_n_tokens", counted).drop("_epoch", "_last")
+    leaf_name, cut_name = free_name(docs, "_leaf"), free_name(docs, "_cut")
+    final = checkpointed(cut.join(ends, list(LEVELS), "left").select(F.struct(*LEVELS).alias(leaf_name), F.struct("epoch", "last").alias(cut_name)))
+    here = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(cut_name)["epoch"].cast("string"), own_id))
+    copies = F.col(cut_name)["epoch"] + F.when(here <= F.col(cut_name)["last"], 1).otherwise(0)
+    placed = some.withColumn(leaf_name, F.struct(*(c.alias(k) for k, c in leaf.items()))).join(_small(final), leaf_name).where(copies > 0)
+    facts = F.struct(*(F.col(leaf_name)[x].alias(x) for x in LEVELS), counted.alias("n_tokens"), copies.cast("long").alias("copies"))
+    return placed.withColumn(out, facts).drop(leaf_name, cut_name)
 
 
-def repeated(selected: DataFrame, columns: list[str]) -> DataFrame:
-    """``columns`` of the selected rows, each row as often as epochs take it."""
-    return selected.withColumn("_epoch", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*columns)
+def repeated(selected: DataFrame, columns: list[str], out: str = "_mix") -> DataFrame:
+    """``columns`` of the rows of ``select``, each row as often as epochs take it."""
+    copy = free_name(selected, "_copy")
+    return selected.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(out)["copies"]))).select(*map(own, columns))
+
+
+def take(docs: DataFrame, domain: Column, weights: Mapping[tuple[str, ...], int], **options) -> DataFrame:
+    """The rows that ``select`` takes, each as often as epochs take it, all columns as they are, whatever their names."""
+    out = free_name(docs, "_mix")
+    return repeated(select(docs, domain, weights, **options, out=out), docs.columns, out)

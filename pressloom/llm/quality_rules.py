@@ -13,6 +13,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pressloom.llm.texts import free_name
+
 SPACE = r"[\x20\x09-\x0D]+"
 #: Words of a repeat's window.
 WINDOW = 3
@@ -45,7 +47,7 @@ RULES = (
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_stop_words", "n_lines", "n_dup_lines", "n_repeat_words")
 
 
-def _repeat_words(words: str, keys: str) -> Column:
+def _repeat_words(keys: Column) -> Column:
     """Words within windows found twice or more, from the windows' hashes ``keys`` (array<long>).
 
     Windows are sorted as hash prefix and position in one long, so equal windows
@@ -77,36 +79,38 @@ def _repeat_words(words: str, keys: str) -> Column:
     )
 
 
-def metrics(docs: DataFrame, text_col: str = "text", stop_words: Sequence[str] | None = None) -> DataFrame:
-    """``docs`` with the COUNTS (longs) as a struct ``_counts``.
+def metrics(docs: DataFrame, text_col: str = "text", stop_words: Sequence[str] | None = None, out: str = "_counts") -> DataFrame:
+    """``docs`` with the COUNTS (longs) as a struct ``out``.
 
     Words are runs of other than ASCII white space. Null and empty texts have no words, lines
     or symbols. n_lines counts \\n-split lines with a word; n_dup_lines those equal to
     an earlier one; n_repeat_words the words in 3-word windows found twice or more
-    (windows are compared by 64-bit hash). Other columns stay, whatever their names,
-    unless they begin with ``_w_``.
+    (windows are compared by 64-bit hash). Rows stay as they are, repeated ones too;
+    a column named ``out`` is replaced, all others stay whatever their names; an empty
+    table gives no rows.
     """
     stops = list(stop_words) if stop_words is not None else sorted(set(" ".join(STOP_WORDS.values()).split()))
     text = F.coalesce(F.col(text_col), F.lit(""))
     has_word = lambda x: x.rlike(r"[^\x20\x09-\x0D]")
-    out = docs.withColumns({"_w_words": F.array_remove(F.split(text, SPACE), ""), "_w_lines": F.filter(F.split(text, "\n"), has_word)})
-    words = F.col("_w_words")
+    word_name, line_name, key_name = (free_name(docs, x) for x in ("_w_words", "_w_lines", "_w_keys"))
+    found = docs.withColumns({word_name: F.array_remove(F.split(text, SPACE), ""), line_name: F.filter(F.split(text, "\n"), has_word)})
+    words, lines = F.col(word_name), F.col(line_name)
     size = F.size(words)
     window = lambda i: F.xxhash64(*(F.get(words, (i + k).cast("int")) for k in range(WINDOW)))
     indices = F.when(size >= WINDOW, F.sequence(F.lit(0), size - WINDOW)).otherwise(F.array().cast("array<int>"))
-    out = out.withColumn("_w_keys", F.transform(indices, window))
+    found = found.withColumn(key_name, F.transform(indices, window))
     counts = {
         "n_words": size,
         "word_chars": F.length(F.array_join(words, "")),
         "n_symbols": F.regexp_count(text, F.lit(r"[#*$%&|<>]")),
         "n_stop_words": F.size(F.filter(words, lambda w: w.isin(stops))),
-        "n_lines": F.size("_w_lines"),
-        "n_dup_lines": F.size("_w_lines") - F.size(F.array_distinct("_w_lines")),
-        "n_repeat_words": _repeat_words("_w_words", "_w_keys"),
+        "n_lines": F.size(lines),
+        "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
+        "n_repeat_words": _repeat_words(F.col(key_name)),
     }
     # a generator, not a projection: later filters on the counts must not repeat the counting
     one = F.explode_outer(F.array(F.struct(*(counts[k].cast("long").alias(k) for k in COUNTS))))
-    return out.withColumn("_counts", one).drop("_w_words", "_w_lines", "_w_keys")
+    return found.withColumn(out, one).drop(word_name, line_name, key_name)
 
 
 def base_failed(counts: str = "_counts") -> Column:
@@ -131,5 +135,6 @@ def broken(rules: Sequence[Rule] = RULES, counts: str = "_counts") -> Column:
 
 
 def keep(docs: DataFrame, rules: Sequence[Rule] = RULES, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that pass the base rules and the table, columns unchanged."""
-    return metrics(docs, text_col).where(~base_failed() & verdict(rules)).drop("_counts")
+    """The rows of ``docs`` that pass the base rules and the table, repeated ones too, all columns as they are; null and empty texts go."""
+    out = free_name(docs, "_counts")
+    return metrics(docs, text_col, out=out).where(~base_failed(out) & verdict(rules, out)).drop(out)

@@ -3,9 +3,9 @@
 A text's features are its distinct lower-cased words and their beginnings. With
 weights w shared by all thresholds t1 < t2 < ..., P(grade > k) = s(w.x - t(k+1)) for the
 logistic function s; the expected severity is the sum of these over k. The model
-is fitted on a bounded sample of labelled rows on the driver and is a table of
-at most ``MAX_FEATURES`` weights, which is broadcast; every row is then scored in
-Arrow batches.
+is fitted on a bounded sample of labelled rows on the driver and is a table of the
+weights of the features that tell toxic rows from others in it, which is broadcast;
+every row is then scored in Arrow batches.
 """
 
 from __future__ import annotations
@@ -21,18 +21,19 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Labelled texts that a fit takes, those (id, text) pairs of the smallest seeded hash, whole texts; and the features it weighs.
+from pressloom.llm.texts import free_name, pieces
+
+#: Labelled texts that a fit takes, those (id, text) pairs of the smallest seeded hash, whole texts.
 SAMPLE_ROWS = 4_000
-MAX_FEATURES = 5_000
 #: Lengths of the word beginnings that are features.
 STEMS = (4, 5, 6)
 #: Words whose weights a worker remembers; cleared beyond.
-REMEMBERED = 500_000
+REMEMBERED = 100_000
 _WORD = regex.compile(r"\p{L}+")
 
 
 def words(text: str | None) -> set[str]:
-    return set(_WORD.findall((text or "").lower()))
+    return {w for piece in pieces(text or "") for w in _WORD.findall(piece.lower())}
 
 
 def features(word: str) -> list[str]:
@@ -46,14 +47,19 @@ class Model:
     weights: dict[str, float]
     thresholds: list[float]
 
-    def score(self, found: set[str], known: dict[str, float]) -> float:
-        total = 0.0
-        for word in sorted(found):
-            value = known.get(word)
-            if value is None:
-                value = known[word] = sum(self.weights.get(f, 0.0) for f in features(word))
-            total += value
-        return total
+    def score(self, text: str | None, known: dict[str, float]) -> float:
+        """w.x of one whole text: the weights of its distinct words, summed in order."""
+        met: dict[str, float] = {}
+        for piece in pieces(text or ""):
+            if len(known) > REMEMBERED:
+                known.clear()
+            for word in set(_WORD.findall(piece.lower())):
+                value = known.get(word)
+                if value is None:
+                    value = known[word] = sum(self.weights.get(f, 0.0) for f in features(word))
+                if value:
+                    met[word] = value
+        return sum(met[word] for word in sorted(met))
 
 
 def _log1pexp(x: np.ndarray) -> np.ndarray:
@@ -65,7 +71,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def telling(texts: list[set[str]], toxic: np.ndarray) -> list[str]:
-    """The features whose presence depends on ``toxic``, the strongest first, at most MAX_FEATURES.
+    """The features whose presence depends on ``toxic``, the strongest first.
 
     A feature is kept if its likelihood-ratio statistic exceeds 2 log(features), by
     which about one of them would pass by chance. Equal texts count once.
@@ -84,7 +90,7 @@ def telling(texts: list[set[str]], toxic: np.ndarray) -> list[str]:
     cells = ((a, n1 * (a + b)), (b, n0 * (a + b)), (n1 - a, n1 * (n1 + n0 - a - b)), (n0 - b, n0 * (n1 + n0 - a - b)))
     with np.errstate(divide="ignore", invalid="ignore"):
         g = 2 * sum(np.where(x > 0, x * np.log(x * (n1 + n0) / e), 0.0) for x, e in cells)
-    order = np.lexsort((np.arange(len(names)), -g))[:MAX_FEATURES]
+    order = np.lexsort((np.arange(len(names)), -g))
     least = 2 * np.log(max(2, len(names)))
     return [names[i] for i in order if g[i] > least and a[i] * n0 > b[i] * n1]
 
@@ -146,23 +152,24 @@ class Grader:
         def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             known: dict[str, float] = {}
             for texts in batches:
-                if len(known) > REMEMBERED:
-                    known.clear()
-                yield pa.array([model.value.score(words(t.as_py()), known) for t in texts], pa.float64())
+                yield pa.array([model.value.score(t.as_py(), known) for t in texts], pa.float64())
 
         return F.arrow_udf(run, "double")(text)
 
-    def grade(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
-        """``docs`` with expected_severity (double), grade (int, the likeliest) and toxic (boolean) as a struct ``_toxicity``.
+    def grade(self, docs: DataFrame, text_col: str = "text", out: str = "_toxicity") -> DataFrame:
+        """``docs`` with expected_severity (double), grade (int, the likeliest, ties to the lower) and toxic (boolean) as a struct ``out``.
 
-        toxic is P(grade > 0) >= 1/2. Rows are kept as they are, repeated ones too.
+        toxic is P(grade > 0) >= 1/2. Rows are kept as they are, repeated ones too; equal
+        texts have equal grades; null and empty texts score 0. A column named ``out`` is
+        replaced, all others stay whatever their names. An empty table gives no rows.
         """
-        score = F.col("_score")
+        name = free_name(docs, "_score")
+        score = F.col(name)
         above = [1 / (1 + F.exp(F.lit(t) - score)) for t in self.model.value.thresholds]
         chances = [a - b for a, b in zip([F.lit(1.0), *above], [*above, F.lit(0.0)], strict=True)]
         likeliest = F.array_position(F.array(*chances), F.array_max(F.array(*chances))) - 1
         found = F.struct(F.round(sum(above), 9).alias("expected_severity"), likeliest.cast("int").alias("grade"), (above[0] >= 0.5).alias("toxic"))
-        return docs.withColumn("_score", self.score(text_col)).withColumn("_toxicity", found).drop("_score")
+        return docs.withColumn(name, self.score(text_col)).withColumn(out, found).drop(name)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> Grader:
@@ -190,5 +197,6 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def clean(docs: DataFrame, grader: Grader, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are not toxic, columns unchanged."""
-    return grader.grade(docs, text_col).where(~F.col("_toxicity")["toxic"]).drop("_toxicity")
+    """The rows of ``docs`` that are not toxic, repeated ones too, all columns as they are; null and empty texts stay unless the model's bias alone is toxic."""
+    out = free_name(docs, "_toxicity")
+    return grader.grade(docs, text_col, out).where(~F.col(out)["toxic"]).drop(out)

@@ -1,11 +1,12 @@
 """Hierarchical budgets and seeded prefixes against a recursive reading, and the SQL oracles."""
 
 import hashlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from fractions import Fraction
 
 import duckdb
 import pytest
+
 from llm_support import ODD, docs_of
 from pyspark.sql import functions as F
 
@@ -67,7 +68,7 @@ def test_copies_follow_the_budgets(spark, fraction, epochs):
     weights = {("a",): 1, ("b",): 9, ("b", "x"): 4, ("a", "y", "s1"): 7}
     docs = spark.createDataFrame([(i, d, l, s, " w" * n) for i, d, l, s, n in rows], "doc_id long, dom string, lang string, source string, text string")
     found = mix.select(docs, F.col("dom"), weights, fraction=fraction, epochs=epochs, seed=7)
-    got = {r.doc_id: r._copies for r in found.collect()}
+    got = {r.doc_id: r._mix.copies for r in found.collect()}
     assert got == expected(rows, weights, fraction, epochs, 7)
     if fraction == 1.5:
         assert mix.repeated(found, docs.columns).count() == sum(got.values())
@@ -76,7 +77,7 @@ def test_copies_follow_the_budgets(spark, fraction, epochs):
 def test_nulls_repeats_and_no_rows(spark):
     docs = docs_of(spark, [*ODD, "again words", "again words"], ids=[*range(len(ODD)), 77, 77]).withColumn("source", F.when(F.col("doc_id") % 2 == 0, F.col("source")))
     got = mix.select(docs, F.lit(None).cast("string"), {}, fraction=2.0, epochs=2)
-    assert {r.doc_id: r._copies for r in got.collect()} == {r.doc_id: 2 for r in docs.collect() if (r.text or "").strip(" \t\n\x0b\x0c\r")}
+    assert {r.doc_id: r._mix.copies for r in got.collect()} == {r.doc_id: 2 for r in docs.collect() if (r.text or "").strip(" \t\n\x0b\x0c\r")}
     assert mix.select(docs_of(spark, []), F.lit("d"), {}, fraction=1.0).count() == 0
     with pytest.raises(ValueError):
         mix.select(docs, F.lit("d"), {})
@@ -89,3 +90,16 @@ def test_queries_equal_their_oracles(spark, name):
     want = con.execute(catalog.ORACLE[name])
     columns = [c[0] for c in want.description]
     assert sorted(map(tuple, catalog.QUERIES[name](spark, SF).select(*columns).collect())) == sorted(want.fetchall())
+
+
+def test_columns_of_clashing_names_stay(spark):
+    """Columns named like the operator's own, in any case of letters, come through unchanged."""
+    docs = docs_of(spark, [f"w {k} " * (1 + k % 3) for k in range(30)])
+    plain = {r.doc_id: r._mix.copies for r in mix.select(docs, F.lit("d"), {}, fraction=0.5).collect()}
+    names = ["_mix", "_LEAF", "_cut", "_copy", "epoch", "place", "_domain", "_epoch", "a.b", "rest", "tokens", "n"]
+    wide = docs.withColumns({n: F.concat(F.lit(n), F.col("doc_id")) for n in names})
+    found = mix.take(wide, F.lit("d"), {}, fraction=0.5)
+    assert found.columns == wide.columns
+    rows = found.collect()
+    assert Counter(r.doc_id for r in rows) == Counter(plain)
+    assert all(r[n] == f"{n}{r.doc_id}" for r in rows for n in names)

@@ -13,6 +13,7 @@ from llm_support import ODD, docs_of
 from pyspark.sql import functions as F
 
 from pressloom.llm import catalog, quality_rules, toxicity, weak_quality
+from pressloom.llm.texts import pieces
 
 SF = "/root/testdata/sf0.1"
 
@@ -178,3 +179,84 @@ def test_weak_quality_equals_a_slow_reading(spark, real):
         assert abs(found[i].posterior - good[i]) < 1e-6
         assert abs(found[i].score - scorer(t)) < 1e-4, (i, found[i].score, scorer(t))
         assert found[i].keep == (found[i].score >= 0.5)
+
+
+def test_columns_named_like_the_graders_stay(spark):
+    docs = docs_of(spark, ["calm", None])
+    names = ["_score", "_TOXICITY", "_toxicity_", "grade", "a.b"]
+    wide = docs.withColumns({n: F.concat(F.lit(n), F.col("doc_id")) for n in names})
+    kept = toxicity.clean(wide, toxicity.Grader(spark, toxicity.Model({}, [40.0, 41.0])))
+    assert kept.columns == wide.columns and all(r[n] == f"{n}{r.doc_id}" for r in kept.collect() for n in names)
+
+
+def test_scores_of_long_texts_do_not_depend_on_pieces(monkeypatch):
+    model = toxicity.Model({"bad-": 0.25, "badword": 1.5, "worse": 0.5}, [1.0, 2.0])
+    text = "A BADword, \u00e9t\u00e9; worse-still badwords " * 50
+    whole = model.score(text, {})
+    monkeypatch.setattr(toxicity, "pieces", lambda t: pieces(t, 9))
+    assert model.score(text, {}) == whole and toxicity.words(text) == {"a", "badword", "\u00e9t\u00e9", "worse", "still", "badwords"}
+
+
+def slow_grades(texts, labels, steps=300, ridge=0.3):
+    """The grader of labelled texts, one text and one feature after the other: a function from a text to (severity, grade)."""
+    found = [{f for w in re.findall(r"[^\W\d_]+", t.lower()) for f in [w, *(w[:n] + "-" for n in (4, 5, 6) if len(w) >= n)]} for t in texts]
+    once = {frozenset(f): y for f, y in reversed(list(zip(found, labels, strict=True)))}
+    n1, n0 = sum(once.values()), sum(1 - y for y in once.values())
+    names, kept = sorted(set().union(*found)), []
+    for name in names:
+        a, b = sum(name in f for f, y in once.items() if y), sum(name in f for f, y in once.items() if not y)
+        cells = [(a, n1 * (a + b)), (b, n0 * (a + b)), (n1 - a, n1 * (n1 + n0 - a - b)), (n0 - b, n0 * (n1 + n0 - a - b))]
+        g = 2 * sum(x * math.log(x * (n1 + n0) / e) for x, e in cells if x)
+        if g > 2 * math.log(len(names)) and a * n0 > b * n1:
+            kept.append(name)
+    words = [set(re.findall(r"[^\W\d_]+", t.lower())) for t in texts]
+    hits = [sum(any(f in kept for f in [w, *(w[:n] + "-" for n in (4, 5, 6) if len(w) >= n)]) for w in ws) for ws in words]
+    middle = float(np.median([h for h, y in zip(hits, labels, strict=True) if y]))
+    grades = [1 + (h > middle) if y else 0 for h, y in zip(hits, labels, strict=True)]
+    sig = lambda x: 1 / (1 + math.exp(-x)) if x > -500 else 0.0
+    odds = [(sum(g > j for g in grades) + 0.5) / (sum(g <= j for g in grades) + 0.5) for j in (0, 1)]
+    t0, t1 = -math.log(odds[0]), max(-math.log(odds[0]), -math.log(odds[1]) + 0.1)
+    state = {**dict.fromkeys(kept, 0.0), 0: t0, 1: math.log(t1 - t0)}
+    mean, square = dict.fromkeys(state, 0.0), dict.fromkeys(state, 0.0)
+    for i in range(1, steps + 1):
+        t = [state[0], state[0] + math.exp(state[1])]
+        g = {k: ridge * v if k in kept else 0.0 for k, v in state.items()}
+        for f, y in zip(found, grades, strict=True):
+            x = sum(state[k] for k in f if k in state)
+            bounds = [-40.0, *t, 40.0]
+            low, high = sig(bounds[y] - x), sig(bounds[y + 1] - x)
+            down, up = low * (1 - low) / (high - low), high * (1 - high) / (high - low)
+            for k in f:
+                if k in state:
+                    g[k] += up - down
+            # a lower bound pushes with down, an upper one with -up; both thresholds move with the first
+            for bound, push in ((y, down), (y + 1, -up)):
+                if bound in (1, 2):
+                    g[0] += push
+                    g[1] += push * math.exp(state[1]) if bound == 2 else 0.0
+        for k in state:
+            mean[k], square[k] = 0.9 * mean[k] + 0.1 * g[k], 0.99 * square[k] + 0.01 * g[k] * g[k]
+            state[k] -= 0.1 * (1 - i / (steps + 1)) * (mean[k] / (1 - 0.9**i)) / (math.sqrt(square[k] / (1 - 0.99**i)) + 1e-6)
+
+    def read(text):
+        f = {f for w in re.findall(r"[^\W\d_]+", text.lower()) for f in [w, *(w[:n] + "-" for n in (4, 5, 6) if len(w) >= n)]}
+        x = sum(state[k] for k in f if k in state)
+        above = [sig(x - state[0]), sig(x - state[0] - math.exp(state[1]))]
+        chances = [1 - above[0], above[0] - above[1], above[1]]
+        return sum(above), chances.index(max(chances)), above[0] >= 0.5
+
+    return kept, read
+
+
+def test_toxicity_equals_a_slow_reading(spark):
+    """Features, thresholds, severities and grades of small real texts, from plain Python."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").where("length(text) < 1500").orderBy(F.desc("toxic"), "doc_id").limit(120)
+    rows = docs.select("doc_id", "text", "toxic").collect()
+    kept, read = slow_grades([r.text for r in rows], [r.toxic for r in rows])
+    grader = toxicity.train(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"))
+    assert len(kept) > 3 and sorted(grader.model.value.weights) == sorted(kept)
+    found = {r.doc_id: r["_toxicity"] for r in grader.grade(docs.select("doc_id", "text")).collect()}
+    for r in rows:
+        severity, grade, toxic = read(r.text)
+        assert abs(found[r.doc_id].expected_severity - severity) < 1e-3 and found[r.doc_id].toxic == toxic
+        assert found[r.doc_id].grade == grade or abs(severity - round(severity * 2) / 2) < 0.05

@@ -42,7 +42,7 @@ def test_query_over_odd_and_real_texts(spark, tmp_path, real):
 def test_colliding_prefixes_fall_back_to_pairs(spark):
     low = [1, 2, 3, 1, 2, 3, 9]  # all in one prefix, so only the low bits tell them apart
     df = spark.createDataFrame([(low,), ([5 << 40, 6 << 40, 5 << 40],), ([],)], "k array<long>")
-    assert [r.n for r in df.select(quality_rules._repeat_words("k", F.col("k")).alias("n")).collect()] == [8, 5, 0]
+    assert [r.n for r in df.select(quality_rules._repeat_words(F.col("k")).alias("n")).collect()] == [8, 5, 0]
 
 
 def test_table_is_one_expression_without_python(spark):
@@ -55,3 +55,14 @@ def test_table_is_one_expression_without_python(spark):
     assert "Python" not in plan and "Exchange" not in plan
     kept = quality_rules.keep(docs)
     assert [r.doc_id for r in kept.collect()] == [0] and kept.columns == docs.columns
+
+
+def test_columns_of_clashing_names_stay(spark):
+    """Columns named like the operator's own, in any case of letters, come through unchanged."""
+    docs = docs_of(spark, [" ".join(f"the w{k}" for k in range(45)), "x", None, ""])
+    names = ["_counts", "_W_words", "_w_lines", "_w_keys", "n_words", "a.b"]
+    wide = docs.withColumns({n: F.concat(F.lit(n), F.col("doc_id")) for n in names})
+    kept = quality_rules.keep(wide, rules=())
+    assert kept.columns == wide.columns and [tuple(r[n] for n in names) for r in kept.collect()] == [tuple(f"{n}0" for n in names)]
+    counted = quality_rules.metrics(wide, out="c").orderBy("doc_id").collect()
+    assert [r.c.n_words for r in counted] == [90, 1, 0, 0] and all(r[n] == f"{n}{r.doc_id}" for r in counted for n in names)
