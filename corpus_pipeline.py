@@ -37,8 +37,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 6: documents that their source's budget does not reach go."""
-    chosen = mix.select(docs, domain_of("source"), MIX_WEIGHTS, fraction=MIX_FRACTION, epochs=1)
-    return mix.repeated(chosen, docs.columns)
+    return mix.take(docs, domain_of("source"), MIX_WEIGHTS, fraction=MIX_FRACTION, epochs=1)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
