@@ -13,9 +13,10 @@ shingle minima bring such texts together, SimHashes of WIDE bits leave out what
 from it, and the distinct shingles of the rest are compared exactly.
 
 Work is done on distinct fingerprints, so exact copies cost one row each in a
-combining aggregate. Buckets are read from a sorted shuffle as a stream; one that
+combining aggregate, and fingerprints of very many rows are met by broadcast. Buckets are read from a sorted shuffle as a stream; one that
 exceeds ``BLOCK`` fingerprints is not compared in its task but handed on in blocks,
-and all pairs of blocks are then compared in tasks of their own. Neither step
+and all pairs of blocks are then compared in tasks of their own: N fingerprints of one
+bucket are (N / BLOCK)^2 / 2 such tasks. Neither step
 gathers a bucket, and both emit spanning links rather than pairs.
 """
 
@@ -30,6 +31,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pressloom.llm.components import connected_components
+from pressloom.llm.joins import join_skewed
+from pressloom.llm.texts import free_name, pieces
 from pressloom.session import checkpointed
 
 SEED = 42
@@ -50,29 +53,43 @@ _FLIP, _ODD, _MIX = _draw[0] * np.uint64(2), _draw[1] * np.uint64(2) + np.uint64
 
 
 def shingle_hashes(text: str | None, words: int, seed: int = SEED) -> np.ndarray:
-    """XXH64 of the shingles of one whole text, in order, repeats included; none for a text without words."""
-    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not found:
-        return np.zeros(0, "<u8")
-    joined, n = b" ".join(found), len(found)
-    ends = np.cumsum(np.fromiter(map(len, found), np.int64, n) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    if n > words:
-        starts, ends = starts[: n - words + 1], ends[words - 1 :]
-    else:
-        starts, ends = starts[:1], ends[-1:]
-    digest, hashes = xxhash.xxh64_intdigest, np.zeros(len(starts), "<u8")
-    for at in range(0, len(starts), _CHUNK):
-        pairs = zip(starts[at : at + _CHUNK].tolist(), ends[at : at + _CHUNK].tolist(), strict=True)
-        hashes[at : at + _CHUNK] = [digest(joined[s:e], seed) for s, e in pairs]
-    return hashes
-
-
-def majority(hashes: np.ndarray) -> np.ndarray:
-    """For rows of k unsigned longs, k unsigned longs: a bit is 1 if set in over half the rows."""
-    counts = np.zeros(64 * hashes.shape[1], np.int64)
+    """XXH64 of the shingles of one whole text, in order, repeats included; none for a text without words.
+
+    Long texts are read by pieces, each with the last words of the one before it.
+    """
+    digest, parts, carried = xxhash.xxh64_intdigest, [], []
+    for piece in pieces((text or "").encode("utf-8", "surrogatepass")):
+        found = carried + piece.lower().split()
+        n = len(found)
+        if n >= words:
+            joined = b" ".join(found)
+            ends = np.cumsum(np.fromiter(map(len, found), np.int64, n) + 1) - 1
+            starts = np.concatenate(([0], ends[:-1] + 1))[: n - words + 1]
+            ends = ends[words - 1 :]
+            hashes = np.zeros(len(starts), "<u8")
+            for at in range(0, len(starts), _CHUNK):
+                pairs = zip(starts[at : at + _CHUNK].tolist(), ends[at : at + _CHUNK].tolist(), strict=True)
+                hashes[at : at + _CHUNK] = [digest(joined[s:e], seed) for s, e in pairs]
+            parts.append(hashes)
+        carried = found[n - words + 1 :] if n >= words else found
+    if not parts:
+        return np.array([digest(b" ".join(carried), seed)] if carried else [], "<u8")
+    return parts[0] if len(parts) == 1 else np.concatenate(parts)
+
+
+def _mixed(hashes: np.ndarray) -> np.ndarray:
+    """Rows of one unsigned long drawn out to WIDE bits."""
+    k = WIDE // 64
+    mixed = (hashes ^ _FLIP[:k]) * _MIX[:k]
+    mixed = (mixed ^ (mixed >> np.uint64(32))) * _ODD[:k]
+    return mixed ^ (mixed >> np.uint64(29))
+
+
+def majority(hashes: np.ndarray, draw=np.ascontiguousarray, k: int = 1) -> np.ndarray:
+    """For rows of which ``draw`` makes k unsigned longs each, k unsigned longs: a bit is 1 if set in over half the rows."""
+    counts = np.zeros(64 * k, np.int64)
     for at in range(0, len(hashes), _CHUNK):
-        part = np.ascontiguousarray(hashes[at : at + _CHUNK])
+        part = draw(hashes[at : at + _CHUNK])
         counts += np.unpackbits(part.view(np.uint8).reshape(len(part), -1), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")
 
@@ -103,10 +120,7 @@ def _outline(hashes: np.ndarray) -> tuple[np.ndarray, bytes]:
     for at in range(0, len(distinct), _CHUNK):
         lows = np.minimum(lows, ((distinct[at : at + _CHUNK, None] ^ _FLIP) * _ODD).min(0))
     keys = [xxhash.xxh64_intdigest(band.tobytes(), SEED) for band in lows.reshape(BANDS, ROWS)]
-    k = WIDE // 64
-    mixed = (distinct[:, None] ^ _FLIP[:k]) * _MIX[:k]
-    mixed = (mixed ^ (mixed >> np.uint64(32))) * _ODD[:k]
-    return np.array(keys, np.uint64).view(np.int64), majority(mixed ^ (mixed >> np.uint64(29))).tobytes()
+    return np.array(keys, np.uint64).view(np.int64), majority(distinct.reshape(-1, 1), _mixed, WIDE // 64).tobytes()
 
 
 def outlines(text: Column | str, words: int, seed: int = SEED) -> Column:
@@ -365,8 +379,8 @@ def similar_links(outlined: DataFrame, texts: DataFrame, words: int, radius: int
     candidates = connected_components(_linked(some.select(F.posexplode("bands").alias("t", "key"), "fp", "wide"), radius)).withColumnRenamed("node", "fp")
     met = checkpointed(some.join(candidates, "fp").select("root", "fp", "text_hash", "wide", "shingles"))
     parts = lambda rows, size: F.ceil(F.greatest(rows / F.lit(BLOCK), size / F.lit(HELD)))
-    sizes = met.groupBy("root").agg(parts(F.count("*"), F.sum("shingles")).alias("slices"), F.min(F.struct("fp", "text_hash")).alias("pivot"))
-    laid = met.join(sizes, "root").withColumn("rest", F.struct("fp", "text_hash") != F.col("pivot")).drop("pivot")
+    sizes = checkpointed(met.groupBy("root").agg(parts(F.count("*"), F.sum("shingles")).alias("slices"), F.min(F.struct("fp", "text_hash")).alias("pivot"), F.count("*").alias("n")))
+    laid = join_skewed(met, sizes, "root", "n", met.count()).withColumn("rest", F.struct("fp", "text_hash") != F.col("pivot")).drop("pivot")
     wanted = texts.groupBy("text_hash").agg(F.first("text").alias("text"))
     hashed = checkpointed(laid.join(wanted, "text_hash").withColumn("hashes", shingle_set("text", words)).drop("text"))
     own = F.when(F.col("rest"), F.array(F.pmod("text_hash", "slices"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1))
@@ -408,7 +422,7 @@ def group_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     read = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"), (F.struct(fingerprint(text, words).alias("fp")) if not similar else outlines(text, words)).alias("o"))
     own = checkpointed(read.select("id", "text_hash", "o.*"))
     first = F.struct(F.col("id").isNull().alias("no_id"), F.col("id").alias("id"), F.col("text_hash").alias("text_hash"))
-    per = checkpointed(own.groupBy("fp").agg(F.min("id").alias("low"), F.min(first).alias("first")))
+    per = checkpointed(own.groupBy("fp").agg(F.min("id").alias("low"), F.min(first).alias("first"), F.count("*").alias("n")))
     pairs = links(per.select("fp"), radius)
     if similar:
         pairs = pairs.unionByName(similar_links(own, docs.select(F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"), text.alias("text")), words))
@@ -419,11 +433,13 @@ def group_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     label = checkpointed(
         per.join(moved, "fp", "left").select(
             "fp",
+            "n",
             F.when(F.col("best_first").isNull(), F.col("low")).otherwise(F.col("best_low")).alias("component_id"),
             F.coalesce("best_first", "first").alias("representative"),
         )
     )
-    return own.join(label, "fp").select("id", "text_hash", "fp", "component_id", "representative")
+    total = label.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total")).first().total
+    return join_skewed(own, label, "fp", "n", total).select("id", "text_hash", "fp", "component_id", "representative")
 
 
 def hex_fingerprint(fp: Column | str) -> Column:
@@ -433,16 +449,16 @@ def hex_fingerprint(fp: Column | str) -> Column:
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 4, similar: bool = True) -> DataFrame:
     """``docs`` with one row of each near-duplicate component: its smallest id (nulls last).
 
-    Columns are unchanged. Rows that repeat both id and text count as one document.
-    The texts are shuffled once, by (id, text hash), to meet the decisions.
+    All columns stay as they are, whatever their names. Rows that repeat both id and
+    text count as one document. Null and empty texts are copies of each other. An empty
+    table gives no rows. The texts are shuffled once, by (id, text hash), to meet the decisions.
     """
+    id_name, hash_name = free_name(docs, "_near_id"), free_name(docs, "_near_hash")
     keep = (
         group_documents(docs, id_col, text_col, words, radius, similar)
-        .select(F.col("representative.id").cast("string").alias("i"), F.col("representative.text_hash").alias("_near_hash"))
+        .select(F.col("representative.id").cast("string").alias("i"), F.col("representative.text_hash").alias(hash_name))
         .distinct()
-        .select(F.coalesce("i", F.lit("null")).alias("_near_id"), "_near_hash")
-    )
-    keyed = docs.withColumns(
-        {"_near_id": F.coalesce(F.col(id_col).cast("string"), F.lit("null")), "_near_hash": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))}
+        .select(F.coalesce("i", F.lit("null")).alias(id_name), hash_name)
     )
-    return keyed.join(keep, ["_near_id", "_near_hash"], "left_semi").dropDuplicates(["_near_id", "_near_hash"]).drop("_near_id", "_near_hash")
+    keyed = docs.withColumns({id_name: F.coalesce(F.col(id_col).cast("string"), F.lit("null")), hash_name: F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
+    return keyed.join(keep, [id_name, hash_name], "left_semi").dropDuplicates([id_name, hash_name]).drop(id_name, hash_name)

@@ -7,7 +7,10 @@ import numpy as np
 import xxhash
 from llm_support import ODD, docs_of
 
-from pressloom.llm import catalog, components, simhash
+from pyspark.sql import functions as F
+
+from pressloom.llm import catalog, components, joins, simhash
+from pressloom.llm import texts as texts_module
 
 
 def slow_fingerprint(text, words):
@@ -199,3 +202,42 @@ def test_texts_below_the_similarity_are_not_linked(spark, monkeypatch):
         assert {k: got[k] == got[k + 1] for k in near} == wanted
         assert len({got[k] for k in range(len(texts), len(texts) + 8)}) == 1
         assert [got[len(texts) + 8 + k] - got[len(texts) + 8] for k in range(40)] == [k % 2 for k in range(40)]
+
+
+def test_columns_of_clashing_names_stay_and_long_texts_are_read_by_pieces(spark, monkeypatch):
+    rows = docs_of(spark, ["a b c d e f g", "a b c d e f g", None, "other words than these are here"])
+    names = ["_near_id", "_NEAR_hash", "fp", "representative", "n", "a.b"]
+    wide = rows.withColumns({n: F.concat(F.lit(n), F.col("doc_id")) for n in names})
+    kept = simhash.drop_near_duplicates(wide)
+    assert kept.columns == wide.columns
+    assert sorted((r.doc_id, *(r[n] for n in names)) for r in kept.collect()) == [(i, *(f"{n}{i}" for n in names)) for i in (0, 2, 3)]
+    texts = ["", "one", "two words", "a b c d", "A b c d e", " x\ty\nz " * 40, "\u00e9t\u00e9 \u65e5\u672c " * 30]
+    whole = [simhash.shingle_hashes(t, w).tolist() for t in texts for w in (1, 4, 5)]
+    monkeypatch.setattr(simhash, "pieces", lambda t: texts_module.pieces(t, 7))
+    assert [simhash.shingle_hashes(t, w).tolist() for t in texts for w in (1, 4, 5)] == whole
+
+
+def test_pieces_have_the_words_of_the_whole():
+    for text in ["", " ", "abc", "  a bb\tccc\x0bd\u2003e " * 20, "x" * 500 + " y"]:
+        for size in (1, 3, 50):
+            parts = list(texts_module.pieces(text, size))
+            assert "".join(parts) == text and [w for p in parts for w in p.split()] == text.split()
+            raw = text.encode()
+            assert [w for p in texts_module.pieces(raw, size) for w in p.split()] == raw.split()
+
+
+def test_hot_keys_are_met_by_broadcast(spark, monkeypatch):
+    """A key with most of all rows and many rare ones, null keys and an empty table; components with a hub."""
+    monkeypatch.setattr(joins, "HOT", 100)
+    monkeypatch.setattr(components, "HOT", 100)
+    rows = spark.createDataFrame([(1, i) for i in range(5000)] + [(k, k) for k in range(2, 300)] + [(None, -1)], "k long, v long")
+    table = rows.where("k is not null").groupBy("k").agg(F.count("*").alias("n"), F.max("v").alias("top"))
+    found = joins.join_skewed(rows, table, "k", "n", 5299)
+    assert "BroadcastHashJoin" in found._jdf.queryExecution().toString()
+    assert found.columns == ["k", "v", "top"] and found.count() == 5298
+    assert found.where("k = 1 and top = 4999").count() == 5000 and found.where("k > 1 and top = k").count() == 298
+    assert joins.join_skewed(rows.limit(0), table.limit(0), "k", "n", 0).count() == 0
+    rng = random.Random(4)
+    pairs = [(7, i) for i in range(100, 900)] + [(rng.randrange(1000, 1400), rng.randrange(1000, 1400)) for _ in range(300)] + [(100, 1000)]
+    got = {r.node: r.root for r in components.connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == groups([p for p in pairs if p[0] != p[1]], sorted({x for p in pairs if p[0] != p[1] for x in p}))
