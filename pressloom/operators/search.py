@@ -114,8 +114,8 @@ def context_part(rank, title, source, published, excerpt):
 def context(hits: DataFrame, rank: str, part: str, key: list[str], most: int = CONTEXT_CHARS) -> DataFrame:
     """The leading hits of each key whose parts, each followed by a line end, stay within ``most``; stops at the first that does not.
 
-    A part takes a character at least, so the first most + 1 hits of a key decide; the
-    others go before the shuffle, by a limit on the rank.
+    A part takes a character at least, so no more than the first most + 1 hits of a key are
+    summed; give fewer hits a key where there are many, as a search's limit does.
     """
     order = Window.partitionBy(*key).orderBy(rank)
     some = hits.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= most + 1)

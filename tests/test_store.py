@@ -145,3 +145,16 @@ def test_a_clustering_run_equals_the_sequential_reading(spark):
 
     assert {r.vec_id: (r.block, r.cluster, r.story) for r in catalog.QUERIES["cluster_run"](spark, SF).collect()} == wanted
     assert stories.greedy([], 0.5) == []
+
+
+def test_functions_under_sql_names(spark):
+    from pressloom.functions.register import register
+
+    names = register(spark)
+    assert {"normalize_text", "normalize_title", "detect_language", "cosine"} <= set(names)
+    rows = spark.createDataFrame([("  AT&amp;T   Café! ",), ("සහ word",), (None,), ("",)], "t string")
+    rows.createOrReplaceTempView("said")
+    found = spark.sql("SELECT t, normalize_text(t) AS n, normalize_title(t) AS k, detect_language(t) AS l FROM said").collect()
+    wanted = rows.select("t", text.normalized(F.col("t")).alias("n"), text.title_key(F.col("t")).alias("k"), text.detect_language(F.col("t")).alias("l")).collect()
+    assert [tuple(r) for r in found] == [tuple(r) for r in wanted]
+    assert spark.sql("SELECT cosine(array(0.6D, 0.8D), array(0.6D, 0.8D)) AS c, url_host('https://h.example/a?b') AS h").first() == (1.0, "h.example")
