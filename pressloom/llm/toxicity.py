@@ -10,9 +10,8 @@ every row is then scored in Arrow batches.
 
 from __future__ import annotations
 
-import sys
-from collections import Counter
-from collections.abc import Iterator
+import math
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pressloom.llm.texts import free_name, pieces
+from pressloom.session import checkpointed
 
 #: Labelled texts that a fit takes, those (id, text) pairs of the smallest seeded hash, whole texts.
 SAMPLE_ROWS = 4_000
@@ -70,43 +70,43 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return np.exp(-_log1pexp(-x))
 
 
-def telling(texts: list[set[str]], toxic: np.ndarray) -> list[str]:
-    """The features whose presence depends on ``toxic``, the strongest first.
+def _features(words: Column) -> Column:
+    """The distinct ``features`` of an array of words."""
+    of = lambda w: F.array_compact(F.array(w, *(F.when(F.length(w) >= n, F.concat(F.substring(w, 1, n), F.lit("-"))) for n in STEMS)))
+    return F.array_distinct(F.flatten(F.transform(words, of)))
+
+
+def telling(sample: DataFrame) -> list[str]:
+    """The features of sample(id, label, words) whose presence depends on the label, the strongest first.
 
     A feature is kept if its likelihood-ratio statistic exceeds 2 log(features), by
-    which about one of them would pass by chance. Equal texts count once.
+    which about one of them would pass by chance, and toxic texts have it more often.
+    Equal word sets count once, by the label of the smallest id. Features are counted on Spark.
     """
-    first = {frozenset(t): i for i, t in reversed(list(enumerate(texts)))}
-    with_, without = Counter(), Counter()
-    n1 = n0 = 0
-    for t, i in first.items():
-        (with_ if toxic[i] else without).update({f for w in t for f in features(w)})
-        n1, n0 = n1 + bool(toxic[i]), n0 + (not toxic[i])
-    names = sorted({*with_, *without})
-    if not n1 or not n0 or not names:
+    once = checkpointed(sample.groupBy("words").agg(F.min_by("label", "id").alias("label")))
+    n1, n = once.agg(F.coalesce(F.sum("label"), F.lit(0)), F.count("*")).first()
+    n0 = n - n1
+    if not n1 or not n0:
         return []
-    a = np.array([with_[f] for f in names], float)
-    b = np.array([without[f] for f in names], float)
-    cells = ((a, n1 * (a + b)), (b, n0 * (a + b)), (n1 - a, n1 * (n1 + n0 - a - b)), (n0 - b, n0 * (n1 + n0 - a - b)))
-    with np.errstate(divide="ignore", invalid="ignore"):
-        g = 2 * sum(np.where(x > 0, x * np.log(x * (n1 + n0) / e), 0.0) for x, e in cells)
-    order = np.lexsort((np.arange(len(names)), -g))
-    least = 2 * np.log(max(2, len(names)))
-    return [names[i] for i in order if g[i] > least and a[i] * n0 > b[i] * n1]
+    counted = once.select("label", F.explode(_features(F.col("words"))).alias("f")).groupBy("f").agg(F.sum("label").cast("double").alias("a"), F.sum(1 - F.col("label")).cast("double").alias("b"))
+    counted = checkpointed(counted)
+    a, b, met = F.col("a"), F.col("b"), F.col("a") + F.col("b")
+    cells = ((a, n1 * met), (b, n0 * met), (n1 - a, n1 * (n - met)), (n0 - b, n0 * (n - met)))
+    g = 2 * sum((F.when(x > 0, x * F.log(x * n / e)).otherwise(0.0) for x, e in cells), F.lit(0.0))
+    least = 2 * math.log(max(2, counted.count()))
+    return [r.f for r in counted.withColumn("g", g).where((F.col("g") > least) & (a * n0 > b * n1)).orderBy(F.desc("g"), "f").select("f").collect()]
 
 
-def severities(texts: list[set[str]], toxic: np.ndarray, kept: list[str]) -> np.ndarray:
+def severities(hits: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     """Grades for 0/1 labels: 0 where not toxic, else 2 for texts with more telling words than the median toxic text, else 1."""
-    known = set(kept)
-    counts = np.array([sum(any(f in known for f in features(w)) for w in t) for t in texts], dtype=np.int64)
-    middle = np.median(counts[toxic]) if toxic.any() else 0
-    return np.where(toxic, 1 + (counts > middle), 0)
+    middle = np.median(hits[toxic]) if toxic.any() else 0
+    return np.where(toxic, 1 + (hits > middle), 0)
 
 
-def fit(texts: list[set[str]], grades: np.ndarray, n_grades: int, kept: list[str], ridge: float = 0.3, steps: int = 300) -> Model:
-    """Maximum likelihood with a ridge on the weights of the features ``kept``, by Adam steps of falling size."""
+def fit(texts: list[Iterable[str]], grades: np.ndarray, n_grades: int, kept: list[str], ridge: float = 0.3, steps: int = 300) -> Model:
+    """Maximum likelihood for texts given by their features, with a ridge on the weights of the features ``kept``, by Adam steps of falling size."""
     index = {f: i for i, f in enumerate(kept)}
-    columns = [sorted({index[f] for w in t for f in features(w) if f in index}) for t in texts]
+    columns = [sorted({index[f] for f in t if f in index}) for t in texts]
     rows = np.repeat(np.arange(len(columns)), [len(c) for c in columns])
     cols = np.array([c for own in columns for c in own], dtype=np.int64)
     n, d, k = len(texts), len(kept), n_grades - 1
@@ -187,13 +187,17 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def distinct(texts: pa.Array) -> pa.Array:
         return pa.array([sorted(words(t.as_py())) for t in texts], pa.list_(pa.string()))
 
-    picked = read.join(F.broadcast(sample), ["_id", "_hash"]).groupBy("_id", "_hash").agg(F.first("_label").alias("_label"), F.first("_text").alias("_text"))  # at most sample_rows rows
-    rows = picked.select("_id", "_label", F.arrow_udf(distinct, "array<string>")("_text").alias("words")).toArrow().to_pylist()
-    rows.sort(key=lambda r: (r["_id"], r["words"]))
-    texts, toxic = [set(map(sys.intern, r["words"])) for r in rows], np.array([bool(r["_label"]) for r in rows], dtype=bool)
-    kept = telling(texts, toxic)
-    model = fit(texts, severities(texts, toxic, kept), 3, kept) if kept else Model({}, [40.0, 41.0])
-    return Grader(spark, model)
+    picked = read.join(F.broadcast(sample), ["_id", "_hash"]).groupBy("_id", "_hash").agg(F.first("_label").alias("label"), F.first("_text").alias("_text"))  # at most sample_rows rows
+    worded = checkpointed(picked.select(F.col("_id").alias("id"), "_hash", "label", F.arrow_udf(distinct, "array<string>")("_text").alias("words")))
+    kept = telling(worded)
+    if not kept:
+        return Grader(spark, Model({}, [40.0, 41.0]))
+    # only the telling features of the sampled texts reach the driver
+    own = F.array(*map(F.lit, kept))
+    telling_words = F.size(F.filter("words", lambda w: F.arrays_overlap(_features(F.array(w)), own)))
+    rows = worded.select("id", "_hash", "label", F.array_intersect(_features(F.col("words")), own).alias("f"), telling_words.alias("hits")).orderBy("id", "_hash").collect()
+    toxic = np.array([bool(r.label) for r in rows], dtype=bool)
+    return Grader(spark, fit([r.f for r in rows], severities(np.array([r.hits for r in rows]), toxic), 3, kept))
 
 
 def clean(docs: DataFrame, grader: Grader, text_col: str = "text") -> DataFrame:
