@@ -39,7 +39,8 @@ def shares(children: DataFrame, parents: list[str], budget: str = "budget") -> D
     """``children`` with ``share`` of their parent's budget; columns name, weight and cap (longs) are read.
 
     Children that cannot take their weighted part take their cap; the rest is split
-    by weight, rounded cumulatively by name so that nothing is lost.
+    by weight, rounded cumulatively by name so that nothing is lost. The children of one
+    parent are sorted by one task, as rows of a few numbers; no children give no rows.
     """
     order = Window.partitionBy(*parents).orderBy(F.col("cap") / F.col("weight"), "name")
     before = order.rowsBetween(Window.unboundedPreceding, -1)

@@ -229,7 +229,11 @@ def padded(data: bytes) -> bytes:
 
 
 def store(text: Column | str) -> Column:
-    """Whole texts (or binaries) as Ogg media; null counts as empty."""
+    """Whole texts (or binaries) as Ogg media; null counts as empty.
+
+    Equal texts have equal media, row by row; a very long text is one longer stream, held
+    in one task a few times over. An empty table gives no rows, other columns are not read.
+    """
 
     def run(values: pa.Array) -> pa.Array:
         return pa.array([store_samples(padded(v.as_py() or b"")) for v in values], pa.binary())

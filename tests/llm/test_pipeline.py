@@ -40,3 +40,26 @@ def test_empty_documents(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
     assert docs.count() == 0
+
+
+def test_odd_rows_and_extra_columns_go_through_every_stage(spark, tmp_path):
+    """Nulls in every column, empty and very long texts, ties, repeated rows and columns named like the stages' own."""
+    words = lambda k, n=80: " ".join(f"the w{k}x{i} of" for i in range(n))
+    rows = [(k, words(k), "en", f"src{k % 3}", 1) for k in range(30)]
+    rows += [(1, words(1), "en", "src1", 1)] * 3 + [(40 + k, words(5), "en", "src2", 1) for k in range(4)]
+    rows += [(None, None, None, None, None), (50, None, "en", "src1", None), (None, words(51), None, None, None), (52, "", "en", "src1", 0), (53, "x" * 200_000, "en", "src1", 1), (54, words(54, 40_000), "en", "src0", 1)]
+    docs = docs_of(spark, []).sparkSession.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    names = ["_score", "_toxicity", "_counts", "_w_words", "_near_id", "_NEAR_HASH", "_mix", "_leaf", "_cut", "_copy", "fp", "n", "words", "ids", "id", "a.b"]
+    docs = docs.withColumns({n: F.concat(F.lit(n), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))) for n in names})
+    columns, kept = docs.columns, [docs.count()]
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        docs = stage(spark, docs, SF)
+        docs.write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+        kept.append(docs.count())
+        if k < 4:
+            assert docs.columns == columns
+            assert docs.where(" or ".join(f"`{n}` <> concat('{n}', coalesce(cast(doc_id as string), 'none'))" for n in names)).count() == 0
+    # empty texts and the text of one word go by quality, copies by near-dedup
+    assert kept[1] == len(rows) and kept[2] == len(rows) - 4 and kept[3] == 32 and 0 < kept[4] <= 32 and kept[5] == kept[4]
+    assert docs.where("not round_trip").count() == 0
