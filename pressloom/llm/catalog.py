@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressloom.llm import bpe, chat, lengths, licenses, mix, ogg, quality_rules, simhash, toxicity, weak_quality
+from pressloom.llm import bpe, chat, lengths, licenses, mix, ogg, quality_rules, resample, simhash, toxicity, weak_quality
 from pressloom.session import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -185,3 +185,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every licence template that a document holds."""
     return licenses.scan(load(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, score and rank of every document when five of a hundred are drawn towards the benchmark's n-grams."""
+    found = resample.resample(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank", "n_words")
