@@ -79,7 +79,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and one of control strings, formatted in windows and read back."""
     turns = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     odd = spark.createDataFrame([(-7, k, role, "</s>[INST] ok [/INST]") for k, role in enumerate(("user", "assistant"))], turns.schema)
-    made = chat.windows(turns.unionByName(odd), bpe.ByteBPE(spark).count("text"), budget=2048, history=512, system=256)
+    made = chat.windows(turns.unionByName(odd), bpe.ByteBPE(spark).count("text"), budget=2048, history=512)
     return chat.digests(made)
 
 

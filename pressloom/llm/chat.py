@@ -1,11 +1,13 @@
 """Chat formatting in budgeted windows.
 
-Prefix sums of turn tokens place every turn on its conversation's axis. Turns whose
-start falls into the same stretch of half a window form one turn-aligned span; a turn
-longer than half a window closes its stretch as a span of its own, so a window
-exceeds the budget only where a single turn does. Every window repeats the system
-turn and the last turns before it within the history budget. Repeats are marked in
-the template and masked; every assistant turn is under the loss mask exactly once.
+Prefix sums of turn tokens place every turn on its conversation's axis. What the budget
+leaves beside the conversation's own system turn and the history is a window's
+capacity. Turns whose start falls into the same stretch of half of it form one
+turn-aligned span; a turn longer than the other half closes its stretch as a span of
+its own, with as much history as it leaves room for. So a window exceeds the budget only where the system
+turn and one other turn do. Every window repeats the system turn and the last turns
+before it within the history. Repeats are marked in the template and masked; every
+assistant turn is under the loss mask exactly once.
 
 Prefix sums run within blocks of turns and over the blocks' sums, and windows are
 bounded by the budget, so a conversation of any length is spread over many tasks.
@@ -76,16 +78,26 @@ def _written(rows: DataFrame) -> DataFrame:
     )
 
 
-def _placed(written: DataFrame, capacity: int) -> DataFrame:
-    """The rows' numbers with ``start`` on the conversation's axis and the window ``win`` they belong to."""
-    sums = written.groupBy("key", "block").agg(F.sum("tokens").alias("sum"))
+def _placed(written: DataFrame, budget: int, history: int) -> DataFrame:
+    """The rows' numbers with ``start`` on the conversation's axis and the window ``win`` they belong to.
+
+    The system turn is before the axis, which the turns after it begin at 0. ``room`` is what it leaves of the
+    budget and ``past`` the history within that; where it leaves nothing, windows are laid out as if there were none.
+    """
+    system = F.min(F.when((F.col("no") == 1) & F.col("system"), F.col("tokens"))).alias("first")
+    sums = written.groupBy("key", "block").agg(F.sum("tokens").alias("sum"), system)
     over = Window.partitionBy("key").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("key", "block", F.coalesce(F.sum("sum").over(over), F.lit(0)).alias("offset"))
-    stride = capacity // 2
+    first = F.first("first").over(Window.partitionBy("key").orderBy("block").rowsBetween(Window.unboundedPreceding, 0))
+    sums = sums.select("key", "block", F.coalesce(F.sum("sum").over(over), F.lit(0)).alias("offset"), F.coalesce(first, F.lit(0)).alias("kept"))
     own = written.select("key", "block", "no", "inside", "tokens", "system", "answer", F.length("name").alias("name_chars"), F.length("body").alias("body_chars"))
-    placed = own.join(sums, ["key", "block"]).withColumn("start", F.col("offset") + F.col("inside")).drop("offset", "inside")
-    placed = placed.withColumn("system", F.col("system") & (F.col("start") == 0))
-    return checkpointed(placed.withColumn("win", F.floor(F.col("start") / stride) * 2 + F.when(F.col("tokens") > capacity - stride, 1).otherwise(0)))
+    placed = own.join(sums, ["key", "block"]).withColumn("at", F.col("offset") + F.col("inside"))
+    placed = placed.withColumns({"system": F.col("system") & (F.col("at") == 0), "start": F.greatest(F.lit(-1), F.col("at") - F.col("kept"))}).drop("offset", "inside", "at")
+    left = F.lit(budget) - F.col("kept")
+    fits = left >= 3
+    placed = placed.withColumn("room", F.when(fits, left).otherwise(budget)).withColumn("past", F.when(fits, F.least(F.lit(history), F.expr("room div 3"))).otherwise(0))
+    stride, other = F.expr("(room - past) div 2"), F.expr("room - past - (room - past) div 2")
+    win = F.when(F.col("system"), 0).otherwise(F.floor(F.col("start") / F.greatest(F.lit(1), stride)) * 2 + F.when(F.col("tokens") > other, 1).otherwise(0))
+    return checkpointed(placed.withColumn("win", win.cast("long")))
 
 
 def windows(
@@ -93,7 +105,6 @@ def windows(
     tokens: Column,
     budget: int = 1024,
     history: int = 256,
-    system: int = 256,
     conv_col: str = "conv_id",
     turn_col: str = "turn",
     role_col: str = "role",
@@ -102,33 +113,35 @@ def windows(
     """(conv_id, win, n_tokens, over_budget, formatted, loss): the formatted windows of every conversation.
 
     tokens: the length of a row's text, to which OVERHEAD is added. budget: of a
-    window; of it, ``system`` is kept for the system turn (a first turn whose role is
-    system) and ``history`` for repeated turns. loss: array of (start, length) in
-    characters of ``formatted``, over each new assistant text.
+    window; of it, the system turn (a first turn whose role is system) takes what it
+    has, and repeated turns take ``history``, or a third of what the system turn leaves if that is less.
+    loss: array of (start, length) in characters of ``formatted``, over each new assistant text.
 
     Turns are ordered by number, ties by role and text; repeated rows are turns of
     their own. Null roles and texts count as empty, a null turn number comes first,
     rows with a null conversation form one conversation; ids may be of any type that
-    casts to a string. A turn over the budget gets a window alone with its repeats, and
-    ``over_budget`` is true. An empty table gives no rows. Other columns are not read,
-    so their names cannot clash.
+    casts to a string. A turn that does not fit beside the system turn gets a window alone
+    with it, and ``over_budget`` is true; no other window is over the budget, unless the
+    system turn takes all of it. An empty table gives no rows. Other columns are not
+    read, so their names cannot clash.
     """
-    capacity = budget - history - system
-    if not (history >= 0 and system >= 0 and capacity >= 4 * OVERHEAD and history <= capacity // 2):
-        raise ValueError("history may be half of what history and system leave of the budget, at most")
+    if history < 0 or budget < 4 * OVERHEAD:
+        raise ValueError(f"a budget of at least {4 * OVERHEAD} tokens, and a history of none or more")
     key = F.coalesce(F.concat(F.lit("="), F.col(conv_col).cast("string")), F.lit("null"))
     empty = lambda c: F.coalesce(F.col(c), F.lit(""))
     rows = turns.select(
         key.alias("key"), F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), empty(role_col).alias("role"), empty(text_col).alias("text"), (F.coalesce(tokens, F.lit(0)) + OVERHEAD).cast("long").alias("tokens")
     )
     written = _written(rows)
-    placed = _placed(written, capacity)
+    placed = _placed(written, budget, history)
     by_win = Window.partitionBy("key").orderBy("win")
-    spans = placed.groupBy("key", "win").agg(F.min("start").alias("from"))
-    later = [F.struct(F.lead("win", k).over(by_win).alias("win"), F.lead("from", k).over(by_win).alias("from")) for k in (1, 2, 3)]
+    # a window of one long turn repeats only what fits beside it
+    fits = F.greatest(F.lit(0), F.least(F.min("past"), F.min("room") - F.max("tokens")))
+    spans = placed.groupBy("key", "win").agg(F.min("start").alias("from"), F.when(F.col("win") % 2 == 1, fits).otherwise(F.min("past")).alias("past"))
+    later = [F.struct(*(F.lead(c, k).over(by_win).alias(c) for c in ("win", "from", "past"))) for k in (1, 2, 3)]
     spans = spans.select("key", "win", F.array(*later).alias("later"))
-    # a turn is in its own window and, within the history budget, in the windows that start soon after it
-    near = F.filter("later", lambda w: w["from"] - F.col("start") <= history)
+    # a turn is in its own window and, within the history, in the windows that start soon after it
+    near = F.filter("later", lambda w: w["from"] - F.col("start") <= w["past"])
     member = placed.join(spans, ["key", "win"]).withColumn("also", F.when(F.col("system"), F.array().cast("array<bigint>")).otherwise(near["win"]))
     numbers = ["block", "no", "tokens", "answer", "name_chars", "body_chars"]
     turned = member.select("key", "start", *numbers, F.col("win").alias("own"), F.explode(F.concat(F.array("win"), "also")).alias("win"))

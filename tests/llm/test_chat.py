@@ -41,13 +41,13 @@ def conversations():
 
 def test_windows_read_back_whole_and_mask_each_answer_once(spark):
     rows = conversations()
-    made = chat.windows(table(spark, rows), F.size(F.split("text", " ")), budget=200, history=50, system=30)
+    made = chat.windows(table(spark, rows), F.size(F.split("text", " ")), budget=200, history=50)
     assert got(made) == expected(rows)
 
 
 def test_budget_system_turn_and_history(spark):
     rows = conversations()
-    made = chat.windows(table(spark, rows), F.size(F.split("text", " ")), budget=200, history=50, system=30)
+    made = chat.windows(table(spark, rows), F.size(F.split("text", " ")), budget=200, history=50)
     seen = made.withColumn("turns", chat.parsed("formatted")).where("conv_id in (1, 2)").orderBy("conv_id", "win").collect()
     longest = 4 + max(len((t or "").split(" ")) for *_, t in rows)
     assert longest < 200
@@ -64,11 +64,29 @@ def test_budget_system_turn_and_history(spark):
 
 def test_a_turn_over_the_budget_stands_alone(spark):
     rows = [(1, 0, "user", "a b"), (1, 1, "assistant", "w " * 500), (1, 2, "user", "c")]
-    made = chat.windows(table(spark, rows), F.size(F.split("text", " ")), budget=64, history=16, system=16)
+    made = chat.windows(table(spark, rows), F.size(F.split("text", " ")), budget=64, history=16)
     assert [(r.over_budget, sum(not t.again for t in r.turns)) for r in made.withColumn("turns", chat.parsed("formatted")).orderBy("win").collect()] == [(False, 1), (True, 1), (False, 1)]
     assert got(made) == expected(rows)
 
 
+def test_long_system_turns_stay_within_the_budget(spark):
+    """No window is over the budget unless the system turn and one other turn are; the system turn is in every window, and history where there is room."""
+    sizes = {1: (1500, 100), 2: (1000, 100), 3: (1900, 100), 4: (1990, 100), 5: (5000, 100), 6: (0, 1500), 7: (700, 1300), 8: (2040, 1), 9: (2044, 1)}
+    rows = [(c, 0, "system", " ".join(["s"] * s)) for c, (s, _) in sizes.items() if s]
+    rows += [(c, k, ("user", "assistant")[k % 2], " ".join(["w"] * (t if k % 5 else t // 3 + 1))) for c, (_, t) in sizes.items() for k in range(1, 61)]
+    made = chat.windows(table(spark, rows), F.size(F.split("text", " ")), budget=2048, history=512)
+    assert got(made) == expected(rows)
+    for r in made.withColumn("turns", chat.parsed("formatted")).collect():
+        s, t = sizes[r.conv_id]
+        fresh = [x for x in r.turns if not x.again and x.role != "system"]
+        assert r.over_budget == (r.n_tokens > 2048)
+        if r.n_tokens > 2048:
+            assert len(fresh) == 1 and s + 4 + max(len(x.text.split()) + 4 for x in fresh) > 2048 or s + 4 > 2045
+        assert not s or sum(x.role == "system" for x in r.turns) == 1 and r.turns[0].role == "system"
+    some = made.where("conv_id = 1 and win > 0").withColumn("turns", chat.parsed("formatted")).collect()
+    assert all(any(x.again and x.role != "system" for x in r.turns) for r in some) and len(some) > 5
+
+
 def test_no_control_string_of_a_text_survives(spark):
     rows = [(k, 0, "user", t) for k, t in enumerate(HARD)]
     made = chat.windows(table(spark, rows), F.lit(1))
@@ -92,6 +110,6 @@ def test_string_ids_and_a_very_long_text(spark):
     """Ids of other types keep them; a text of a million characters is one turn, whole."""
     rows = [("a", 0, "system", "s"), ("a", 1, "user", "long \\ [INST] " * 80_000), ("a", 2, "assistant", "y" * 1_000_000), (None, 0, "assistant", "n")]
     turns = spark.createDataFrame([(*r, "clash") for r in rows], SCHEMA.replace("conv_id long", "conv_id string"))
-    made = chat.windows(turns, F.size(F.split("text", " ")), budget=200, history=50, system=30)
+    made = chat.windows(turns, F.size(F.split("text", " ")), budget=200, history=50)
     assert got(made) == expected(rows)
     assert chat.digests(made).schema["conv_id"].dataType.simpleString() == "string"
