@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressloom.llm import bpe, chat, divergence, lengths, licenses, mix, ogg, quality_rules, resample, simhash, toxicity, weak_quality
+from pressloom.llm import bpe, chat, divergence, lengths, licenses, mix, ogg, quality_rules, resample, shards, simhash, toxicity, weak_quality
 from pressloom.session import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -219,3 +219,9 @@ t AS (SELECT lang, source, term AS item, (p - q)::BIGINT AS value FROM p JOIN q
 r AS (SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INT AS rank FROM a
       UNION ALL SELECT lang, source, 'term', item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INT FROM t)
 SELECT * FROM r WHERE part = 'pair' OR rank <= 50"""
+
+
+@query
+def op13_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document in one seeded order of all, eight shards."""
+    return shards.assigned(load(spark, sf_dir, "documents"), n_shards=8).withColumnRenamed("id", "doc_id")
