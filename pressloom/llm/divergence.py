@@ -18,10 +18,10 @@ into shares, and the texts are read once for each.
 
 from __future__ import annotations
 
-import string
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import partial
+from operator import itemgetter
 
 import ahocorasick
 import numpy as np
@@ -32,8 +32,7 @@ from pyspark.sql import functions as F
 from pressloom.llm.texts import own, pieces
 from pressloom.session import checkpointed
 
-#: Fixed by the contract: a term's characters are ASCII letters and all beyond ASCII; only A-Z are lowered.
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: Fixed by the contract: a term's bytes are ASCII letters and all beyond ASCII; only A-Z are lowered.
 _TERM_BYTES = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b > 0x7F else 0x20 for b in range(256))
 MIN_DOCS = 30
 UNIT = 1_000_000_000
@@ -42,8 +41,8 @@ SMOOTH = 5
 TOP_TERMS = 50
 #: Characters of kept terms (delimiters included) that one automaton holds.
 VOCABULARY = 2_000_000
-#: Different (language, source, term) counts that a task holds before it passes them on.
-HELD = 200_000
+#: Different counts that a task holds before it passes them on.
+HELD = 500_000
 #: Bytes of a text that are matched at once.
 PIECE = 1 << 20
 #: Terms and sources in one block of the pairs' matrix.
@@ -54,12 +53,37 @@ def _name(column: str) -> Column:
     return F.coalesce(own(column).cast("string"), F.lit(""))
 
 
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, term, docs): how many of a task's documents hold each term, added up as far as HELD allows."""
+    counts: dict[str, Counter] = {}
+    held = 0
+
+    def out():
+        terms = [t for c in counts.values() for t in c]
+        langs = pa.array([lang for lang, c in counts.items() for _ in range(len(c))], type=pa.string())
+        batch = pa.RecordBatch.from_arrays([langs, pa.array(terms, pa.binary()).cast(pa.string()), pa.array([n for c in counts.values() for n in c.values()], type=pa.int64())], names=["lang", "term", "docs"])
+        counts.clear()
+        return batch
+
+    for batch in batches:
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            count = counts.setdefault(lang, Counter())
+            terms = set()
+            for piece in pieces((text.as_py() or "").encode().translate(_TERM_BYTES), PIECE):
+                terms.update(piece.split())
+            held -= len(count)
+            count.update(terms)
+            held += len(count)
+            if held > HELD:
+                yield out()
+                held = 0
+    yield out()
+
+
 def kept_terms(docs: DataFrame, min_docs: int = MIN_DOCS, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(lang, term): the terms in at least ``min_docs`` documents of a language; null texts and languages read as ''."""
-    lowered = F.translate(_name(text_col), string.ascii_uppercase, string.ascii_lowercase)
-    held = F.array_distinct(F.regexp_extract_all(lowered, F.lit(TERM), F.lit(0)))
-    each = docs.select(_name(lang_col).alias("lang"), F.explode(held).alias("term"))
-    return each.groupBy("lang", "term").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs).select("lang", "term")
+    each = docs.select(_name(lang_col).alias("lang"), own(text_col).cast("string").alias("text")).mapInArrow(_held, "lang string, term string, docs long")
+    return each.groupBy("lang", "term").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs).select("lang", "term")
 
 
 def automaton(terms: Iterable[tuple[int, str]]) -> ahocorasick.Automaton:
@@ -79,27 +103,31 @@ def padded(text: str | None) -> Iterator[str]:
 
 def _recount(batches: Iterator[pa.RecordBatch], vocabulary: dict[str, list[tuple[int, str]]]) -> Iterator[pa.RecordBatch]:
     """(lang, source, number, n): occurrences of the vocabulary's terms, added up within a task as far as HELD allows."""
-    made, counts = {}, Counter()
+    made: dict[str, ahocorasick.Automaton] = {}
+    counts: dict[tuple[str, str], Counter] = {}
+    held = 0
 
     def out():
-        keys = list(counts)
-        columns = [pa.array([k[j] for k in keys], type=t) for j, t in enumerate((pa.string(), pa.string(), pa.int64()))]
-        batch = pa.RecordBatch.from_arrays([*columns, pa.array(list(counts.values()), type=pa.int64())], names=["lang", "source", "number", "n"])
+        numbers = np.fromiter((k for c in counts.values() for k in c), np.int64)
+        n = np.fromiter((n for c in counts.values() for n in c.values()), np.int64)
+        names = [pa.array([k[j] for k, c in counts.items() for _ in range(len(c))], type=pa.string()) for j in (0, 1)]
         counts.clear()
-        return batch
+        return pa.RecordBatch.from_arrays([*names, pa.array(numbers), pa.array(n)], names=["lang", "source", "number", "n"])
 
     for batch in batches:
-        for lang, source, text in zip(*batch.columns, strict=True):
-            lang, source = lang.as_py(), source.as_py()
+        for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
             if lang not in vocabulary:
                 continue
             if lang not in made:
                 made[lang] = automaton(vocabulary[lang])
+            count = counts.setdefault((lang, source), Counter())
             for piece in padded(text.as_py()):
-                for number, n in Counter(number for _, number in made[lang].iter(piece)).items():
-                    counts[lang, source, number] += n
-                if len(counts) > HELD:
-                    yield out()
+                held -= len(count)
+                count.update(map(itemgetter(1), made[lang].iter(piece)))
+                held += len(count)
+            if held > HELD:
+                yield out()
+                held = 0
     yield out()
 
 
