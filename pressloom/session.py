@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,13 +28,12 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared checkpoint folder, lineage cut.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, which driver and executors share.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only a local session may
+    It is the session's ``spark.checkpoint.dir``. Only a local session may
     fall back to a temporary folder; on a cluster executors could not see it.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -42,4 +42,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
         sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A path below the checkpoint folder that nothing else uses, for tables that a query writes and reads again."""
+    return f"{checkpoint_folder(spark)}/{name}-{uuid4().hex}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written once to the shared checkpoint folder, lineage cut."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()

@@ -1,8 +1,8 @@
 """Structured Streaming: deduplicated items, daily activity, failing links, seen urls, sessions and clustering runs.
 
 What needs state keeps it in Spark's state store under the query's checkpoint, or in a
-versioned Parquet table that each batch replaces; both survive a restart, and a batch
-that is run again writes the same version again.
+keyed table of hash buckets of which a batch rewrites those it touches; both survive a
+restart, and a batch that is run again leaves the same rows.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pressloom.operators.links import dead_links
+from pressloom.session import checkpointed
+from pressloom.sources.buckets import Buckets, exists
 
 log = logging.getLogger(__name__)
 
@@ -80,63 +82,58 @@ def link_states(attempts: DataFrame) -> DataFrame:
     return attempts.groupBy("url").applyInPandasWithState(_follow, _LINK, _STATE, "update", GroupStateTimeout.NoTimeout)
 
 
-class Table:
-    """A Parquet table of versions: each batch writes the next one whole, readers take the latest that is complete."""
+def upserting(table: Buckets, newest: str | None = None) -> Callable[[DataFrame, int], None]:
+    """A batch function that puts each batch's rows, one a key, in place of the table's; with ``newest``, never older ones in place of newer ones."""
+    return lambda batch, number: table.upsert(batch.dropDuplicates([table.key]), newest)
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
-        jvm = spark._jvm
-        self.path = jvm.org.apache.hadoop.fs.Path
-        self.fs = self.path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def version(self, below: int | None = None) -> int | None:
-        """The latest complete version, or the latest below ``below``."""
-        if not self.fs.exists(self.path(self.folder)):
-            return None
-        names = [s.getPath().getName() for s in self.fs.listStatus(self.path(self.folder))]
-        found = [int(n[2:]) for n in names if n.startswith("v=") and self.fs.exists(self.path(f"{self.folder}/{n}/_SUCCESS"))]
-        return max((v for v in found if below is None or v < below), default=None)
-
-    def read(self, below: int | None = None) -> DataFrame | None:
-        version = self.version(below)
-        return None if version is None else self.spark.read.parquet(f"{self.folder}/v={version}")
-
-    def put(self, rows: DataFrame, version: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.folder}/v={version}")
+def appending_unseen(table: Buckets, order: list[str]) -> Callable[[DataFrame, int], None]:
+    """A batch function that adds the first row of each key that the table has not seen."""
+    return lambda batch, number: table.insert(batch, order)
 
 
-def upserting(table: Table, key: str) -> Callable[[DataFrame, int], None]:
-    """A batch function that puts each batch's rows, one a key, in place of the table's."""
+BATCH, ERROR = "_batch", "_error"
 
-    def run(batch: DataFrame, number: int) -> None:
-        old = table.read(below=number)
-        fresh = batch.dropDuplicates([key])
-        table.put(fresh if old is None else old.join(fresh.select(key), key, "left_anti").unionByName(fresh), number)
 
-    return run
+def guarded(run: Callable[[DataFrame, int], None], quarantine: str, attempts: int = 3) -> Callable[[DataFrame, int], None]:
+    """A batch function that loses no row: a batch that fails ``attempts`` times is written to ``quarantine`` with its number and error, and the query goes on.
 
+    ``replay`` gives such batches to the function again. If the quarantine can't be written
+    either, the error ends the query, which takes the batch again from its checkpoint.
+    """
 
-def appending_unseen(table: Table, key: str, order: list[str]) -> Callable[[DataFrame, int], None]:
-    """A batch function that adds the first row of each key that the table has not seen."""
-    from pressloom.operators.dedup import inserted
+    def safe(batch: DataFrame, number: int) -> None:
+        for attempt in range(attempts):
+            try:
+                return run(batch, number)
+            except Exception as error:
+                log.warning("batch %s failed, attempt %s", number, attempt + 1, exc_info=True)
+                said = f"{type(error).__name__}: {error}"[:2000]
+        batch.withColumn(ERROR, F.lit(said)).write.mode("overwrite").parquet(f"{quarantine}/rows/{BATCH}={number}")
 
-    def run(batch: DataFrame, number: int) -> None:
-        old = table.read(below=number)
-        table.put(inserted(batch.limit(0) if old is None else old, batch, key, order), number)
+    return safe
 
-    return run
 
+def quarantined(spark: SparkSession, quarantine: str) -> DataFrame | None:
+    """The rows of batches that wait, with _batch and _error; None if no batch ever failed."""
+    if not exists(spark, f"{quarantine}/rows"):
+        return None
+    rows = spark.read.parquet(f"{quarantine}/rows")
+    done = f"{quarantine}/replayed"
+    return rows.join(spark.read.parquet(done), BATCH, "left_anti") if exists(spark, done) else rows
 
-def isolated(run: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
-    """A batch function whose errors are logged and do not end the query: the cycle is lost, the next one goes on."""
 
-    def safe(batch: DataFrame, number: int) -> None:
-        try:
-            run(batch, number)
-        except Exception:
-            log.exception("batch %s failed", number)
+def replay(spark: SparkSession, run: Callable[[DataFrame, int], None], quarantine: str) -> list[int]:
+    """Gives the waiting batches to ``run`` in their order and notes each that succeeds; the first error is raised. The numbers of the batches done.
 
-    return safe
+    A batch that succeeded but was not noted is run again, so ``run`` must bear that, as upserts and inserts do.
+    """
+    waiting = quarantined(spark, quarantine)
+    numbers = [] if waiting is None else sorted(r[0] for r in waiting.select(BATCH).distinct().collect())
+    for number in numbers:
+        run(waiting.where(F.col(BATCH) == number).drop(BATCH, ERROR), number)
+        spark.createDataFrame([(number,)], f"{BATCH} int").coalesce(1).write.mode("append").parquet(f"{quarantine}/replayed")
+    return numbers
 
 
 def cycle(source: DataFrame, run: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None):
@@ -145,20 +142,34 @@ def cycle(source: DataFrame, run: Callable[[DataFrame, int], None], checkpoint:
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
-def clustering(table: Table, threshold: float, order: list[str], id_col: str, vector: str, at: str, hours: int = 48) -> Callable[[DataFrame, int], None]:
-    """A batch function that clusters a batch's vectors with those of the last ``hours`` before its latest and keeps the assignments by id."""
+def clustering(table: Buckets, threshold: float, order: list[str], vector: str, at: str, hours: int = 48) -> Callable[[DataFrame, int], None]:
+    """A batch function that gives every new row a story and changes no assignment that was made before.
+
+    table(id, story, rank, head, at, vector) holds what was assigned: a story is named by the row
+    that opened it, ``head``. A batch's rows that the table lacks are clustered among themselves in ``order``; a
+    cluster joins the most similar story that had a row within twice ``hours`` before the
+    batch's latest, by the vectors of their first rows, at ``threshold`` or more, else it opens one. A batch that is run again
+    finds what it assigned before left out and the same stories.
+    """
     from pressloom.operators import stories
 
     def run(batch: DataFrame, number: int) -> None:
-        old = table.read(below=number)
-        columns = list(dict.fromkeys([id_col, at, vector, *order]))
-        every = batch.select(columns) if old is None else batch.select(columns).unionByName(old.select(columns))
-        latest = batch.agg(F.max(at).alias("latest"))
-        recent = every.crossJoin(latest).where(F.col(at) > F.col("latest") - F.make_dt_interval(F.lit(0), F.lit(hours))).drop("latest")  # one row
-        found = stories.clusters(recent.withColumn("block", F.lit(number).cast("long")), threshold, "block", order, id_col, vector)
-        now = recent.join(found, id_col)
-        kept = now if old is None else old.join(now.select(id_col), id_col, "left_anti").unionByName(now)
-        table.put(kept, number)
+        key = table.key
+        before = table.read().where(F.col("batch") < number)
+        fresh = checkpointed(batch.select(*dict.fromkeys([key, at, vector, *order])).dropDuplicates([key]).join(before.select(key), key, "left_anti"))
+        latest = fresh.agg(F.max(at)).first()[0]
+        if latest is None and fresh.isEmpty():
+            return
+        since = F.lit(latest) - F.make_dt_interval(F.lit(0), F.lit(2 * hours))
+        live = before.where(F.col(at) > since).select("story").distinct()
+        known = before.where(F.col("head")).join(live, "story", "left_semi").select("story", F.col(key).alias("rank"), F.col(vector).alias("vector"))
+        grouped = checkpointed(stories.clusters(fresh.withColumn("block", F.lit(number).cast("long")), threshold, "block", order, key, vector))
+        first = F.min_by(F.struct(F.col(key).alias("key"), F.col(vector).alias("vector")), F.struct(*order)).alias("f")
+        heads = grouped.join(fresh, key).groupBy("block", "cluster").agg(first).select("block", "cluster", F.col("f.key").alias("first"), F.col("f.vector").alias("vector"))
+        met = checkpointed(stories.matched(heads, known, threshold)).join(heads.select("block", "cluster", "first"), ["block", "cluster"])
+        assigned = grouped.join(met, ["block", "cluster"]).join(fresh, key)
+        opens = F.col("is_new") & (F.col("story") == F.concat(F.lit("new-"), F.col("block").cast("string"), F.lit("-"), F.col("cluster").cast("string"))) & (F.col("first") == F.col(key))
+        table.upsert(assigned.select(key, "story", opens.alias("head"), F.col(at), F.col(vector), F.col("block").alias("batch")))
 
     return run
 
