@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pressloom.operators import dedup, search, select, stories
-from pressloom.plans.registry import SQL_STAMP, query, stamp
-from pressloom.session import load
+from pressloom.operators.indexed import Index
+from pressloom.plans.registry import ORACLE, SQL_STAMP, query, stamp
+from pressloom.session import load, shared_folder
 from pressloom.sources.adapter import STORE_SQL, articles, source_table, store
 
 TABLE_SQL = f"""WITH {STORE_SQL}, stories AS (SELECT story, count(*) AS article_count, count(DISTINCT slug) AS source_count, min(published_at) AS first_published, max(published_at) AS last_published FROM store GROUP BY story)"""
@@ -127,12 +128,12 @@ p AS (SELECT id, 'title' AS field, unnest({FIELD.format('title')}) AS term FROM
 SELECT term, field, count(*) AS tf, count(DISTINCT id) AS df FROM p GROUP BY term, field""",
 )
 def index_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The inverted index of three fields, summed by word: an index of two thirds of the documents, upserted with the rest and repeats."""
+    """The stored index of three fields, summed by word: two thirds of the documents, upserted with the rest and repeats."""
     docs = search.index_documents(store(spark, sf_dir), source_table(spark, sf_dir))
-    fields = ["title", "content", "source_name"]
-    index = search.field_postings(docs.where("id % 3 > 0"), fields)
-    index = search.reindexed(index, search.field_postings(docs.where("id % 3 < 2"), fields))
-    return index.groupBy("term", "field").agg(F.sum("tf").alias("tf"), F.count("*").alias("df"))
+    index = Index(spark, shared_folder(spark, "index"), ("title", "content", "source_name"))
+    index.write(docs.where("id % 3 > 0"))
+    index.upsert(docs.where("id % 3 < 2"))
+    return index.table("postings").where("term is not null").groupBy("term", "field").agg(F.sum("occurrences").alias("tf"), F.sum("n").alias("df"))
 
 
 SEARCHED = "der the of"
@@ -157,6 +158,16 @@ def search_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page.crossJoin(found.agg(F.count("*").alias("total")))  # one row
 
 
+@query("search_indexed_filtered", ORACLE["search_filtered"])
+def search_indexed_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The filtered search from an index that was written in two parts."""
+    index = Index(spark, shared_folder(spark, "index"), shown=("language", "category", "slug", "published_at", "title"))
+    rows = store(spark, sf_dir)
+    index.write(rows.where("id % 4 > 0"))
+    index.upsert(rows.where("id % 4 = 0"))
+    return index.search(SEARCHED, 20, language="de", category="sports", slug=None).select("id", "score", stamp("published_at"), "title")
+
+
 ASK_SQL = """turns AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations), last AS (SELECT conv_id, string_agg(role || ': ' || coalesce(text, ''), chr(10) ORDER BY turn) FILTER (WHERE r BETWEEN 2 AND 7) AS said, max(text) FILTER (WHERE r = 1) AS question FROM turns GROUP BY conv_id)"""
 
 
