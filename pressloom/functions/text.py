@@ -26,12 +26,12 @@ def collapse_spaces(text: Column) -> Column:
 
 
 def composed(text: Column) -> Column:
-    """A text in Unicode's composed form (NFC)."""
+    """A text in Unicode's composed form (NFC); only texts with a character beyond ASCII reach Python."""
 
     def run(texts: pa.Array) -> pa.Array:
         return pa.array([None if t is None else unicodedata.normalize("NFC", t) for t in texts.to_pylist()], pa.string())
 
-    return F.arrow_udf(run, "string")(text)
+    return F.coalesce(F.arrow_udf(run, "string")(F.when(text.rlike(r"[^\x{00}-\x{7F}]"), text)), text)
 
 
 def normalized(text: Column) -> Column:
@@ -55,7 +55,10 @@ def detect_language(text: Column) -> Column:
     """si where over a tenth of the first 500 characters are Sinhala, or one of the first 50 words of the whole text is in SINHALA, else en; null and empty give en."""
     sample = F.substring(F.coalesce(text, F.lit("")), 1, SAMPLE)
     share = F.length(F.regexp_replace(sample, F.lit(r"[^\x{0D80}-\x{0DFF}]"), F.lit(""))) / F.length(sample)
-    first = F.slice(F.split(F.regexp_replace(text, F.lit("^" + SPACES), F.lit("")), SPACES, FIRST_WORDS + 1), 1, FIRST_WORDS)
+    # one match at the start of the text, which is not copied
+    some = SPACES.removesuffix("+")
+    leading = F.regexp_extract(text, f"^{some}*+((?:{some.replace('[', '[^', 1)}++{some}*+){{0,{FIRST_WORDS}}})", 1)
+    first = F.split(leading, SPACES)
     return F.when(F.length(sample) == 0, "en").when((share > 0.1) | F.arrays_overlap(first, F.array(*map(F.lit, SINHALA))), "si").otherwise("en")
 
 

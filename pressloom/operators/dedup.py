@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from pressloom.functions.text import title_key
+from pressloom.session import checkpointed
 
+OUTCOMES = ("dead_link", "failed", "skipped_no_date", "skipped_duplicate", "inserted")
 #: Titles of so few key characters never block another.
 SHORT_TITLE = 10
 
@@ -26,14 +28,17 @@ def first_seen(items: DataFrame, key: list[str], order: list[str]) -> DataFrame:
 def first_titles(items: DataFrame) -> DataFrame:
     """items(slug, title, id, ...) without later rows of a source whose title has the same key; short titles all pass.
 
-    Later is by id, null ids last. A null source is a source like any other. One scan
-    and one combining aggregate for the long titles; the short ones are not shuffled.
+    Later is by id, null ids last. A null source is a source like any other. One scan, one
+    key a title, one combining aggregate: a short title is grouped with nothing but
+    rows equal to it, which come out again as often as they were.
     """
     keyed = items.withColumn("_key", title_key(F.coalesce("title", F.lit(""))))
-    long = F.length("_key") > SHORT_TITLE
-    firsts = keyed.where(long).groupBy("slug", "_key").agg(F.min(F.struct(F.col("id").isNull().alias("_none"), "id", *(c for c in items.columns if c not in ("slug", "id")))).alias("_first"))
-    found = firsts.select(*(F.col("slug") if c == "slug" else F.col("_first")[c].alias(c) for c in items.columns))
-    return found.unionByName(keyed.where(~long).select(*items.columns))
+    rest = [c for c in items.columns if c not in ("slug", "id")]
+    row = F.struct(F.col("id").isNull().alias("_none"), "id", *rest)
+    alone = F.when(F.length("_key") <= SHORT_TITLE, row)
+    firsts = keyed.groupBy("slug", "_key", alone.alias("_alone")).agg(F.min(row).alias("_first"), F.count(alone).alias("_n"))
+    again = F.explode(F.sequence(F.lit(1).cast("long"), F.greatest(F.lit(1).cast("long"), F.col("_n"))))
+    return firsts.select("slug", "_first", again).select(*(F.col("slug") if c == "slug" else F.col("_first")[c].alias(c) for c in items.columns))
 
 
 def without_known_titles(items: DataFrame, recent: DataFrame) -> DataFrame:
@@ -81,23 +86,36 @@ def synced(own: DataFrame, other: DataFrame, key: str) -> DataFrame:
     return own.unionByName(other.join(own.select(key), key, "left_anti").select(*own.columns))
 
 
-def outcomes(attempts: DataFrame, known: DataFrame, least: int = 100) -> DataFrame:
+def outcomes(attempts: DataFrame, known: DataFrame, least: int = 100, tally: Observation | None = None) -> DataFrame:
     """``attempts`` with an ``outcome`` each: dead_link, failed, skipped_no_date, skipped_duplicate or inserted.
 
     attempts(slug, url, title, content, error, published_at, seq): one row a fetched
     item, in the order ``seq``. known(slug, url, title) is the store within its window.
     An error makes a dead link; a text under ``least`` characters fails; no date, then a
     known url or title, then a title or url that an earlier inserted item of the run has, skip it.
+
+    Attempts are read once, to narrow rows that are written, and so is the store. ``tally`` observes, in the
+    pass that gives the outcomes out, how many of each there are and those without a date.
     """
     read = attempts.withColumn("_key", title_key(F.coalesce("title", F.lit(""))))
     stage = F.when(F.col("error").isNotNull(), "dead_link").when(F.length(F.coalesce("content", F.lit(""))) < least, "failed").when(F.col("published_at").isNull(), "skipped_no_date")
-    urls = known.where("url is not null").select("url").distinct().withColumn("_url", F.lit(True))
-    titles = known.select(F.col("slug"), title_key(F.coalesce("title", F.lit(""))).alias("_key")).where(F.length("_key") > SHORT_TITLE).distinct().withColumn("_title", F.lit(True))
-    met = read.withColumn("_stage", stage).join(urls, "url", "left").join(titles, ["slug", "_key"], "left")
-    met = met.withColumn("_stage", F.coalesce("_stage", F.when(F.col("_url").isNotNull() | F.col("_title").isNotNull(), "skipped_duplicate")))
+    columns = [c for c in attempts.columns if c not in ("title", "content", "error")]
+    narrow = read.withColumn("_stage", stage).select(*columns, "_key", "_stage")
+    key = lambda kind, *parts: F.struct(F.lit(kind).alias("kind"), *(p.alias(n) for p, n in zip(parts, ("a", "b"), strict=True)))
+    url_key, title_as_key = key("url", F.lit(""), F.col("url")), key("title", F.coalesce("slug", F.lit("")), F.col("_key"))
+    long = (F.length("_key") > SHORT_TITLE) & F.col("slug").isNotNull()
+    stored = known.select("slug", "url", title_key(F.coalesce("title", F.lit(""))).alias("_key"))
+    stored = stored.select(F.explode(F.array(F.when(F.col("url").isNotNull(), url_key), F.when(long, title_as_key))).alias("_k")).where("_k is not null").distinct()
+    asked = narrow.select("seq", "_stage", F.explode(F.array(F.when(F.col("url").isNotNull(), url_key), F.when(long, title_as_key))).alias("_k"))
+    held = asked.where("_stage is null and _k is not null").join(stored, "_k", "left_semi").select("seq").distinct().withColumn("_held", F.lit(True))
+    met = checkpointed(narrow.join(held, "seq", "left").withColumn("_stage", F.coalesce("_stage", F.when(F.col("_held"), "skipped_duplicate"))).drop("_held"))
     # an item whose url is taken was not inserted, so its title blocks nobody: urls are settled first
     by_url = met.where("_stage is null").groupBy("url").agg(F.min("seq").alias("_first_url"))
     by_title = met.where("_stage is null").join(by_url, "url").where("seq = _first_url").where(F.length("_key") > SHORT_TITLE).groupBy("slug", "_key").agg(F.min("seq").alias("_first_title"))
     late = (F.col("seq") > F.col("_first_url")) | (F.col("seq") > F.coalesce("_first_title", F.col("seq")))
     settled = met.join(by_url, "url", "left").join(by_title, ["slug", "_key"], "left")
-    return settled.withColumn("outcome", F.coalesce("_stage", F.when(late, "skipped_duplicate"), F.lit("inserted"))).select(*attempts.columns, "outcome")
+    found = settled.withColumn("outcome", F.coalesce("_stage", F.when(late, "skipped_duplicate"), F.lit("inserted"))).select(*columns, "outcome")
+    if tally is None:
+        return found
+    counts = [F.count(F.when(F.col("outcome") == o, 1)).alias(o) for o in OUTCOMES]
+    return found.observe(tally, F.count("*").alias("attempts"), F.count(F.when(F.col("published_at").isNull(), 1)).alias("without_date"), *counts)

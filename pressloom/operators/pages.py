@@ -156,7 +156,8 @@ def parts(html: Column | str) -> Column:
     def run(pages: pa.Array) -> pa.Array:
         return pa.array([read(p.as_py()) for p in pages], kind)
 
-    return F.arrow_udf(run, "struct<" + PARTS.replace(" map<", ":map<").replace(" array<", ":array<").replace(" string", ":string") + ">")(html)
+    # a page is walked once: what is not deterministic is not copied into the filters that the optimizer infers
+    return F.arrow_udf(run, "struct<" + PARTS.replace(" map<", ":map<").replace(" array<", ":array<").replace(" string", ":string") + ">").asNondeterministic()(html)
 
 
 def extracted(pages: DataFrame, now: str = "9000-01-01 00:00:00", feed_date: Column | None = None) -> DataFrame:
@@ -191,13 +192,31 @@ def extracted(pages: DataFrame, now: str = "9000-01-01 00:00:00", feed_date: Col
     )
 
 
+def _let(value: Column, then) -> Column:
+    """``then(value)`` with the value computed once."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def _absolute(links: Column, url: Column) -> Column:
+    """A page's links as (position, href, text, inner): absolute, without fragment; the page's host is found once, a link's form once."""
+    scheme_of = F.regexp_extract(url, "^([a-z]+:)", 1)
+    host_of = F.regexp_extract(url, r"^([a-z]+://[^/?#]*)", 1)
+
+    def resolved(page: Column) -> Column:
+        def one(link: Column, k: Column) -> Column:
+            href = link["href"]
+            whole = F.when(F.startswith(href, F.lit("//")), F.concat(page["scheme"], href)).when(F.startswith(href, F.lit("/")), F.concat(page["host"], href)).otherwise(href)
+            return F.struct(k.alias("position"), F.substring_index(whole, "#", 1).alias("href"), link["text"].alias("text"))
+
+        inner = lambda x: F.struct(x["position"].alias("position"), x["href"].alias("href"), x["text"].alias("text"), F.startswith(x["href"], page["host"]).alias("inner"))
+        return F.transform(F.transform(links, one), inner)
+
+    return _let(F.struct(scheme_of.alias("scheme"), host_of.alias("host")), resolved)
+
+
 def all_links(found: DataFrame) -> DataFrame:
     """(page_id, url, position, href, text): every link of extracted pages, absolute and without its fragment."""
-    each = found.select("page_id", "url", F.posexplode("links").alias("position", "l"))
-    host = F.regexp_extract("url", r"^([a-z]+://[^/?#]*)", 1)
-    href = F.col("l.href")
-    whole = F.when(F.startswith(href, F.lit("//")), F.concat(F.regexp_extract("url", "^([a-z]+:)", 1), href)).when(F.startswith(href, F.lit("/")), F.concat(host, href)).otherwise(href)
-    return each.select("page_id", "url", "position", F.substring_index(whole, "#", 1).alias("href"), F.col("l.text").alias("text"))
+    return found.select("page_id", "url", F.explode(_absolute(F.col("links"), F.col("url"))).alias("l")).select("page_id", "url", "l.position", "l.href", "l.text")
 
 
 def links(found: DataFrame, allow: list[str] | None = None, plain: bool = False) -> DataFrame:
@@ -207,14 +226,15 @@ def links(found: DataFrame, allow: list[str] | None = None, plain: bool = False)
     lead to no list or media, and match one of ``allow`` by path and query or, without such a
     list, have SEGMENTS path segments. ``plain`` normalises to https without query and final slash.
     """
-    rows = all_links(found)
-    href, said = F.col("href"), F.col("text")
-    same = F.startswith(href, F.regexp_extract("url", r"^([a-z]+://[^/?#]*)", 1))
-    some = rows.where(same & F.length(said).between(*LINK_TEXT) & ~said.rlike(GENERIC_TEXT) & ~href.rlike(LIST_LINKS) & ~href.rlike(MEDIA_LINKS))
-    if allow:
-        some = some.where(path_and_query(href).rlike("|".join(allow)))
-    elif not plain:
-        some = some.where(F.size(F.filter(F.split(text.url_path(href), "/"), lambda x: x != "")) >= SEGMENTS)
+
+    def leads(link: Column) -> Column:
+        href, said = link["href"], link["text"]
+        some = link["inner"] & F.length(said).between(*LINK_TEXT) & ~said.rlike(GENERIC_TEXT) & ~href.rlike(LIST_LINKS) & ~href.rlike(MEDIA_LINKS)
+        if allow:
+            return some & path_and_query(href).rlike("|".join(allow))
+        return some if plain else some & (F.size(F.filter(F.split(text.url_path(href), "/"), lambda x: x != "")) >= SEGMENTS)
+
+    some = found.select("page_id", F.explode(F.filter(_absolute(F.col("links"), F.col("url")), leads)).alias("l")).select("page_id", "l.position", "l.href", "l.text")
     if plain:
         bare = F.substring_index(F.regexp_replace("href", "^http:", "https:"), "?", 1)
         some = some.withColumn("href", F.regexp_replace(bare, "/$", ""))

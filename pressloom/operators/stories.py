@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pressloom.session import checkpointed
+from pressloom.operators import similar
 
 
 def rollup(articles: DataFrame) -> DataFrame:
@@ -109,52 +108,6 @@ def windows(vectors: DataFrame, at: str, hours: int = 48) -> DataFrame:
     return vectors.withColumn("block", F.coalesce(F.floor(seconds / (hours * 3600)), F.lit(-1)).cast("long"))
 
 
-def best_of(queries: DataFrame, vectors: DataFrame, id_col: str, vector: str, rank: str | None = None, block: int = 4096, itself: bool = False) -> DataFrame:
-    """(query_id, id, cosine): for each query the vector of unit length with the largest dot product, ties to the smallest ``rank`` (default: id).
-
-    The stated query set is dealt into blocks of about ``block`` rows by hash. One block
-    at a time is sent to the vectors' partitions, each returns its best row a query, and a
-    combining aggregate merges these; a block's result is written before the next one starts, so the driver holds one block.
-    """
-    spark, kinds = vectors.sparkSession, dict(vectors.dtypes)
-    rank = rank or id_col
-    held = checkpointed(queries.select(F.col(id_col).alias("q"), F.col(vector).alias("v")))
-    n_blocks = max(1, -(-held.count() // block))
-    dealt = held.withColumn("b", F.pmod(F.xxhash64("q"), F.lit(n_blocks)))
-    kind = kinds[id_col]
-    found = []
-    for k in range(n_blocks):
-        part = dealt.where(F.col("b") == k).toPandas()  # about ``block`` rows
-        sent = spark.sparkContext.broadcast((part["q"].to_numpy(), np.stack(part["v"].to_list()).astype(float) if len(part) else np.zeros((0, 0))))
-
-        def scan(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            ids, matrix = sent.value
-            for pdf in batches:
-                if not len(ids) or not len(pdf):
-                    continue
-                pdf = pdf.sort_values("r", kind="stable")
-                own = pdf["i"].to_numpy()
-                dots = np.round(matrix @ np.stack(pdf["v"].to_list()).astype(float).T, 6)
-                if not itself:
-                    dots[ids[:, None] == own[None, :]] = -np.inf
-                pick = np.argmax(dots, axis=1)
-                value = dots[np.arange(len(ids)), pick]
-                good = np.isfinite(value)
-                yield pd.DataFrame({"query_id": ids[good], "id": own[pick][good], "r": pdf["r"].to_numpy()[pick][good], "cosine": value[good]})
-
-        rows = vectors.select(F.col(id_col).alias("i"), F.col(rank).alias("r"), F.col(vector).alias("v"))
-        near = rows.mapInPandas(scan, f"query_id {dict(held.dtypes)['q']}, id {kind}, r {kinds[rank]}, cosine double")
-        best = near.groupBy("query_id").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "r", "id")).alias("m"))
-        found.append(checkpointed(best.select("query_id", F.col("m.id").alias("id"), (-F.col("m.c")).alias("cosine"))))
-        sent.unpersist()
-    return reduce(DataFrame.unionByName, found)
-
-
-def nearest(queries: DataFrame, vectors: DataFrame, id_col: str, vector: str, block: int = 4096) -> DataFrame:
-    """(query_id, id, cosine): for each query the nearest other vector of unit length, ties to the smallest id."""
-    return best_of(queries, vectors, id_col, vector, block=block)
-
-
 def matched(clusters: DataFrame, stories: DataFrame, threshold: float) -> DataFrame:
     """(block, cluster, story, is_new): the story that each of a run's clusters joins or opens.
 
@@ -165,7 +118,7 @@ def matched(clusters: DataFrame, stories: DataFrame, threshold: float) -> DataFr
     searched on Spark; what depends on the order, the new stories of one run, is folded run by run.
     """
     key = F.concat_ws("/", "block", "cluster")
-    near = best_of(clusters.select(key.alias("id"), "vector"), stories.select(F.col("story").alias("id"), "rank", "vector"), "id", "vector", rank="rank", itself=True)
+    near = similar.best_of(clusters.select(key.alias("id"), "vector"), stories.select(F.col("story").alias("id"), "rank", "vector"), "id", "vector", rank="rank", itself=True)
     known = clusters.withColumn("query_id", key).join(near, "query_id", "left").select("block", "cluster", "vector", F.col("id").alias("story"), "cosine")
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pressloom.functions import text
-from pressloom.operators import dedup, links, pages, review, search, stats, stories
+from pressloom.operators import dedup, links, pages, review, search, selectors, similar, stats, stories, vectors
+from pressloom.operators.indexed import Index
 from pressloom.plans import crawl_plans, date_plans, review_plans, store_plans, story_plans, text_plans  # noqa: F401
 from pressloom.plans.registry import ORACLE, QUERIES, SQL_STAMP, query, stamp  # noqa: F401
-from pressloom.session import load
+from pressloom.session import load, shared_folder
 from pressloom.sources.adapter import ARTICLES_SQL, ATTEMPTS_SQL, NOW, articles, attempts, sources
 
 KEY_SQL = r"regexp_replace(lower(nfc_normalize(coalesce(title, ''))), '[^\p{L}\p{N}_\x{200C}\x{200D}]', '', 'g')"
@@ -139,9 +140,9 @@ SELECT id, slug, url FROM cand WHERE NOT EXISTS (SELECT 1 FROM recent r WHERE r.
 )
 def ingest_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two thirds of the articles as new items against the rest as the store; failed reviews stand in for dead urls."""
-    every = articles(spark, sf_dir, reviewed=True).select("id", "slug", "title", "url", "qa_status")
+    every = articles(spark, sf_dir).select("id", "slug", "title", "url")
     store, new = every.where("id % 3 = 0"), every.where("id % 3 > 0")
-    fresh = dedup.unknown(new, store, every.where("qa_status = 'fail'"))
+    fresh = dedup.unknown(new, store, articles(spark, sf_dir, reviewed=True).where("qa_status = 'fail'"))
     return dedup.without_known_titles(fresh, store).select("id", "slug", "url")
 
 
@@ -281,7 +282,7 @@ def stories_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("nearest_vectors", "SELECT q AS query_id, id, cosine FROM (SELECT a.vec_id AS q, b.vec_id AS id, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) DESC, b.vec_id) AS r FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0) WHERE r = 1")
 def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = load(spark, sf_dir, "embeddings")
-    return stories.nearest(vectors.where("vec_id % 100 = 0"), vectors, "vec_id", "embedding")
+    return similar.nearest(vectors.where("vec_id % 100 = 0"), vectors, "vec_id", "embedding")
 
 
 def dated_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -305,6 +306,46 @@ def greedy_clusters_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stories.exact_clusters(vectors, 0.3, [F.desc_nulls_last("published_at"), F.col("vec_id")], "vec_id", "embedding")
 
 
+# texts as vectors
+
+TF_IDF_SQL = f"""{ARTICLES_SQL}, tx AS (SELECT id, regexp_extract_all(lower(coalesce(title, '') || '. ' || substr(coalesce(content, ''), 1, 200)), '[\\p{{L}}\\p{{N}}]+') AS w FROM articles),
+wb AS (SELECT id, ('0x' || substr(md5(w), 1, 5))::INT AS bucket FROM (SELECT id, unnest(w) AS w FROM tx)), tf AS (SELECT id, bucket, count(*) AS tf FROM wb GROUP BY ALL),
+df AS (SELECT bucket, count(*) AS df FROM tf GROUP BY bucket), tw AS (SELECT id, bucket, tf * (ln((1 + (SELECT count(*) FROM tx)) / (1 + df)) + 1) AS w FROM tf JOIN df USING (bucket)),
+tv AS (SELECT id, bucket, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS weight FROM tw)"""
+
+
+def text_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.tf_idf(articles(spark, sf_dir), vectors.embedded_text())
+
+
+@query("text_vectors", f"WITH {TF_IDF_SQL} SELECT id, bucket, round(weight, 6) AS weight FROM tv")
+def text_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The TF-IDF vector of every article's title and first characters."""
+    return text_table(spark, sf_dir).select("id", F.inline("vector")).select("id", "bucket", F.round("weight", 6).alias("weight"))
+
+
+@query(
+    "similar_articles",
+    f"""WITH {TF_IDF_SQL}, tl AS (SELECT id, list((bucket, tf) ORDER BY bucket) AS v FROM tf GROUP BY id), tr AS (SELECT id, min(id) OVER (PARTITION BY v) AS r FROM tl),
+tp AS (SELECT x.id AS a, y.id AS b, round(sum(x.weight * y.weight), 6) AS cosine FROM tv x JOIN tv y ON x.bucket = y.bucket AND x.id < y.id WHERE x.id IN (SELECT r FROM tr) AND y.id IN (SELECT r FROM tr) GROUP BY 1, 2)
+SELECT 'member' AS kind, id AS a, r AS b, 1.0::DOUBLE AS cosine FROM tr UNION ALL SELECT 'pair', a, b, cosine FROM tp WHERE cosine >= 0.7""",
+)
+def similar_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which articles say the same in their first words, and which of these groups are alike."""
+    members, pairs = vectors.alike(text_table(spark, sf_dir), 0.7)
+    told = members.select(F.lit("member").alias("kind"), F.col("id").alias("a"), F.col("representative").alias("b"), F.lit(1.0).alias("cosine"))
+    return told.unionByName(pairs.select(F.lit("pair").alias("kind"), "a", "b", "cosine"))
+
+
+@query("text_clusters")
+def text_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each 48-hour window's articles clustered by their texts' vectors."""
+    texts = text_table(spark, sf_dir).select("id", vectors.dense(F.col("vector"), 384).alias("v"))
+    rows = stories.windows(texts.join(articles(spark, sf_dir).select("id", "published_at"), "id"), "published_at")
+    rows = rows.withColumn("latest", F.coalesce(-F.unix_micros(F.col("published_at").cast("timestamp")), F.lit(1 << 62)))
+    return stories.clusters(rows, 0.72, "block", ["latest", "id"], "id", "v")
+
+
 # search and answers
 
 WORDS_SQL = r"list_transform(regexp_extract_all(lower(coalesce(content, '')), '[\p{L}\p{N}]+'), lambda x: x)"
@@ -328,6 +369,14 @@ def search_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(articles(spark, sf_dir), BM25, 20).select("id", "score", stamp("published_at"), "title")
 
 
+@query("search_indexed", ORACLE["search_bm25"])
+def search_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same search from a stored index: its words' buckets are read, and blocks that can't reach the top are left out."""
+    index = Index(spark, shared_folder(spark, "index"), shown=("published_at", "title"))
+    index.write(articles(spark, sf_dir))
+    return index.search(BM25, 20).select("id", "score", stamp("published_at"), "title")
+
+
 @query("highlights", f"WITH {ARTICLES_SQL} SELECT id, regexp_replace(title, '(?i)\\b(of|the)\\b', '<em>\\1</em>', 'g') AS shown FROM articles")
 def highlights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return articles(spark, sf_dir).select("id", search.highlighted("title", "the of").alias("shown"))
@@ -445,3 +494,24 @@ def page_hrefs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many links a page has, and how many of them are relative."""
     every = pages.extracted(load(spark, sf_dir, "pages")).select("page_id", F.explode("links.href").alias("href"))
     return every.groupBy("page_id").agg(F.count("*").alias("n"), F.count(F.when(F.startswith("href", F.lit("/")), 1)).alias("inner_links"))
+
+
+#: Selectors of one kind of host, the first part of its name, beside the defaults.
+OWN_SELECTORS = {"blog": {"title": ["head title"], "author": ['[lang="de"] h1', '[lang*="r"] title'], "content": ["nav ul", "article p"]}}
+
+
+@query(
+    "page_parts",
+    f"""WITH a AS (SELECT page_id, url, html, regexp_extract(url, '//([a-z]+)', 1) AS source, regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1) AS h, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS t,
+  regexp_extract(html, '(?s)<article>(.*)</article>', 1) AS c, regexp_extract(html, '<html lang="([a-z]+)"', 1) AS lang,
+  regexp_replace(regexp_replace(html, '(?s)^.*<body>|</body>.*$', '', 'g'), '(?s)<nav>.*?</nav>|<footer>.*?</footer>|<script>.*?</script>|<!--.*?-->', '', 'g') AS body FROM pages),
+t AS (SELECT page_id, source, lang, h, t, {ENTITIES_SQL.format(r"regexp_replace(c, '(?s)<[^>]*>', '', 'g')")} AS article, {ENTITIES_SQL.format(r"regexp_replace(body, '(?s)<[^>]*>', '', 'g')")} AS every,
+  {ENTITIES_SQL.format(r"regexp_replace(regexp_extract(c, '(?s)<p>(.*)', 1), '(?s)<[^>]*>', '', 'g')")} AS first_p FROM a)
+SELECT page_id, source, trim({ENTITIES_SQL.format("CASE WHEN source = 'blog' THEN t ELSE h END")}) AS title, CASE WHEN source = 'blog' AND lang = 'de' THEN trim({ENTITIES_SQL.format('h')}) WHEN source = 'blog' AND lang = 'fr' THEN trim({ENTITIES_SQL.format('t')}) END AS author,
+  trim(CASE WHEN source <> 'blog' AND length(trim(article)) > 200 THEN article WHEN source = 'blog' AND length(trim(first_p)) > 200 THEN first_p ELSE every END) AS content FROM t""",
+)
+def page_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles, authors and contents by their source's selectors, or the defaults."""
+    rules = selectors.cascades(spark, OWN_SELECTORS)
+    found = selectors.extracted(load(spark, sf_dir, "pages"), rules, F.regexp_extract("url", "//([a-z]+)", 1), NOW)
+    return found.select("page_id", "source", "title", "author", "content")

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pressloom.operators import dedup, links, select, stats
-from pressloom.plans.registry import SQL_STAMP, query, stamp
-from pressloom.session import load
+from pressloom.plans.registry import ORACLE, SQL_STAMP, query, stamp
+from pressloom.session import checkpointed, load
 from pressloom.sources.adapter import NOW, STORE_SQL, articles, attempts, source_table, store
 
 count_if = lambda c: F.count(F.when(c, 1))
@@ -335,12 +335,25 @@ SELECT seq, coalesce(stage, CASE WHEN first_url AND seq <= coalesce(first_title,
 )
 def ingest_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A run's items by what becomes of them, against a store of a quarter of the articles."""
+    return dedup.outcomes(*run_of(spark, sf_dir)).select("seq", "outcome")
+
+
+def run_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(attempts of a run, the store)."""
     every = articles(spark, sf_dir)
     tried = every.where("id % 4 > 0").select(
         F.col("id").alias("seq"), "slug", F.when(F.col("id") % 11 == 0, F.concat(F.lit("https://x.example/"), (F.col("id") % 33).cast("string"))).otherwise(F.col("url")).alias("url"), "title", "content",
         F.when(F.col("id") % 13 == 0, "404").alias("error"), F.when(F.col("id") % 7 > 0, F.col("published_at")).alias("published_at"),
     )
-    return dedup.outcomes(tried, every.where("id % 4 = 0")).select("seq", "outcome")
+    return tried, every.where("id % 4 = 0")
+
+
+@query("ingest_tallies", f"WITH o AS ({ORACLE['ingest_outcomes']}), n AS (SELECT outcome, count(*) AS n FROM o GROUP BY outcome UNION ALL SELECT 'attempts', count(*) FROM o UNION ALL SELECT 'without_date', count(*) FROM o WHERE seq % 7 = 0) SELECT outcome, n FROM n WHERE n > 0")
+def ingest_tallies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The run's counts, observed in the pass that writes its outcomes."""
+    tally = Observation("run")
+    checkpointed(dedup.outcomes(*run_of(spark, sf_dir), tally=tally))
+    return spark.createDataFrame([(name, n) for name, n in tally.get.items() if n], "outcome string, n long")
 
 
 @query("known_or_dead", f"WITH {STORE_SQL} SELECT DISTINCT url FROM (SELECT url FROM store WHERE id % 2 = 0 UNION ALL SELECT url FROM store WHERE qa_status = 'fail')")
