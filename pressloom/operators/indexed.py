@@ -1,15 +1,16 @@
 """Search served from a stored index: postings in term buckets, and blocks of documents that cannot reach the top are left out.
 
-The index is three Parquet tables below one folder. ``postings`` is partitioned by the
-bucket of the term and that of the document; a row is a field, a term and a block of
-documents, with their ids, counts and lengths, and with the block's largest count and
-smallest length. ``documents`` has one row a document with what filters and pages need,
-``sizes`` the number and words of the documents of each bucket. A query reads the buckets
-of its words alone. The heads of the blocks bound what a document can score: the most promising blocks are
-scored first, and what cannot reach the score of the last hit wanted is never taken apart.
-
-Changed documents rewrite the postings, documents and sizes of their own buckets only,
-by dynamic partition overwrite. One writer at a time.
+The index is four Parquet tables below one folder. ``postings`` has a row for a field, a
+word (its 64-bit hash) and a document, with count and length; it is partitioned by the
+buckets of word and document and sorted by word and block of documents, so files skip
+what a query does not ask for. ``heads`` has, for frequent words, the largest count and
+smallest length of each block. ``documents`` has one row a document with what filters and
+pages need, ``sizes`` the number and words of the documents of each bucket. A query reads the
+buckets of its words alone. The heads bound what a document can score: the most promising blocks are
+scored first, and blocks that cannot reach the score of the last hit wanted are not read.
+
+Changed documents rewrite the tables' buckets of those documents only, by dynamic
+partition overwrite. One writer at a time.
 """
 
 from __future__ import annotations
@@ -17,29 +18,31 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pressloom.operators.search import K1, B, _let, terms
+from pressloom.operators.search import K1, B, _let, run_lengths, terms
 from pressloom.session import checkpointed
 
 #: Blocks that are scored first, before the others are measured against their hits.
 FIRST = 8
+#: Documents of a bucket that make a word frequent, so that its blocks have stored heads; those of others are made from their few postings.
+FREQUENT = 256
+#: Blocks that are asked for by number; more are met by a join.
+ASKED = 1000
 #: Scores are rounded to so many digits; bounds are taken that much larger.
 DIGITS = 6
+#: Classes of lengths, powers of two.
+CLASSES = 32
 
 
-def term_counts(text: Column) -> Column:
-    """The distinct words of a text with their counts, and its number of words, within the row: sorted, then cut where the word changes."""
+def word_hash(word: Column) -> Column:
+    return F.xxhash64(word)
 
-    def runs(s: Column) -> Column:
-        size = F.size(s)
-        starts = F.filter(F.sequence(F.lit(0), size - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
-        cut = lambda p: F.transform(p, lambda x, k: F.struct(F.get(s, x).alias("term"), (F.coalesce(F.get(p, k + 1), size) - x).alias("tf")))
-        none = F.array().cast("array<struct<term:string,tf:int>>")
-        return F.struct(F.when(size > 0, _let(starts, cut)).otherwise(none).alias("words"), size.alias("len"))
 
-    return _let(F.sort_array(terms(text)), runs)
+def term_counts(text: Column) -> Column:
+    """The distinct words of a text, as hashes, with their counts, and its number of words."""
+    return _let(F.transform(terms(text), word_hash), lambda w: F.struct(run_lengths(w, "term", "bigint").alias("words"), F.size(w).alias("len")))
 
 
 @dataclass(frozen=True)
@@ -50,13 +53,13 @@ class Index:
     folder: str
     fields: tuple[str, ...] = ("content",)
     shown: tuple[str, ...] = ()
-    #: Buckets of terms and of documents, and blocks of one bucket's documents of similar length.
-    term_buckets: int = 16
+    #: Buckets of words and of documents, and blocks of one bucket's documents of similar length.
+    term_buckets: int = 8
     doc_buckets: int = 4
-    blocks: int = 4
+    blocks: int = 2
 
     def _term_bucket(self, term: Column) -> Column:
-        return F.pmod(F.xxhash64(term), F.lit(self.term_buckets)).cast("int")
+        return F.pmod(term, F.lit(self.term_buckets)).cast("int")
 
     def _doc_bucket(self, key: Column) -> Column:
         return F.pmod(F.xxhash64(key), F.lit(self.doc_buckets)).cast("int")
@@ -64,89 +67,102 @@ class Index:
     def _block(self) -> Column:
         """Documents of a block have similar lengths, so its bound is near their scores."""
         spread = F.pmod(F.shiftright(F.xxhash64("id"), 20), F.lit(self.blocks))
-        return (F.floor(2 * F.log2(F.col("len") + 1)) * self.blocks + spread).cast("int")
+        return ((F.col("doc_bucket") * CLASSES + F.floor(F.log2(F.col("len") + 1))) * self.blocks + spread).cast("int")
 
     def table(self, name: str) -> DataFrame:
-        """postings, documents or sizes."""
+        """postings, heads, documents or sizes."""
         return self.spark.read.parquet(f"{self.folder}/{name}")
 
     def _put(self, rows: DataFrame, name: str, by: list[str]) -> None:
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(f"{self.folder}/{name}")
 
-    def _read(self, documents: DataFrame) -> DataFrame:
-        """Documents with their words, read once and written: (id, shown, doc_bucket, texts of term_counts)."""
-        counted = F.array(*(term_counts(F.col(f)) for f in self.fields)).alias("texts")
-        return checkpointed(documents.select("id", *self.shown, self._doc_bucket(F.col("id")).alias("doc_bucket"), counted))
-
-    def _words(self, read: DataFrame) -> DataFrame:
-        named = F.explode(F.arrays_zip(F.array(*map(F.lit, self.fields)).alias("field"), F.col("texts").alias("text"))).alias("f")
-        words = read.select("id", "doc_bucket", named).select("id", "doc_bucket", "f.field", F.col("f.text.len").alias("len"), F.explode("f.text.words").alias("w"))
+    def _words(self, documents: DataFrame) -> DataFrame:
+        counted = F.explode(F.array(*(F.struct(F.lit(k).cast("byte").alias("field"), term_counts(F.col(f)).alias("text")) for k, f in enumerate(self.fields)))).alias("f")
+        words = documents.select("id", self._doc_bucket(F.col("id")).alias("doc_bucket"), counted).select("id", "doc_bucket", "f.field", F.col("f.text.len").alias("len"), F.explode("f.text.words").alias("w"))
         return words.select("id", "doc_bucket", "field", "len", "w.term", "w.tf").withColumns({"term_bucket": self._term_bucket(F.col("term")), "block": self._block()})
 
-    def _store(self, words: DataFrame, documents: DataFrame) -> None:
-        # one shuffle: the grouping keeps to the partitions that are written
-        dealt = words.repartition("term_bucket", "doc_bucket").groupBy("term_bucket", "doc_bucket", "field", "term", "block")
-        some = F.when(F.col("id").isNotNull(), F.struct("id", "tf", "len"))
-        heads = [F.count("id").alias("n"), F.sum("tf").alias("occurrences"), F.max("tf").alias("max_tf"), F.min("len").alias("min_len")]
-        blocks = dealt.agg(*heads, F.collect_list(some).alias("postings")).sortWithinPartitions("term_bucket", "doc_bucket", "field", "term", "block")
-        self._put(blocks, "postings", ["term_bucket", "doc_bucket"])
-        self._put(documents.repartition("doc_bucket"), "documents", ["doc_bucket"])
-        sizes = [F.struct(F.lit(f).alias("field"), F.count("id").alias("n"), F.coalesce(F.sum(F.col("lens")[k]), F.lit(0)).alias("words")) for k, f in enumerate(self.fields)]
-        sized = documents.groupBy("doc_bucket").agg(F.array(*sizes).alias("s")).select("doc_bucket", F.explode("s").alias("s")).select("doc_bucket", "s.*")
+    def _documents(self, documents: DataFrame) -> DataFrame:
+        lens = F.array(*(F.size(terms(F.col(f))) for f in self.fields))
+        return documents.select("id", *self.shown, lens.alias("lens"), self._doc_bucket(F.col("id")).alias("doc_bucket"))
+
+    def _store(self, words: DataFrame, documents: DataFrame, places: DataFrame) -> None:
+        """Writes whole buckets, ``places``(term_bucket, doc_bucket): a row of nulls holds the place of each, so that one of which nothing is left is overwritten too."""
+        both = ["term_bucket", "doc_bucket"]
+        keep = lambda rows, by: rows.unionByName(places.select(*by).distinct(), allowMissingColumns=True)
+        order = ["field", "term", "block"]
+        # one shuffle and one sort: the windows keep to the partitions and the order that are written
+        dealt = keep(words.select(*both, *order, "id", "tf", "len"), both).repartition(*both)
+        of_block, of_word = Window.partitionBy(*both, *order), Window.partitionBy(*both, "field", "term")
+        facts = {"n": F.count("id").over(of_block), "max_tf": F.max("tf").over(of_block), "min_len": F.min("len").over(of_block), "first": F.row_number().over(of_block.orderBy("id")) == 1, "in_bucket": F.count("id").over(of_word)}
+        self._put(dealt.withColumns(facts), "postings", both)
+        heads = self.table("postings").join(F.broadcast(places.select("doc_bucket").distinct()), "doc_bucket", "left_semi")  # at most doc_buckets rows
+        heads = heads.where(F.col("first") & (F.col("in_bucket") >= FREQUENT)).select(*both, *order, "n", "max_tf", "min_len")
+        self._put(keep(heads, both), "heads", both)
+        self._put(keep(documents, ["doc_bucket"]).repartition("doc_bucket"), "documents", ["doc_bucket"])
+        sizes = [F.struct(F.lit(k).alias("field"), F.count("id").alias("n"), F.coalesce(F.sum(F.col("lens")[k]), F.lit(0)).alias("words")) for k in range(len(self.fields))]
+        sized = keep(documents, ["doc_bucket"]).groupBy("doc_bucket").agg(F.array(*sizes).alias("s")).select("doc_bucket", F.inline("s"))
         self._put(sized.repartition("doc_bucket"), "sizes", ["doc_bucket"])
 
-    def _documents(self, read: DataFrame) -> DataFrame:
-        return read.select("id", *self.shown, F.col("texts.len").alias("lens"), "doc_bucket")
-
     def write(self, documents: DataFrame) -> None:
-        """A new index of ``documents``, one row an id; null texts have no words, a null id none at all."""
-        read = self._read(documents.where("id is not null"))
-        self._store(self._words(read), self._documents(read))
+        """A new index of ``documents``, one row an id; null texts have no words, a row without an id is left out."""
+        some = documents.where("id is not null")
+        self._store(self._words(some), self._documents(some), self._places(list(range(self.doc_buckets))))
+
+    def _places(self, doc_buckets: list[int]) -> DataFrame:
+        return self.spark.range(self.term_buckets).select(F.col("id").cast("int").alias("term_bucket"), F.explode(F.array(*map(F.lit, doc_buckets))).alias("doc_bucket"))
 
     def upsert(self, changed: DataFrame) -> int:
         """Puts ``changed``, one row an id, in place of the documents of the same ids; how many buckets of documents were rewritten.
 
-        The other documents' postings are not computed again. Run twice, it leaves the same index.
+        The words of the other documents are not taken from their texts again. Run twice, it leaves the same index.
         """
-        read = self._read(changed.where("id is not null"))
-        touched = sorted(r[0] for r in read.select("doc_bucket").distinct().collect())  # at most doc_buckets numbers, the scans' partition filter
+        changed = checkpointed(changed.where("id is not null").select("id", *dict.fromkeys((*self.shown, *self.fields))))
+        touched = sorted(r[0] for r in changed.select(self._doc_bucket(F.col("id"))).distinct().collect())  # at most doc_buckets numbers, the scans' partition filter
         if not touched:
             return 0
-        here = F.col("doc_bucket").isin(touched)
-        fresh, ids = self._words(read), read.select("id")
-        held = self.table("postings").where(here).select("doc_bucket", "field", "term", "term_bucket", "block", F.explode("postings").alias("p")).select("*", "p.*")
-        words = held.join(ids, "id", "left_anti").select(*fresh.columns).unionByName(fresh)
-        # a row that holds the place of what a bucket loses, so that it is overwritten even if nothing is left
-        places = self.spark.range(self.term_buckets).select(F.col("id").cast("int").alias("term_bucket"), F.explode(F.array(*map(F.lit, touched))).alias("doc_bucket"))
-        documents = self.table("documents").where(here).where("id is not null").join(ids, "id", "left_anti").unionByName(self._documents(read))
-        holders = places.select("doc_bucket").distinct()
-        self._store(words.unionByName(places, allowMissingColumns=True), checkpointed(documents).unionByName(holders, allowMissingColumns=True))
+        here = F.col("doc_bucket").isin(touched) & F.col("id").isNotNull()
+        fresh, ids = self._words(changed), changed.select("id")
+        words = self.table("postings").where(here).select(*fresh.columns).join(ids, "id", "left_anti").select(*fresh.columns).unionByName(fresh)
+        documents = self.table("documents").where(here).join(ids, "id", "left_anti").unionByName(self._documents(changed))
+        self._store(words, checkpointed(documents), self._places(touched))
         return len(touched)
 
     # queries
 
+    def _asked(self, name: str, words: list[str], field: str) -> DataFrame:
+        """The rows of postings or heads of a query's words, with each word: only their buckets are read."""
+        hashes = [word_hash(F.lit(w)) for w in words]
+        buckets = F.col("term_bucket").isin(*(self._term_bucket(h) for h in hashes))
+        return self.table(name).where(buckets & F.col("term").isin(*hashes) & (F.col("field") == self.fields.index(field)))
+
     def _heads(self, words: list[str], field: str) -> DataFrame:
-        """The rows of ``postings`` of a query: only its words' buckets are read."""
-        buckets = F.col("term_bucket").isin(*(self._term_bucket(F.lit(w)) for w in words))
-        return self.table("postings").where(buckets & F.col("term").isin(words) & (F.col("field") == field))
+        """(term, doc_bucket, block, n, max_tf, min_len) of every block that holds a word of the query."""
+        columns = ["term", "doc_bucket", "block", "n", "max_tf", "min_len"]
+        # a word that is rare in a bucket has fewer than FREQUENT postings there
+        rare = self._asked("postings", words, field).where((F.col("in_bucket") < FREQUENT) & F.col("first"))
+        return self._asked("heads", words, field).select(*columns).unionByName(rare.select(*columns))
 
-    def _bm25(self, words: list[str], field: str):
+    def _bm25(self, words: list[str], field: str, heads: DataFrame):
         """The score of one word in a document, from the statistics of the whole index."""
-        n, total = self.table("sizes").where(F.col("field") == field).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
-        df = {r.term: r.df for r in self._heads(words, field).groupBy("term").agg(F.sum("n").alias("df")).collect()}  # a row a word of the query
+        n, total = self.table("sizes").where(F.col("field") == self.fields.index(field)).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
+        counted = heads.groupBy("term").agg(F.sum("n").alias("df"))
+        word = F.coalesce(*(F.when(F.col("term") == word_hash(F.lit(w)), F.lit(w)) for w in words))
+        df = {r.word: r.df for r in counted.select(word.alias("word"), "df").collect()}  # a row a word of the query
         mean = total / n if total else 1.0
         idf = {w: math.log(1 + (n - df.get(w, 0) + 0.5) / (df.get(w, 0) + 0.5)) for w in words}
-        weight = F.coalesce(*(F.when(F.col("term") == w, F.lit(x)) for w, x in idf.items()))
+        weight = F.coalesce(*(F.when(F.col("term") == word_hash(F.lit(w)), F.lit(x)) for w, x in idf.items()))
         return lambda tf, length: weight * F.col(tf) * (K1 + 1) / (F.col(tf) + K1 * (1 - B + B * F.col(length) / mean))
 
     def _scored(self, words: list[str], field: str, score, blocks: DataFrame | None) -> DataFrame:
         """(id, doc_bucket, score) of the documents of some ``blocks``, or of all."""
-        rows = self._heads(words, field)
+        rows = self._asked("postings", words, field)
         if blocks is not None:
-            places = [r[0] for r in blocks.select("doc_bucket").distinct().collect()]  # at most doc_buckets numbers
-            rows = rows.where(F.col("doc_bucket").isin(places)).join(blocks.select("doc_bucket", "block"), ["doc_bucket", "block"], "left_semi")
-        each = rows.select("term", "doc_bucket", F.explode("postings").alias("p")).select("term", "doc_bucket", "p.*")
-        return each.groupBy("id", "doc_bucket").agg(F.round(F.sum(score("tf", "len")), DIGITS).alias("score"))
+            some = [tuple(r) for r in blocks.select("doc_bucket", "block").limit(ASKED + 1).collect()]
+            if len(some) <= ASKED:
+                rows = rows.where(F.col("doc_bucket").isin(sorted({b for b, _ in some})) & F.col("block").isin([b for _, b in some]))
+            else:
+                rows = rows.join(blocks.select("block"), "block", "left_semi")
+        return rows.groupBy("id", "doc_bucket").agg(F.round(F.sum(score("tf", "len")), DIGITS).alias("score"))
 
     def _met(self, hits: DataFrame, equal: dict[str, str | None]) -> DataFrame:
         """Hits with what the index shows of them, those that the filters leave."""
@@ -158,8 +174,9 @@ class Index:
 
     def _blocks(self, query: str, limit: int, field: str, equal: dict) -> tuple[list[str], object, DataFrame, float | None]:
         words = sorted(set(query.lower().split())) or [""]
-        score = self._bm25(words, field)
-        bounds = checkpointed(self._heads(words, field).groupBy("doc_bucket", "block").agg((F.sum(score("max_tf", "min_len")) + 10.0**-DIGITS).alias("bound")))
+        heads = self._heads(words, field)
+        score = self._bm25(words, field, heads)
+        bounds = checkpointed(heads.groupBy("doc_bucket", "block").agg((F.sum(score("max_tf", "min_len")) + 10.0**-DIGITS).alias("bound")))
         first = checkpointed(bounds.orderBy(F.desc("bound"), "doc_bucket", "block").limit(FIRST))
         best = self._met(self._scored(words, field, score, first), equal).select("score").orderBy(F.desc("score")).limit(limit).agg(F.count("*"), F.min("score")).first()
         return words, score, bounds, best[1] if best[0] == limit else None
@@ -183,4 +200,4 @@ class Index:
     def matches(self, query: str, field: str = "content", **equal: str | None) -> DataFrame:
         """(id, score, shown columns) of every document that holds a word of the query."""
         words = sorted(set(query.lower().split())) or [""]
-        return self._met(self._scored(words, field, self._bm25(words, field), None), equal)
+        return self._met(self._scored(words, field, self._bm25(words, field, self._heads(words, field)), None), equal)

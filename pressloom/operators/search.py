@@ -25,6 +25,18 @@ def _let(value, then):
     return F.element_at(F.transform(F.array(value), then), 1)
 
 
+def run_lengths(values, name: str, kind: str):
+    """The distinct elements of an array as (name, tf) in order, within the row: sorted, then cut where the element changes."""
+
+    def runs(s):
+        size = F.size(s)
+        starts = F.filter(F.sequence(F.lit(0), size - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        cut = lambda p: F.transform(p, lambda x, k: F.struct(F.get(s, x).alias(name), (F.coalesce(F.get(p, k + 1), size) - x).alias("tf")))
+        return F.when(size > 0, _let(starts, cut)).otherwise(F.array().cast(f"array<struct<{name}:{kind},tf:int>>"))
+
+    return _let(F.sort_array(values), runs)
+
+
 def _is(word: str):
     return lambda x: x == word
 
@@ -38,6 +50,18 @@ def index_documents(articles: DataFrame, sources: DataFrame) -> DataFrame:
     )
 
 
+def field_postings(documents: DataFrame, fields: list[str]) -> DataFrame:
+    """(term, field, id, tf) of the searchable fields: the inverted index, one row per word, field and document."""
+    each = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), terms(F.col(f)).alias("w")) for f in fields)))
+    words = documents.select("id", each.alias("f")).select("id", "f.field", F.explode("f.w").alias("term"))
+    return words.groupBy("term", "field", "id").agg(F.count("*").alias("tf"))
+
+
+def reindexed(index: DataFrame, changed: DataFrame) -> DataFrame:
+    """``index`` with the postings of ``changed`` in place of those of the same documents."""
+    return index.join(changed.select("id").distinct(), "id", "left_anti").select(*index.columns).unionByName(changed.select(*index.columns))
+
+
 def index_size(articles: DataFrame) -> DataFrame:
     """One row of tokens, terms and documents; whole contents are read once, only each text's distinct words are shuffled."""
     one = articles.select(_let(terms("content"), lambda w: F.struct(F.size(w).alias("n"), F.array_distinct(w).alias("w"))).alias("t")).select("t.*")
