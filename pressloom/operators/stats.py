@@ -58,3 +58,22 @@ def by_kind(state: DataFrame, key: str) -> DataFrame:
         *(count(F.col("kind") == k).alias(f"err_{k}") for k in named),
         count(~F.col("kind").isin(*named)).alias("err_other"),
     )
+
+
+def typed_properties(rows: DataFrame, text: str, fields: dict[str, str]) -> DataFrame:
+    """``rows`` with ``form`` (missing, malformed, or the kind of the value: object, array or scalar) and a column of its type for each of ``fields``, {name: type}.
+
+    The text is read once, into a VARIANT. A path that is not there, or a value that is
+    not of the type and cannot be cast to it, is null; nothing fails.
+    """
+    parsed = rows.withColumn("_variant", F.try_parse_json(text))
+    kind = F.schema_of_variant("_variant")
+    form = F.when(F.col(text).isNull(), "missing").when(F.col("_variant").isNull(), "malformed").when(F.startswith(kind, F.lit("OBJECT")), "object").when(F.startswith(kind, F.lit("ARRAY")), "array").otherwise("scalar")
+    typed = [F.try_variant_get("_variant", f"$.{name}", of).alias(name) for name, of in fields.items()]
+    return parsed.select(*rows.columns, form.alias("form"), *typed)
+
+
+def property_schema(rows: DataFrame, text: str) -> DataFrame:
+    """(schema, n): one schema that all well-formed values of a column fit, and how many there are: an aggregate that combines."""
+    parsed = rows.select(F.try_parse_json(text).alias("v"))
+    return parsed.agg(F.schema_of_variant_agg("v").alias("schema"), F.count("v").alias("n"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pressloom.operators.search import terms
+from pressloom.operators.search import run_lengths, terms
 from pressloom.session import checkpointed
 
 #: Hexadecimal digits of a word's MD5 that number its bucket, and how many buckets that makes.
@@ -36,10 +36,10 @@ def tf_idf(docs: DataFrame, text: Column, id_col: str = "id") -> DataFrame:
     The weight is a bucket's count in the text times ln((1 + N) / (1 + its documents)) + 1,
     over all N rows of ``docs``, one row an id; words of one bucket count together.
     """
-    words = checkpointed(docs.select(F.col(id_col).alias("id"), F.transform(terms(text), bucket).alias("b")))
-    counts = words.select("id", F.explode("b").alias("bucket")).groupBy("id", "bucket").agg(F.count("*").alias("tf"))
-    frequencies = words.select(F.explode(F.array_distinct("b")).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("df"))
+    words = checkpointed(docs.select(F.col(id_col).alias("id"), run_lengths(F.transform(terms(text), bucket), "bucket", "int").alias("b")))
+    frequencies = words.select(F.explode("b.bucket").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("df"))
     idf = frequencies.crossJoin(F.broadcast(words.agg(F.count("*").alias("n")))).select("bucket", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))  # one row
+    counts = words.select("id", F.inline("b"))
     weighed = counts.join(F.broadcast(idf), "bucket").select("id", "bucket", (F.col("tf") * F.col("idf")).alias("w"))  # at most BUCKETS rows
     lists = weighed.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("bucket", "w"))).alias("all"))
     # summed in the buckets' order, so equal texts have vectors equal to the last bit
@@ -66,24 +66,25 @@ def alike(vectors: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     Rows of equal vectors have one representative, the smallest id, so copies make no
     pairs; empty vectors are like nothing. Two unit vectors with a dot product of ``least`` share a bucket
     that is in the prefix of both: rarest buckets first, a vector's prefix ends where what
-    follows is shorter than ``least``. Only prefixes are joined, so frequent buckets, which end up in few
-    of them, make few candidates, and each candidate is compared once, at the rarest bucket that both prefixes have.
+    is left is shorter than ``least``. Only prefixes are joined, so frequent buckets, which end up in few
+    of them, make few candidates; and of these, only those whose weights there and lengths beyond allow ``least``.
     """
     if not 0 < least <= 1:
         raise ValueError("a similarity above 0, up to 1")
-    some = vectors.where(F.size("vector") > 0).withColumn("_class", F.xxhash64("vector"))
+    some = checkpointed(vectors.where(F.size("vector") > 0).withColumn("_class", F.xxhash64("vector")))
     # equal hashes are told apart by the vectors themselves
-    firsts = some.groupBy("_class", "vector").agg(F.min("id").alias("representative"))
-    members = checkpointed(some.join(firsts, ["_class", "vector"]).select("id", "representative"))
-    heads = checkpointed(firsts.select(F.col("representative").alias("id"), "vector"))
+    firsts = checkpointed(some.groupBy("_class", "vector").agg(F.min("id").alias("representative")))
+    members = some.join(firsts, ["_class", "vector"]).select("id", "representative")
+    heads = firsts.select(F.col("representative").alias("id"), "vector")
     frequency = heads.select(F.explode("vector.bucket").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("df"))
-    ranked = heads.select("id", F.explode("vector").alias("e")).select("id", "e.bucket", "e.weight").join(F.broadcast(frequency), "bucket")  # at most BUCKETS rows
-    rest = Window.partitionBy("id").orderBy("df", "bucket").rowsBetween(0, Window.unboundedFollowing)
-    # what follows an element, itself included, is at least as long as the dot product it can add
-    prefix = ranked.withColumn("left", F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(rest))).where(F.col("left") >= least - 1e-9)
-    prefix = checkpointed(prefix.select("id", "bucket", "df"))
-    other = prefix.select(F.col("id").alias("b"), "bucket")
-    met = prefix.withColumnRenamed("id", "a").join(other, "bucket").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n")).select("a", "b")
+    ranked = heads.select("id", F.inline("vector")).join(F.broadcast(frequency), "bucket")  # at most BUCKETS rows
+    rest = Window.partitionBy("id").orderBy("df", "bucket").rowsBetween(1, Window.unboundedFollowing)
+    # a dot product at an element and after it is at most the product of the lengths from there on
+    ranked = ranked.withColumn("after", F.coalesce(F.sum(F.col("weight") * F.col("weight")).over(rest), F.lit(0.0)))
+    prefix = ranked.where(F.col("weight") * F.col("weight") + F.col("after") >= least * least - 1e-9)
+    prefix = checkpointed(prefix.select("id", "bucket", "weight", F.sqrt("after").alias("rest")))
+    left, right = (prefix.select(F.col("id").alias(c), "bucket", F.col("weight").alias(f"w{c}"), F.col("rest").alias(f"r{c}")) for c in ("a", "b"))
+    met = left.join(right, "bucket").where((F.col("a") < F.col("b")) & (F.col("wa") * F.col("wb") + F.col("ra") * F.col("rb") >= least - 1e-9)).select("a", "b").distinct()
     left, right = (heads.select(F.col("id").alias(c), F.map_from_entries("vector").alias(f"v{c}")) for c in ("a", "b"))
     dot = F.aggregate(F.map_keys("va"), F.lit(0.0), lambda s, k: s + F.col("va")[k] * F.coalesce(F.try_element_at("vb", k), F.lit(0.0)))
     pairs = met.join(left, "a").join(right, "b").select("a", "b", F.round(dot, 6).alias("cosine")).where(F.col("cosine") >= least)

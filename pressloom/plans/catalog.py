@@ -248,6 +248,37 @@ def event_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "events").groupBy(F.get_json_object("props", "$.k").cast("long").alias("k")).agg(F.count("*").alias("n"))
 
 
+MIXED_SQL = """CASE event_id % 6 WHEN 0 THEN props WHEN 1 THEN '{"k": "' || user_id || '", "tags": ["a", "b"]}' WHEN 2 THEN '{"k": 1.5, "s": {"x": ' || event_id || '}}' WHEN 3 THEN '{"k": ' WHEN 4 THEN '[1, 2]' END"""
+
+
+def mixed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events whose properties are as they are, of other types, nested, cut off, no object, and missing."""
+    n, said = F.col("event_id"), lambda *c: F.concat(*(F.lit(x) if isinstance(x, str) else x.cast("string") for x in c))
+    mixed = F.when(n % 6 == 0, F.col("props")).when(n % 6 == 1, said('{"k": "', F.col("user_id"), '", "tags": ["a", "b"]}')).when(n % 6 == 2, said('{"k": 1.5, "s": {"x": ', n, "}}")).when(n % 6 == 3, '{"k": ').when(n % 6 == 4, "[1, 2]")
+    return load(spark, sf_dir, "events").select("event_id", mixed.alias("said"))
+
+
+@query(
+    "event_variants",
+    f"""WITH m AS (SELECT event_id, {MIXED_SQL} AS said FROM events), j AS (SELECT *, CASE WHEN json_valid(said) THEN said END AS j FROM m)
+SELECT event_id, CASE WHEN said IS NULL THEN 'missing' WHEN j IS NULL THEN 'malformed' WHEN json_type(j) = 'OBJECT' THEN 'object' WHEN json_type(j) = 'ARRAY' THEN 'array' ELSE 'scalar' END AS form,
+  TRY_CAST(json_extract_string(j, '$.k') AS DOUBLE) AS k, TRY_CAST(json_extract_string(j, '$.s.x') AS BIGINT) AS x, json_extract_string(j, '$.tags[1]') AS tag FROM j""",
+)
+def event_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed reads of properties of every kind."""
+    found = stats.typed_properties(mixed_events(spark, sf_dir), "said", {"k": "double", "s.x": "bigint", "tags[1]": "string"})
+    return found.select("event_id", "form", "k", F.col("`s.x`").alias("x"), F.col("`tags[1]`").alias("tag"))
+
+
+@query(
+    "variant_schema",
+    f"WITH m AS (SELECT {MIXED_SQL} AS said FROM events WHERE event_id % 6 <> 4) SELECT 'OBJECT<k: VARIANT, s: OBJECT<x: BIGINT>, tags: ARRAY<STRING>>' AS schema, count(*) FILTER (WHERE json_valid(said)) AS n FROM m",
+)
+def variant_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The one schema of all well-formed properties that are objects."""
+    return stats.property_schema(mixed_events(spark, sf_dir).where("event_id % 6 <> 4"), "said")
+
+
 # stories: the embeddings' labels stand for story numbers
 
 STORY_SQL = f"""WITH {ARTICLES_SQL}, a AS (SELECT e.label AS story, r.* FROM articles r JOIN embeddings e ON e.vec_id = r.id)"""
