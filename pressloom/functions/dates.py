@@ -7,6 +7,7 @@ itself, so an impossible or invalid match gives way to the next pattern.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -47,8 +48,11 @@ def _let(value: Column, then: Callable[[Column], Column]) -> Column:
 
 
 def _groups(text: Column, pattern: str, then: Callable[[Callable[[int], Column]], Column]) -> Column:
-    """``then`` of the groups of the first match, found once and taken apart by itself."""
-    return _let(F.regexp_extract(text, pattern, 0), lambda m: F.when(m != "", then(lambda k: F.nullif(F.regexp_extract(m, pattern, k), F.lit("")))))
+    """``then`` of the groups of the first match: found once, and then taken apart once, by itself."""
+    glue = "\x1f".join(f"${k + 1}" for k in range(re.compile(pattern).groups))
+    apart = lambda m: F.split(F.regexp_replace(m, F.lit(pattern), F.lit(glue)), "\x1f")
+    given = lambda m: _let(apart(m), lambda a: then(lambda k: F.nullif(F.get(a, F.lit(k - 1)), F.lit(""))))
+    return _let(F.regexp_extract(text, pattern, 0), lambda m: F.when(m != "", given(m)))
 
 
 def _lookup(names: list[str], numbers: list, key: Column) -> Column:
@@ -126,9 +130,10 @@ def strict(text: Column, now: str) -> Column:
     return F.coalesce(_groups(text, _ISO, iso), _groups(text, _MAIL, mail))
 
 
-def waterfall(meta: Column, selector: Column, url: Column, body: Column, feed: Column, now: str) -> Column:
-    """The first valid instant of: the meta text read strictly, the selected text's patterns, the URL, the body's first BODY characters, the feed's date read strictly."""
-    return F.coalesce(strict(meta, now), from_text(selector, now), from_url(url, now), from_text(F.substring(body, 1, BODY), now), strict(feed, now))
+def waterfall(meta: Column | None, selector: Column | None, url: Column | None, body: Column | None, feed: Column | None, now: str) -> Column:
+    """The first valid instant of: the meta text read strictly, the selected text's patterns, the URL, the body's first BODY characters, the feed's date read strictly; a level that is None is left out."""
+    levels = [(meta, strict), (selector, from_text), (url, from_url), (None if body is None else F.substring(body, 1, BODY), from_text), (feed, strict)]
+    return F.coalesce(*(read(said, now) for said, read in levels if said is not None))
 
 
 def month_range(month: Column) -> Column:

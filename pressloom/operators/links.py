@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pressloom.session import checkpointed
+
 # Days after the first failure at which the next retry is due, by retries so far.
 RETRY_DAYS = [7, 14, 30]
 
@@ -58,10 +60,32 @@ def recorded(state: DataFrame, failures: DataFrame, successes: DataFrame) -> Dat
 def sweep_end(pages: DataFrame, most_misses: int, group: str, order: str, hit: Column) -> DataFrame:
     """(group, stop): the order at which a sweep has had ``most_misses`` misses in a row; null if it never does.
 
-    A hit resets the count. That is the first row at which the last ``most_misses`` rows
-    are all misses: one window with a frame of that length. A group is sorted by one task, in spillable runs.
+    A hit resets the count. Rows are dealt by ranges of group and order, so even one
+    group that holds all rows is spread over the tasks. Each range of a group is summed
+    up: the misses that it begins and ends with, whether it has a hit, and where it
+    stops by itself. The summaries, one a range, are then read in order: a run goes
+    from one range into the next. Rows of equal order in a group may be taken in any order among themselves.
     """
-    last = Window.partitionBy(group).orderBy(order).rowsBetween(1 - most_misses, 0)
-    missed = pages.withColumn("_missed", F.sum((~hit).cast("int")).over(last))
-    stop = F.min(F.when(F.col("_missed") == most_misses, F.col(order))).alias("stop")
-    return missed.groupBy(group).agg(stop)
+    narrow = pages.select(F.col(group).alias("_g"), F.col(order).alias("_o"), hit.alias("_hit"))
+    dealt = checkpointed(narrow.repartitionByRange("_g", "_o").sortWithinPartitions("_g", "_o").withColumn("_part", F.spark_partition_id()))
+    here = Window.partitionBy("_g", "_part")
+    upto = here.orderBy("_o").rowsBetween(Window.unboundedPreceding, 0)
+    last = here.orderBy("_o").rowsBetween(1 - most_misses, 0)
+    seen = dealt.withColumns({"_hits": F.sum(F.col("_hit").cast("int")).over(upto), "_at": F.row_number().over(here.orderBy("_o")), "_missed": F.sum((~F.col("_hit")).cast("int")).over(last)})
+    leading = F.when((F.col("_hits") == 0) & (F.col("_at") < most_misses), F.col("_o"))
+    summary = seen.groupBy("_g", "_part").agg(
+        F.count("*").alias("rows"),
+        F.array_sort(F.collect_list(leading)).alias("head"),  # fewer than most_misses
+        (F.count("*") - F.coalesce(F.max(F.when(F.col("_hit"), F.col("_at"))), F.lit(0))).alias("tail"),
+        F.max("_hit").alias("hit"),
+        F.min(F.when(F.col("_missed") == most_misses, F.col("_o"))).alias("own"),
+    )
+    # misses since the last hit before a range: all rows of the ranges since the last one with a hit, and what that one ends with
+    before = Window.partitionBy("_g").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    placed = summary.withColumn("done", F.coalesce(F.sum("rows").over(before), F.lit(0)))
+    carry = F.col("done") - F.coalesce(F.max(F.when(F.col("hit"), F.col("done") + F.col("rows") - F.col("tail"))).over(before), F.lit(0))
+    reached = placed.withColumn("need", F.lit(most_misses) - F.least(carry, F.lit(most_misses)))
+    across = F.when(F.col("need").between(1, F.size("head")), F.get("head", (F.col("need") - 1).cast("int")))
+    # a range that begins with enough misses stops in them at the latest
+    found = reached.groupBy("_g").agg(F.min(F.least(across, F.col("own"))).alias("stop"))
+    return found.select(F.col("_g").alias(group), "stop")

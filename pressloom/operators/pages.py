@@ -35,6 +35,8 @@ SEGMENTS = 3
 # Links that lead to lists or media, and texts that say nothing.
 LIST_LINKS = r"(?i)/(category|tag|page|author|wp-content|feed|login)/"
 MEDIA_LINKS = r"(?i)\.(jpg|jpeg|png|gif|svg|webp|pdf)$"
+# The paths of the source whose links are normalised.
+PLAIN_PATHS = r"/(news|sports)[/.]"
 GENERIC_TEXT = r"(?i)^(වැඩි විස්තර|more|comments|\(\d+\)|read more)"
 
 _NAMED = {c: k for k, c in enumerate(CONTENT_CLASSES)}
@@ -175,7 +177,7 @@ def extracted(pages: DataFrame, now: str = "9000-01-01 00:00:00", feed_date: Col
     found = pages.select("page_id", "url", parts("html").alias("_p"))
     said = F.coalesce(meta(*DATE_METAS), p["time"], p["date"])
     where = F.coalesce(F.get(p["regions"], 0), p["body"], F.lit(""))
-    at = dates.waterfall(said, said, F.col("url"), where, F.lit(None).cast("string") if feed_date is None else feed_date, now)
+    at = dates.waterfall(said, said, F.col("url"), where, feed_date, now)
     author = F.coalesce(text.clean_author(F.coalesce(meta(*AUTHOR_METAS), p["author"])), text.byline(raw))
     content = text.without_byline(raw)
     return found.select(
@@ -224,7 +226,8 @@ def links(found: DataFrame, allow: list[str] | None = None, plain: bool = False)
 
     They stay on the page's host, have a text of LINK_TEXT characters that says something,
     lead to no list or media, and match one of ``allow`` by path and query or, without such a
-    list, have SEGMENTS path segments. ``plain`` normalises to https without query and final slash.
+    list, have SEGMENTS path segments. ``plain`` is for a source whose articles are all
+    below PLAIN_PATHS: links elsewhere go, and the others become https without query and final slash.
     """
 
     def leads(link: Column) -> Column:
@@ -232,7 +235,7 @@ def links(found: DataFrame, allow: list[str] | None = None, plain: bool = False)
         some = link["inner"] & F.length(said).between(*LINK_TEXT) & ~said.rlike(GENERIC_TEXT) & ~href.rlike(LIST_LINKS) & ~href.rlike(MEDIA_LINKS)
         if allow:
             return some & path_and_query(href).rlike("|".join(allow))
-        return some if plain else some & (F.size(F.filter(F.split(text.url_path(href), "/"), lambda x: x != "")) >= SEGMENTS)
+        return some & href.rlike(PLAIN_PATHS) if plain else some & (F.size(F.filter(F.split(text.url_path(href), "/"), lambda x: x != "")) >= SEGMENTS)
 
     some = found.select("page_id", F.explode(F.filter(_absolute(F.col("links"), F.col("url")), leads)).alias("l")).select("page_id", "l.position", "l.href", "l.text")
     if plain:

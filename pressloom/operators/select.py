@@ -26,6 +26,11 @@ def since_months(column: str, now: str, months: int) -> Column:
     return F.col(column) >= F.add_months(F.trunc(F.lit(now).cast("date"), "month"), 1 - months).cast("timestamp_ntz")
 
 
+def valid_day(day: Column) -> Column:
+    """Whether a text is a day of the calendar as YYYY-MM-DD; null is none."""
+    return F.coalesce(F.when(day.rlike(r"^\d{4}-\d{2}-\d{2}$"), day.try_cast("date")).isNotNull(), F.lit(False))
+
+
 def where_given(rows: DataFrame, **wanted) -> DataFrame:
     """Rows that meet every predicate given: {column: value}, {column__since: time}, {column__until: time}, {column__day: day}, {column__in: list}, {column__null: bool}; None asks nothing."""
     of = {

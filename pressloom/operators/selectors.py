@@ -269,8 +269,7 @@ def extracted(pages: DataFrame, cascades: DataFrame, source: Column, now: str =
         content.alias("content"),
         F.coalesce(meta("og:image"), attr("image", "src")).alias("image_url"),
     )
-    nothing = F.lit(None).cast("string")
-    at = dates.waterfall(F.col("date_text"), F.col("date_text"), F.col("url"), F.coalesce("content", F.lit("")), nothing, now)
+    at = dates.waterfall(F.col("date_text"), F.col("date_text"), F.col("url"), F.coalesce("content", F.lit("")), None, now)
     return found.withColumn("published_at", at)
 
 

@@ -51,16 +51,19 @@ def nid_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tried.join(ends, "sweep").where("stop is null or nid <= stop").groupBy("sweep").agg(F.first("stop").alias("stop"), F.count("*").alias("fetched"))
 
 
-@query("nid_batches", "SELECT (1200 - nid) // 50 AS batch, count(*) AS n, min(nid) AS first, max('https://n.example/' || nid) AS url FROM (SELECT unnest(range(903, 1201)) AS nid) GROUP BY 1")
+@query("nid_batches", "WITH r AS (SELECT min(o_orderkey) AS a, max(o_orderkey) AS b FROM orders), n AS (SELECT unnest(range(a, b + 1)) AS nid, b FROM r) SELECT (b - nid) // 50 AS batch, count(*) AS n, min(nid) AS first, max('https://n.example/' || nid) AS url FROM n GROUP BY 1")
 def nid_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A range of numbers backwards, fifty to a batch."""
-    every = crawl.number_plan(spark, 903, 1200, "https://n.example/{nid}", reverse=True)
+    """The range of all orders' numbers backwards, fifty to a batch."""
+    first, last = load(spark, sf_dir, "orders").agg(F.min("o_orderkey"), F.max("o_orderkey")).first()
+    every = crawl.number_plan(spark, first, last, "https://n.example/{nid}", reverse=True)
     return every.groupBy("batch").agg(F.count("*").alias("n"), F.min("nid").alias("first"), F.max("url").alias("url"))
 
 
-@query("calendar_pages", "SELECT strftime(d, '%Y-%m-%d') AS day, 'https://c.example/' || strftime(d, '%Y/%m/%d') || '/' AS url FROM (SELECT unnest(generate_series(DATE '2024-02-10', DATE '2024-03-05', INTERVAL 1 DAY)) AS d)")
+@query("calendar_pages", "WITH r AS (SELECT min(o_orderdate)::DATE AS a, max(o_orderdate)::DATE AS b FROM orders) SELECT strftime(d, '%Y-%m-%d') AS day, 'https://c.example/' || strftime(d, '%Y/%m/%d') || '/' AS url FROM (SELECT unnest(generate_series(greatest(a, b - 90), b, INTERVAL 1 DAY)) AS d FROM r)")
 def calendar_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = crawl.day_plan(spark, "2024-02-10", "2024-03-05", 90, "https://c.example/{date}/", "yyyy/MM/dd")
+    """The pages of the last ninety days of the orders, or of all if they are fewer."""
+    first, last = load(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("date").alias("d")).agg(F.min("d"), F.max("d")).first()
+    found = crawl.day_plan(spark, str(first), str(last), 90, "https://c.example/{date}/", "yyyy/MM/dd")
     return found.select(F.col("day").cast("string").alias("day"), "url")
 
 

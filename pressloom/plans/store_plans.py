@@ -89,10 +89,15 @@ def valid_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id", F.array_join("broken", ",").alias("broken"))
 
 
-@query("valid_days", "SELECT * FROM (VALUES ('2024-02-29', true), ('2023-02-29', false), ('2026-99-99', false), ('2024-1-5', false), ('', false)) AS v(day, valid)")
+@query(
+    "valid_days",
+    "SELECT o_orderkey AS id, o_orderkey % 5 = 0 OR o_orderkey % 5 = 3 AND year(o_orderdate) % 4 = 0 AS valid FROM orders",
+)
 def valid_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    given = spark.createDataFrame([(d,) for d in ("2024-02-29", "2023-02-29", "2026-99-99", "2024-1-5", "")], "day string")
-    return given.select("day", F.coalesce(F.when(F.col("day").rlike(r"^\d{4}-\d{2}-\d{2}$"), F.col("day").try_cast("date")).isNotNull(), F.lit(False)).alias("valid"))
+    """Days as a user may give them: right, out of range, empty, a 29 February, in another form."""
+    at, k = F.col("o_orderdate"), F.col("o_orderkey") % 5
+    day = F.when(k == 0, F.date_format(at, "yyyy-MM-dd")).when(k == 1, F.date_format(at, "yyyy-99-99")).when(k == 2, "").when(k == 3, F.date_format(at, "yyyy-02-29")).otherwise(F.date_format(at, "dd/MM/yyyy"))
+    return load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), select.valid_day(day).alias("valid"))
 
 
 # statistics
@@ -363,8 +368,8 @@ def known_or_dead(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("id % 2 = 0").select("url").union(rows.where("qa_status = 'fail'").select("url")).distinct()
 
 
-@query("snapshot_name", "SELECT 'db/store-nightly-20240131-000000' AS name")
+@query("snapshot_name", "SELECT DISTINCT 'db/store-nightly-' || strftime(date_trunc('day', ts), '%Y%m%d-%H%M%S') AS name FROM events")
 def snapshot_name(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(1).select(F.concat(F.lit("db/store-nightly-"), F.date_format(F.lit(NOW).cast("timestamp_ntz"), "yyyyMMdd-HHmmss")).alias("name"))
-
-
+    """The names of nightly snapshots of the days on which something happened."""
+    days = load(spark, sf_dir, "events").select(F.date_trunc("day", F.col("ts")).cast("timestamp_ntz").alias("day")).distinct()
+    return days.select(F.concat(F.lit("db/store-nightly-"), F.date_format("day", "yyyyMMdd-HHmmss")).alias("name"))

@@ -40,16 +40,26 @@ LEADS = [
 AUTHORS = [("by Z. Farzan 14-02-2026 | 3:44 AM", "Z. Farzan"), ("By Ann", "Ann"), ("Bystander", "Bystander"), ("by 1/2/2024", None), ("", None)]
 
 
-@query("bylines", "SELECT * FROM (VALUES " + ", ".join(f"({k}, {quoted([a]) if a else 'NULL'}, {quoted([r])})" for k, (_, a, r) in enumerate(LEADS)) + ") AS v(id, author, content)")
+def picked(values: list[str], by: str) -> str:
+    """SQL for one of some texts by a number's remainder."""
+    return f"[{', '.join('NULL' if v is None else quoted([v]) for v in values)}][{by} % {len(values)} + 1]"
+
+
+@query("bylines", f"SELECT doc_id AS id, {picked([a for _, a, _ in LEADS], 'doc_id')} AS author, md5({picked([r for *_, r in LEADS], 'doc_id')} || chr(10) || coalesce(lang, '') || ' ' || coalesce(source, '')) AS content FROM documents")
 def bylines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Authors taken from the beginnings of contents, and contents without bylines and datelines."""
-    rows = spark.createDataFrame([(k, lead) for k, (lead, _, _) in enumerate(LEADS)], "id int, c string")
-    return rows.select("id", text.byline(F.col("c")).alias("author"), text.without_byline(F.col("c")).alias("content"))
+    lead = F.element_at(F.array(*(F.lit(x) for x, *_ in LEADS)), (F.col("doc_id") % len(LEADS) + 1).cast("int"))
+    rest = F.concat(F.lit("\n"), F.coalesce("lang", F.lit("")), F.lit(" "), F.coalesce("source", F.lit("")))
+    rows = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.concat(lead, rest).alias("c"))
+    return rows.select("id", text.byline(F.col("c")).alias("author"), F.md5(text.without_byline(F.col("c"))).alias("content"))
 
 
-@query("authors", "SELECT * FROM (VALUES " + ", ".join(f"({quoted([a])}, {quoted([b]) if b else 'NULL'})" for a, b in AUTHORS) + ") AS v(said, author)")
+@query("authors", f"SELECT doc_id AS id, coalesce({picked([b for _, b in AUTHORS], 'doc_id')}, '') || CASE WHEN {picked([b for _, b in AUTHORS], 'doc_id')} IS NULL THEN '' ELSE coalesce(' of ' || source, '') END AS author FROM documents")
 def authors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(a,) for a, _ in AUTHORS], "said string").select("said", text.clean_author(F.col("said")).alias("author"))
+    """Names as pages give them, without what stands around them; each with its article's source."""
+    said = F.element_at(F.array(*(F.lit(a) for a, _ in AUTHORS)), (F.col("doc_id") % len(AUTHORS) + 1).cast("int"))
+    name = text.clean_author(said)
+    return load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.coalesce(F.concat(name, F.coalesce(F.concat(F.lit(" of "), "source"), F.lit(""))), F.lit("")).alias("author"))
 
 
 @query("composed_titles", f"WITH {STORE_SQL} SELECT id, coalesce(nullif(CASE WHEN id % 3 = 0 THEN '' ELSE title END, ''), 'Article ' || id) AS title, coalesce(title, '') || '. ' || substr(coalesce(content, ''), 1, 200) AS said, coalesce(nullif(location, ''), slug) AS place FROM store")
@@ -106,7 +116,9 @@ def json_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", F.to_json(F.struct("id", "slug", F.array("language", "slug").alias("tags"), "published_at")).alias("body"))
 
 
-@query("row_ids")
+@query("row_ids", "SELECT count(*) AS n, count(*) AS n_different, count(*) AS n_formed FROM documents")
 def row_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Random identifiers; they differ from run to run."""
-    return load(spark, sf_dir, "region").select("r_regionkey", F.uuid().alias("id"))
+    """Random identifiers differ from run to run; here, that all rows have one of their own and of the right form."""
+    ids = load(spark, sf_dir, "documents").select(F.uuid().alias("id"))
+    formed = F.col("id").rlike("^[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$")
+    return ids.groupBy("id").agg(F.count("*").alias("k"), F.max(formed.cast("int")).alias("f")).agg(F.sum("k").alias("n"), F.count("*").alias("n_different"), F.sum(F.col("f") * F.col("k")).alias("n_formed"))

@@ -78,6 +78,9 @@ def test_pages_in_full(spark):
     assert [(r.position, r.href, r.text) for r in pages.links(pages.extracted(page)).collect()] == [(0, "https://h.example/news/2024/01/first-story-here", "The first story here #1")]
     allowed = pages.links(pages.extracted(page), allow=[r"^/(one|n/m)"])
     assert sorted(r.href for r in allowed.collect()) == ["https://h.example/one"]
+    hrefs = ["http://h.example/news/1?x=2#c", "/news/1/", "/sports.php?id=3", "/newsletter/a/b", "/a/b/c/d"]
+    plain = spark.createDataFrame([(1, "http://h.example/", "".join(f'<a href="{h}">A text of ten and more</a>' for h in hrefs))], "page_id long, url string, html string")
+    assert sorted((r.position, r.href) for r in pages.links(pages.extracted(plain), plain=True).collect()) == [(0, "https://h.example/news/1"), (2, "https://h.example/sports.php")]
 
 
 def test_archives_end_and_feeds_are_read(spark, tmp_path):
