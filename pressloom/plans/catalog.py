@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pressloom.functions import text
-from pressloom.operators import dedup, links, pages, review, search, selectors, similar, stats, stories, vectors
+from pressloom.operators import dedup, links, pages, ranks, review, search, selectors, similar, stats, stories, vectors
 from pressloom.operators.indexed import Index
 from pressloom.plans import crawl_plans, date_plans, review_plans, store_plans, story_plans, text_plans  # noqa: F401
 from pressloom.plans.registry import ORACLE, QUERIES, SQL_STAMP, query, stamp  # noqa: F401
@@ -483,10 +483,11 @@ def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.edges(named, "entities")
 
 
-@query("ready_queue", "SELECT user_id AS source, row_number() OVER (ORDER BY n, user_id) AS place FROM (SELECT user_id, count(*) AS n FROM events GROUP BY user_id) ORDER BY n, user_id LIMIT 100")
+@query("ready_queue", "SELECT user_id AS source, row_number() OVER (ORDER BY n, user_id) AS place FROM (SELECT user_id, count(*) AS n FROM events GROUP BY user_id)")
 def ready_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = load(spark, sf_dir, "events").groupBy(F.col("user_id").alias("source")).agg(F.count("*").alias("n")).orderBy("n", "source").limit(100)
-    return counted.select("source", F.row_number().over(Window.orderBy("n", "source")).cast("long").alias("place"))  # at most 100 rows
+    """Every source's place in the queue, the least done first."""
+    counted = load(spark, sf_dir, "events").groupBy(F.col("user_id").alias("source")).agg(F.count("*").alias("n"))
+    return ranks.ranked(counted, [F.col("n"), F.col("source")], "place").select("source", "place")
 
 
 # pages

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pressloom.operators import crawl, links
+from pressloom.operators import crawl, links, ranks
 from pressloom.plans.registry import query
 from pressloom.session import load
 from pressloom.sources.adapter import ARTICLES_SQL, articles
@@ -96,12 +96,12 @@ def empty_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crawl.streaks(grid, "slug", "day", F.col("n") > 0).select("slug", F.col("first").cast("string").alias("first"), "days")
 
 
-@query("ready_sources", "SELECT source, row_number() OVER (ORDER BY priority, n, source) AS place FROM (SELECT user_id AS source, user_id % 4 AS priority, count(*) AS n FROM events GROUP BY user_id HAVING max(ts) <= TIMESTAMP '2024-01-30 20:00:00') ORDER BY place LIMIT 40")
+@query("ready_sources", "SELECT source, row_number() OVER (ORDER BY priority, n, source) AS place FROM (SELECT user_id AS source, user_id % 4 AS priority, count(*) AS n FROM events GROUP BY user_id HAVING max(ts) <= TIMESTAMP '2024-01-30 20:00:00')")
 def ready_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources that have cooled down, by priority and by how much of them is done."""
     counted = load(spark, sf_dir, "events").groupBy(F.col("user_id").alias("source")).agg(F.count("*").alias("n"), F.max("ts").alias("last"))
-    ready = counted.where("last <= timestamp_ntz'2024-01-30 20:00:00'").withColumn("priority", F.col("source") % 4).orderBy("priority", "n", "source").limit(40)
-    return ready.select("source", F.row_number().over(Window.orderBy("priority", "n", "source")).cast("long").alias("place"))  # at most 40 rows
+    ready = counted.where("last <= timestamp_ntz'2024-01-30 20:00:00'").withColumn("priority", F.col("source") % 4)
+    return ranks.ranked(ready, [F.col("priority"), F.col("n"), F.col("source")], "place").select("source", "place")
 
 
 @query(
