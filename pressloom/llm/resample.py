@@ -22,11 +22,12 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pressloom.llm.texts import own, pieces
+from pressloom.operators.ranks import ranked
 from pressloom.session import checkpointed
 
 BUCKETS = 10_000
@@ -215,23 +216,6 @@ def _weighed(batches: Iterator[pa.RecordBatch], gains: np.ndarray, seed: int) ->
             yield pa.RecordBatch.from_arrays([keys, n_words.values, pa.array(sizes), pa.array(weights), pa.array(score)], names=["id", "n_words", "n_features", "weight", "score"])
 
 
-def ranked(rows: DataFrame, order: list, out: str) -> DataFrame:
-    """``rows`` with a gapless long ``out`` from 1 in ``order``, which may leave ties.
-
-    Rows are dealt to range partitions, sorted there, written once, and numbered from
-    the partitions' sizes: one number a partition is all that one task sees. Ties are
-    dealt by a hash of a row's number, so even a very frequent one fills no task.
-    """
-    tie = "_tie_" + out
-    rows = checkpointed(rows.withColumn(tie, F.xxhash64(F.monotonically_increasing_id())))
-    place = F.monotonically_increasing_id()  # the partition's number above 33 bits of a row's number in it
-    dealt = rows.repartitionByRange(*order, tie).sortWithinPartitions(*order, tie)
-    dealt = checkpointed(dealt.withColumns({"_part": F.shiftright(place, 33), "_row": place.bitwiseAND(F.lit((1 << 33) - 1))}))
-    upto = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    before = dealt.groupBy("_part").agg(F.count("*").alias("n")).select("_part", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("_before"))
-    return dealt.join(before, "_part").withColumn(out, F.col("_before") + F.col("_row") + 1).drop("_part", "_row", "_before", tie)
-
-
 def resample(
     docs: DataFrame,
     target: DataFrame,
