@@ -116,6 +116,8 @@ class Index:
 
         The words of the other documents are not taken from their texts again. Run twice, it leaves the same index.
         """
+        # an id's bucket depends on its type
+        changed = changed.withColumn("id", F.col("id").cast(self.table("documents").schema["id"].dataType))
         changed = checkpointed(changed.where("id is not null").select("id", *dict.fromkeys((*self.shown, *self.fields))))
         touched = sorted(r[0] for r in changed.select(self._doc_bucket(F.col("id"))).distinct().collect())  # at most doc_buckets numbers, the scans' partition filter
         if not touched:

@@ -35,6 +35,10 @@ class Buckets:
     def bucket(self) -> Column:
         return F.pmod(F.xxhash64(F.col(self.key)), F.lit(self.n)).cast("int")
 
+    def _typed(self, rows: DataFrame, names: list[str]) -> DataFrame:
+        """Columns in the table's types: a key's bucket depends on its type."""
+        return rows.select(*(F.col(c).cast(self.schema[c].dataType).alias(c) for c in names))
+
     def _rows(self) -> DataFrame:
         kind = T.StructType([*self.schema.fields, T.StructField(LIVE, T.BooleanType()), T.StructField(BUCKET, T.IntegerType())])
         return self.spark.read.schema(kind).parquet(self.path) if exists(self.spark, self.path) else self.spark.createDataFrame([], kind)
@@ -66,7 +70,7 @@ class Buckets:
         With ``newest``, a column that grows with time, a row that is there stays where it is
         newer than the change, so changes may come late or in any order.
         """
-        changes = checkpointed(changes.where(F.col(self.key).isNotNull()).select(*self.schema.names))
+        changes = checkpointed(self._typed(changes, self.schema.names).where(F.col(self.key).isNotNull()))
 
         def change(old: DataFrame) -> DataFrame:
             if newest is None:
@@ -78,12 +82,12 @@ class Buckets:
 
     def insert(self, rows: DataFrame, order: list[str]) -> int:
         """Adds the first row, by ``order``, of every key that the table lacks; what is there stays."""
-        rows = checkpointed(rows.select(*self.schema.names))
+        rows = checkpointed(self._typed(rows, self.schema.names))
         return self._put(lambda old: dedup.inserted(old, rows, self.key, order), rows)
 
     def delete(self, keys: DataFrame) -> int:
         """Takes out the rows of the keys that ``keys`` has under the table's key name."""
-        keys = checkpointed(keys.select(self.key))
+        keys = checkpointed(self._typed(keys, [self.key]))
         return self._put(lambda old: old.join(keys, self.key, "left_anti"), keys)
 
 

@@ -43,6 +43,19 @@ def test_an_upsert_rewrites_only_the_buckets_it_touches(spark, tmp_path):
     assert rows_of(table.of_keys([5, 2000])) == [(2000, "a"), (5, "new")]
 
 
+def test_keys_of_another_type_meet_the_same_rows(spark, tmp_path):
+    table = Buckets(spark, f"{tmp_path}/t", "k", StructType.fromDDL("k long, v string"), 8)
+    table.upsert(spark.range(50).selectExpr("id as k", "'old' as v"))
+    table.upsert(spark.createDataFrame([(k, "new") for k in (1, 2, 3)], "k int, v string"))
+    table.insert(spark.createDataFrame([(4, "late"), (60, "x")], "k int, v string"), ["v"])
+    table.delete(spark.createDataFrame([(7,), (8,)], "k int"))
+    assert rows_of(table.read()) == sorted([(k, "new" if k in (1, 2, 3) else "old") for k in range(50) if k not in (7, 8)] + [(60, "x")], key=repr)
+    made = Index(spark, f"{tmp_path}/i", doc_buckets=8)
+    made.write(spark.range(40).selectExpr("id", "concat('word w', id) as content"))
+    made.upsert(spark.createDataFrame([(3, "other"), (99, "word")], "id int, content string"))
+    assert sorted(r.id for r in made._scored(["word"], "content", lambda tf, _: F.col(tf), None).collect()) == [k for k in range(40) if k != 3] + [99]
+
+
 def test_deletes_empty_a_bucket_and_late_changes_lose(spark, tmp_path):
     table = Buckets(spark, f"{tmp_path}/t", "k", StructType.fromDDL("k long, at int"), 4)
     table.upsert(spark.range(4).selectExpr("id as k", "10 as at"))
