@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pressloom.functions import text
-from pressloom.operators import dedup, pages, stories
+from pressloom.operators import dedup, pages, review, stories
 from pressloom.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -121,3 +121,12 @@ def test_language_by_frequent_words(spark):
     said = {at(0): "si", at(49): "si", at(50): "en", at(3, "x\u0dc3\u0dc4"): "en", " \n" + at(49).replace(" ", "\u2003"): "si", "word " * 40 + "\u0d85\u0daf": "si", "latin only": "en", "": "en", None: "en"}
     rows = spark.createDataFrame([(t,) for t in said], "t string")
     assert {r.t: r.found for r in rows.select("t", text.detect_language(rows.t).alias("found")).collect()} == said
+
+
+def test_excerpts_lose_blanks_and_no_digits_at_the_ends_of_their_line(spark):
+    line = "0997 is how this line begins, and it ends with 1000"
+    rows = spark.createDataFrame([(line,), (f"short\n  {line}  \nrest",), (f"1{line}1",)], "t string")
+    assert [r.e for r in rows.select(text.excerpt(rows.t).alias("e")).collect()] == [line, line, f"1{line}1"]
+    twice = spark.createDataFrame([("t", f"{line}\n  {line}", "en"), ("t", f"0{line}\n{line}", "en")], "title string, content string, language string")
+    found = review.reviewed(twice).select(F.col("review.issues.type").alias("i")).collect()
+    assert ["duplicate_content" in r.i for r in found] == [True, False]
