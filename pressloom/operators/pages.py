@@ -7,6 +7,8 @@ content, and which links lead to articles, is said in column expressions over it
 
 from __future__ import annotations
 
+import re
+from html.entities import html5
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -122,10 +124,19 @@ def _clean(parts: list[str]) -> str:
 PARTS = "heading string, title string, metas map<string,string>, author string, date string, time string, image string, regions array<string>, body string, links array<struct<href string, text string>>"
 
 
-def read(html: str | None) -> dict:
-    """A page's candidates; regions are the cleaned content areas in the order in which they count, chrome left out."""
+# what has no references, and every & with the name or number and semicolon that may follow it
+_REFERENCE = re.compile(r"(<(script|style)\b.*?</\2)|&(#\d+;|#x[\da-f]+;|[a-z][a-z\d]*;)?", re.I | re.S)
+
+
+def terminated(html: str) -> str:
+    """A page of which only whole references, with a known name and a semicolon, are still such: browsers also read some without it, as in a text cut in the middle of one."""
+    return _REFERENCE.sub(lambda m: m[0] if m[1] or (m[3] or "").startswith("#") or m[3] in html5 else "&amp;" + (m[3] or ""), html)
+
+
+def read(html: str | None, whole: bool = False) -> dict:
+    """A page's candidates; regions are the cleaned content areas in the order in which they count, chrome left out. ``whole``: ``terminated`` references only."""
     reader = _Reader()
-    reader.feed(html or "")
+    reader.feed(terminated(html or "") if whole else html or "")
     reader.close()
     while reader.open:
         _, _, region, _, _ = reader.open.pop()
@@ -149,32 +160,33 @@ def read(html: str | None) -> dict:
     }
 
 
-def parts(html: Column | str) -> Column:
+def parts(html: Column | str, whole: bool = False) -> Column:
     """The candidates of whole pages as a struct; null and empty pages have none."""
     kind = pa.struct(
         [("heading", pa.string()), ("title", pa.string()), ("metas", pa.map_(pa.string(), pa.string())), *((c, pa.string()) for c in ("author", "date", "time", "image")), ("regions", pa.list_(pa.string())), ("body", pa.string()), ("links", pa.list_(pa.struct([("href", pa.string()), ("text", pa.string())])))]
     )
 
     def run(pages: pa.Array) -> pa.Array:
-        return pa.array([read(p.as_py()) for p in pages], kind)
+        return pa.array([read(p.as_py(), whole) for p in pages], kind)
 
     # a page is walked once: what is not deterministic is not copied into the filters that the optimizer infers
     return F.arrow_udf(run, "struct<" + PARTS.replace(" map<", ":map<").replace(" array<", ":array<").replace(" string", ":string") + ">").asNondeterministic()(html)
 
 
-def extracted(pages: DataFrame, now: str = "9000-01-01 00:00:00", feed_date: Column | None = None) -> DataFrame:
+def extracted(pages: DataFrame, now: str = "9000-01-01 00:00:00", feed_date: Column | None = None, whole: bool = False) -> DataFrame:
     """pages(page_id, url, html) as articles: title, author, published_at, content, image_url, excerpt, error, and the page's links.
 
     The title is the first heading, else og:title, else the page's title. The content is
     the first region of over REGION characters, else the body, without byline and
     dateline. The date goes through the waterfall of meta, selected text, url, text and feed.
-    A page whose content has under 100 characters is an error of the kind empty.
+    A page whose content has under 100 characters is an error of the kind empty. With
+    ``whole``, only ``terminated`` references are resolved.
     """
     p = F.col("_p")
     meta = lambda *names: F.coalesce(*(F.try_element_at(p["metas"], F.lit(n)) for n in names))
     region = F.get(F.filter(p["regions"], lambda x: F.length(x) > REGION), 0)
     raw = F.coalesce(region, p["body"], F.lit(""))
-    found = pages.select("page_id", "url", parts("html").alias("_p"))
+    found = pages.select("page_id", "url", parts("html", whole).alias("_p"))
     said = F.coalesce(meta(*DATE_METAS), p["time"], p["date"])
     where = F.coalesce(F.get(p["regions"], 0), p["body"], F.lit(""))
     at = dates.waterfall(said, said, F.col("url"), where, feed_date, now)

@@ -130,3 +130,14 @@ def test_excerpts_lose_blanks_and_no_digits_at_the_ends_of_their_line(spark):
     twice = spark.createDataFrame([("t", f"{line}\n  {line}", "en"), ("t", f"0{line}\n{line}", "en")], "title string, content string, language string")
     found = review.reviewed(twice).select(F.col("review.issues.type").alias("i")).collect()
     assert ["duplicate_content" in r.i for r in found] == [True, False]
+
+
+def test_references_that_are_cut_off_stay_as_they_are(spark):
+    """A heading cut in the middle of a reference; browsers would resolve it, as the readers do unless told not to."""
+    body = "<p>" + "a &amp; b &lt;i&gt; " * 20 + "</p>"
+    html = f"<html><head><title>T &amp</title><script>a &amp b</script></head><body><article><h1>Q &amp;&amp; A &notit; &nosuch; &#65; &#x42; &amp</h1>{body}</article><a href='/x?a=1&copy=2'>link</a></body></html>"
+    page = spark.createDataFrame([(1, "https://h.example/", html)], "page_id long, url string, html string")
+    assert pages.extracted(page).first().title.endswith("&nosuch; A B &")
+    found = pages.extracted(page, whole=True).first()
+    assert found.title == "Q && A &notit; &nosuch; A B &amp"
+    assert found.links[0].href == "/x?a=1&copy=2" and "a & b <i>" in found.content
