@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pressloom.functions import dates
-from pressloom.operators.pages import AUTHOR_METAS, DATE_METAS, REGION, VOID
+from pressloom.operators.pages import AUTHOR_METAS, DATE_METAS, REGION, VOID, terminated
 
 PARTS = ("title", "author", "date", "content", "image")
 # The selectors that are tried where a source has none of its own.
@@ -83,24 +83,24 @@ class _Nodes(HTMLParser):
         return node
 
 
-def read(html: str | None) -> dict:
-    """(text, nodes) of a page; null and empty pages have none."""
+def read(html: str | None, whole: bool = False) -> dict:
+    """(text, nodes) of a page; null and empty pages have none. ``whole``: ``terminated`` references only."""
     reader = _Nodes()
-    reader.feed(html or "")
+    reader.feed(terminated(html or "") if whole else html or "")
     reader.close()
     while reader.open:
         reader.close_last()
     return {"text": "".join(reader.text), "nodes": reader.nodes}
 
 
-def nodes(html: Column | str) -> Column:
+def nodes(html: Column | str, whole: bool = False) -> Column:
     """The text and elements of whole pages, each page read once."""
     ints, text = pa.int32(), pa.string()
     node = pa.struct([("no", ints), ("last", ints), ("tag", text), ("id", text), ("classes", pa.list_(text)), ("attrs", pa.map_(text, text)), ("begin", ints), ("end", ints)])
     kind = pa.struct([("text", text), ("nodes", pa.list_(node))])
 
     def run(pages: pa.Array) -> pa.Array:
-        return pa.array([read(p.as_py()) for p in pages], kind)
+        return pa.array([read(p.as_py(), whole) for p in pages], kind)
 
     return F.arrow_udf(run, f"struct<text:string,nodes:array<{NODE}>>").asNondeterministic()(html)
 
@@ -221,7 +221,7 @@ def _without(text: Column, node: Column, chrome: Column) -> Column:
     return _trimmed(F.aggregate(inside, begin, skip, rest))
 
 
-def extracted(pages: DataFrame, cascades: DataFrame, source: Column, now: str = "9000-01-01 00:00:00") -> DataFrame:
+def extracted(pages: DataFrame, cascades: DataFrame, source: Column, now: str = "9000-01-01 00:00:00", whole: bool = False) -> DataFrame:
     """(page_id, url, source, title, author, date_text, published_at, content, image_url) of pages(page_id, url, html) by their source's cascade.
 
     A page of a source without a row of its own is read by the defaults. The title is that
@@ -229,13 +229,13 @@ def extracted(pages: DataFrame, cascades: DataFrame, source: Column, now: str =
     meta's, else as the title. date_text is a meta, else the first datetime attribute of
     the date selectors' elements, else the first text. The content is the text without chrome of the first selector whose
     first element has more than REGION characters of it, else of the body. Empty parts are
-    null; a null page has none. The date goes through the waterfall.
+    null; a null page has none. The date goes through the waterfall. With ``whole``, only ``terminated`` references are resolved.
     """
     known = cascades.where("source is not null").select(F.col("source").alias("_known"))
     named = pages.select("page_id", "url", "html", source.alias("source"))
     named = named.join(known, F.col("source") == F.col("_known"), "left")
     rules = cascades.select(F.col("source").alias("_of"), F.struct(*PARTS).alias("_rules"), "keys")
-    met = named.join(rules, F.col("_known").eqNullSafe(F.col("_of"))).select("page_id", "url", "source", "_rules", "keys", nodes("html").alias("_page"))
+    met = named.join(rules, F.col("_known").eqNullSafe(F.col("_of"))).select("page_id", "url", "source", "_rules", "keys", nodes("html", whole).alias("_page"))
     every, keys = F.col("_page.nodes"), F.col("keys")
 
     def asked(n: Column) -> Column:

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pressloom.functions import text
-from pressloom.operators import dedup, pages, review, stories
+from pressloom.operators import dedup, pages, review, selectors, stories
 from pressloom.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -141,3 +141,5 @@ def test_references_that_are_cut_off_stay_as_they_are(spark):
     found = pages.extracted(page, whole=True).first()
     assert found.title == "Q && A &notit; &nosuch; A B &amp"
     assert found.links[0].href == "/x?a=1&copy=2" and "a & b <i>" in found.content
+    cut = selectors.extracted(page, selectors.cascades(spark), F.lit("s"), whole=True).first()
+    assert cut.title == found.title and "a & b <i>" in cut.content
