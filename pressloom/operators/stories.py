@@ -30,34 +30,108 @@ def rollup(articles: DataFrame) -> DataFrame:
     )
 
 
+#: Vectors that are screened at once, centroids in one slab, and near centroids that a vector keeps beside the nearest.
+CHUNK, SLAB, KEPT = 512, 4096, 64
+#: Dot products of single precision are off by less than so much, for vectors of unit length.
+SLACK = 1e-4
+
+
 class Fold:
-    """The greedy fold: each vector joins the nearest centroid at ``threshold`` or more, the first of equals, else opens one."""
+    """The greedy fold: each vector joins the nearest centroid at ``threshold`` or more, the first of equals, else opens one.
+
+    Vectors are screened CHUNK by CHUNK against slabs of centroids in single precision, one matrix
+    product each; what may be the nearest is compared exactly. Centroids that moved since their
+    screening are screened again. Exact centroids are held without their zeros where these are many.
+    """
 
     def __init__(self, threshold: float):
-        self.threshold, self.sizes, self.centroids = threshold, [], np.zeros((0, 0))
+        self.threshold, self.sizes, self.exact, self.slabs, self.longest = threshold, [], [], [], 1.0
 
     def add(self, v: np.ndarray) -> int:
-        k = len(self.sizes)
-        if k:
-            sims = self.centroids[:k] @ v
-            best = int(np.argmax(sims))
-            if sims[best] >= self.threshold and sims[best] > 0:
-                self.sizes[best] += 1
-                c = (self.centroids[best] * (self.sizes[best] - 1) + v) / self.sizes[best]
-                self.centroids[best] = c / (np.linalg.norm(c) or 1.0)
-                return best
-        if k == len(self.centroids):
-            held, self.centroids = self.centroids, np.zeros((max(64, 2 * k), len(v)))
-            self.centroids[:k] = held if k else 0
-        self.centroids[k] = v
-        self.sizes.append(1)
-        return k
+        return self.add_all(v[None, :])[0]
+
+    def add_all(self, vectors: np.ndarray) -> list[int]:
+        """The cluster of each row, one after the other."""
+        vectors = np.asarray(vectors, float)
+        return [k for at in range(0, len(vectors), CHUNK) for k in self._chunk(vectors[at : at + CHUNK])]
+
+    def centroid(self, k: int) -> np.ndarray:
+        width, at, values = self.exact[k]
+        c = np.zeros(width)
+        c[at] = values
+        return c
+
+    def _put(self, k: int, c: np.ndarray) -> None:
+        at = np.flatnonzero(c)
+        kept = (len(c), at.astype(np.int32), c[at]) if 2 * len(at) < len(c) else (len(c), slice(None), c.copy())
+        if k == len(self.exact):
+            self.exact.append(kept)
+            if k == len(self.slabs) * SLAB:
+                self.slabs.append(np.zeros((SLAB, len(c)), np.float32))
+        else:
+            self.exact[k] = kept
+        self.slabs[k // SLAB][k % SLAB] = c
+
+    def _screened(self, quick: np.ndarray, least: np.ndarray, slack: np.ndarray):
+        """(first candidate of each row, candidates' clusters, their products, rows of which only those near the best are kept)."""
+        rows, found, dots = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
+        best, partial = np.full(len(quick), -np.inf, np.float32), np.zeros(len(quick), bool)
+        for s, slab in enumerate(self.slabs):
+            all_dots = quick @ slab[: len(self.sizes) - s * SLAB].T
+            r, c = np.nonzero(~(all_dots < least[:, None]))  # what is no number is a candidate, too
+            if len(r):
+                d = np.nan_to_num(all_dots[r, c], nan=np.inf)
+                np.maximum.at(best, r, d)
+                rows, found, dots = np.concatenate([rows, r]), np.concatenate([found, c + s * SLAB]), np.concatenate([dots, d])
+                partial |= np.bincount(rows, minlength=len(quick)) > KEPT
+                if partial.any():
+                    keep = ~partial[rows] | (dots >= best[rows] - 2 * slack[rows])
+                    rows, found, dots = rows[keep], found[keep], dots[keep]
+        order = np.argsort(rows, kind="stable")
+        return np.searchsorted(rows[order], np.arange(len(quick) + 1)), found[order], dots[order], partial
+
+    def _chunk(self, vectors: np.ndarray) -> list[int]:
+        quick, lengths = vectors.astype(np.float32), np.linalg.norm(vectors, axis=1)
+        self.longest = max(self.longest, float(lengths.max(initial=1.0)))
+        slack = SLACK * np.maximum(lengths, 1.0) * self.longest
+        least = max(self.threshold, 0.0) - slack
+        first, found, dots, partial = self._screened(quick, least, slack)
+        within = quick @ quick.T
+        inner_row, inner = np.nonzero(np.tril(~(within < least[:, None]), -1))
+        inner_first = np.searchsorted(inner_row, np.arange(len(quick) + 1))
+        opened, moved, again, out = {}, {}, np.zeros_like(quick), []
+        for i, v in enumerate(vectors):
+            near = [(k, d) for k, d in zip(found[first[i] : first[i + 1]].tolist(), dots[first[i] : first[i + 1]].tolist(), strict=True)]
+            if partial[i] and any(k in moved for k, _ in near):
+                _, k, d, _ = self._screened(quick[i : i + 1], least[i : i + 1], slack[i : i + 1])  # with all that is there now
+                near = list(zip(k.tolist(), d.tolist(), strict=True))
+            else:
+                near = [x for x in near if x[0] not in moved]
+                near += [(opened[j], within[i, j]) for j in inner[inner_first[i] : inner_first[i + 1]].tolist() if j in opened and opened[j] not in moved]
+                if moved:
+                    near += zip(moved, (again[: len(moved)] @ quick[i]).tolist(), strict=True)
+            pick, sim = -1, -np.inf
+            if near:
+                enough = max(least[i], max(np.inf if d != d else d for _, d in near) - 2 * slack[i])
+                for k in sorted({k for k, d in near if not d < enough}):
+                    if (dot := float((self.centroid(k) * v).sum())) > sim:
+                        pick, sim = k, dot
+            if sim >= self.threshold and sim > 0:
+                self.sizes[pick] += 1
+                c = (self.centroid(pick) * (self.sizes[pick] - 1) + v) / self.sizes[pick]
+                self._put(pick, c / (np.linalg.norm(c) or 1.0))
+                again[moved.setdefault(pick, len(moved))] = self.slabs[pick // SLAB][pick % SLAB]
+            else:
+                pick = opened[i] = len(self.sizes)
+                self._put(pick, v)
+                self.sizes.append(1)
+            out.append(pick)
+        return out
 
 
 def greedy(vectors: np.ndarray, threshold: float) -> list[int]:
     """Cluster numbers of vectors in the given order by one ``Fold``."""
-    fold = Fold(threshold)
-    return [fold.add(v) for v in vectors]
+    return Fold(threshold).add_all(vectors)
 
 
 def clusters(vectors: DataFrame, threshold: float, block: str, order: list[str], id_col: str, vector: str) -> DataFrame:
@@ -71,11 +145,12 @@ def clusters(vectors: DataFrame, threshold: float, block: str, order: list[str],
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, fold = None, None
         for pdf in batches:
-            found = []
-            for b, v in zip(pdf[block], pdf[vector], strict=True):
-                if fold is None or b != now:
-                    now, fold = b, Fold(threshold)
-                found.append(fold.add(np.asarray(v, float)))
+            found, blocks = [], pdf[block].to_numpy()
+            ends = [*(np.flatnonzero(blocks[1:] != blocks[:-1]) + 1), len(pdf)] if len(pdf) else []
+            for begin, end in zip([0, *ends], ends, strict=False):
+                if fold is None or blocks[begin] != now:
+                    now, fold = blocks[begin], Fold(threshold)
+                found += fold.add_all(np.array(pdf[vector].iloc[begin:end].tolist(), float))
             yield pd.DataFrame({id_col: pdf[id_col], block: pdf[block], "cluster": np.array(found, dtype=np.int64)})
 
     kinds = dict(vectors.dtypes)
@@ -93,7 +168,7 @@ def exact_clusters(vectors: DataFrame, threshold: float, order: list[Column], id
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fold = Fold(threshold)
         for pdf in batches:
-            yield pd.DataFrame({id_col: pdf[id_col], "cluster": np.array([fold.add(np.asarray(v, float)) for v in pdf[vector]], dtype=np.int64)})
+            yield pd.DataFrame({id_col: pdf[id_col], "cluster": np.array(fold.add_all(np.array(pdf[vector].tolist(), float)), dtype=np.int64)})
 
     # the fold is sequential
     return vectors.repartition(1).sortWithinPartitions(*order).select(id_col, vector).mapInPandas(run, f"{id_col} {dict(vectors.dtypes)[id_col]}, cluster long")

@@ -7,6 +7,8 @@ bounded size. Vectors have unit length and are sparse: arrays of (bucket, weight
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,13 +53,19 @@ def tf_idf(docs: DataFrame, text: Column, id_col: str = "id") -> DataFrame:
 
 def dense(vector: Column, size: int) -> Column:
     """A sparse vector with its buckets added up modulo ``size``, as an array of that many doubles of unit length (or all 0)."""
-    zeros = F.array_repeat(F.lit(0.0), size)
-    added = F.aggregate(vector, F.map_from_arrays(F.array().cast("array<int>"), F.array().cast("array<double>")), lambda m, x: F.map_zip_with(m, F.create_map((x["bucket"] % size).cast("int"), x["weight"]), lambda _, a, b: F.coalesce(a, F.lit(0.0)) + F.coalesce(b, F.lit(0.0))))
-    filled = lambda m: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.coalesce(F.try_element_at(m, k), F.lit(0.0)))
-    let = lambda value, then: F.element_at(F.transform(F.array(value), then), 1)
-    length = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    unit = lambda v: let(length(v), lambda n: F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(zeros))
-    return let(let(added, filled), unit)
+
+    def run(lists: pa.Array) -> pa.Array:
+        out = np.zeros((len(lists), size))
+        kept = lists.drop_null()
+        said, ends = kept.flatten(), np.cumsum(kept.value_lengths().to_numpy(zero_copy_only=False).astype(int))
+        at = np.searchsorted(ends, np.arange(len(said)), side="right")
+        rows = np.flatnonzero(lists.is_valid().to_numpy(zero_copy_only=False))[at]
+        np.add.at(out, (rows, said.field("bucket").to_numpy(zero_copy_only=False).astype(int) % size), said.field("weight").to_numpy(zero_copy_only=False))
+        length = np.sqrt(np.cumsum(out * out, axis=1)[:, -1:])
+        out /= np.where(length > 0, length, 1.0)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(lists) + 1, dtype=np.int32) * size), pa.array(out.ravel()))
+
+    return F.arrow_udf(run, "array<double>")(vector)
 
 
 def alike(vectors: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:

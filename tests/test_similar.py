@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pressloom.operators import pages, selectors, similar, vectors
+from pressloom.operators import pages, selectors, similar, stories, vectors
 from pressloom.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -126,3 +126,29 @@ def test_pages_are_parsed_once(spark):
     first = plan.split("Initial Plan")[0]
     assert first.count("ArrowEvalPython") == 1 and first.count("FileScan") == 1
     assert pages.read(None)["links"] == []
+
+
+def test_the_screened_fold_is_the_plain_fold():
+    """Copies, moved centroids within one chunk, several slabs, zeros; the fold held every centroid whole and compared each vector with all."""
+    rng = np.random.default_rng(7)
+    sparse = np.abs(rng.normal(size=(6000, 60))) * (rng.random((6000, 60)) < 0.1)
+    copies = rng.normal(size=(1500, 12))
+    copies[rng.random(1500) < 0.5] = copies[0]
+    for vs, least in ((sparse, 0.9), (sparse[:1500], 0.1), (copies, 0.5), (copies, -0.5)):
+        length = np.linalg.norm(vs, axis=1, keepdims=True)
+        vs = vs / np.where(length > 0, length, 1.0)
+        wanted, centroids, sizes = [], np.zeros(vs.shape), []
+        for v in vs:
+            sims = centroids[: len(sizes)] @ v
+            k = int(np.argmax(sims)) if sizes and sims.max() >= least and sims.max() > 0 else len(sizes)
+            if k == len(sizes):
+                centroids[k] = v
+                sizes.append(1)
+            else:
+                sizes[k] += 1
+                c = (centroids[k] * (sizes[k] - 1) + v) / sizes[k]
+                centroids[k] = c / np.linalg.norm(c)
+            wanted.append(k)
+        fold = stories.Fold(least)
+        assert fold.add_all(vs) == wanted and fold.sizes == sizes
+    assert all(slab.dtype == np.float32 for slab in fold.slabs)  # beside the exact ones, which have no zeros
