@@ -29,6 +29,8 @@ AUTHOR_METAS = ["author", "article:author"]
 CONTENT_CLASSES = ["news-content", "story-body", "entry-content", "article-body", "article-content", "story-text", "inner-content", "post-content", "content-area"]
 AUTHOR_CLASSES = ["author-name", "byline", "article-author", "writer-name", "post-author"]
 DATE_CLASSES = ["publish-date", "article-date", "post-date", "entry-date", "date", "news-datestamp"]
+#: Pages that are held as Python objects at once.
+PACKED = 64
 #: A region of more cleaned characters than this is the content.
 REGION = 200
 #: Lengths of a link's text, and the least number of path segments of a link that no allow list names.
@@ -167,7 +169,8 @@ def parts(html: Column | str, whole: bool = False) -> Column:
     )
 
     def run(pages: pa.Array) -> pa.Array:
-        return pa.array([read(p.as_py(), whole) for p in pages], kind)
+        # what was read is packed every few pages: as Python objects it takes many times its size
+        return pa.concat_arrays([pa.array([read(p.as_py(), whole) for p in pages.slice(k, PACKED)], kind) for k in range(0, max(1, len(pages)), PACKED)])
 
     # a page is walked once: what is not deterministic is not copied into the filters that the optimizer infers
     return F.arrow_udf(run, "struct<" + PARTS.replace(" map<", ":map<").replace(" array<", ":array<").replace(" string", ":string") + ">").asNondeterministic()(html)

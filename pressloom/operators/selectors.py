@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pressloom.functions import dates
-from pressloom.operators.pages import AUTHOR_METAS, DATE_METAS, REGION, VOID, terminated
+from pressloom.operators.pages import AUTHOR_METAS, DATE_METAS, PACKED, REGION, VOID, terminated
 
 PARTS = ("title", "author", "date", "content", "image")
 # The selectors that are tried where a source has none of its own.
@@ -100,7 +100,7 @@ def nodes(html: Column | str, whole: bool = False) -> Column:
     kind = pa.struct([("text", text), ("nodes", pa.list_(node))])
 
     def run(pages: pa.Array) -> pa.Array:
-        return pa.array([read(p.as_py(), whole) for p in pages], kind)
+        return pa.concat_arrays([pa.array([read(p.as_py(), whole) for p in pages.slice(k, PACKED)], kind) for k in range(0, max(1, len(pages)), PACKED)])
 
     return F.arrow_udf(run, f"struct<text:string,nodes:array<{NODE}>>").asNondeterministic()(html)
 

@@ -152,3 +152,21 @@ def test_the_screened_fold_is_the_plain_fold():
         fold = stories.Fold(least)
         assert fold.add_all(vs) == wanted and fold.sizes == sizes
     assert all(slab.dtype == np.float32 for slab in fold.slabs)  # beside the exact ones, which have no zeros
+
+
+@pytest.mark.parametrize("module, reader", [(pages, "parts"), (selectors, "nodes")])
+def test_few_pages_are_held_as_objects_at_once(monkeypatch, module, reader):
+    """All pages of a batch used to be."""
+    import types
+
+    import pyarrow as pa
+
+    made, runs = [], []
+    seen = types.SimpleNamespace(**{n: getattr(pa, n) for n in dir(pa) if not n.startswith("_")})
+    seen.array = lambda rows, kind: made.append(len(rows)) or pa.array(rows, kind)
+    monkeypatch.setattr(module, "pa", seen)
+    monkeypatch.setattr(module.F, "arrow_udf", lambda f, kind: runs.append(f) or types.SimpleNamespace(asNondeterministic=lambda: lambda c: c))
+    getattr(module, reader)("html")
+    every = runs[0](pa.array(["<h1>a</h1>", None] * 200))
+    assert len(every) == 400 and max(made) <= 64 and every[0].is_valid
+    assert len(runs[0](pa.array([], pa.string()))) == 0
