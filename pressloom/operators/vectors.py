@@ -18,6 +18,10 @@ from pressloom.session import checkpointed
 #: Hexadecimal digits of a word's MD5 that number its bucket, and how many buckets that makes.
 DIGITS = 5
 BUCKETS = 16**DIGITS
+#: Parts of the buckets in which vectors' lengths bound their dot product.
+PARTS = 32
+#: Dot products are rounded to six digits; bounds are taken as much larger.
+SLACK = 1e-6
 #: Characters of a content that count beside the title.
 LEADING = 200
 
@@ -75,7 +79,8 @@ def alike(vectors: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     pairs; empty vectors are like nothing. Two unit vectors with a dot product of ``least`` share a bucket
     that is in the prefix of both: rarest buckets first, a vector's prefix ends where what
     is left is shorter than ``least``. Only prefixes are joined, so frequent buckets, which end up in few
-    of them, make few candidates; and of these, only those whose weights there and lengths beyond allow ``least``.
+    of them, make few candidates; and of these, only those whose weights there and lengths beyond, and whose
+    lengths in each of PARTS parts of the buckets allow ``least``, are compared, exactly and where they meet.
     """
     if not 0 < least <= 1:
         raise ValueError("a similarity above 0, up to 1")
@@ -90,10 +95,20 @@ def alike(vectors: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     # a dot product at an element and after it is at most the product of the lengths from there on
     ranked = ranked.withColumn("after", F.coalesce(F.sum(F.col("weight") * F.col("weight")).over(rest), F.lit(0.0)))
     prefix = ranked.where(F.col("weight") * F.col("weight") + F.col("after") >= least * least - 1e-9)
-    prefix = checkpointed(prefix.select("id", "bucket", "weight", F.sqrt("after").alias("rest")))
-    left, right = (prefix.select(F.col("id").alias(c), "bucket", F.col("weight").alias(f"w{c}"), F.col("rest").alias(f"r{c}")) for c in ("a", "b"))
-    met = left.join(right, "bucket").where((F.col("a") < F.col("b")) & (F.col("wa") * F.col("wb") + F.col("ra") * F.col("rb") >= least - 1e-9)).select("a", "b").distinct()
-    left, right = (heads.select(F.col("id").alias(c), F.map_from_entries("vector").alias(f"v{c}")) for c in ("a", "b"))
+    prefix = prefix.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "bucket", "weight", F.sqrt("after").alias("rest")))).alias("p"))
+    earlier = F.transform("p", lambda x, k: F.struct(x["bucket"].alias("bucket"), x["weight"].alias("weight"), x["rest"].alias("rest"), F.slice("p.bucket", 1, k).alias("earlier")))
+    # a part's share of a dot product is at most the product of its lengths, too
+    part = lambda g: F.filter("vector", lambda x: x["bucket"] % PARTS == g)
+    parts = F.array(*(F.sqrt(F.aggregate(part(g), F.lit(0.0), lambda s, x: s + x["weight"] * x["weight"])) for g in range(PARTS)))
+    told = checkpointed(heads.join(prefix, "id").select("id", earlier.alias("prefix"), parts.alias("parts"), F.map_from_entries("vector").alias("v")))
+    # vectors go with their prefixes, so a candidate is compared once, at the first bucket that it shares, and never shuffled
+    postings = told.select("id", "parts", "v", F.inline("prefix"))
+    left, right = (postings.select(F.col("id").alias(c), "bucket", *(F.col(k).alias(f"{k}{c}") for k in ("weight", "rest", "earlier", "parts", "v"))) for c in ("a", "b"))
+    beyond = F.col("weighta") * F.col("weightb") + F.col("resta") * F.col("restb")
+    met = left.join(right, "bucket").where((F.col("a") < F.col("b")) & (beyond >= least - 1e-9))
+    whole = F.aggregate(F.zip_with("partsa", "partsb", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     dot = F.aggregate(F.map_keys("va"), F.lit(0.0), lambda s, k: s + F.col("va")[k] * F.coalesce(F.try_element_at("vb", k), F.lit(0.0)))
-    pairs = met.join(left, "a").join(right, "b").select("a", "b", F.round(dot, 6).alias("cosine")).where(F.col("cosine") >= least)
+    near = F.when((whole >= least - SLACK) & ~F.arrays_overlap("earliera", "earlierb"), F.round(dot, 6))
+    # a filter would take the product twice, and within the join
+    pairs = met.select("a", "b", F.explode(F.filter(F.array(near), lambda c: c >= least)).alias("cosine"))
     return members, pairs

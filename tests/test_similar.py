@@ -88,6 +88,18 @@ def test_text_vectors_and_pairs(spark):
     assert all(len(v) == 16 and (not any(v) or sum(x * x for x in v) == pytest.approx(1)) for v in flat) and sum(map(any, flat)) == len(heads)
 
 
+def test_vectors_of_candidates_are_not_shuffled(spark):
+    """They go once with each of their prefix's buckets, so what is dealt out grows with the texts, not with the candidates."""
+    said = [f"{'same words here for all of them'} w{k % 40} w{k % 41} w{k}" for k in range(200)] + ["", "one", "w1 w2 w3"]
+    docs = spark.createDataFrame(list(enumerate(said)), "id long, t string")
+    table_ = vectors.tf_idf(docs, F.col("t")).cache()
+    plain = {r.id: {x.bucket: x.weight for x in r.vector} for r in table_.collect()}
+    _, pairs = vectors.alike(table_, 0.2)
+    dots = {(a, b): round(sum(v * plain[b].get(w, 0) for w, v in plain[a].items()), 6) for a in plain for b in plain if a < b}
+    assert rows_of(pairs) == sorted(((a, b, c) for (a, b), c in dots.items() if c >= 0.2), key=repr) and len(rows_of(pairs)) > 20
+    assert str(pairs._jdf.queryExecution().optimizedPlan()).count("Join ") == 1
+
+
 PAGE = """<html><head><meta property="og:title" content="OG"><meta name="author" content=""><title>Head</title></head><body><div class="top menu">skip</div>
 <main><div class="wide content" id="story"><p>one</p><figure>pic<figcaption>cap</figcaption></figure><p>two</p><div id="x_google_ads_1">ad</div><span class="my-social-bar">share</span></div></main>
 <div class="post-date"> 2024-02-03 </div><a rel="author" href="/a">Ann Lee</a><time datetime="2024-01-05T10:00:00Z">then</time><article><h1 class="big"></h1><h1>Second</h1><img src="/i.png"></article></body></html>"""
