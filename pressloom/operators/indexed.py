@@ -32,6 +32,10 @@ FREQUENT = 256
 ASKED = 1000
 #: Scores are rounded to so many digits; bounds are taken that much larger.
 DIGITS = 6
+#: Postings, roughly, that one task sorts and writes, and characters of text that make one; they affect the cost only.
+TASK, CHARS = 1 << 20, 8
+#: Partitions that a shuffle deals out without sorting; with more, tasks that take texts apart sort and spill all their words.
+UNSORTED = 200
 #: Classes of lengths, powers of two.
 CLASSES = 32
 
@@ -85,20 +89,28 @@ class Index:
         lens = F.array(*(F.size(terms(F.col(f))) for f in self.fields))
         return documents.select("id", *self.shown, lens.alias("lens"), self._doc_bucket(F.col("id")).alias("doc_bucket"))
 
-    def _store(self, words: DataFrame, documents: DataFrame, places: DataFrame) -> None:
+    def _size(self, documents: DataFrame) -> int:
+        """About how many postings the texts of ``documents`` make."""
+        return (documents.agg(F.sum(sum((F.coalesce(F.length(f), F.lit(0)) for f in self.fields), F.lit(0)).cast("long"))).first()[0] or 0) // CHARS
+
+    def _store(self, words: DataFrame, documents: DataFrame, places: DataFrame, size: int) -> None:
         """Writes whole buckets, ``places``(term_bucket, doc_bucket): a row of nulls holds the place of each, so that one of which nothing is left is overwritten too."""
         both = ["term_bucket", "doc_bucket"]
         keep = lambda rows, by: rows.unionByName(places.select(*by).distinct(), allowMissingColumns=True)
         order = ["field", "term", "block"]
+        # buckets are cut into parts by other digits of the hashes, so tasks that sort them grow in number until UNSORTED, and none holds a whole bucket
+        parts = 1 << max(0, math.ceil(math.log2(max(1, size) / (TASK * self.term_buckets * self.doc_buckets))))
+        tasks, part = min(UNSORTED, 2 * parts * self.term_buckets * self.doc_buckets), lambda h: F.pmod(F.shiftright(h, 40), F.lit(parts))
+        cut = [*both, "part"]
         # one shuffle and one sort: the windows keep to the partitions and the order that are written
-        dealt = keep(words.select(*both, *order, "id", "tf", "len"), both).repartition(*both)
-        of_block, of_word = Window.partitionBy(*both, *order), Window.partitionBy(*both, "field", "term")
+        dealt = keep(words.select(*both, *order, "id", "tf", "len"), both).withColumn("part", part(F.col("term"))).repartition(tasks, *cut).sortWithinPartitions(*cut, *order, "id")
+        of_block, of_word = Window.partitionBy(*cut, *order), Window.partitionBy(*cut, "field", "term")
         facts = {"n": F.count("id").over(of_block), "max_tf": F.max("tf").over(of_block), "min_len": F.min("len").over(of_block), "first": F.row_number().over(of_block.orderBy("id")) == 1, "in_bucket": F.count("id").over(of_word)}
-        self._put(dealt.withColumns(facts), "postings", both)
+        self._put(dealt.withColumns(facts).drop("part"), "postings", both)
         heads = self.table("postings").join(F.broadcast(places.select("doc_bucket").distinct()), "doc_bucket", "left_semi")  # at most doc_buckets rows
         heads = heads.where(F.col("first") & (F.col("in_bucket") >= FREQUENT)).select(*both, *order, "n", "max_tf", "min_len")
         self._put(keep(heads, both), "heads", both)
-        self._put(keep(documents, ["doc_bucket"]).repartition("doc_bucket"), "documents", ["doc_bucket"])
+        self._put(keep(documents, ["doc_bucket"]).repartition(min(UNSORTED, 2 * parts * self.doc_buckets), "doc_bucket", part(F.xxhash64("id"))), "documents", ["doc_bucket"])
         sizes = [F.struct(F.lit(k).alias("field"), F.count("id").alias("n"), F.coalesce(F.sum(F.col("lens")[k]), F.lit(0)).alias("words")) for k in range(len(self.fields))]
         sized = keep(documents, ["doc_bucket"]).groupBy("doc_bucket").agg(F.array(*sizes).alias("s")).select("doc_bucket", F.inline("s"))
         self._put(sized.repartition("doc_bucket"), "sizes", ["doc_bucket"])
@@ -106,7 +118,7 @@ class Index:
     def write(self, documents: DataFrame) -> None:
         """A new index of ``documents``, one row an id; null texts have no words, a row without an id is left out."""
         some = documents.where("id is not null")
-        self._store(self._words(some), self._documents(some), self._places(list(range(self.doc_buckets))))
+        self._store(self._words(some), self._documents(some), self._places(list(range(self.doc_buckets))), self._size(some))
 
     def _places(self, doc_buckets: list[int]) -> DataFrame:
         return self.spark.range(self.term_buckets).select(F.col("id").cast("int").alias("term_bucket"), F.explode(F.array(*map(F.lit, doc_buckets))).alias("doc_bucket"))
@@ -124,9 +136,10 @@ class Index:
             return 0
         here = F.col("doc_bucket").isin(touched) & F.col("id").isNotNull()
         fresh, ids = self._words(changed), changed.select("id")
-        words = self.table("postings").where(here).select(*fresh.columns).join(ids, "id", "left_anti").select(*fresh.columns).unionByName(fresh)
+        held = self.table("postings").where(here)
+        words = held.select(*fresh.columns).join(ids, "id", "left_anti").select(*fresh.columns).unionByName(fresh)
         documents = self.table("documents").where(here).join(ids, "id", "left_anti").unionByName(self._documents(changed))
-        self._store(words, checkpointed(documents), self._places(touched))
+        self._store(words, checkpointed(documents), self._places(touched), held.count() + self._size(changed))
         return len(touched)
 
     # queries

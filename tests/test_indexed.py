@@ -94,6 +94,19 @@ def test_search_equals_the_scan_and_leaves_blocks_out(spark, tmp_path, monkeypat
     assert any("term_bucket" in part.split("]")[0] for part in plan.split("PartitionFilters: [")[1:])
 
 
+def test_buckets_are_written_by_as_many_tasks_as_they_need(spark, tmp_path, monkeypatch):
+    rows = articles(spark, SF)
+    whole = index_of(spark, rows, f"{tmp_path}/i", term_buckets=1, doc_buckets=1)
+    monkeypatch.setattr(indexed, "TASK", 20000)
+    made = index_of(spark, rows.where("id % 2 = 0"), f"{tmp_path}/j", term_buckets=1, doc_buckets=1)
+    made.upsert(rows.where("id % 2 = 1"))
+    counts = [r[0] for r in made.table("postings").groupBy(F.input_file_name()).count().select("count").collect()]
+    assert len(counts) > 5 and max(counts) < sum(counts) / 2  # one file before
+    for name in ("postings", "heads", "documents", "sizes"):
+        columns = made.table(name).columns
+        assert rows_of(made.table(name)) == rows_of(whole.table(name).select(columns))
+
+
 def test_changed_documents_rewrite_their_buckets_alone(spark, tmp_path):
     rows = articles(spark, SF).where("id < 400")
     made = index_of(spark, rows.where("id % 3 > 0"), f"{tmp_path}/i", doc_buckets=8)
