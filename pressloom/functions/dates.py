@@ -96,9 +96,19 @@ def shapes(text: Column, now: str) -> dict[str, Column]:
     return {name: _groups(text, PATTERNS[name], parts[name]) for name in PATTERNS}
 
 
+def _dated(text: Column) -> Column:
+    """The part of a text in which a pattern can match: from the word and blanks before its first digit on; null without digits.
+
+    A match begins with a digit, or with a month's name and blanks before the first. What decides
+    whether a word begins there is kept, too: marks and the character that they stand on.
+    """
+    before = lambda at: F.reverse(F.regexp_extract(F.reverse(text.substr(F.lit(1), at - 1)), r"(?s)^\s*[A-Za-z]{0,9}\p{M}*.?", 0))
+    return _let(F.regexp_instr(text, F.lit("([0-9])")), lambda at: F.when(at > 0, F.concat(before(at), text.substr(at, F.length(text)))))
+
+
 def from_text(text: Column, now: str) -> Column:
     """The first pattern's valid instant."""
-    return F.coalesce(*shapes(text, now).values())
+    return _let(text, lambda whole: _let(_dated(whole), lambda said: F.when(said.isNotNull(), F.coalesce(*shapes(said, now).values()))))
 
 
 def from_url(url: Column, now: str) -> Column:
